@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, packing
+from tidemark.llm import bpe, packing, simhash
 from tidemark.llm.common import table
 
 
@@ -14,12 +14,17 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op7_simhash_pivot_tables": op7_simhash_pivot_tables,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
