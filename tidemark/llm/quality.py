@@ -105,8 +105,9 @@ def _rates() -> dict[str, Column]:
 
 
 def bucket(value: Column) -> Column:
-    """The lower end of a value's bucket: its six leading binary digits."""
-    return value - F.pmod(value, F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.length(F.bin(value)) - 6)))
+    """The upper end of a value's bucket, whose values share their six leading binary digits."""
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.length(F.bin(value)) - 6))
+    return value - F.pmod(value, width) + width - 1
 
 
 def sketches(rates: DataFrame, names: list[str]) -> DataFrame:
@@ -185,7 +186,7 @@ counted AS (
   FROM base LEFT JOIN covered ON base.r = covered.r),
 measured AS (SELECT *, {", ".join(f"coalesce({e}, 0) AS {x}" for x, e in rates.items())}, n_words < {rules.min_words} OR n_repeat_words * 100 > n_words * {rules.max_repeat_percent} AS base_failed FROM counted),
 each AS (UNPIVOT (SELECT lang, source, {", ".join(f"{x}::BIGINT AS {x}" for x in names)} FROM measured) ON {", ".join(names)} INTO NAME rate VALUE v),
-sketch AS (SELECT lang, source, rate, v - v % (1::BIGINT << greatest(0, length(bin(v)) - 6)) AS bucket, count(*) AS n FROM each GROUP BY ALL),
+sketch AS (SELECT lang, source, rate, v - v % width + width - 1 AS bucket, count(*) AS n FROM (SELECT *, 1::BIGINT << greatest(0, length(bin(v)) - 6) AS width FROM each) GROUP BY ALL),
 own AS ({quart("lang, source, ")}), by_lang AS ({quart("lang, ")}), whole AS ({quart("")}),
 floors(rate, floor) AS (VALUES {floors}),
 picked AS (
