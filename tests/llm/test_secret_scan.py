@@ -1,0 +1,56 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from tidemark.llm import secret_scan
+
+RULES = [
+    ("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m.group(2)) >= 6),
+    ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m.group()) >= 20),
+    ("hex", re.compile("[0-9a-f]+"), lambda m: len(m.group()) >= 24),
+]
+
+
+def plain(text):
+    found = [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for k, (kind, p, ok) in enumerate(RULES) for m in p.finditer(text or "") if ok(m)]
+    counts = tuple(sum(n == k for _, n, _ in found) for k in range(3))
+    return (*counts, hashlib.sha256(",".join(s for *_, s in sorted(found)).encode()).hexdigest())
+
+
+def texts():
+    rng = random.Random(4)
+    parts = ["password", "PassWd", "secret", "toKen", "token", "api_key", "APIKEY", "ſecret", "İ", ":", "=", " ", '"', "'", "abc123", "é", "AKIA", "ABCDEFGH01234567", "0123456789abcdef", "deadbeef", "/+", ".", "\n"]
+    return [None, "", "x" * 5000 + " token=abcdef ", *("".join(rng.choices(parts, k=rng.randint(1, 16))) for _ in range(3000))]
+
+
+def test_base_against_brute_force(spark):
+    rows = [(k, t) for k, t in enumerate(texts())] + [(5, "token=abcdef"), (5, "token=abcdef")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS spans", "2 AS kinds")
+    got = secret_scan.digests(secret_scan.scan(docs)).collect()
+    assert sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == sorted((d, *plain(t)) for d, t in rows)
+    for r in got:
+        starts = [int(s.split(":")[1]) for s in r.spans.split(",") if s]
+        assert starts == sorted(starts) and r.n_assign + r.n_access + r.n_hex <= len(starts)
+    assert secret_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_network_on_held_out_findings():
+    net = secret_scan.trained()
+    findings, labels = secret_scan.labelled_findings(1500, seed=77)
+    said = net.score(secret_scan.codes_of(findings)) >= net.threshold
+    assert said[labels == 1].mean() >= 0.96 and said[labels == 0].mean() <= 0.01
+
+
+@pytest.mark.parametrize("text,found", [("use TOKEN!! =!! \"4ECF7C5B09FE5949719B6B82BC439E9329B0A1B2\"!! now", True), ("call 4652511922028856 or mail er.48@mail9.example.com today", False)])
+def test_network_adds_spans(text, found):
+    assert bool(secret_scan.find(text, secret_scan.trained())) == found
+
+
+def test_redact(spark):
+    rows = [(1, "a token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\" b", 54), (2, "plain words", 11), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = secret_scan.redact(docs)
+    assert got.schema == docs.schema or got.columns == docs.columns
+    assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {1: ('a [secret]" b', 13), 2: ("plain words", 11), 3: (None, None)}

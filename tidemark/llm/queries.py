@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, packing, quality, simhash
+from tidemark.llm import bpe, packing, quality, secret_scan, simhash
 from tidemark.llm.common import table
 
 
@@ -26,11 +26,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op7_simhash_pivot_tables": op7_simhash_pivot_tables,
     "op8_adaptive_quality_rules": op8_adaptive_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {"op8_adaptive_quality_rules": quality.oracle()}
