@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, packing, quality, secret_scan, simhash
+from tidemark.llm import audio, bpe, packing, quality, secret_scan, simhash
 from tidemark.llm.common import table
 
 
+def op1_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_round_trip(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_audio_columns": op1_audio_columns,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op7_simhash_pivot_tables": op7_simhash_pivot_tables,
     "op8_adaptive_quality_rules": op8_adaptive_quality_rules,
