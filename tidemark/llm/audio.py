@@ -5,7 +5,7 @@ Media are WAV bytes of 8-bit mono samples. Features of a clip are made in four s
 1. polyphase resampling by ``UP / DOWN`` with a windowed-sinc filter, one filter branch per phase;
 2. log-mel energies of overlapping frames;
 3. segments by hysteresis: a segment begins where the energy exceeds the upper level and ends where it
-   falls below the lower one (levels are quantiles of the clip's own energy);
+   falls below the lower one (levels lie between the clip's own quiet and loud quantiles);
 4. windows of ``FRAMES x MELS`` values, stored flat, which Arrow reads as fixed-shape tensors, each with
    the time span that it covers.
 
@@ -28,8 +28,9 @@ RATE = 16_000
 UP, DOWN, TAPS = 1, 2, 12
 FRAME, HOP, FFT, MELS = 200, 80, 256, 40
 FRAMES = 64
-#: Quantiles of a clip's frame energy that open and close a segment, and frames a segment has at least.
-OPEN, CLOSE, LEAST_FRAMES = 0.6, 0.3, 5
+#: Quiet and loud quantiles of a clip's frame energy, the parts of the way between them at which a
+#: segment opens and closes, and frames a segment has at least.
+QUIET, LOUD, OPEN, CLOSE, LEAST_FRAMES = 0.05, 0.95, 0.6, 0.3, 5
 #: Frames that are worked on at once.
 BLOCK = 8192
 FLOOR_DB = -100.0
@@ -120,9 +121,10 @@ def log_mel(signal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def segments(energy: np.ndarray) -> np.ndarray:
     """``(start, end)`` frames of segments by hysteresis; none in a clip whose levels are equal."""
-    high, low = np.quantile(energy, OPEN), np.quantile(energy, CLOSE)
-    if high <= low:
+    quiet, loud = np.quantile(energy, (QUIET, LOUD))
+    if loud <= quiet:
         return np.zeros((0, 2), np.int64)
+    high, low = quiet + OPEN * (loud - quiet), quiet + CLOSE * (loud - quiet)
     said = np.where(energy > high, 1, np.where(energy < low, -1, 0))
     last = np.maximum.accumulate(np.where(said != 0, np.arange(len(said)), -1))
     on = np.concatenate([[False], (last >= 0) & (said[last] == 1), [False]])
