@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import audio, bpe, packing, quality, secret_scan, simhash
+from tidemark.llm import audio, bpe, license_scan, packing, quality, secret_scan, simhash
 from tidemark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,10 +41,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio_columns": op1_audio_columns,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_license_scan": op3_license_scan,
     "op7_simhash_pivot_tables": op7_simhash_pivot_tables,
     "op8_adaptive_quality_rules": op8_adaptive_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {"op8_adaptive_quality_rules": quality.oracle()}
+ORACLES: dict[str, str] = {"op3_license_scan": license_scan.oracle(), "op8_adaptive_quality_rules": quality.oracle()}
