@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import audio, bpe, license_scan, packing, quality, secret_scan, simhash
+from tidemark.llm import audio, bpe, license_scan, packing, pii, quality, secret_scan, simhash
 from tidemark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio_columns": op1_audio_columns,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_license_scan": op3_license_scan,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op7_simhash_pivot_tables": op7_simhash_pivot_tables,
     "op8_adaptive_quality_rules": op8_adaptive_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
