@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import audio, bpe, license_scan, packing, pii, quality, secret_scan, simhash, url_filter
+from tidemark.llm import audio, bpe, html_extract, license_scan, packing, pii, quality, secret_scan, simhash, url_filter
 from tidemark.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_url_templates": op5_url_templates,
+    "op6_html_main_text": op6_html_main_text,
     "op7_simhash_pivot_tables": op7_simhash_pivot_tables,
     "op8_adaptive_quality_rules": op8_adaptive_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
