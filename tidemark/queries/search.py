@@ -1 +1,146 @@
-QUERIES, ORACLES = {}, {}
+"""Full-text, vector and hybrid search over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as tx
+from tidemark.operators import retrieval as rt
+from tidemark.queries.browse import END, START, over
+from tidemark.schema import DAY_MS
+from tidemark.sources import tables as src
+
+#: The queries' terms; one with a hyphen is a phrase. The last stands in raw texts only.
+TERMS, PHRASE, RAW_ONLY = "that with", "of-the and", "Window-Help"
+LOW, HIGH = START, START + 2 * DAY_MS
+POOL, LIMIT = rt.candidate_pool(20), 20
+
+F_, T_, X_ = src.frames, src.frame_text, src.vectors
+
+
+def query_vector(vectors) -> list[float]:
+    """The vector asked for: that of frame 0's first chunk."""
+    return list(vectors.where("frame_id = 0 AND chunk_index = 0").first().embedding)
+
+
+def arm(column, text, start=None, end=None, stemmed=False):
+    def run(frames, texts):
+        window = (start, end) if start is not None else ()
+        found = rt.text_arm(rt.build_index(texts, column, stemmed), frames, text, POOL, *window, stemmed=stemmed)
+        return found.select("frame_id", F.round("score", 6).alias("score"), "rank")
+
+    return over(F_, T_)(run)
+
+
+def near(**options):
+    def run(frames, vectors):
+        found = rt.knn(vectors, frames, query_vector(vectors), POOL, **options)
+        return found.select("frame_id", F.round("distance", 6).alias("distance"), "rank")
+
+    return over(F_, X_)(run)
+
+
+def hybrid(text, **options):
+    def run(frames, texts, vectors):
+        return rt.hybrid_ids(rt.Corpus(frames, texts, vectors), text, LIMIT, query_vector(vectors), **options).select("frame_id", F.round("score", 9).alias("score"))
+
+    return over(F_, T_, X_)(run)
+
+
+def full(frames, texts, vectors):
+    return rt.hybrid_search(rt.Corpus(frames, texts, vectors, stemmed=True), TERMS, LIMIT, query_vector(vectors), include_chrome=True)
+
+
+def batch(vectors):
+    queries = vectors.where("frame_id % 25 = 0 AND chunk_index = 0").select(F.col("frame_id").alias("query_id"), "embedding")
+    return rt.knn_batch(vectors, queries, 10).select("query_id", "frame_id", "chunk_index", F.round("distance", 6).alias("distance"))
+
+
+def many_terms(texts):
+    queries = [[["that"]], [["with"], ["that"]], [["of", "the"]], [["and"], ["of", "the"]]]
+    return rt.score_phrases(rt.build_index(texts, "content_text"), queries).select("query", "frame_id", F.round("score", 6).alias("score"))
+
+
+QUERIES = {
+    "search_hybrid": over(F_, T_, X_)(full),
+    "fts_bm25": arm("content_text", TERMS),
+    "fts_phrase": arm("content_text", PHRASE),
+    "fts_raw_layer": arm("raw_text", RAW_ONLY),
+    "fts_time_window": arm("content_text", TERMS, LOW, HIGH),
+    "fts_stemmed": arm("content_text", TERMS, stemmed=True),
+    "fts_batch": over(T_)(many_terms),
+    "knn_text": near(),
+    "knn_in_range": near(start=LOW, end=HIGH),
+    "knn_prefiltered": near(start=LOW, end=HIGH, prefilter=True),
+    "knn_batch": over(X_)(batch),
+    "hybrid_rrf": hybrid(TERMS),
+    "hybrid_rrf_time_window": hybrid(TERMS, start=LOW, end=HIGH),
+    "hybrid_chrome": hybrid(RAW_ONLY, include_chrome=True),
+    "rag_context": over(F_, T_, X_)(lambda f, t, x: rt.rag_context(rt.Corpus(f, t, x), TERMS, 8, query_vector(x))),
+    "fallback_snippet": over(T_)(lambda t: t.select("frame_id", tx.fallback_snippet(F.col("content_text")).alias("snippet"))),
+    "normalize_text": over(T_)(lambda t: t.select("frame_id", tx.normalize_text(F.col("raw_text")).alias("text"))),
+    "token_estimate": over(T_)(lambda t: t.select("frame_id", tx.token_estimate(F.col("content_text")).alias("tokens"))),
+}
+
+
+def layer_sql(name: str, column: str) -> str:
+    words = f"regexp_extract_all(translate(lower({column}), '{tx.ACCENTED}', '{tx.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+    return f"{name} AS (SELECT frame_id, {words} AS w FROM frame_text)"
+
+
+def score_sql(name: str, layer: str, text: str) -> str:
+    """CTEs with ``frame_id, score`` of a query over a layer."""
+    tfs = []
+    for phrase in tx.query_phrases(text):
+        match = " AND ".join(f"w[i + {k}] = '{t}'" for k, t in enumerate(phrase))
+        tfs.append(f"len(list_filter(generate_series(1, len(w)), lambda i: {match}))")
+    cols = ", ".join(f"{x} AS t{k}" for k, x in enumerate(tfs))
+    idf = lambda k: f"greatest(ln(((SELECT count(*) FROM {layer}) - (SELECT count(*) FROM {name}_tf WHERE t{k} > 0) + 0.5::DOUBLE) / ((SELECT count(*) FROM {name}_tf WHERE t{k} > 0) + 0.5::DOUBLE)), {rt.LEAST_IDF})"
+    total = " + ".join(f"{idf(k)} * (t{k} * {rt.K1 + 1}::DOUBLE) / (t{k} + {rt.K1}::DOUBLE * (1 - {rt.B}::DOUBLE + {rt.B}::DOUBLE * size / (SELECT avg(len(w)) FROM {layer})))" for k in range(len(tfs)))
+    return f"{name}_tf AS (SELECT frame_id, len(w) AS size, {cols} FROM {layer}), {name} AS (SELECT frame_id, -({total}) AS score FROM {name}_tf WHERE {' AND '.join(f't{k} > 0' for k in range(len(tfs)))})"
+
+
+def arm_sql(name: str, scores: str, start: int | None = None, end: int | None = None) -> str:
+    window = f" WHERE captured_at >= {start} AND captured_at < {end}" if start is not None else ""
+    return f"{name} AS (SELECT *, row_number() OVER (ORDER BY score, frame_id) AS rank FROM (SELECT frame_id, score FROM {scores} WHERE frame_id IN (SELECT frame_id FROM frames{window}) ORDER BY score, frame_id LIMIT {POOL}))"
+
+
+def knn_sql(name: str, start: int | None = None, end: int | None = None, prefilter: bool = False) -> str:
+    inside = f"frame_id IN (SELECT frame_id FROM frames{f' WHERE captured_at >= {start} AND captured_at < {end}' if start is not None else ''})"
+    near = f"SELECT frame_id, 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM vectors WHERE frame_id = 0 AND chunk_index = 0)) AS distance, chunk_index FROM vectors{f' WHERE {inside}' if prefilter else ''} ORDER BY distance, frame_id, chunk_index LIMIT {POOL}"
+    return f"{name} AS (SELECT *, row_number() OVER (ORDER BY distance, frame_id) AS rank FROM (SELECT frame_id, min(distance) AS distance FROM ({near}) WHERE {inside} GROUP BY frame_id))"
+
+
+WITH = f"WITH {src.WITH}, {layer_sql('content', 'content_text')}, {layer_sql('raw', 'raw_text')}"
+ARM = "SELECT frame_id, round(score, 6) AS score, rank FROM arm"
+NEAR = "SELECT frame_id, round(distance, 6) AS distance, rank FROM near"
+
+
+def fused_sql(*arms: str) -> str:
+    ids = " UNION ".join(f"SELECT frame_id FROM {a}" for a in arms)
+    total = " + ".join(["0.0::DOUBLE", *(f"coalesce(1.0::DOUBLE / (60 + (SELECT rank FROM {a} WHERE {a}.frame_id = ids.frame_id)), 0.0::DOUBLE)" for a in arms)])
+    return f"SELECT frame_id, round(score, 9) AS score FROM (SELECT frame_id, {total} AS score FROM ({ids}) AS ids) ORDER BY score DESC, frame_id DESC LIMIT {LIMIT}"
+
+
+def batch_sql() -> str:
+    parts = [(0, "that"), (1, "with that"), (2, "of-the"), (3, "and of-the")]
+    return f"{WITH}, " + ", ".join(score_sql(f"q{n}", "content", text) for n, text in parts) + " " + " UNION ALL ".join(f"SELECT {n} AS query, frame_id, round(score, 6) AS score FROM q{n}" for n, _ in parts)
+
+
+ORACLES = {
+    "fts_bm25": f"{WITH}, {score_sql('s', 'content', TERMS)}, {arm_sql('arm', 's')} {ARM}",
+    "fts_phrase": f"{WITH}, {score_sql('s', 'content', PHRASE)}, {arm_sql('arm', 's')} {ARM}",
+    "fts_raw_layer": f"{WITH}, {score_sql('s', 'raw', RAW_ONLY)}, {arm_sql('arm', 's')} {ARM}",
+    "fts_time_window": f"{WITH}, {score_sql('s', 'content', TERMS)}, {arm_sql('arm', 's', LOW, HIGH)} {ARM}",
+    "fts_batch": batch_sql(),
+    "knn_text": f"{WITH}, {knn_sql('near')} {NEAR}",
+    "knn_in_range": f"{WITH}, {knn_sql('near', LOW, HIGH)} {NEAR}",
+    "knn_prefiltered": f"{WITH}, {knn_sql('near', LOW, HIGH, True)} {NEAR}",
+    "knn_batch": f"{WITH} SELECT query_id, frame_id, chunk_index, round(distance, 6) AS distance FROM (SELECT q.frame_id AS query_id, v.frame_id, v.chunk_index, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance FROM vectors v, vectors q WHERE q.frame_id % 25 = 0 AND q.chunk_index = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, frame_id, chunk_index) <= 10",
+    "hybrid_rrf": f"{WITH}, {score_sql('s', 'content', TERMS)}, {arm_sql('arm', 's')}, {knn_sql('near')} {fused_sql('arm', 'near')}",
+    "hybrid_rrf_time_window": f"{WITH}, {score_sql('s', 'content', TERMS)}, {arm_sql('arm', 's', LOW, HIGH)}, {knn_sql('near', LOW, HIGH)} {fused_sql('arm', 'near')}",
+    "hybrid_chrome": f"{WITH}, {score_sql('s', 'content', RAW_ONLY)}, {arm_sql('arm', 's')}, {score_sql('s2', 'raw', RAW_ONLY)}, {arm_sql('arm2', 's2')}, {knn_sql('near')} {fused_sql('arm', 'arm2', 'near')}",
+    "fallback_snippet": f"{WITH} SELECT frame_id, CASE WHEN length(content_text) > 160 THEN content_text[:160] || '…' ELSE content_text END AS snippet FROM frame_text",
+    "normalize_text": f"{WITH} SELECT frame_id, lower(trim(regexp_replace(raw_text, '[\\s\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))) AS text FROM frame_text",
+    "token_estimate": f"{WITH} SELECT frame_id, strlen(content_text) // 2 + 1 AS tokens FROM frame_text",
+}
