@@ -1 +1,123 @@
-QUERIES, ORACLES = {}, {}
+"""Text classification, change gating and parsing over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import scalars as sc
+from tidemark.operators import classify as cl
+from tidemark.queries.browse import WITH as BROWSE
+from tidemark.queries.browse import over
+from tidemark.schema import ACTIVITIES, DAY_MS
+from tidemark.sources import tables as src
+from tidemark.streaming import stateful as st
+
+CONFIG = cl.Config()
+GATE = 0.12
+DENIED = [" CLICK ", "", "purch"]
+
+f32 = cl.f32
+
+
+def word_spans(spark, sf_dir):
+    """Words of each document's lines, set on a page of 25 lines by 20 words."""
+    d = src.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("frame_id"), F.posexplode(F.split("text", "\n")).alias("line_index", "line"))
+    words = d.select("frame_id", "line_index", F.posexplode(F.split("line", " ")).alias("k", "text")).where("text <> ''")
+    return words.select(
+        "frame_id", "line_index", (F.col("line_index") * 100_000 + F.col("k")).alias("span_index"), "text",
+        ((F.col("k") % 20).cast("float") * f32(0.045) + f32(0.01)).alias("x"), ((F.col("line_index") % 25).cast("float") * f32(0.04)).alias("y"), f32(0.04).alias("w"), f32(0.03).alias("h"),
+    )
+
+
+def context(spark, sf_dir):
+    rect = F.struct(f32(0.1).alias("x"), f32(0.1).alias("y"), f32(0.8).alias("w"), f32(0.8).alias("h"))
+    d = src.read(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("frame_id"), F.col("doc_id").alias("seq"), F.col("source").alias("app"), F.when(F.col("doc_id") % 7 == 0, F.get(F.split("text", "\n"), F.lit(0))).alias("title"), F.when(F.col("doc_id") % 5 != 0, rect).alias("rect"))
+
+
+def bboxes(spans):
+    return cl.lines_of(spans).select("frame_id", "line_index", "x", "y", "right", "bottom", F.char_length("normalized").alias("n_chars"))
+
+
+def roles(spans, context):
+    return cl.line_roles(spans, context, CONFIG).groupBy("frame_id", "role").agg(F.count("*").alias("n_lines"), F.sum("line_index").alias("places"))
+
+
+def rebuilt(spans, context):
+    return cl.content_texts(cl.line_roles(spans, context, CONFIG))
+
+
+def catalog(spans, context):
+    return cl.observations(cl.line_roles(spans, context, CONFIG), 0).select("signature", "seen_count")
+
+
+def reconciled(spans, context):
+    lines = cl.line_roles(spans, context, CONFIG)
+    done = cl.reconcile(cl.classify_spans(spans, lines), context.select("frame_id", "app"), cl.observations(lines, 0), CONFIG)
+    return cl.suppressed_counts(done)
+
+
+def gated(spark, sf_dir):
+    e = src.read(spark, sf_dir, "embeddings")
+    luma = F.transform("embedding", lambda x: F.least(F.greatest(F.floor(x.cast("double") * 128 + 128), F.lit(0)), F.lit(255)).cast("int"))
+    return st.change_gate(e.select((F.col("vec_id") % 3).cast("int").alias("monitor_index"), F.col("vec_id").alias("captured_at"), luma.alias("luma")), GATE).select("monitor_index", "captured_at")
+
+
+def thinking(spark, sf_dir):
+    c = src.read(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    text = F.when(F.col("role") == "user", F.concat(F.lit("<think>"), "text", F.lit("</think>"))).otherwise(F.col("text"))
+    return st.split_think(c.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), text.alias("text")))
+
+
+def replies(spark, sf_dir):
+    e = src.read(spark, sf_dir, "events")
+    label = F.get(F.array(*map(F.lit, (*ACTIVITIES, "unknown"))), F.col("event_id") % 9)
+    json = F.to_json(F.struct(F.concat(F.lit("saw "), "event_type").alias("description"), label.alias("activity_type"), F.when(F.col("event_id") % 4 == 0, "null").otherwise(F.col("event_type")).alias("app_hint"), F.floor("value").alias("confidence")))
+    reply = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("plain "), "event_type")).otherwise(F.concat(F.lit("Here: "), json, F.lit(" done")))
+    return e.select("event_id", sc.reply_struct(reply).alias("r")).select("event_id", "r.*")
+
+
+QUERIES = {
+    "day_shard_path": over(src.frames)(lambda f: f.select("frame_id", sc.day_shard_path(F.col("captured_at"), F.col("frame_id")).alias("path"))),
+    "excluded_apps_filter": over(src.frames)(lambda f: f.where(~sc.is_excluded(F.col("app_hint"), F.col("activity_type"), DENIED)).select("frame_id")),
+    "line_bbox": over(word_spans)(bboxes),
+    "classify_roles": over(word_spans, context)(roles),
+    "content_text_rebuild": over(word_spans, context)(rebuilt),
+    "chrome_catalog": over(word_spans, context)(catalog),
+    "reconcile_backfill": over(word_spans, context)(reconciled),
+    "change_gate": gated,
+    "think_split": thinking,
+    "vision_reply_parse": replies,
+}
+
+INTERIOR = f"cx >= 0.1::REAL + {cl.INSET}::REAL * 0.8::REAL AND cx <= 0.1::REAL + 0.8::REAL - {cl.INSET}::REAL * 0.8::REAL AND cy >= 0.1::REAL + {cl.INSET}::REAL * 0.8::REAL AND cy <= 0.1::REAL + 0.8::REAL - {cl.INSET}::REAL * 0.8::REAL"
+NORMAL = "lower(trim(regexp_replace({}, '[\\s\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')))"
+CELL = "CAST(least(CAST(floor(least(greatest({}, 0::REAL), 1::REAL) * 8::REAL) AS INTEGER), 7) AS VARCHAR)"
+SHARED = "greatest(least(r, 0.1::REAL + 0.8::REAL) - greatest(x, 0.1::REAL), 0::REAL) * greatest(least(b, 0.1::REAL + 0.8::REAL) - greatest(y, 0.1::REAL), 0::REAL)"
+
+WITH = f"""WITH l0 AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+l1 AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_index, unnest(ls) AS line FROM l0),
+l2 AS (SELECT doc_id, line_index, string_split(line, ' ') AS ws FROM l1),
+words AS (SELECT * FROM (SELECT doc_id AS frame_id, line_index, generate_subscripts(ws, 1) - 1 AS k, unnest(ws) AS text FROM l2) WHERE text <> ''),
+spans AS (SELECT *, (k % 20)::REAL * 0.045::REAL + 0.01::REAL AS x, (line_index % 25)::REAL * 0.04::REAL AS y FROM words),
+boxes AS (SELECT frame_id, line_index, min(x) AS x, min(y) AS y, max(x + 0.04::REAL) AS r, max(y + 0.03::REAL) AS b, string_agg(text, ' ' ORDER BY k) AS text, count(*) AS n_words FROM spans GROUP BY ALL),
+lines AS (SELECT *, {NORMAL.format('text')} AS normal, x + (r - x) * 0.5::REAL AS cx, y + (b - y) * 0.5::REAL AS cy FROM boxes),
+ctx AS (SELECT doc_id AS frame_id, source AS app, CASE WHEN doc_id % 7 = 0 THEN {NORMAL.format('ls[1]')} END AS title, doc_id % 5 <> 0 AS known FROM l0),
+j AS (SELECT *, length(normal) < 48 AS short, known AND ({SHARED}) / ((r - x) * (b - y)) < 0.5::REAL AS outside FROM lines JOIN ctx USING (frame_id)),
+e AS (SELECT *, CASE WHEN outside AND short AND y >= 0.95::REAL THEN 'system' WHEN outside THEN 'background' WHEN title <> '' AND normal = title THEN 'chrome' END AS early FROM j),
+s AS (SELECT *, coalesce(app, '') || chr(31) || {CELL.format('cy')} || ',' || {CELL.format('cx')} || chr(31) || normal AS own, CASE WHEN early IS NULL AND short AND known AND NOT ({INTERIOR}) THEN own END AS signature FROM e),
+seen AS (SELECT frame_id, signature, row_number() OVER (PARTITION BY signature ORDER BY frame_id) - 1 AS prior FROM (SELECT DISTINCT frame_id, signature FROM s WHERE signature IS NOT NULL)),
+roles AS (SELECT s.*, coalesce(early, CASE WHEN prior + 1 >= 4 THEN 'chrome' END, CASE WHEN known THEN 'content' ELSE 'unknown' END) AS role FROM s LEFT JOIN seen USING (frame_id, signature)),
+cat AS (SELECT signature, count(DISTINCT frame_id) AS seen_count FROM s WHERE signature IS NOT NULL GROUP BY signature)"""
+
+ORACLES = {
+    "day_shard_path": f"{BROWSE} SELECT frame_id, 'frames/' || captured_at // {DAY_MS} || '/' || frame_id || '.jpg' AS path FROM frames",
+    "excluded_apps_filter": f"{BROWSE} SELECT frame_id FROM frames WHERE NOT (coalesce(contains(lower(app_hint), 'click'), false) OR coalesce(contains(lower(app_hint), 'purch'), false) OR coalesce(contains(activity_type, 'click'), false) OR coalesce(contains(activity_type, 'purch'), false))",
+    "line_bbox": f'{WITH} SELECT frame_id, line_index, x, y, r AS "right", b AS bottom, length(normal) AS n_chars FROM lines',
+    "classify_roles": f"{WITH} SELECT frame_id, role, count(*) AS n_lines, sum(line_index)::BIGINT AS places FROM roles GROUP BY ALL",
+    "content_text_rebuild": f"{WITH} SELECT frame_id, coalesce(string_agg(text, chr(10) ORDER BY line_index) FILTER (role IN ('content', 'unknown')), '') AS content_text FROM roles GROUP BY frame_id",
+    "chrome_catalog": f"{WITH} SELECT signature, seen_count FROM cat",
+    "reconcile_backfill": f"{WITH} SELECT frame_id, sum(CASE WHEN role NOT IN ('content', 'unknown') OR (short AND own IN (SELECT signature FROM cat WHERE seen_count >= 4)) THEN n_words ELSE 0 END)::BIGINT AS suppressed_count FROM roles GROUP BY frame_id",
+    "think_split": "SELECT conv_id AS stream_id, i - 1 AS seq, (i - 1) % 2 = 1 AS thinking, part AS text FROM (SELECT conv_id, generate_subscripts(p, 1) AS i, unnest(p) AS part FROM (SELECT conv_id, string_split(string_agg(CASE WHEN role = 'user' THEN chr(1) || text || chr(1) ELSE text END, '' ORDER BY turn), chr(1)) AS p FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)) WHERE part <> ''",
+    "vision_reply_parse": f"SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'plain ' ELSE 'saw ' END || event_type AS description, CASE WHEN event_id % 5 <> 0 AND event_id % 9 < 8 THEN {list(ACTIVITIES)}[event_id % 9 + 1] END AS activity_type, CASE WHEN event_id % 5 <> 0 AND event_id % 4 <> 0 THEN event_type END AS app_hint, CASE WHEN event_id % 5 <> 0 AND floor(value) > 0 AND floor(value) <= 1 THEN floor(value)::DOUBLE ELSE -1.0::DOUBLE END AS confidence FROM events",
+}
