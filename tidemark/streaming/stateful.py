@@ -23,7 +23,7 @@ def fingerprint(pixels: np.ndarray) -> np.ndarray:
     """Luma of a GRID x GRID sample of height x width x channels pixels."""
     height, width = pixels.shape[:2]
     rows, cols = np.arange(GRID) * height // GRID, np.arange(GRID) * width // GRID
-    return (pixels[rows[:, None], cols[None, :], :3].astype(np.int64) @ np.array(LUMA) >> 8).astype(np.uint8)
+    return (pixels[rows[:, None], cols[None, :], :3].astype(np.int64) @ np.array(LUMA) >> 8).astype(np.uint8).ravel()
 
 
 def difference(a: np.ndarray, b: np.ndarray, same_size: bool = True) -> float:
