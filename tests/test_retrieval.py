@@ -84,3 +84,15 @@ def test_snippets_and_estimates(spark):
     got = df.select(tx.fallback_snippet(df.t), tx.token_estimate(df.t), tx.truncate_bytes(df.t, 5)).collect()
     assert [tuple(r) for r in got] == [("é" * 160 + "…", 201, "éé"), ("short", 3, "short")]
     assert spark.createDataFrame([("  A b\n",)], "t string").select(tx.normalize_text(F.col("t"))).first()[0] == "a b"
+
+
+def test_batched_searches_equal_single_ones(spark, corpus):
+    asked = [(0, "alpha", unit(1), None, None), (1, "alpha-beta gamma", unit(0), None, None), (2, "gamma", unit(2), 150, 350), (3, "missing", unit(0), None, None), (4, "!!", unit(1), None, None)]
+    queries = spark.createDataFrame(asked, "query long, text string, embedding array<float>, start long, end long")
+    got = {}
+    for r in rt.hybrid_batch(corpus, queries, 5).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((r.frame_id, round(r.score, 9)))
+    for n, text, vector, start, end in asked:
+        window = {"start": start, "end": end} if start is not None else {}
+        want = [(r.frame_id, round(r.score, 9)) for r in rt.hybrid_ids(corpus, text, 5, vector, **window).collect()]
+        assert got.get(n, []) == want

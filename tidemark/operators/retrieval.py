@@ -210,3 +210,51 @@ def rag_context(corpus: Corpus, text: str, k: int = 8, query_vector: list[float]
     own = corpus.texts.select("frame_id", F.when(F.col("content_text") != "", F.col("content_text")).alias("content"))
     out = hits.join(own, "frame_id", "left").select("frame_id", F.coalesce("content", "snippet").alias("text"), "score", "captured_at")
     return (out.where(F.trim("text") != "") if drop_blank else out).orderBy(F.desc("score"), F.desc("frame_id"))
+
+
+# Many searches in one plan. The queries are a table: what is shuffled grows with the matches.
+
+
+def bm25_batch(index: Index, terms: DataFrame) -> DataFrame:
+    """``query, frame_id, score`` of frames with all phrases of a query.
+
+    ``terms``: ``query, phrase, place, term``, one row per token; it is broadcast, and its size checked.
+    """
+    if terms.count() > 100_000:
+        raise ValueError("a batch holds at most 100,000 query tokens")
+    sizes = terms.groupBy("query", "phrase").agg(F.count("*").alias("length"))
+    wanted = sizes.groupBy("query").agg(F.count("*").alias("phrases"))
+    hits = index.postings.join(F.broadcast(terms), "term").select("query", "phrase", "frame_id", F.explode("positions").alias("position"), "place")
+    starts = hits.groupBy("query", "phrase", "frame_id", (F.col("position") - F.col("place")).alias("start")).agg(F.count("*").alias("n"))
+    tf = starts.join(F.broadcast(sizes), ["query", "phrase"]).where("n = length").groupBy("query", "phrase", "frame_id").agg(F.count("*").alias("tf"))
+    holding = tf.groupBy("query", "phrase").agg(F.count("*").alias("n_p"))
+    layer = index.lengths.agg(F.count("*").alias("total"), F.avg("size").alias("mean"))
+    rows = tf.join(F.broadcast(holding), ["query", "phrase"]).join(index.lengths, "frame_id").join(F.broadcast(layer))
+    idf = F.greatest(F.log((F.col("total") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5)), F.lit(LEAST_IDF))
+    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    scored = rows.groupBy("query", "frame_id").agg(F.sum(part).alias("score"), F.count("*").alias("found"))
+    return scored.join(F.broadcast(wanted), "query").where("found = phrases").select("query", "frame_id", (-F.col("score")).alias("score"))
+
+
+def hybrid_batch(corpus: Corpus, queries: DataFrame, limit: int = 20, index: Index | None = None) -> DataFrame:
+    """``query, frame_id, score, rank`` for a table ``query, text, embedding, start, end`` of searches.
+
+    The same results as ``hybrid_ids`` for each row; ``start`` and ``end`` may be null.
+    """
+    spark, pool = queries.sparkSession, candidate_pool(normalized_limit(limit))
+    asked = queries.collect()  # its size is checked by both arms
+    rows = [(q.query, n, k, t) for q in asked for n, p in enumerate(tx.query_phrases(q.text, corpus.stemmed)) for k, t in enumerate(p)]
+    # A phrase given twice counts twice, as it does in a single search.
+    terms = spark.createDataFrame(rows, "query long, phrase int, place int, term string")
+    window = F.broadcast(queries.select("query", F.coalesce("start", F.lit(MIN_MS)).alias("low"), F.coalesce("end", F.lit(MAX_MS)).alias("high")))
+    times = corpus.frames.select("frame_id", "captured_at")
+    inside = lambda df: df.join(times, "frame_id").join(window, "query").where("captured_at >= low AND captured_at < high")
+    top = lambda df, order: df.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order))).where(F.col("rank") <= pool)
+    text = top(inside(bm25_batch(index or build_index(corpus.texts, "content_text", corpus.stemmed), terms)), ["score", "frame_id"]).select("query", "frame_id", F.col("rank").alias("r0"))
+    near = knn_batch(corpus.vectors, queries.where(F.trim("text") != "").select(F.col("query").alias("query_id"), "embedding"), pool).withColumnRenamed("query_id", "query")
+    first = inside(near).groupBy("query", "frame_id").agg(F.min("distance").alias("distance"))
+    vector = top(first, ["distance", "frame_id"]).select("query", "frame_id", F.col("rank").alias("r1"))
+    part = lambda c: F.coalesce(F.lit(1.0) / (F.lit(RRF_K) + F.col(c)), F.lit(0.0))
+    fused = text.join(vector, ["query", "frame_id"], "full").select("query", "frame_id", (F.lit(0.0) + part("r0") + part("r1")).alias("score"))
+    best = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.desc("frame_id")))
+    return fused.withColumn("rank", best).where(F.col("rank") <= normalized_limit(limit))

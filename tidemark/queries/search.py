@@ -56,6 +56,18 @@ def batch(vectors):
     return rt.knn_batch(vectors, queries, 10).select("query_id", "frame_id", "chunk_index", F.round("distance", 6).alias("distance"))
 
 
+#: Searches of one batch: text, and the frame whose vector is asked for.
+BATCH = ((0, TERMS, 0), (1, PHRASE, 25), (2, "that", 50), (3, "and with", 75))
+
+
+def searches(frames, texts, vectors):
+    asked = frames.sparkSession.createDataFrame([(n, text, frame) for n, text, frame in BATCH], "query long, text string, frame long")
+    own = vectors.where("chunk_index = 0").select(F.col("frame_id").alias("frame"), "embedding")
+    none = F.lit(None).cast("long")
+    queries = F.broadcast(asked).join(own, "frame").select("query", "text", "embedding", none.alias("start"), none.alias("end"))
+    return rt.hybrid_batch(rt.Corpus(frames, texts, vectors), queries, LIMIT).select("query", "frame_id", F.round("score", 9).alias("score"), "rank")
+
+
 def many_terms(texts):
     queries = [[["that"]], [["with"], ["that"]], [["of", "the"]], [["and"], ["of", "the"]]]
     return rt.score_phrases(rt.build_index(texts, "content_text"), queries).select("query", "frame_id", F.round("score", 6).alias("score"))
@@ -75,6 +87,7 @@ QUERIES = {
     "knn_batch": over(X_)(batch),
     "hybrid_rrf": hybrid(TERMS),
     "hybrid_rrf_time_window": hybrid(TERMS, start=LOW, end=HIGH),
+    "hybrid_batch": over(F_, T_, X_)(searches),
     "hybrid_chrome": hybrid(RAW_ONLY, include_chrome=True),
     "rag_context": over(F_, T_, X_)(lambda f, t, x: rt.rag_context(rt.Corpus(f, t, x), TERMS, 8, query_vector(x))),
     "fallback_snippet": over(T_)(lambda t: t.select("frame_id", tx.fallback_snippet(F.col("content_text")).alias("snippet"))),
@@ -105,9 +118,9 @@ def arm_sql(name: str, scores: str, start: int | None = None, end: int | None =
     return f"{name} AS (SELECT *, row_number() OVER (ORDER BY score, frame_id) AS rank FROM (SELECT frame_id, score FROM {scores} WHERE frame_id IN (SELECT frame_id FROM frames{window}) ORDER BY score, frame_id LIMIT {POOL}))"
 
 
-def knn_sql(name: str, start: int | None = None, end: int | None = None, prefilter: bool = False) -> str:
+def knn_sql(name: str, start: int | None = None, end: int | None = None, prefilter: bool = False, frame: int = 0) -> str:
     inside = f"frame_id IN (SELECT frame_id FROM frames{f' WHERE captured_at >= {start} AND captured_at < {end}' if start is not None else ''})"
-    near = f"SELECT frame_id, 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM vectors WHERE frame_id = 0 AND chunk_index = 0)) AS distance, chunk_index FROM vectors{f' WHERE {inside}' if prefilter else ''} ORDER BY distance, frame_id, chunk_index LIMIT {POOL}"
+    near = f"SELECT frame_id, 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM vectors WHERE frame_id = {frame} AND chunk_index = 0)) AS distance, chunk_index FROM vectors{f' WHERE {inside}' if prefilter else ''} ORDER BY distance, frame_id, chunk_index LIMIT {POOL}"
     return f"{name} AS (SELECT *, row_number() OVER (ORDER BY distance, frame_id) AS rank FROM (SELECT frame_id, min(distance) AS distance FROM ({near}) WHERE {inside} GROUP BY frame_id))"
 
 
@@ -127,7 +140,13 @@ def batch_sql() -> str:
     return f"{WITH}, " + ", ".join(score_sql(f"q{n}", "content", text) for n, text in parts) + " " + " UNION ALL ".join(f"SELECT {n} AS query, frame_id, round(score, 6) AS score FROM q{n}" for n, _ in parts)
 
 
+def hybrid_batch_sql() -> str:
+    ctes = ", ".join(f"{score_sql(f's{n}', 'content', text)}, {arm_sql(f'arm{n}', f's{n}')}, {knn_sql(f'near{n}', frame=frame)}" for n, text, frame in BATCH)
+    return f"{WITH}, {ctes} " + " UNION ALL ".join(f"SELECT {n} AS query, *, row_number() OVER (ORDER BY score DESC, frame_id DESC) AS rank FROM ({fused_sql(f'arm{n}', f'near{n}')})" for n, _, _ in BATCH)
+
+
 ORACLES = {
+    "hybrid_batch": hybrid_batch_sql(),
     "fts_bm25": f"{WITH}, {score_sql('s', 'content', TERMS)}, {arm_sql('arm', 's')} {ARM}",
     "fts_phrase": f"{WITH}, {score_sql('s', 'content', PHRASE)}, {arm_sql('arm', 's')} {ARM}",
     "fts_raw_layer": f"{WITH}, {score_sql('s', 'raw', RAW_ONLY)}, {arm_sql('arm', 's')} {ARM}",
