@@ -29,6 +29,9 @@ from tidemark.llm.components import components
 #: References within bands (a distance takes 4 bits) and over all 64 bits (a distance takes 8 bits).
 BAND_REFERENCES, WHOLE_REFERENCES = 16, 8
 
+#: Prints with more than this part of all documents are joined by broadcast; so there are fewer than this.
+HOT_PRINTS = 200
+
 #: Shingles whose bits are summed at once.
 BLOCK = 1 << 16
 
@@ -111,14 +114,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, bands
     """
     prints = checkpointed(fingerprints(docs, shingle, bands))
     rest = [c for c in prints.columns if c not in ("doc_id", "print")]
-    table = checkpointed(prints.groupBy("print").agg(F.min("doc_id").alias("smallest"), *(F.first(c).alias(c) for c in rest)))
+    table = checkpointed(prints.groupBy("print").agg(F.count("*").alias("n"), F.min("doc_id").alias("smallest"), *(F.first(c).alias(c) for c in rest)))
     linked = components(links(table, threshold, bands)).withColumnRenamed("node", "print")
     named = table.select("print", "smallest").join(linked, "print")
     low = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
     of_print = named.join(low, "component").select("print", "component_id")
-    classes = table.select("print", "smallest").join(of_print, "print", "left").select("print", F.coalesce("component_id", "smallest").alias("component_id"))
-    # A print may hold many of the documents; a skewed join deals them to several tasks.
-    return prints.select("doc_id", "print").join(classes, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = table.select("print", "n", "smallest").join(of_print, "print", "left").select("print", "n", F.coalesce("component_id", "smallest").alias("component_id"))
+    # A print may hold many of the documents. Those with more than a 200th of all are fewer than 200, so
+    # their classes are broadcast; the others' documents are joined by shuffle.
+    most = (table.agg(F.sum("n")).first()[0] or 0) // HOT_PRINTS
+    hot = F.broadcast(classes.where(F.col("n") > most).select("print", "component_id"))
+    rows = prints.select("doc_id", "print")
+    joined = rows.join(hot, "print").unionByName(rows.join(hot.select("print"), "print", "left_anti").join(classes.where(F.col("n") <= most).select("print", "component_id"), "print"))
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each_group(docs: DataFrame, shingle: int = 4, threshold: int = 4, bands: int = 6) -> DataFrame:
