@@ -25,7 +25,8 @@ ACCENTED, PLAIN = accent_pairs()
 
 
 def fold(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without marks; texts in ASCII need no second pass."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(F.lower(text), ACCENTED, PLAIN))
 
 
 def tokens(text: Column) -> Column:

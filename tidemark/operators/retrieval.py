@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,46 +28,55 @@ def candidate_pool(limit: int) -> int:
 
 @dataclass
 class Index:
-    """``postings``: frame_id, term, positions; ``lengths``: frame_id, size, for every text, empty ones too."""
+    """``tokens``: frame_id, tokens; ``postings``: frame_id, term, positions; ``lengths``: frame_id, size.
 
+    Texts without tokens belong to ``tokens`` and ``lengths`` too. A single search scans the tokens; a
+    batch goes by the postings.
+    """
+
+    tokens: DataFrame
     postings: DataFrame
     lengths: DataFrame
 
 
 def build_index(texts: DataFrame, column: str, stemmed: bool = False) -> Index:
-    """The inverted index of one text layer of ``frame_id, <column>``.
+    """The index of one text layer of ``frame_id, <column>``; callers store or cache the parts they use again.
 
-    A search filters postings by term before they are grouped, so an index that isn't stored still
+    A batch filters postings by term before they are grouped, so an index that isn't stored still
     shuffles only the rows of the terms asked for.
     """
     words = tx.tokens(F.col(column))
     docs = texts.select("frame_id", (tx.stems(words) if stemmed else words).alias("tokens"))
     each = docs.select("frame_id", F.posexplode("tokens").alias("position", "term"))
-    return Index(each.groupBy("frame_id", "term").agg(F.sort_array(F.collect_list("position")).alias("positions")), docs.select("frame_id", F.size("tokens").alias("size")))
+    return Index(docs, each.groupBy("frame_id", "term").agg(F.sort_array(F.collect_list("position")).alias("positions")), docs.select("frame_id", F.size("tokens").alias("size")))
+
 
+def _frequency(phrase: tuple[str, ...]) -> Column:
+    """How often a phrase stands in ``tokens``."""
+    if len(phrase) == 1:
+        return F.size("tokens") - F.size(F.array_remove("tokens", phrase[0]))
+    at = lambda i: [F.get("tokens", i + k) == t for k, t in enumerate(phrase)]
 
-def _frequency(phrase: list[str]) -> Column:
-    """How often a phrase stands in a frame, from the map of its terms' positions."""
-    at = lambda term: F.coalesce(F.try_element_at("places", F.lit(term)), F.array().cast("array<int>"))
-    moved = lambda term, by: F.transform(at(term), lambda p: p - by)
-    found = at(phrase[0])
-    for k, term in enumerate(phrase[1:], 1):
-        found = F.array_intersect(found, moved(term, k))
-    return F.size(found)
+    def here(i: Column) -> Column:
+        first, *rest = at(i)
+        for x in rest:
+            first = first & x
+        return F.coalesce(first, F.lit(False))
+
+    may = F.array_contains("tokens", phrase[0]) & F.array_contains("tokens", phrase[1])
+    return F.when(may, F.size(F.filter(F.sequence(F.lit(0), F.size("tokens")), here))).otherwise(F.lit(0))
 
 
 def score_phrases(index: Index, queries: list[list[list[str]]]) -> DataFrame:
-    """``query, frame_id, score`` (lower is better) of frames with all phrases of a query, for several queries at once.
+    """``query, frame_id, score`` (lower is better) of frames with all phrases of a query, for a few queries at once.
 
-    Document counts and the mean length are those of the whole layer, whatever is asked for later.
+    Document counts and the mean length are those of the whole layer, whatever is asked for later. Nothing
+    is shuffled but one row of counts.
     """
     phrases = sorted({tuple(p) for q in queries for p in q})
-    terms = sorted({t for p in phrases for t in p})
-    hits = index.postings.where(F.col("term").isin(*terms)).groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("places"))
-    hits = hits.select("frame_id", *(_frequency(list(p)).alias(f"tf{k}") for k, p in enumerate(phrases)))
-    holding = hits.agg(*(F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(phrases))))
-    layer = index.lengths.agg(F.count("*").alias("total"), F.avg("size").alias("mean"))
-    rows = hits.join(index.lengths, "frame_id").join(F.broadcast(holding)).join(F.broadcast(layer))  # one row each
+    docs = index.tokens.select("frame_id", F.size("tokens").alias("size"), *(_frequency(p).alias(f"tf{k}") for k, p in enumerate(phrases)))
+    layer = docs.agg(F.count("*").alias("total"), F.avg("size").alias("mean"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(phrases))))
+    rows = docs.where(" OR ".join(f"tf{k} > 0" for k in range(len(phrases)))).join(F.broadcast(layer))  # one row
     each = []
     for n, query in enumerate(queries):
         score, all_there = F.lit(0.0), F.lit(True)
@@ -95,19 +104,40 @@ def with_rank(df: DataFrame, order: list, limit: int) -> DataFrame:
     return df.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
-def cosine_distance(vector: Column, query: list[float]) -> Column:
-    """1 - cosine, in doubles and in a fixed order; vectors of another length raise."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    double = F.transform(vector, lambda x: x.cast("double"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = float(np.sqrt(np.sum(np.square(np.asarray(query, np.float64)))))
-    checked = F.when(F.size(vector) != len(query), F.raise_error(F.lit(f"a vector doesn't have {len(query)} dimensions")).cast("array<double>")).otherwise(double)
-    return 1 - dot(checked, q) / (F.sqrt(dot(double, double)) * F.lit(norm))
+def _nearest(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, block: int = 1024) -> DataFrame:
+    """``query_id, frame_id, chunk_index, distance`` (1 - cosine, in doubles): the best ``k`` per Arrow batch and query.
+
+    Vectors of another length than the queries' raise.
+    """
+    q = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
+    size = q.shape[1] if len(q) else 0
+    schema = pa.schema([("query_id", pa.int64()), ("frame_id", pa.int64()), ("chunk_index", pa.int32()), ("distance", pa.float64())])
+
+    def best(batches):
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            frame, chunk, column = (batch.column(c) for c in ("frame_id", "chunk_index", "embedding"))
+            if (np.diff(column.offsets.to_numpy()) != size).any():
+                raise ValueError(f"a vector doesn't have {size} dimensions")
+            v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            frame, chunk = frame.to_numpy(), chunk.to_numpy()
+            for at in range(0, len(q), block):
+                d = 1 - q[at : at + block] @ v.T
+                # Ties at the k-th place go by id, so all rows as near as it stay in the race.
+                n = min(k, d.shape[1])
+                last = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+                r, c = np.nonzero(d <= last)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + block][r]), pa.array(frame[c]), pa.array(chunk[c], pa.int32()), pa.array(d[r, c])], schema=schema)
+
+    return vectors.select("frame_id", "chunk_index", "embedding").mapInArrow(best, "query_id long, frame_id long, chunk_index int, distance double")
 
 
 def knn_chunks(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     """The ``k`` nearest chunks: ``frame_id, chunk_index, distance``."""
-    return vectors.select("frame_id", "chunk_index", cosine_distance(F.col("embedding"), query).alias("distance")).orderBy("distance", "frame_id", "chunk_index").limit(k)
+    near = _nearest(vectors, np.zeros(1, np.int64), np.array([query], np.float64), k)
+    return near.select("frame_id", "chunk_index", "distance").orderBy("distance", "frame_id", "chunk_index").limit(k)
 
 
 def knn(vectors: DataFrame, frames: DataFrame, query: list[float], k: int, start: int = MIN_MS, end: int = MAX_MS, prefilter: bool = False) -> DataFrame:
@@ -125,33 +155,20 @@ def knn(vectors: DataFrame, frames: DataFrame, query: list[float], k: int, start
     return with_rank(first, ["distance", "frame_id"], k)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """``query_id, frame_id, chunk_index, distance`` of the ``k`` nearest chunks for each of a stated set of queries.
+#: Vectors of one batch of searches, and tokens of their texts.
+MOST_QUERIES, MOST_TOKENS = 100_000, 100_000
 
-    Vectors are compared in blocks of ``block`` queries; every batch keeps its best ``k`` for each query,
-    so what is shuffled is bounded by batches x queries x k. The query set is a parameter: its size is checked.
-    """
-    rows = queries.select("query_id", "embedding").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("a query set holds at most 100,000 vectors")
-    ids = np.array([r.query_id for r in rows], np.int64)
-    q = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1)
-    q = q / np.linalg.norm(q, axis=1, keepdims=True)
-
-    def best(frames):
-        for pdf in frames:
-            if not len(pdf) or not len(ids):
-                continue
-            v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            v = v / np.linalg.norm(v, axis=1, keepdims=True)
-            for at in range(0, len(q), block):
-                d = 1 - q[at : at + block] @ v.T
-                keep = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
-                r = np.repeat(np.arange(len(d)), keep.shape[1])
-                c = keep.ravel()
-                yield pd.DataFrame({"query_id": ids[at : at + block][r], "frame_id": pdf["frame_id"].to_numpy()[c], "chunk_index": pdf["chunk_index"].to_numpy()[c], "distance": d[r, c]})
 
-    part = vectors.select("frame_id", "chunk_index", "embedding").mapInPandas(best, "query_id long, frame_id long, chunk_index int, distance double")
+def knn_batch(vectors: DataFrame, queries: DataFrame | list, k: int) -> DataFrame:
+    """``query_id, frame_id, chunk_index, distance, rank`` of the ``k`` nearest chunks for each of a stated set of queries.
+
+    Vectors are compared with blocks of queries; every batch keeps its best ``k`` for each query, so what
+    is shuffled is bounded by batches x queries x k. The query set is a parameter: its size is checked.
+    """
+    rows = queries if isinstance(queries, list) else [tuple(r) for r in queries.select("query_id", "embedding").limit(MOST_QUERIES + 1).collect()]
+    if len(rows) > MOST_QUERIES:
+        raise ValueError(f"a query set holds at most {MOST_QUERIES} vectors")
+    part = _nearest(vectors, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1), k)
     w = W.partitionBy("query_id").orderBy("distance", "frame_id", "chunk_index")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -218,10 +235,8 @@ def rag_context(corpus: Corpus, text: str, k: int = 8, query_vector: list[float]
 def bm25_batch(index: Index, terms: DataFrame) -> DataFrame:
     """``query, frame_id, score`` of frames with all phrases of a query.
 
-    ``terms``: ``query, phrase, place, term``, one row per token; it is broadcast, and its size checked.
+    ``terms``: ``query, phrase, place, term``, one row per token; it is broadcast, so callers check its size.
     """
-    if terms.count() > 100_000:
-        raise ValueError("a batch holds at most 100,000 query tokens")
     sizes = terms.groupBy("query", "phrase").agg(F.count("*").alias("length"))
     wanted = sizes.groupBy("query").agg(F.count("*").alias("phrases"))
     hits = index.postings.join(F.broadcast(terms), "term").select("query", "phrase", "frame_id", F.explode("positions").alias("position"), "place")
@@ -242,16 +257,18 @@ def hybrid_batch(corpus: Corpus, queries: DataFrame, limit: int = 20, index: Ind
     The same results as ``hybrid_ids`` for each row; ``start`` and ``end`` may be null.
     """
     spark, pool = queries.sparkSession, candidate_pool(normalized_limit(limit))
-    asked = queries.collect()  # its size is checked by both arms
+    asked = queries.limit(MOST_QUERIES + 1).collect()
     rows = [(q.query, n, k, t) for q in asked for n, p in enumerate(tx.query_phrases(q.text, corpus.stemmed)) for k, t in enumerate(p)]
+    if len(rows) > MOST_TOKENS:
+        raise ValueError(f"a batch holds at most {MOST_TOKENS} query tokens")
     # A phrase given twice counts twice, as it does in a single search.
     terms = spark.createDataFrame(rows, "query long, phrase int, place int, term string")
-    window = F.broadcast(queries.select("query", F.coalesce("start", F.lit(MIN_MS)).alias("low"), F.coalesce("end", F.lit(MAX_MS)).alias("high")))
+    window = F.broadcast(spark.createDataFrame([(q.query, MIN_MS if q.start is None else q.start, MAX_MS if q.end is None else q.end) for q in asked], "query long, low long, high long"))
     times = corpus.frames.select("frame_id", "captured_at")
     inside = lambda df: df.join(times, "frame_id").join(window, "query").where("captured_at >= low AND captured_at < high")
     top = lambda df, order: df.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order))).where(F.col("rank") <= pool)
     text = top(inside(bm25_batch(index or build_index(corpus.texts, "content_text", corpus.stemmed), terms)), ["score", "frame_id"]).select("query", "frame_id", F.col("rank").alias("r0"))
-    near = knn_batch(corpus.vectors, queries.where(F.trim("text") != "").select(F.col("query").alias("query_id"), "embedding"), pool).withColumnRenamed("query_id", "query")
+    near = knn_batch(corpus.vectors, [(q.query, q.embedding) for q in asked if q.text.strip()], pool).withColumnRenamed("query_id", "query").drop("rank")
     first = inside(near).groupBy("query", "frame_id").agg(F.min("distance").alias("distance"))
     vector = top(first, ["distance", "frame_id"]).select("query", "frame_id", F.col("rank").alias("r1"))
     part = lambda c: F.coalesce(F.lit(1.0) / (F.lit(RRF_K) + F.col(c)), F.lit(0.0))
