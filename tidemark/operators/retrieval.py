@@ -76,7 +76,7 @@ def score_phrases(index: Index, queries: list[list[list[str]]]) -> DataFrame:
     phrases = sorted({tuple(p) for q in queries for p in q})
     docs = index.tokens.select("frame_id", F.size("tokens").alias("size"), *(_frequency(p).alias(f"tf{k}") for k, p in enumerate(phrases)))
     layer = docs.agg(F.count("*").alias("total"), F.avg("size").alias("mean"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(phrases))))
-    rows = docs.where(" OR ".join(f"tf{k} > 0" for k in range(len(phrases)))).join(F.broadcast(layer))  # one row
+    rows = docs.join(F.broadcast(layer))  # one row
     each = []
     for n, query in enumerate(queries):
         score, all_there = F.lit(0.0), F.lit(True)
@@ -87,8 +87,9 @@ def score_phrases(index: Index, queries: list[list[list[str]]]) -> DataFrame:
             score = score + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("size") / F.col("mean")))
             all_there = all_there & (tf > 0)
         each.append(F.when(all_there, F.struct(F.lit(n).alias("query"), (-score).alias("score"))))
-    found = F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("found")
-    return rows.select("frame_id", found).select("found.query", "frame_id", "found.score")
+    # The outer form: a filter before it would be pushed below the tokens and count them anew for each use.
+    found = F.explode_outer(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("found")
+    return rows.select("frame_id", found).where("found IS NOT NULL").select("found.query", "frame_id", "found.score")
 
 
 def text_arm(index: Index, frames: DataFrame, text: str, pool: int, start: int = MIN_MS, end: int = MAX_MS, stemmed: bool = False) -> DataFrame:
