@@ -34,9 +34,13 @@ HEX = re.compile("[0-9a-f]{24,}")
 #: Every access key id and hex run lies within such a token.
 TOKEN = re.compile("[A-Za-z0-9+/_.=-]{16,}")
 DIGIT = re.compile("[0-9]")
+LEAST = 16
 
 #: Characters left of a candidate, of the candidate, and right of it that the network reads.
 LEFT, INSIDE, RIGHT = 24, 48, 16
+
+#: Characters from one part of a longer candidate to the next.
+STEP = 8
 WIDTH = LEFT + INSIDE + RIGHT
 FILTERS, SPAN, EMBEDDED, HIDDEN, LETTERS = 24, 5, 12, 16, 98
 
@@ -71,11 +75,32 @@ def candidates(text: str) -> list[tuple[int, str, int, int]]:
         if len(token) >= 24:
             own += [(2, "hex", at + x.start(), at + x.end()) for x in HEX.finditer(token)]
         out += own
-        if not own and DIGIT.search(token) and not any(a < m.end() and at < b for a, b in known):
-            out.append((3, "model", at, m.end()))
+        for a, b in rest(at, m.end(), [(x[2], x[3]) for x in own] + [(a, b) for a, b in known if a < m.end() and at < b]):
+            if text[a] == "=" and a > at:  # the sign between a finding and what is left
+                a += 1
+            if b - a >= LEAST and DIGIT.search(text, a, b):
+                out.append((3, "model", a, b))
     return sorted(out, key=lambda x: (x[2], x[0]))
 
 
+def rest(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of a span without others."""
+    out = []
+    for a, b in sorted(spans):
+        if a > start:
+            out.append((start, a))
+        start = max(start, b)
+    return out + [(start, end)] if end > start else out
+
+
+def views(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The candidate itself and, if it is longer than the network reads, overlapping parts up to its end."""
+    if b - a <= INSIDE:
+        return [(a, b)]
+    starts = {*range(a, b - INSIDE, STEP), b - INSIDE, *(m.end() for m in re.compile("=").finditer(text, a, b - LEAST))}
+    return [(a, b), *((k, min(b, k + INSIDE)) for k in sorted(starts))]
+
+
 def windows(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     """Codes of the characters around and in each span, and 1 where they belong to it."""
     codes = np.zeros((len(spans), 2, WIDTH), np.int64)
@@ -241,12 +266,19 @@ def trained(n: int = 3000, least_recall: float = 0.98) -> Network:
     return net
 
 
+def scores_of(text: str, spans: list[tuple[int, int]], net: Network) -> np.ndarray:
+    """Scores of spans, read in blocks of bounded size."""
+    return np.concatenate([net.score(windows(text, spans[k : k + 4096])) for k in range(0, len(spans), 4096)])
+
+
 def find(text: str, net: Network) -> list[tuple[str, int, int, float]]:
     """``(kind, start, end, score)`` by start: all findings of the rules, and what the network adds."""
     found = candidates(text)
     if not found:
         return []
-    scores = net.score(windows(text, [(a, b) for _, _, a, b in found]))
+    parts = [views(text, a, b) for _, _, a, b in found]
+    firsts = np.cumsum([0, *map(len, parts[:-1])])
+    scores = np.maximum.reduceat(scores_of(text, [v for some in parts for v in some], net), firsts)
     return [(kind, a, b, round(float(s), 4)) for (_, kind, a, b), s in zip(found, scores) if kind != "model" or s >= net.threshold]
 
 
