@@ -101,3 +101,20 @@ def test_undo_and_other_kinds(spark):
 def test_equal_addresses_stay_linked(spark):
     got = {r.doc_id: r.text for r in pii.pseudonyms(spark.createDataFrame([(1, "to a.b@x.example.com."), (2, "A.B@x.example.com"), (3, "c@x.example.com")], "doc_id long, text string")).collect()}
     assert got[1][3:-1] == got[2] != got[3] and "example" not in "".join(got.values())
+
+
+def test_month_first_dates_and_ibans_before_words(spark):
+    ibans = ["ES9121000418450200051332", "BE68539007547034", "AT611904300234573201", "GB82WEST12345698765432"]
+    text = "born 12/25/1990, 02/29/2000 or 02/30/2000; pay ES9121000418450200051332 EUR, BE68539007547034 BIC, AT611904300234573201 2021 or BE68539007547034 GB82WEST12345698765432 x, AT611904300234573201 2021-05-06"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    once = pii.pseudonyms(docs, "k")
+    row = once.first()
+    assert (row.n_iban, row.n_date) == (6, 3)
+    for gone in (*ibans, "12/25/1990", "02/29/2000", "2021-05-06"):
+        assert gone not in row.text
+    for kept in (" EUR,", " BIC,", " 2021 or", "02/30/2000"):
+        assert kept in row.text
+    assert pii.pseudonyms(once.select("doc_id", "text"), "k", undo=True).first().text == text
+    many = spark.createDataFrame([(d, f"{m:02}/{d:02}/{y}") for y in range(1990, 1996) for m in (1, 7) for d in range(13, 32)], "doc_id long, text string")
+    new = pii.pseudonyms(many, "k")
+    assert new.select("text").distinct().count() == many.count() and all(int(r.text[3:5]) > 12 for r in new.collect())

@@ -17,10 +17,25 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+#: Characters of an IBAN by country, from the registry.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    groups, left = divmod(length - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{left}}}" if left else "")
+
+
 #: Patterns of what may be personal data; each match is then validated. Runs are entered at their start only.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    # At its country's length, so that a word or number after it isn't taken for a part; else at any.
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(_iban_of(n, c) + "(?![A-Za-z0-9])" for n, c in IBAN_COUNTRIES.items()) + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))",
     "phone": r"(?<![A-Za-z0-9+])\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![A-Za-z0-9])",
     "date": r"(?<![A-Za-z0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![A-Za-z0-9/\-]|\.[0-9])",
     "ip": r"(?<![A-Za-z0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
@@ -33,6 +48,9 @@ ANY = "|".join(PATTERNS.values())
 #: Dates from 1900-01-01 on that are permuted among each other: 340 x 215 days.
 FIRST_DAY, DAYS = "1900-01-01", (340, 215)
 
+#: Turns within which a date with its month first must come to a day after the twelfth; 4 in 10 need another turn.
+WALK = 40
+
 
 def _div(a: Column, b: Column) -> Column:
     """Whole quotient of numbers that aren't negative."""
@@ -136,15 +154,28 @@ def _ip(match: Column, key: str, undo: bool) -> Column:
 
 
 def _date(match: Column, key: str, undo: bool) -> Column:
-    """Day before month where both read as a date; values outside the permuted days stay."""
+    """Day before month where both read as a date; values outside the permuted days stay.
+
+    Dates that read with the month first only are permuted among each other, so they read so afterwards too.
+    """
     first = F.to_date(F.lit(FIRST_DAY))
-    out = None
-    for form, shape in (("yyyy-MM-dd", "-"), ("dd/MM/yyyy", "/"), ("dd.MM.yyyy", ".")):
+    moved = lambda index: feistel(index, *DAYS, key, "date", undo)
+    day_of = lambda index: F.date_add(first, index.cast("int"))
+
+    def walked(index: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), moved(index), lambda s, _: F.when(F.dayofmonth(day_of(s)) <= 12, moved(s)).otherwise(s))
+
+    def case_of(form: str, move) -> tuple[Column, Column]:
         day = F.try_to_timestamp(match, F.lit(form)).cast("date")
         index = F.datediff(day, first).cast("long")
-        moved = F.date_format(F.date_add(first, feistel(index, *DAYS, key, "date", undo).cast("int")), form)
+        return F.when(index.between(0, DAYS[0] * DAYS[1] - 1), F.date_format(day_of(move(index)), form)), day
+
+    out = None
+    for form, shape in (("yyyy-MM-dd", "-"), ("dd/MM/yyyy", "/"), ("dd.MM.yyyy", ".")):
+        value, day = case_of(form, moved)
+        if shape == "/":
+            value = F.when(day.isNotNull(), value).otherwise(case_of("MM/dd/yyyy", walked)[0])
         case = F.contains(match, F.lit(shape))
-        value = F.when(index.between(0, DAYS[0] * DAYS[1] - 1), moved)
         out = F.when(case, value) if out is None else out.when(case, value)
     return out
 
