@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -42,3 +43,21 @@ def test_digests_and_edges(spark, library):
 def test_encode_then_decode(spark):
     docs = spark.createDataFrame([(1, "é 日本 <|endoftext|> x"), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs)).collect()} == {1: "é 日本 <|endoftext|> x", 2: ""}
+
+
+def test_a_long_word_takes_linear_time(library):
+    bpe_table, rng, seconds = bpe.encoder(bpe.DEFAULT_TOKENIZER).bpe, random.Random(5), []
+    for size in (20_000, 500_000, 1_000_000):
+        word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=size))
+        began = time.process_time()
+        ids = bpe_table.encode_piece(word.encode())
+        seconds.append(time.process_time() - began)
+        if size == 20_000:
+            assert ids == library.encode(word, add_special_tokens=False).ids
+        assert bpe_table.decode(np.array(ids)).decode() == word
+    assert seconds[2] < 20 and seconds[2] < 3 * seconds[1] + 1
+
+
+@pytest.mark.parametrize("text", [" " * 3000 + "x", " \n" * 2000 + "x", "x" + "\t" * 5000, "ab" * 5000, "=" * 4000, "7" * 4000])
+def test_long_runs_by_either_merger(text):
+    assert bpe.encoder(bpe.DEFAULT_TOKENIZER, "library").encode(text) == bpe.encoder(bpe.DEFAULT_TOKENIZER).encode(text)

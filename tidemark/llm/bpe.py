@@ -20,7 +20,7 @@ import hashlib
 import json
 import re
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -32,6 +32,11 @@ from tidemark.llm.common import map_batches, text_or_empty
 #: Fixed value: the split pattern of byte-level tokenizers, with white space as Unicode has it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
+#: The same split for whole texts, without stepping back: of a run of white space before a word the last
+#: character alone is left over by the lookahead.
+WHOLE_SPLIT = r"'(?:[stmd]|re|ve|ll)| ?\p{L}++| ?\p{N}++| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}++\z|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}"
+LONG_SPACE = re.compile(r"\s{1000}")
+
 #: Words of an encoder's dictionary, and the longest word that is kept.
 KEPT_WORDS, KEPT_CHARS = 400_000, 48
 
@@ -81,11 +86,7 @@ class Bpe:
             self.merged.setdefault((order[a], order[b]), order[a + b])
         self.ids = [vocab[t] for t in self.tokens]
         self.sizes = [len(t) for t in self.tokens]
-        self.shorter = [next((order[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in order), -1) for t in self.tokens]
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, t in enumerate(self.tokens):
-            self.automaton.add_word(t.decode("latin-1"), k)
-        self.automaton.make_automaton()
+        self.longest = max(self.sizes)
         self.fits: dict[tuple[int, int], bool] = {}
 
         # Offset table for decoding, by public id.
@@ -97,6 +98,21 @@ class Bpe:
         self.begin = np.concatenate([[0], np.cumsum(self.width)[:-1]])
         self.decimal = [str(i) for i in range(top)]
 
+    @cached_property
+    def shorter(self) -> list[int]:
+        """For each token the next shorter one that is a prefix of it, or -1."""
+        order = {t: k for k, t in enumerate(self.tokens)}
+        return [next((order[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in order), -1) for t in self.tokens]
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Longest matches among the bytes of all tokens."""
+        found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, t in enumerate(self.tokens):
+            found.add_word(t.decode("latin-1"), k)
+        found.make_automaton()
+        return found
+
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens together leaves the border between them.
 
@@ -129,22 +145,27 @@ class Bpe:
 
         Tokens of which each may follow the one before are the merges' result, whichever way they were
         found. So the longest matches from left to right are tried first, and where a pair of them
-        doesn't fit, the search steps back.
+        doesn't fit, the search goes on from there and steps back. A step reads no more of the piece than
+        the longest token has bytes, and no byte position is a dead end twice.
         """
-        text, find = piece.decode("latin-1"), self.automaton.iter_long
+        text, find, fits = piece.decode("latin-1"), self.automaton.iter_long, self.fits
         tokens = [token for _, token in find(text)]
-        if all(map(self.may_follow, tokens, tokens[1:])):
+        for good, pair in enumerate(zip(tokens, tokens[1:]), 1):
+            fit = fits.get(pair)
+            if not (self.may_follow(*pair) if fit is None else fit):
+                break
+        else:
             return [self.ids[t] for t in tokens]
-        size, sizes, shorter = len(piece), self.sizes, self.shorter
-        out, at, dead = [], 0, set()
-        token = tokens[0]
+        size, sizes, shorter, longest = len(piece), self.sizes, self.shorter, self.longest
+        out, dead, token = tokens[:good], set(), tokens[good]
+        at = sum(map(sizes.__getitem__, out))
         while at < size:
             end = at + sizes[token]
             if end not in dead and (not out or self.may_follow(out[-1], token)):
                 out.append(token)
                 at = end
                 if at < size:
-                    token = next(find(text, at))[1]
+                    token = next(find(text[at : at + longest]))[1]
                 continue
             token = shorter[token]
             while token < 0:  # nothing fits here: the token before must be a shorter one
@@ -182,8 +203,9 @@ class Kept(dict):
 class Encoder:
     """Whole texts to ids, as little-endian unsigned 32-bit integers.
 
-    ``merger``: "backtracking" (this module's) or "library" (tiktoken over the same merges, for
-    operators that only need the ids). Both give the same ids.
+    ``merger``: "backtracking" (this module's) or "library" (tiktoken over the same merges and split, for
+    operators that only need the ids; texts with a very long run of white space, which its pattern can't
+    hold, go by this module's). Both give the same ids.
     """
 
     def __init__(self, path: str, merger: str = "backtracking"):
@@ -191,21 +213,32 @@ class Encoder:
         self.split = regex.compile(SPLIT)
         # White space other than single blanks and line ends: such a text goes by the pattern as a whole.
         self.odd_space = re.compile(r"[^\S \n]|\s\s")
-        self.pieces = Kept(lambda s: struct.pack(f"<{len(ids := self.bpe.encode_piece(s.encode()))}I", *ids))
-        self.words = Kept(lambda s: self.by_pattern(s if s[:1] == "\n" else " " + s))
+        self.pieces = Kept(self.merge)
+        self.words = Kept(self.word)
+        self.core = None
         if merger == "library":
             import tiktoken
 
-            ids, core = self.bpe.ids, tiktoken.Encoding("tidemark", pat_str=SPLIT, mergeable_ranks={t: k for k, t in enumerate(self.bpe.tokens)}, special_tokens={})
-            merge = lambda s: struct.pack(f"<{len(ranks := core.encode_ordinary(s))}I", *map(ids.__getitem__, ranks))
-            self.pieces = Kept(merge)
-            self.words = Kept(lambda s: merge(s if s[:1] == "\n" else " " + s))
+            self.core = tiktoken.Encoding("tidemark", pat_str=WHOLE_SPLIT, mergeable_ranks={t: k for k, t in enumerate(self.bpe.tokens)}, special_tokens={})
+            self.by_rank = np.array(self.bpe.ids, "<u4")
+
+    def merge(self, piece: str) -> bytes:
+        ids = self.bpe.encode_piece(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(self, word: str) -> bytes:
+        """A word and the blank before it; letters alone are one pre-token."""
+        if word.isascii() and word.isalpha():
+            return self.merge(" " + word)
+        return self.by_pattern(word if word[:1] == "\n" else " " + word)
 
     def by_pattern(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
 
     def plain(self, text: str) -> bytes:
         """A text without special tokens. No pre-token crosses the blank before a word, so words stand alone."""
+        if self.core is not None and not LONG_SPACE.search(text):
+            return self.by_rank[np.array(self.core.encode_ordinary(text), np.int64)].tobytes()
         if self.odd_space.search(text):
             return self.by_pattern(text)
         first, *words = text.replace("\n", " \n").split(" ")
