@@ -28,7 +28,7 @@ def test_exact_sums_against_all_combinations(counts, gap):
 
     possible = any(sum(c) == gap for k in (1, 2, 3) for c in combinations(have, k))
     counts[0] = 0
-    found = packing.exact_sums(gap, np.array(counts))
+    found = packing.Sums(np.array(counts)).exact(gap)
     assert bool(found) == possible
     if found:
         assert sum(found) == gap and all(Counter(found)[x] <= counts[x] for x in found)
@@ -64,3 +64,13 @@ def test_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS length", "2 AS sequence_id")
     check(spark, docs, rows, 16)
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_hot_length_full_pieces_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED_ROWS", 3)
+    rows = [(7, "a b c")] * 40 + [(8, "heron " * 15)] * 9 + [(9, "heron " * 40)] + [(10, "x y z w")] * 13
+    docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(rows)], "doc_id long, text string").repartition(5)
+    got = check(spark, docs, list(enumerate(t for _, t in rows)), 16)
+    assert got.sequence_id.nunique() == -(-got.length.sum() // 16)
+    full = got[got.length == 16]
+    assert len(full) >= 9 and not got.merge(full[["sequence_id"]]).duplicated("sequence_id").any()

@@ -7,7 +7,8 @@ the pieces to the planned slots by their rank within their length. The plan is a
 
 Planning takes lengths from the longest down. The gap beside a length is looked up as a single length,
 then as a sum of two, then of three, among the lengths that are still available; a combination found is
-consumed as often as its counts allow. Where no sum fits exactly, the longest available length that
+consumed as often as its counts allow. Pairs are indexed by their sum once, and a triple is a length beside
+an indexed pair. Where no sum fits exactly, the longest available length that
 fits goes in (best fit) and the rest of the gap is looked up again.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -31,27 +33,55 @@ RANKED_ROWS = 1_000
 PIECES = "doc_id long,piece int,start long,length long,ids_crc32 long,copy long"
 
 
-def exact_sums(gap: int, counts: np.ndarray) -> tuple[int, ...]:
-    """One, two or three available lengths, longest first, whose sum is ``gap``; empty if there are none.
+class Sums:
+    """The available lengths, and an index of their pairs by sum; a triple is a length beside an indexed pair.
 
-    ``counts[n]`` says how many pieces of length n are available.
+    ``counts[n]`` says how many pieces of length n are available. Counts only fall, so pairs that have
+    become impossible leave the index for good when they are met.
     """
-    if counts[gap]:
-        return (gap,)
-    n = np.arange(gap + 1)
-    for first in (0, *np.flatnonzero(counts[: gap + 1])[::-1].tolist()):
-        left = gap - first  # two further lengths must fill this
-        if left < 2:
-            continue
-        a = n[left - left // 2 : left]  # the longer of the two
-        if first:
-            a = a[a <= first]
-        need_a = 1 + (a == first) + (a == left - a)
-        need_b = 1 + (left - a == first) + (a == left - a)
-        found = a[(counts[a] >= need_a) & (counts[left - a] >= need_b)]
-        if len(found):
-            return tuple(x for x in (first, int(found[-1]), left - int(found[-1])) if x)
-    return ()
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts.tolist()
+        have = [n for n, count in enumerate(self.counts) if n and count]
+        self.pairs: list[list[int]] = [[] for _ in self.counts]
+        for a in have:  # the longer one of each pair, in rising order
+            for b in have:
+                if b > a or a + b >= len(self.counts):
+                    break
+                self.pairs[a + b].append(a)
+
+    def enough(self, lengths: tuple[int, ...]) -> bool:
+        return all(self.counts[x] >= lengths.count(x) for x in lengths)
+
+    def pair(self, total: int, beside: tuple[int, ...] = ()) -> tuple[int, ...]:
+        """The pair with the longest length whose sum is ``total``, available together with ``beside``."""
+        listed = self.pairs[total]
+        for k in range(len(listed) - 1, -1, -1):
+            found = (listed[k], total - listed[k])
+            if not self.enough(found):
+                del listed[k]
+            elif self.enough((*beside, *found)):
+                return found
+        return ()
+
+    def longest(self, gap: int) -> int:
+        """The longest available length of at most ``gap``, or 0."""
+        return next((n for n in range(gap, 0, -1) if self.counts[n]), 0)
+
+    def exact(self, gap: int) -> tuple[int, ...]:
+        """One, two or three available lengths whose sum is ``gap``; empty if there are none."""
+        if self.counts[gap]:
+            return (gap,)
+        found = self.pair(gap)
+        first = gap
+        while not found and (first := self.longest(first - 1)):
+            if pair := self.pair(gap - first, (first,)):
+                found = (first, *pair)
+        return found
+
+    def take(self, lengths: tuple[int, ...], times: int = 1) -> None:
+        for x in lengths:
+            self.counts[x] -= times
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -59,26 +89,21 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
-    patterns = []
-    for longest in range(capacity, 0, -1):
-        while counts[longest]:
-            counts[longest] -= 1
-            pattern, gap = [longest], capacity - longest
-            while gap:
-                more = exact_sums(gap, counts)
-                if not more:
-                    fits = np.flatnonzero(counts[: gap + 1])
-                    if not len(fits):
-                        break
-                    more = (int(fits[-1]),)
-                for x in more:
-                    counts[x] -= 1
-                pattern += more
-                gap -= sum(more)
-            again = min(int(counts[x]) // k for x, k in Counter(pattern).items())
-            for x in pattern:
-                counts[x] -= again
-            patterns.append((tuple(pattern), again + 1))
+    left, patterns = Sums(counts), []
+    longest = capacity
+    while longest := left.longest(longest):
+        left.take((longest,))
+        pattern, gap = (longest,), capacity - longest
+        while gap:
+            more = left.exact(gap) or ((best,) if (best := left.longest(gap)) else ())
+            if not more:
+                break
+            left.take(more)
+            pattern += more
+            gap -= sum(more)
+        again = min(left.counts[x] // k for x, k in Counter(pattern).items())
+        left.take(pattern, again)
+        patterns.append((pattern, again + 1))
     return patterns
 
 
@@ -104,11 +129,16 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: st
         end, enc = np.array([end_id], "<u4").tobytes(), encoder(name, "library")
         for doc_id, text, copy in zip(doc_ids, texts, copies):
             ids = enc.encode(text) + end
-            first = (len(ids) // 4 - 1) % capacity + 1
-            cuts = [0, *range(first, len(ids) // 4 + 1, capacity)]
-            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                for key, value in zip(out, (doc_id, k, a, b - a, zlib.crc32(memoryview(ids)[4 * a : 4 * b]), copy)):
-                    out[key].append(value)
+            size = len(ids) // 4
+            first = (size - 1) % capacity + 1
+            cuts = [0, *range(first, size + 1, capacity)]
+            pieces = len(cuts) - 1
+            out["doc_id"] += [doc_id] * pieces
+            out["copy"] += [copy] * pieces
+            out["piece"] += range(pieces)
+            out["start"] += cuts[:-1]
+            out["length"] += [first, *[capacity] * (pieces - 1)]
+            out["ids_crc32"] += [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:])]
         return out
 
     rows = docs.select("doc_id", text_or_empty(), F.monotonically_increasing_id().alias("copy"))
@@ -121,11 +151,18 @@ def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     Repeated documents are packed like any others; a null doc_id is kept; no pieces give no rows.
     """
     cut = checkpointed(cut)  # read three times: to count, to rank and to place
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    # A full piece is a sequence by itself; those sequences have numbers below zero.
+    full = cut.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    cut = cut.where(F.col("length") < capacity)
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = slots(plan(histogram, capacity))
-    # A length may hold many of the rows, so ranks are counted within (length, bucket) and shifted by
-    # the counts of the buckets before. The table of buckets has a row for each length at most.
-    buckets = cut.sparkSession.createDataFrame([(k, -(-n // RANKED_ROWS)) for k, n in histogram.items()], "length long,buckets long")
+    # A length may hold many of the rows, so ranks are counted within (length, bucket) and shifted by the
+    # counts of the buckets before. A length of n rows has the root of n buckets of as many rows, so neither
+    # one bucket nor the table of one length's buckets is large; the table of numbers of buckets has a row
+    # for each length, fewer than ``capacity``.
+    numbers = [(k, -(-n // max(RANKED_ROWS, isqrt(n)))) for k, n in histogram.items()]
+    buckets = cut.sparkSession.createDataFrame(numbers, "length long,buckets long")
     dealt = cut.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("copy", "piece"), F.col("buckets")))
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     shift = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
@@ -139,8 +176,8 @@ def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
             at = np.searchsorted(keys, pdf["length"].to_numpy(np.int64) << 40 | pdf["rank"].to_numpy(np.int64), "right") - 1
             yield pdf.drop(columns="rank").assign(sequence_id=sequence[at] + pdf["rank"].to_numpy(np.int64) - low[at], offset=offset[at])
 
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return ranked.select(*columns, "rank").mapInPandas(place, "doc_id long,piece int,start long,length long,ids_crc32 long,sequence_id long,offset long")
+    placed = ranked.select(*columns, "rank").mapInPandas(place, "doc_id long,piece int,start long,length long,ids_crc32 long,sequence_id long,offset long")
+    return placed.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
