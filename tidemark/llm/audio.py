@@ -2,14 +2,15 @@
 
 Media are WAV bytes of 8-bit mono samples. Features of a clip are made in four steps:
 
-1. polyphase resampling by ``UP / DOWN`` with a windowed-sinc filter, one filter branch per phase;
+1. polyphase resampling by ``up / down`` with a windowed-sinc filter, one filter branch per phase;
 2. log-mel energies of overlapping frames;
 3. segments by hysteresis: a segment begins where the energy exceeds the upper level and ends where it
    falls below the lower one (levels lie between the clip's own quiet and loud quantiles);
-4. windows of ``FRAMES x MELS`` values, stored flat, which Arrow reads as fixed-shape tensors, each with
-   the time span that it covers.
+4. windows over all frames from the first to the last, each a tensor of ``FRAMES x MELS`` values with the
+   time span that it covers and the segment of each of its frames.
 
-Clips are worked through in blocks, so memory beside the clip itself is bounded.
+The windows of a clip are stored as an Arrow stream whose tensor column has Arrow's fixed-shape tensor
+type. Clips are worked through in blocks, so memory beside the clip and its features is bounded.
 """
 
 from __future__ import annotations
@@ -17,15 +18,18 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import map_batches, text_or_empty
+from tidemark.llm.common import text_or_empty, to_arrow
 
 RATE = 16_000
-UP, DOWN, TAPS = 1, 2, 12
+#: The resampling ratio unless another is asked for, and filter zero crossings on each side.
+UP, DOWN, TAPS = 3, 8, 12
 FRAME, HOP, FFT, MELS = 200, 80, 256, 40
 FRAMES = 64
 #: Quiet and loud quantiles of a clip's frame energy, the parts of the way between them at which a
@@ -35,6 +39,13 @@ QUIET, LOUD, OPEN, CLOSE, LEAST_FRAMES = 0.05, 0.95, 0.6, 0.3, 5
 BLOCK = 8192
 FLOOR_DB = -100.0
 
+#: Windows of a clip as they are stored: frames beyond the last one hold ``FLOOR_DB`` and segment -1.
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
+WINDOWS = pa.schema([("window", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("tensor", TENSOR), ("segments", pa.list_(pa.int32(), FRAMES))])
+
+#: Bytes of results that a task gathers before it hands them on, about.
+GATHERED = 16 << 20
+
 
 def to_wav(samples: bytes, rate: int = RATE) -> bytes:
     """8-bit mono PCM samples with their header; an odd number of samples gets the pad byte of the format."""
@@ -60,42 +71,35 @@ def from_wav(media: bytes) -> tuple[bytes, int]:
     raise ValueError("no samples")
 
 
-def _filters() -> np.ndarray:
+@lru_cache(maxsize=8)
+def phases(up: int, down: int) -> np.ndarray:
     """One row per phase: the windowed-sinc branch that makes outputs of that phase."""
-    cut = 1 / max(UP, DOWN)
-    half = TAPS * max(UP, DOWN)
+    cut = 1 / max(up, down)
+    half = TAPS * max(up, down)
     n = np.arange(-half, half + 1)
-    h = np.sinc(n * cut) * cut * np.kaiser(len(n), 6.0) * UP
-    width = -(-len(h) // UP)
-    return np.stack([np.pad(h[p::UP], (0, width - len(h[p::UP]))) for p in range(UP)]).astype(np.float32)
-
-
-PHASES = _filters()
-
-
-def resample(samples: np.ndarray) -> np.ndarray:
-    """``samples`` at UP / DOWN of their rate; beyond both ends the signal is zero."""
-    n = -(-len(samples) * UP // DOWN)
-    width, half = PHASES.shape[1], TAPS * max(UP, DOWN)
-    padded = np.pad(samples.astype(np.float32), (width, width + DOWN))
-    out = np.empty(n, np.float32)
-    for p in range(UP):
-        # Output j sits at j * DOWN on the upsampled grid; those with j * DOWN + half = p (mod UP) use branch p.
-        js = np.array([j for j in range(UP) if (j * DOWN + half) % UP == p])
-        for j in js:
-            count = len(range(j, n, UP))
-            newest = (j * DOWN + half) // UP  # newest input sample under the filter
-            begin = newest - (width - 1) + width
-            view = np.lib.stride_tricks.sliding_window_view(padded[begin:], width)[::DOWN][:count]
-            parts = [view[k : k + 4 * BLOCK] @ PHASES[p][::-1] for k in range(0, count, 4 * BLOCK)]
-            got = np.concatenate(parts) if parts else np.zeros(0, np.float32)
-            out[j::UP][: len(got)] = got
-            out[j::UP][len(got) :] = 0
+    h = np.sinc(n * cut) * cut * np.kaiser(len(n), 6.0) * up
+    width = -(-len(h) // up)
+    return np.stack([np.pad(h[p::up], (0, width - len(h[p::up]))) for p in range(up)]).astype(np.float32)
+
+
+def resample(samples: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
+    """``samples`` at up / down of their rate; beyond both ends the signal is zero."""
+    n, branches = -(-len(samples) * up // down), phases(up, down)
+    width, half = branches.shape[1], TAPS * max(up, down)
+    padded = np.pad(samples.astype(np.float32), (width, width + down + half))
+    out = np.zeros(n, np.float32)
+    for j in range(min(up, n)):
+        # Output j sits at j * down on the upsampled grid; its branch is that of phase (j * down + half) mod up.
+        newest, p = divmod(j * down + half, up)  # newest input sample under the filter
+        view = np.lib.stride_tricks.sliding_window_view(padded[newest + 1 :], width)[::down][: len(range(j, n, up))]
+        for k in range(0, len(view), 4 * BLOCK):
+            out[j::up][k : k + 4 * BLOCK] = view[k : k + 4 * BLOCK] @ branches[p][::-1]
     return out
 
 
-def _mel_bank() -> np.ndarray:
-    rate = RATE * UP // DOWN
+@lru_cache(maxsize=8)
+def mel_bank(rate: float) -> np.ndarray:
+    """Triangular filters at equal steps of the mel scale, as ``bins x MELS``."""
     mel = lambda f: 2595 * np.log10(1 + f / 700)
     edges = 700 * (10 ** (np.linspace(mel(0), mel(rate / 2), MELS + 2) / 2595) - 1)
     bins = np.arange(FFT // 2 + 1) * rate / FFT
@@ -103,18 +107,22 @@ def _mel_bank() -> np.ndarray:
     return np.maximum(0, np.minimum(up, down)).astype(np.float32)
 
 
-BANK, WINDOW = _mel_bank(), np.hanning(FRAME + 1)[:-1].astype(np.float32)
+WINDOW = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
 
-def log_mel(signal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel rows (dB) of overlapping frames, and each frame's energy (dB); a short signal gives one frame."""
-    signal = np.pad(signal, (0, max(0, FRAME - len(signal))))
+def log_mel(signal: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-mel rows (dB) of overlapping frames, and each frame's energy (dB).
+
+    The last frame is filled up with zeros, so that no sample is left out; a short signal gives one frame.
+    """
+    signal = np.pad(signal, (0, max(0, FRAME - len(signal), -(len(signal) - FRAME) % HOP if len(signal) > FRAME else 0)))
+    bank = mel_bank(rate)
     frames = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP]
     mels, energy = np.empty((len(frames), MELS), np.float32), np.empty(len(frames), np.float32)
     for k in range(0, len(frames), BLOCK):
         part = frames[k : k + BLOCK] * WINDOW
         spectrum = np.fft.rfft(part, FFT)
-        mels[k : k + BLOCK] = 10 * np.log10(np.maximum((spectrum.real**2 + spectrum.imag**2) @ BANK, 1e-10))
+        mels[k : k + BLOCK] = 10 * np.log10(np.maximum((spectrum.real**2 + spectrum.imag**2) @ bank, 1e-10))
         energy[k : k + BLOCK] = 10 * np.log10(np.maximum((part * part).mean(1), 1e-10))
     return mels, energy
 
@@ -132,16 +140,42 @@ def segments(energy: np.ndarray) -> np.ndarray:
     return turns[turns[:, 1] - turns[:, 0] >= LEAST_FRAMES]
 
 
-def clip_windows(media: bytes) -> list[tuple[int, int, int, np.ndarray]]:
-    """``(segment, start ms, end ms, FRAMES x MELS values)`` of a clip."""
+def clip_windows(media: bytes, up: int = UP, down: int = DOWN) -> pa.RecordBatch:
+    """The windows of a clip, with the schema ``WINDOWS``."""
     samples, rate = from_wav(media)
-    mels, energy = log_mel(resample((np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128))
-    ms, out = 1000 * HOP * DOWN / (rate * UP), []
+    mels, energy = log_mel(resample((np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128, up, down), rate * up / down)
+    segment = np.full(-(-len(mels) // FRAMES) * FRAMES, -1, np.int32)
     for k, (a, b) in enumerate(segments(energy).tolist()):
-        for at in range(a, b, FRAMES):
-            part = mels[at : min(b, at + FRAMES)]
-            out.append((k, round(at * ms), round(min(b, at + FRAMES) * ms), np.pad(part, ((0, FRAMES - len(part)), (0, 0)), constant_values=FLOOR_DB)))
-    return out
+        segment[a:b] = k
+    starts = np.arange(0, len(segment), FRAMES)
+    ms = 1000 * HOP * down / (rate * up)
+    values = np.concatenate([mels, np.full((len(segment) - len(mels), MELS), FLOOR_DB, np.float32)])
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), FRAMES * MELS)
+    columns = [
+        pa.array(np.arange(len(starts), dtype=np.int32)),
+        pa.array(np.rint(starts * ms).astype(np.int64)),
+        pa.array(np.rint(np.minimum(starts + FRAMES, len(mels)) * ms).astype(np.int64)),
+        pa.ExtensionArray.from_storage(TENSOR, flat),
+        pa.FixedSizeListArray.from_arrays(pa.array(segment), FRAMES),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=WINDOWS)
+
+
+def to_stream(windows: pa.RecordBatch) -> bytes:
+    """A record batch as an Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, windows.schema) as writer:
+        writer.write_batch(windows)
+    return sink.getvalue().to_pybytes()
+
+
+def from_stream(stored: bytes) -> pa.Table:
+    """The windows of a stored stream; another schema than ``WINDOWS`` is an error."""
+    with pa.ipc.open_stream(stored) as reader:
+        found = reader.read_all()
+    if found.schema != WINDOWS:
+        raise ValueError("not the features of a clip")
+    return found
 
 
 def payload(text: str) -> bytes:
@@ -150,64 +184,80 @@ def payload(text: str) -> bytes:
     return raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
 
 
+def per_row(df: DataFrame, fn: Callable[..., Iterator[tuple]], schema: str, *args) -> DataFrame:
+    """The rows that ``fn(*row, *args)`` yields for each row of ``df``, handed on in batches of bounded bytes."""
+    out_schema = to_arrow(schema)
+
+    def run(batches):
+        rows, size = [], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                for made in fn(*row, *args):
+                    rows.append(made)
+                    size += sum(len(x) if isinstance(x, (bytes, str)) else x.nbytes if isinstance(x, np.ndarray) else 8 for x in made)
+                    if size > GATHERED:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out_schema.types)], schema=out_schema)
+                        rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out_schema.types)], schema=out_schema)
+
+    return df.mapInArrow(run, schema)
+
+
 def encode(docs: DataFrame) -> DataFrame:
-    """``doc_id, media``: each text's payload as a WAV file; a null text counts as empty."""
-    run = lambda doc_ids, texts: {"doc_id": doc_ids, "media": [to_wav(payload(t)) for t in texts]}
-    return map_batches(docs.select("doc_id", text_or_empty()), run, "doc_id long,media binary")
+    """``doc_id, n_bytes, media``: each text's payload as a WAV file; a null text counts as empty."""
+
+    def run(doc_id, text):
+        yield doc_id, len(text.encode("utf-8", "replace")), to_wav(payload(text))
 
+    return per_row(docs.select("doc_id", text_or_empty()), run, "doc_id long,n_bytes long,media binary")
 
-def features(media: DataFrame) -> DataFrame:
-    """One row per window of ``doc_id, media`` clips; ``tensor`` is flat, ``as_tensors`` gives it its shape.
 
-    Null media and clips without a segment have no rows; repeated rows give repeated windows.
+def stored_features(media: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
+    """All columns ``doc_id, n_bytes, media`` of clips and ``features``: their windows as an Arrow stream of ``WINDOWS``.
+
+    Null media have null features; repeated rows stay.
     """
 
-    def run(doc_ids, clips):
-        out = {k: [] for k in ("doc_id", "segment", "start_ms", "end_ms", "tensor")}
-        for doc_id, clip in zip(doc_ids, clips):
-            for row in clip_windows(clip) if clip is not None else ():
-                for key, value in zip(out, (doc_id, *row[:3], row[3].ravel())):
-                    out[key].append(value)
-        return out
+    def run(doc_id, n_bytes, clip, up, down):
+        yield doc_id, n_bytes, clip, None if clip is None else to_stream(clip_windows(clip, up, down))
+
+    return per_row(media.select("doc_id", "n_bytes", "media"), run, "doc_id long,n_bytes long,media binary,features binary", up, down)
+
 
-    return map_batches(media.select("doc_id", "media"), run, "doc_id long,segment int,start_ms long,end_ms long,tensor array<float>")
+def features(media: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
+    """One row per window of ``doc_id, media`` clips, with the tensor flat in row order; null media have no rows."""
 
+    def run(doc_id, clip, up, down):
+        if clip is not None:
+            windows = clip_windows(clip, up, down)
+            tensors = windows.column("tensor").to_numpy_ndarray()
+            for k, (start, end, segment) in enumerate(zip(*(windows.column(c).to_pylist() for c in ("start_ms", "end_ms", "segments")))):
+                yield doc_id, k, start, end, tensors[k].ravel(), segment
 
-def as_tensors(table: pa.Table) -> pa.Table:
-    """A table of ``features`` with ``tensor`` as Arrow's fixed-shape tensor type."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
-    at = table.schema.get_field_index("tensor")
-    flat = table.column(at).combine_chunks()
-    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-    storage = pa.FixedSizeListArray.from_arrays(flat.flatten().cast(pa.float32()), FRAMES * MELS)
-    return table.set_column(at, pa.field("tensor", kind), pa.ExtensionArray.from_storage(kind, storage))
+    return per_row(media.select("doc_id", "media"), run, "doc_id long,window int,start_ms long,end_ms long,tensor array<float>,segments array<int>", up, down)
 
 
-def feature_digest(media: bytes) -> str:
-    """Windows, segments and a hash of the values in half decibels, with their spans."""
-    rows = clip_windows(media)
-    seen = hashlib.sha256()
-    for k, start, end, values in rows:
-        seen.update(struct.pack("<qqq", k, start, end) + np.round(values * 2).astype("<i2").tobytes())
-    return f"{len(rows)}:{len({k for k, *_ in rows})}:{seen.hexdigest()[:32]}"
+def feature_digest(stored: bytes) -> str:
+    """Windows, segments and a hash of a stored clip's spans, segments and values in half decibels."""
+    windows = from_stream(stored).combine_chunks()
+    values = windows.column("tensor").chunk(0).to_numpy_ndarray()
+    segment = np.array(windows.column("segments").chunk(0).flatten())
+    spans = np.stack([windows.column(c).to_numpy() for c in ("start_ms", "end_ms")])
+    seen = hashlib.sha256(spans.astype("<i8").tobytes() + segment.astype("<i4").tobytes() + np.round(values * 2).astype("<i2").tobytes())
+    return f"{len(values)}:{segment.max() + 1}:{seen.hexdigest()[:32]}"
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """Store each whole text as a clip, read the stored bytes back, and return digests of both and of the features.
+def digest(docs: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
+    """Store each whole text as a clip and its features as tensors, read both back, and return digests.
 
     A null or empty text is 64 zero bytes; equal texts give equal values; repeated rows stay; other
     columns are not read; an empty table gives no rows.
     """
 
-    def run(doc_ids, texts):
-        out = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for doc_id, text in zip(doc_ids, texts):
-            media = to_wav(payload(text))
-            back, _ = from_wav(media)
-            row = (doc_id, len(text.encode("utf-8", "replace")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_digest(media))
-            for key, value in zip(out, row):
-                out[key].append(value)
-        return out
+    def run(doc_id, n_bytes, media, stored):
+        back, _ = from_wav(media)
+        yield doc_id, n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_digest(stored)
 
     schema = "doc_id long,n_bytes long,payload_bytes long,payload_sha256 string,tail_crc32 long,media_bytes long,media_sha256 string,feature string"
-    return map_batches(docs.select("doc_id", text_or_empty()), run, schema)
+    return per_row(stored_features(encode(docs), up, down), run, schema)
