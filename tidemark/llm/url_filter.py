@@ -1,13 +1,15 @@
 """URL filters: rules by host and path, and a tree of path templates for all other URLs.
 
-Per host, paths become templates: digits and long hex runs are wildcards, and so is a segment that takes
-many values below the same parent. Branches of a host whose labelled shares don't differ statistically
-merge. A template is rejected if its share of bad labels, smoothed towards that of its merged branch, is
-high. Labels come from the rules and from words that name an unwanted kind of host; URLs without a label
-get the verdict of their template, and templates without any evidence are allowed.
-
-Everything works on counts per host and template; only the verdicts are joined back to the URLs, salted,
-so that a host with many of the URLs is dealt to several tasks.
+Labels come from the rules and from words that name an unwanted kind of host. A label decides its own
+URL; the tree decides URLs without one. Per host it grows level by level: digits and long hex runs are
+wildcards, and so is a segment that takes many values below the same parent. Then siblings whose labelled
+shares don't differ statistically merge into one branch, below which the tree goes on. A template's
+share of bad labels is smoothed towards that of the branch above it; it is rejected if that share is high.
+Templates without labels of their own are allowed.
+
+The tree grows only where a branch holds URLs with and without labels, as deep as their paths go, and
+skips segments that all URLs of a branch share. Everything works on counts per host and path shape, and
+joins are salted, so a host with many of the URLs is dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -31,10 +33,10 @@ BAD_WORDS = ("adult", "ads", "bet", "bets", "casino", "pills", "porn", "spam", "
 
 @dataclass(frozen=True)
 class Tree:
-    """Depth of templates; values below a parent that make a wildcard (many and mostly different, or very many);
-    weight of the prior; shares from which on a template is rejected; normal score up to which branches merge."""
+    """Values below a parent that make a wildcard (many and mostly different, or very many); weight of the
+    prior; shares from which on a template is rejected; normal score up to which branches merge; tasks
+    over which a host's rows are dealt in joins."""
 
-    depth: int = 4
     many: int = 20
     different: float = 0.5
     very_many: int = 200
@@ -59,38 +61,74 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
-def templates(urls: DataFrame, tree: Tree) -> DataFrame:
-    """``host, shape, template, branch`` and counts ``n, bad, good`` for each distinct shape of ``host, shape, label``."""
-    nodes = checkpointed(urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "block").alias("bad"), F.count_if(F.col("label") == "allow").alias("good")))
-    parts = F.split("shape", "/")
-    for d in range(tree.depth):
-        nodes = nodes.withColumn(f"s{d}", F.coalesce(F.get(parts, F.lit(d + 1)), F.lit("")))
-    keys = ["host"]
-    for d in range(tree.depth):
-        values = nodes.groupBy(*keys, f"s{d}").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.count("*").alias("values"), F.sum("n").alias("all"))
-        wild = (F.col("values") > tree.very_many) | ((F.col("values") > tree.many) & (F.col("values") > F.col("all") * tree.different))
-        nodes = nodes.join(values, keys).withColumn(f"g{d}", F.when(wild & (F.col(f"s{d}") != ""), F.lit("*")).otherwise(F.col(f"s{d}"))).drop("values", "all")
-        keys = [*keys, f"g{d}"]
-    deeper = F.when(F.size(parts) > tree.depth + 1, F.lit("/**")).otherwise(F.lit(""))
-    return nodes.select("host", "shape", F.concat(F.array_join(F.array(*(f"g{d}" for d in range(tree.depth))), "/"), deeper).alias("template"), F.col("g0").alias("branch"), "n", "bad", "good")
-
-
-def judge_templates(shapes: DataFrame, tree: Tree) -> DataFrame:
-    """``host, template, share`` and whether the template is rejected."""
-    per = shapes.groupBy("host", "branch", "template").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    branch = per.groupBy("host", "branch").agg(F.sum("bad").alias("b"), (F.sum("bad") + F.sum("good")).alias("m"), F.count("*").alias("width"))
-    share = (F.col("b") + tree.weight / 2) / (F.col("m") + tree.weight)
-    # Branches sorted by their share: neighbours merge if both are labelled and a two-sample test doesn't tell them apart.
-    order = W.partitionBy("host", F.col("m") > 0).orderBy("share", "branch")
+def shape_of(path: Column) -> Column:
+    """A path with its digits and long hex runs as wildcards and without a slash at the end."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "[0-9a-f]{16,}", "*"), "[0-9]+", "*"), "/$", "")
+
+
+def labelled(pages: DataFrame, rules=RULES, bad_words=BAD_WORDS) -> DataFrame:
+    """``page_id, host, path, rule, shape, label``; the label is the rule's, else block by a word of the host, else null."""
+    host, path = host_and_path(F.col("url").cast("string"))
+    df = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rule, said = rule_of(F.col("host"), F.col("path"), rules)
+    bad = F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, bad_words))) if bad_words else F.lit(False)
+    return df.select("*", rule.alias("rule"), shape_of(F.col("path")).alias("shape"), F.coalesce(said, F.when(bad, "block")).alias("label"))
+
+
+def join_salted(rows: DataFrame, small: DataFrame, on: list[str], salts: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to a table with one row per key, each key dealt to ``salts`` tasks by the path shape."""
+    spread = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.hash("shape"), F.lit(salts)).cast("int")).join(spread, [*on, "salt"], how).drop("salt")
+
+
+def merged_branches(children: DataFrame, tree: Tree) -> DataFrame:
+    """``host, node, segment, branch, above, b, m`` for the labelled segments below each node.
+
+    ``children`` has ``host, node, above, segment, b, m`` (bad and all labels), at most ``very_many`` and
+    two rows a node. Sorted by share, neighbours merge if a two-sample test doesn't tell them apart.
+    """
+    order = W.partitionBy("host", "node").orderBy(F.col("b") / F.col("m"), "segment")
     b0, m0 = F.lag("b").over(order), F.lag("m").over(order)
     pooled = (F.col("b") + b0 + 1) / (F.col("m") + m0 + 2)
     z = F.abs(F.col("b") / F.col("m") - b0 / m0) / F.sqrt(pooled * (1 - pooled) * (1 / F.col("m") + 1 / m0))
-    apart = F.when((F.col("m") > 0) & (m0 > 0), F.coalesce(z > tree.merge_z, F.lit(True))).otherwise(True).cast("int")
-    group = branch.withColumn("share", share).withColumn("apart", apart).withColumn("group", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    over = W.partitionBy("host", F.col("m") > 0, "group")
-    prior = group.select("host", "branch", ((F.sum("b").over(over) + tree.weight / 2) / (F.sum("m").over(over) + tree.weight)).alias("prior"))
-    judged = per.join(prior, ["host", "branch"]).withColumn("share", (F.col("bad") + F.col("prior") * tree.weight) / (F.col("bad") + F.col("good") + tree.weight))
-    return judged.select("host", "template", F.round("share", 9).alias("share"), (F.round("share", 9) >= tree.reject).alias("rejected"))
+    apart = F.coalesce(z > tree.merge_z, F.lit(True)).cast("int")
+    grouped = children.where("m > 0").withColumn("apart", apart).withColumn("group", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    over = W.partitionBy("host", "node", "group")
+    return grouped.select("host", "node", "segment", "above", F.min("segment").over(over).alias("branch"), F.sum("b").over(over).alias("b"), F.sum("m").over(over).alias("m"))
+
+
+def rejected_shapes(urls: DataFrame, tree: Tree = Tree()) -> DataFrame:
+    """Distinct ``host, shape`` of the templates that are rejected, from ``host, shape, label``."""
+    count = lambda label: F.count_if(F.col("label") == label)
+    rows = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), count("block").alias("b"), (count("block") + count("allow")).alias("m"))
+    parts = F.split("shape", "/")
+    rows = written(rows.withColumn("rest", F.slice(parts, 2, F.size(parts))).withColumn("node", F.lit("")).withColumn("above", F.lit(None).cast("double")))
+    found = None
+    while not rows.isEmpty():
+        # A branch goes on only if some of its URLs have a label and some don't, behind the segments all share.
+        nodes = rows.groupBy("host", "node").agg(F.sum("n").alias("all"), F.sum("b").alias("bad"), F.sum("m").alias("known"), F.min("rest").alias("low"), F.max("rest").alias("high"))
+        first = F.array_position(F.zip_with("low", "high", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+        share = (F.col("bad") + F.coalesce("above", F.lit(0.5)) * tree.weight) / (F.col("known") + tree.weight)
+        nodes = nodes.where("known > 0 AND known < all").select("host", "node", "bad", "known", F.when(first > 0, first - 1).otherwise(F.size("low")).cast("int").alias("shared"))
+        rows = join_salted(rows, nodes, ["host", "node"], tree.salts).withColumn("above", F.coalesce("above", share))
+        rest = F.slice("rest", F.col("shared") + 1, F.greatest(F.size("rest") - F.col("shared"), F.lit(0)))
+        rows = rows.withColumn("rest", rest).withColumn("segment", F.coalesce(F.get("rest", F.lit(0)), F.lit(""))).select("host", "shape", "node", "above", "rest", "segment", "n", "b", "m")
+
+        values = rows.groupBy("host", "node", "segment").agg(F.sum("n").alias("n")).groupBy("host", "node").agg(F.count("*").alias("values"), F.sum("n").alias("all"))
+        wild = (F.col("values") > tree.very_many) | ((F.col("values") > tree.many) & (F.col("values") > F.col("all") * tree.different))
+        rows = join_salted(rows, values.select("host", "node", wild.alias("wild")), ["host", "node"], tree.salts).withColumn("segment", F.when(F.col("wild") & (F.col("segment") != ""), F.lit("*")).otherwise(F.col("segment"))).drop("wild")
+
+        children = rows.groupBy("host", "node", "above", "segment").agg(F.sum("b").alias("b"), F.sum("m").alias("m"))
+        branches = merged_branches(children, tree)
+        smoothed = F.round((F.col("b") + F.col("above") * tree.weight) / (F.col("m") + tree.weight), 9)
+        branches = branches.select("host", "node", "segment", F.concat("node", F.lit("/"), "branch").alias("below"), smoothed.alias("share"))
+        rows = join_salted(rows.drop("above"), branches, ["host", "node", "segment"], tree.salts)
+        rest = F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0)))
+        rows = written(rows.select("host", "shape", F.col("below").alias("node"), F.col("share").alias("above"), rest.alias("rest"), (F.size("rest") == 0).alias("done"), "n", "b", "m"))
+        ended = rows.where(F.col("done") & (F.col("above") >= tree.reject)).select("host", "shape")
+        found = ended if found is None else found.unionByName(ended)
+        rows = rows.where(~F.col("done")).drop("done")
+    return urls.select("host", "shape").limit(0) if found is None else found
 
 
 def judge(pages: DataFrame, rules=RULES, tree: Tree = Tree(), bad_words=BAD_WORDS) -> DataFrame:
@@ -100,15 +138,7 @@ def judge(pages: DataFrame, rules=RULES, tree: Tree = Tree(), bad_words=BAD_WORD
     are allowed. Rows repeat as they do in ``pages``; of rules of equal length the later host name wins;
     other columns are not read; an empty table gives no rows.
     """
-    host, path = host_and_path(F.col("url").cast("string"))
-    df = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    bad = F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, bad_words))) if bad_words else F.lit(False)
-    shape = F.regexp_replace(F.regexp_replace("path", "[0-9a-f]{16,}", "*"), "[0-9]+", "*")
-    df = df.select("*", rule.alias("rule"), said.alias("said"), F.regexp_replace(shape, "/$", "").alias("shape"))
-    df = df.withColumn("label", F.coalesce("said", F.when(bad, "block")))
-    shapes = checkpointed(templates(df, tree))
-    verdicts = shapes.join(judge_templates(shapes, tree), ["host", "template"]).select("host", "shape", "rejected")
-    salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(tree.salts - 1))))
-    joined = df.withColumn("salt", F.pmod(F.hash("page_id", "path"), F.lit(tree.salts))).join(salted, ["host", "shape", "salt"])
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"))
+    df = labelled(pages, rules, bad_words)
+    rejected = rejected_shapes(df.select("host", "shape", "label"), tree).withColumn("rejected", F.lit(True))
+    joined = join_salted(df, rejected, ["host", "shape"], tree.salts, "left")
+    return joined.select("page_id", "host", "path", "rule", F.coalesce("label", F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"))
