@@ -2,6 +2,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -71,3 +72,32 @@ def test_broken_markup_and_edges(spark):
     assert by[0].text == by[1].text == by[2].text == "" and by[0].n_chars == 0
     assert by[4].n_chars == 20000 * 9 + 19999
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["a <b ", '<a "', "<a '\">", "<i>x<hr>", "<li><ul>", "<i></b>", "<a id=id=id=", "<!-- ", "<div class='a b'>x", "<script>", "<", "&am", "<p class=\"x'>y", "</"])
+def test_hostile_pages_take_linear_time(unit):
+    field, seconds = html_extract.trained(), []
+    for size in (500_000, 1_000_000):
+        began = time.process_time()
+        html_extract.main_text("<p>one.</p>" + unit * (size // len(unit)), field)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 12 and seconds[1] < 3.5 * seconds[0] + 1, seconds
+
+
+@pytest.mark.parametrize("page,want", [('<article><p>One more word.</p><div class="x', "One more word."), ("<article><p>One more word.</p></artic", "One more word."), ("<article><p>if a < b and c > d.</p>", "if a < b and c > d."), ('<article><p title="a>b">One more word.</p>', "One more word."), ("<article><p class=\"x>One more word.</p>", "One more word.")])
+def test_no_markup_in_the_text(page, want):
+    assert html_extract.main_text(page, html_extract.trained()) == want
+
+
+SHAPES = {
+    "old table page": ("<html><body bgcolor=white><table width=100%><tr><td colspan=2 class=top><a href=/>Home</a> | <a href=/a>About us</a> | <a href=/c>Contact</a></td></tr><tr><td class=sidebar><a href=1>News</a><br><a href=2>Archive</a></td><td class=content><h1>River report</h1><p>The river rose by two metres during the night, and the lower fields stood under water.</p><p>Nobody was hurt, but the mill will stay closed until the end of the month.</p></td></tr></table><div class=footer>&copy; 2004 The Valley Post</div></body></html>", ["River report", "The river rose by two metres during the night, and the lower fields stood under water.", "Nobody was hurt, but the mill will stay closed until the end of the month."]),
+    "blog in divs": ("<body><div id='page'><div id='masthead'><a href='/'>My blog</a></div><div class='navigation'><ul><li><a href='/x'>Older</a></li><li><a href='/y'>Newer</a></li></ul></div><div class='post hentry'><h2>Baking bread at home</h2><div class='entry-content'><p>Flour, water, salt and time are all it takes to bake a good loaf at home.</p><p>Let the dough rest overnight. It gains taste and is easier to shape.</p></div></div><div id='comments'><h3>2 comments</h3><ol><li><div class='comment'><p>Great, I tried it yesterday and it worked!</p></div></li><li><div class='comment'><p>Which flour do you use?</p></div></li></ol></div><div id='sidebar' class='widget'><h3>Recent posts</h3><ul><li><a href='1'>Soup</a></li><li><a href='2'>Salad</a></li></ul></div></div>", ["Baking bread at home", "Flour, water, salt and time are all it takes to bake a good loaf at home.", "Let the dough rest overnight. It gains taste and is easier to shape."]),
+    "main and sections": ("<body><div class='cookie-banner'><p>We use cookies to make this site better.</p><button>Accept</button></div><nav class='topnav'><a href='/'>Start</a><a href='/s'>Sport</a></nav><main><section><h1>A new bridge for the town</h1><p>After ten years of planning the council has agreed on a bridge of steel.</p><div class='advertisement'><p>Buy two pairs and get one free today.</p></div><p>Work begins in spring and takes about three years, the mayor said.</p></section></main><aside class='related'><h4>More stories</h4><ul><li><a href='b'>Old bridge closes</a></li></ul></aside><footer><p>All rights reserved.</p></footer></body>", ["A new bridge for the town", "After ten years of planning the council has agreed on a bridge of steel.", "Work begins in spring and takes about three years, the mayor said."]),
+}
+
+
+@pytest.mark.parametrize("name", SHAPES)
+def test_hand_written_pages_of_other_shapes(name):
+    page, want = SHAPES[name]
+    got = html_extract.main_text(page, html_extract.trained()).split("\n")
+    assert sum(w in got for w in want) >= len(want) - 1 and sum(g not in want for g in got) <= 1, got

@@ -15,6 +15,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -34,30 +35,57 @@ RAW = frozenset("script style textarea title xmp noembed noframes".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body div article section".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|\Z)""", re.I)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: What matters on the way to the end of a tag: its end, and quotes that hold a value.
+STOP = re.compile(r"""=\s*(["'])|>""")
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]++))?(?=[\s/]|\Z)""", re.I)
 NAME_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-#: Different (parent, element) pairs whose features a parser remembers.
-KEPT_PATHS = 20_000
+#: Different (parent, element) pairs whose features a parser remembers, and the longest tag among them.
+KEPT_PATHS, KEPT_TAG = 20_000, 300
+
+STRUCTURE = SCOPES.union(*CLOSES.values())
 
 
 class Node:
-    """An open element with the features of all elements around it."""
+    """An open element with the features of all elements around it.
+
+    ``block`` and ``near`` are the nearest block element and the nearest one that list items or cells may
+    close or end at, each the element itself or one around it.
+    """
+
+    __slots__ = ("tag", "features", "silent", "link", "depth", "around", "block", "near")
 
-    __slots__ = ("tag", "features", "silent", "link")
+    def __init__(self, tag: str, features: frozenset, silent: bool, link: bool, around: Node | None):
+        self.tag, self.features, self.silent, self.link, self.around = tag, features, silent, link, around
+        self.depth = around.depth + 1 if around else 0
+        self.block = self if around is None or tag in BLOCKS else around.block
+        self.near = self if around is None or tag in STRUCTURE else around.near
 
-    def __init__(self, tag: str, features: frozenset, silent: bool, link: bool):
-        self.tag, self.features, self.silent, self.link = tag, features, silent, link
+
+def tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag whose name ends at ``at`` has its ``>``; -1 if the page ends before.
+
+    A quote that no other of its kind (``last``: their last places) follows holds no value.
+    """
+    while m := STOP.search(page, at):
+        quote = m.group(1)
+        if quote is None:
+            return m.start()
+        at = page.index(quote, m.end()) + 1 if m.end() <= last[quote] else m.end()
+    return -1
 
 
 class Parser:
-    def __init__(self):
+    """``known``: the features that count, if not all do; others aren't kept, however many a page invents."""
+
+    def __init__(self, known: frozenset | None = None):
+        self.known = known
         self.kept: dict[tuple, tuple] = {}
 
     def features_of(self, parent: Node, tag: str, attributes: str) -> tuple[frozenset, bool]:
-        key = (parent.features, tag, attributes)
+        key = (parent.features, tag, attributes) if len(tag) + len(attributes) <= KEPT_TAG else None
         found = self.kept.get(key)
         if found is None:
             own, silent = {f"in:{tag}"}, False
@@ -70,16 +98,24 @@ class Parser:
             # The nearest element that says what it holds counts beside all elements around.
             near = {f"near:{f.partition(':')[2]}" for f in own if f[:5] == "name:" or tag in TELLING}
             around = frozenset(f for f in parent.features if f[:5] != "near:") if near else parent.features
+            if self.known is not None:
+                own, near = own & self.known, near & self.known
             found = around | own | near, silent
-            if len(self.kept) >= KEPT_PATHS:
-                self.kept.clear()
-            self.kept[key] = found
+            if key:
+                if len(self.kept) >= KEPT_PATHS:
+                    self.kept.clear()
+                self.kept[key] = found
         return found
 
     def blocks(self, page: str) -> list[tuple[str, str, frozenset, float]]:
-        """``(text, tag, features of the elements around, share of characters in links)`` in page order."""
-        out, stack = [], [Node("", frozenset(), False, False)]
+        """``(text, tag, features of the elements around, share of characters in links)`` in page order.
+
+        One pass in linear time: no part of the page is scanned twice, whatever is left open. A tag
+        without an end is markup up to the end of the page, as browsers have it.
+        """
+        out, stack, opened = [], [Node("", frozenset(), False, False, None)], Counter()
         text, linked, where, at, size = [], 0, None, 0, len(page)
+        last = {quote: page.rfind(quote) for quote in "\"'"}
 
         def flush():
             nonlocal text, linked, where
@@ -89,36 +125,50 @@ class Parser:
                     out.append((joined, where.tag, where.features, min(1.0, linked / len(joined))))
                 text, linked, where = [], 0, None
 
-        def block_of() -> Node:
-            return next((n for n in reversed(stack) if n.tag in BLOCKS), stack[0])
+        def close(depth: int):
+            """Take elements from the stack down to ``depth``."""
+            while len(stack) > depth:
+                opened[stack.pop().tag] -= 1
 
         while at < size:
-            m = TOKEN.match(page, at)
-            at = m.end()
-            token = m.group()
-            if token[0] != "<" or token == "<":
+            m = None
+            if page[at] == "<":
+                m = NAME.match(page, at)
+                if m is None and page[at + 1 : at + 2] in ("!", "?", "/"):
+                    comment = page.startswith("<!--", at)
+                    end = page.find("-->", at + 4) if comment else page.find(">", at)
+                    at = size if end < 0 else end + (3 if comment else 1)
+                    continue
+            if m is None:
+                end = page.find("<", at + 1)
+                end = size if end < 0 else end
                 top = stack[-1]
                 if not top.silent:
+                    token = page[at:end]
                     plain = entities.unescape(token) if "&" in token else token
                     text.append(plain)
                     if where is None and not plain.isspace():
-                        where = block_of()
+                        where = top.block
                     if top.link:
                         linked += len(plain)
+                at = end
                 continue
-            tag = (m.group(2) or m.group(5) or "").lower()
-            if not tag:
-                continue
-            if m.group(1) or m.group(4):
-                if any(n.tag == tag for n in stack):
+            end = tag_end(page, m.end(), last)
+            if end < 0:
+                break
+            shuts, tag, attributes = page[at + 1] == "/", m.group(1).lower(), page[m.end() : end]
+            at = end + 1
+            if shuts:
+                if opened[tag] > 0:
                     if tag in BLOCKS:
                         flush()
-                    while stack.pop().tag != tag:
-                        pass
+                    while stack[-1].tag != tag:
+                        close(len(stack) - 1)
+                    close(len(stack) - 1)
                 continue
             if tag in RAW:
-                end = re.compile(f"</{tag}", re.I).search(page, at)
-                at = end.start() if end else size
+                ending = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+                at = ending.start() if ending else size
                 continue
             if tag == "br":
                 text.append(" ")
@@ -127,20 +177,21 @@ class Parser:
                 flush()
                 if any(n.tag == "p" for n in stack[-12:]):
                     while stack[-1].tag != "p" and stack[-1].tag not in BLOCKS:
-                        stack.pop()
+                        close(len(stack) - 1)
                     if stack[-1].tag == "p":
-                        stack.pop()
-                shut = CLOSES.get(tag)
-                if shut:
-                    k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in shut or stack[k].tag in SCOPES), 0)
-                    if k and stack[k].tag in shut:
-                        del stack[k:]
+                        close(len(stack) - 1)
+                if shut := CLOSES.get(tag):
+                    found = stack[-1].near
+                    while found.around and found.tag not in shut and found.tag not in SCOPES:
+                        found = found.around.near
+                    if found.tag in shut:
+                        close(found.depth)
             if tag in VOID:
                 continue
-            attributes = m.group(3) if m.group(2) else m.group(6)
             features, hidden = self.features_of(stack[-1], tag, attributes)
             if not attributes.endswith("/") or tag in BLOCKS:
-                stack.append(Node(tag, features, hidden or stack[-1].silent or tag in SILENT, stack[-1].link or tag == "a"))
+                opened[tag] += 1
+                stack.append(Node(tag, features, hidden or stack[-1].silent or tag in SILENT, stack[-1].link or tag == "a", stack[-1]))
         flush()
         return out
 
@@ -364,11 +415,8 @@ def trained(n: int = 700) -> Field:
     return field
 
 
-_PARSER = Parser()
-
-
-def main_text(page: str, field: Field) -> str:
-    blocks = _PARSER.blocks(page)
+def main_text(page: str, field: Field, parser: Parser | None = None) -> str:
+    blocks = (parser or Parser(frozenset(field.weights))).blocks(page)
     return "\n".join(b[0] for b, label in zip(blocks, field.viterbi(field.scores(blocks))) if label)
 
 
@@ -376,11 +424,12 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """``page_id, url, text, n_chars``, one row per row of ``pages``.
 
     Null and empty pages and pages without main text give an empty text; broken markup is read as far as
-    it goes; nothing is cut, however long; repeated rows stay; other columns are not read.
+    it goes, in time linear in the page; an unfinished tag ends the page; nothing is cut, however long; repeated rows stay; other columns are not read.
     """
 
     def run(page_ids, urls, pages, field):
-        texts = [main_text(p, field) for p in pages]
+        parser = Parser(frozenset(field.weights))
+        texts = [main_text(p, field, parser) for p in pages]
         return {"page_id": page_ids, "url": urls, "text": texts, "n_chars": [len(t) for t in texts]}
 
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
