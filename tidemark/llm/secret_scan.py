@@ -1,10 +1,11 @@
 """Secret scans: rules, and a character convolutional network over every candidate and its context.
 
 Rules find assignments of a named secret, access key ids and long hex runs. Candidates are those and all
-other long tokens with a digit. A small network reads the characters of a candidate and of the text
-around it; it is trained on labelled findings, its scores are calibrated on others, and the threshold
-is the highest that keeps a given recall on them. Findings of the rules stay whatever the network says;
-it adds spans of kind ``model``.
+other long tokens, with or without digits, and what is left of tokens around findings of the rules. A
+small network reads the characters of a candidate and of the text around it, the whole of a longer one in
+overlapping parts; it is trained on labelled findings, its scores are calibrated on others, and the
+threshold is the highest that keeps a given recall on them. Findings of the rules stay whatever the
+network says; it adds spans of kind ``model``.
 
 The labelled findings come from a seeded generator (keys, tokens and hashes in many notations against
 numbers, names, paths and long words), so training is bounded, repeatable and needs no table.
@@ -33,7 +34,6 @@ HEX = re.compile("[0-9a-f]{24,}")
 
 #: Every access key id and hex run lies within such a token.
 TOKEN = re.compile("[A-Za-z0-9+/_.=-]{16,}")
-DIGIT = re.compile("[0-9]")
 LEAST = 16
 
 #: Characters left of a candidate, of the candidate, and right of it that the network reads.
@@ -78,7 +78,7 @@ def candidates(text: str) -> list[tuple[int, str, int, int]]:
         for a, b in rest(at, m.end(), [(x[2], x[3]) for x in own] + [(a, b) for a, b in known if a < m.end() and at < b]):
             if text[a] == "=" and a > at:  # the sign between a finding and what is left
                 a += 1
-            if b - a >= LEAST and DIGIT.search(text, a, b):
+            if b - a >= LEAST:
                 out.append((3, "model", a, b))
     return sorted(out, key=lambda x: (x[2], x[0]))
 
@@ -170,8 +170,8 @@ class Network:
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * v[k] + 0.001 * g[k] ** 2
                     p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, codes: np.ndarray, labels: np.ndarray, least_recall: float, most: float = 0.9) -> None:
-        """Fit a logistic curve to held-out scores; the threshold is the highest up to ``most`` with the recall asked for."""
+    def calibrate(self, codes: np.ndarray, labels: np.ndarray, least_recall: float) -> None:
+        """Fit a logistic curve to held-out scores; the threshold is the highest with the recall asked for."""
         logit = self.forward(codes)[0]
         a, b = 1.0, 0.0
         for _ in range(200):
@@ -179,7 +179,7 @@ class Network:
             a, b = a - 0.5 * np.mean((q - labels) * logit) / max(1.0, np.mean(logit**2)) * 4, b - 0.5 * np.mean(q - labels)
         self.scale, self.shift = a, b
         found = np.sort(self.score(codes)[labels == 1])
-        self.threshold = min(most, float(found[int((1 - least_recall) * len(found))]))
+        self.threshold = float(found[int((1 - least_recall) * len(found))])
 
     def score(self, codes: np.ndarray) -> np.ndarray:
         """Calibrated probabilities, in blocks of bounded size."""
@@ -193,27 +193,60 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
     rng = random.Random(seed)
     low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     some = lambda letters, a, b: "".join(rng.choices(letters, k=rng.randint(a, b)))
-    word = lambda: "".join(rng.choices(["th", "er", "on", "an", "re", "ti", "es", "or", "ou", "ing", "ion", "é", "ch", "en", "la", "de"], k=rng.randint(1, 5)))
+    syllables = "th er on an re ti es or ou ing ion é ch en la de ein sch keit lich ung ver ment tion elle aux ble ado ci mar tro str ack ight ord um ex pro con sub schaft fahrt haupt ness ful able ive ate ity ous ism ual ract ject".split()
+    onset = "b c d f g h j k l m n p r s t v w z y x st tr pl ch sh qu sch pf str spr thr cl br dr gr pr fr fl sp sk".split()
+    vowel, coda = "a e i o u ea ou ie ai eu oo".split(), ["", "", "n", "r", "l", "s", "t", "nd", "st", "ck", "ft", "cht", "mpf", "ct", "ry", "ss", "ngs", "rt", "ff", "x", "ble"]
+    syllable = lambda: rng.choice(syllables) if rng.random() < 0.5 else rng.choice(onset) + rng.choice(vowel) + rng.choice(coda)
+    word = lambda k=4: "".join(syllable() for _ in range(rng.randint(1, k)))
     words = lambda k: [w.upper() if shout else w for shout in [rng.random() < 0.15] for w in (word() for _ in range(k))]
-    with_digit = lambda s: s if any(c in digits for c in s) else s[:-1] + rng.choice(digits)
+    joined = lambda by, a, b: by.join(word(3) for _ in range(rng.randint(a, b)))
+    url_letters = low + up + digits + "-_"
 
     def secret() -> str:
-        kind = rng.randrange(7)
+        kind = rng.randrange(14)
         if kind < 3:
-            return with_digit(some("0123456789abcdef" if kind < 2 else "0123456789ABCDEF", 20, 64))
-        if kind == 3:
-            return with_digit(some(low + up + digits, 20, 48))
-        if kind == 4:
-            return with_digit(some(low + up + digits + "+/", 20, 60)) + rng.choice(["", "=", "=="])
+            return some("0123456789abcdef" if kind < 2 else "0123456789ABCDEF", 20, 64)
+        if kind < 5:
+            return some(low + up + digits, 18, 64)
         if kind == 5:
-            return rng.choice(["sk-", "ghp_", "xoxb-", "pk_live_", "eyJ", "AKIA"]) + with_digit(some(low + up + digits, 20, 40))
-        return with_digit(some(low + digits, 24, 40))
+            return some(low + up + digits + "+/", 20, 90) + rng.choice(["", "=", "=="])
+        if kind < 8:  # a name of the issuer before the key
+            by = rng.choice("-_")
+            issuer = by.join(some(low if rng.random() < 0.8 else up, 2, 6) for _ in range(rng.randint(1, 3))) + rng.choice([by, by, "."])
+            return issuer + some(rng.choice([low + up + digits, low + up + digits, low + up, low + digits, url_letters, "0123456789abcdef"]), 18, 48)
+        if kind == 8:
+            return some(low + digits, 24, 40)
+        if kind == 9:
+            return some(low + up, 20, 48)
+        if kind == 10:
+            return some(url_letters, 22, 64)
+        if kind == 11:
+            return ".".join(["eyJ" * (rng.random() < 0.5) + some(url_letters, 12, 40), some(url_letters, 14, 60), some(url_letters, 20, 43)][: rng.randint(2, 3)])
+        if kind == 12:
+            return some(up + "234567", 20, 52)
+        return rng.choice(["AKIA", "", ""]) + some(up + digits, 20, 32)
 
     def plain() -> str:
-        kind = rng.randrange(13)
+        kind = rng.randrange(26)
+        if kind >= 20 and kind != 24:  # long words
+            return rng.choice([str, str, str.title, str.upper])("".join(word(2) for _ in range(rng.randint(4, 9)))) + rng.choice(["", "", ".", "/", "="])
+        if kind == 19:
+            return rng.choice([str, str.upper])(joined(rng.choice(["-", "_", ".", "/", "=", "+", "--", "..."]), 3, 6)) + rng.choice(["", ".", ".html", ".py", "/"])
+        if kind in (18, 24):
+            return "".join(word(3).title() for _ in range(rng.randint(3, 6))) + rng.choice(["", "", "s", "Id", "Url", some(digits, 1, 3)])
+        if kind == 17:
+            return (some(low, 1, 4) * 20)[: rng.randint(16, 40)]
+        if kind == 16:
+            return rng.choice(["www.", "", "mail."]) + joined(".", 2, 3) + rng.choice([".com", ".org", ".example.net", ".de"]) + rng.choice(["", "/", "/" + joined("/", 1, 3), "/" + joined("-", 3, 5)])
+        if kind == 15:
+            return rng.choice(["DE", "ES", "FR", "GB", "AT", "BE"]) + some(digits, 14, 22)
+        if kind == 14:
+            return "-".join([joined("-", 1, 3), ".".join(some(digits, 1, 3) for _ in range(3)), word() + some(digits, 1, 2) + rng.choice([".deb", ".tar.gz", ".whl"])])
+        if kind == 13:
+            return "".join(rng.choice([some(digits, 1, 9), word(), rng.choice("+-/=.")]) for _ in range(8))[:48] if rng.random() < 0.3 else some(digits, 6, 9) + "." + some(digits, 8, 16)
         if kind >= 10:
             host = ".".join([rng.choice(["mail", "www", "cdn", "node", "m"]) + some(digits, 0, 2), word() + some(digits, 0, 2), rng.choice(["example", word()]), rng.choice(["com", "org", "net", "io", "co.uk"])])
-            return with_digit(rng.choice(["", word() + "." + word() + "."]) + host) if kind > 10 else host + "/" + "/".join([word(), some(digits, 1, 5)])
+            return rng.choice(["", word() + "." + word() + "."]) + host if kind > 10 else host + "/" + "/".join([word(), some(digits, 1, 5)])
         if kind < 3:
             return some(digits, 16, 20)
         if kind == 3:
@@ -227,7 +260,7 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
         if kind == 7:
             return f"20{some(digits, 2, 2)}-{some(digits, 2, 2)}-{some(digits, 2, 2)}T{some(digits, 2, 2)}.{some(digits, 2, 2)}.{some(digits, 2, 2)}"
         if kind == 8:
-            return rng.choice("-=._1x") * rng.randint(16, 40) + rng.choice(digits)
+            return rng.choice("-=._1x") * rng.randint(16, 40) + rng.choice(["", rng.choice(digits)])
         return ("".join(word() for _ in range(6)) + some(digits, 1, 3))[:40]
 
     findings, labels = [], []
@@ -256,7 +289,7 @@ def codes_of(findings: list[tuple[str, int, int]]) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def trained(n: int = 3000, least_recall: float = 0.98) -> Network:
+def trained(n: int = 8000, least_recall: float = 0.99) -> Network:
     """The network, trained on ``n`` labelled findings and calibrated on a third as many others."""
     net = Network()
     findings, labels = labelled_findings(n, seed=1)
