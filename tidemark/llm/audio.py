@@ -31,7 +31,7 @@ RATE = 16_000
 #: The resampling ratio unless another is asked for, and filter zero crossings on each side.
 UP, DOWN, TAPS = 3, 8, 12
 FRAME, HOP, FFT, MELS = 200, 80, 256, 40
-FRAMES = 64
+FRAMES = 32
 #: Quiet and loud quantiles of a clip's frame energy, the parts of the way between them at which a
 #: segment opens and closes, and frames a segment has at least.
 QUIET, LOUD, OPEN, CLOSE, LEAST_FRAMES = 0.05, 0.95, 0.6, 0.3, 5
@@ -44,7 +44,7 @@ TENSOR = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
 WINDOWS = pa.schema([("window", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("tensor", TENSOR), ("segments", pa.list_(pa.int32(), FRAMES))])
 
 #: Bytes of results that a task gathers before it hands them on, about.
-GATHERED = 16 << 20
+GATHERED = 4 << 20
 
 
 def to_wav(samples: bytes, rate: int = RATE) -> bytes:
@@ -204,13 +204,19 @@ def per_row(df: DataFrame, fn: Callable[..., Iterator[tuple]], schema: str, *arg
     return df.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, media``: each text's payload as a WAV file; a null text counts as empty."""
+def encoded(doc_id: int | None, text: str) -> Iterator[tuple]:
+    """The row of ``encode`` for a text."""
+    yield doc_id, len(text.encode("utf-8", "replace")), to_wav(payload(text))
+
+
+def with_features(doc_id: int | None, n_bytes: int, clip: bytes | None, up: int, down: int) -> Iterator[tuple]:
+    """The row of ``stored_features`` for a clip."""
+    yield doc_id, n_bytes, clip, None if clip is None else to_stream(clip_windows(clip, up, down))
 
-    def run(doc_id, text):
-        yield doc_id, len(text.encode("utf-8", "replace")), to_wav(payload(text))
 
-    return per_row(docs.select("doc_id", text_or_empty()), run, "doc_id long,n_bytes long,media binary")
+def encode(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, media``: each text's payload as a WAV file; a null text counts as empty."""
+    return per_row(docs.select("doc_id", text_or_empty()), encoded, "doc_id long,n_bytes long,media binary")
 
 
 def stored_features(media: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
@@ -218,11 +224,7 @@ def stored_features(media: DataFrame, up: int = UP, down: int = DOWN) -> DataFra
 
     Null media have null features; repeated rows stay.
     """
-
-    def run(doc_id, n_bytes, clip, up, down):
-        yield doc_id, n_bytes, clip, None if clip is None else to_stream(clip_windows(clip, up, down))
-
-    return per_row(media.select("doc_id", "n_bytes", "media"), run, "doc_id long,n_bytes long,media binary,features binary", up, down)
+    return per_row(media.select("doc_id", "n_bytes", "media"), with_features, "doc_id long,n_bytes long,media binary,features binary", up, down)
 
 
 def features(media: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
@@ -251,13 +253,16 @@ def feature_digest(stored: bytes) -> str:
 def digest(docs: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
     """Store each whole text as a clip and its features as tensors, read both back, and return digests.
 
-    A null or empty text is 64 zero bytes; equal texts give equal values; repeated rows stay; other
-    columns are not read; an empty table gives no rows.
+    One row passes through ``encode`` and ``stored_features`` in the same worker, so the stored bytes of a
+    batch are never held together. A null or empty text is 64 zero bytes; equal texts give equal values;
+    repeated rows stay; other columns are not read; an empty table gives no rows.
     """
 
-    def run(doc_id, n_bytes, media, stored):
-        back, _ = from_wav(media)
-        yield doc_id, n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_digest(stored)
+    def run(doc_id, text, up, down):
+        for _, n_bytes, media in encoded(doc_id, text):
+            for *_, stored in with_features(doc_id, n_bytes, media, up, down):
+                back, _ = from_wav(media)
+                yield doc_id, n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_digest(stored)
 
     schema = "doc_id long,n_bytes long,payload_bytes long,payload_sha256 string,tail_crc32 long,media_bytes long,media_sha256 string,feature string"
-    return per_row(stored_features(encode(docs), up, down), run, schema)
+    return per_row(docs.select("doc_id", text_or_empty()), run, schema, up, down)
