@@ -41,7 +41,32 @@ def test_fences_follow_the_group(spark):
     kept = {r.doc_id: r.kept for r in quality.judge(df).collect()}
     assert kept[0] and kept[1000] and not kept[9999]
     good = quality.keep_good(df)
-    assert good.columns == df.columns and good.count() == 400
+    assert good.columns == df.columns and good.count() == 401 and good.where("doc_id IS NULL").count() == 1
+
+
+def test_each_row_is_judged_by_itself(spark):
+    plain, junk = " ".join(f"w{k}" for k in range(60)), "x " * 60
+    rows = [(1, plain, "en", "s", 1), (1, junk, "en", "s", 2), (None, plain, "en", "s", 3), (None, junk, None, None, 4), (2, None, "en", "s", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept int").selectExpr("*", "7 AS n_words", "'r' AS row")
+    assert sorted((r.kept, r.n_words, r.row) for r in quality.keep_good(df).collect()) == [(1, 7, "r"), (3, 7, "r")]
+
+
+def test_many_groups_are_joined_without_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string, kept string")
+    want = sorted(map(tuple, quality.judge(docs).collect()), key=str)
+    monkeypatch.setattr(quality, "MOST_GROUPS", 0)
+    assert sorted(map(tuple, quality.judge(docs).collect()), key=str) == want
+
+
+def test_the_data_set_fences_in_both_directions(spark):
+    """A document far outside its group goes though another group is full of such; a source of a third junk isn't kept whole."""
+    marks = lambda n: " ".join(f"w{k}#" if k < n else f"w{k}" for k in range(60))
+    docs = [(k, marks(k % 3), "en", "prose") for k in range(300)] + [(1000 + k, marks(20 + k % 20), "de", "tables") for k in range(300)]
+    docs += [(5000 + k, marks(59 if k % 3 == 0 else 0), "en", "hot") for k in range(300)] + [(9999, marks(40), "en", "prose")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.judge(df).collect()}
+    assert not kept[9999] and all(kept[k] for k in range(300)) and all(kept[1000 + k] for k in range(300))
+    assert all(kept[5000 + k] == (k % 3 > 0) for k in range(300))
 
 
 def test_labelled_junk(spark):

@@ -47,6 +47,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table of ids that is broadcast (16 MB of longs); larger ones are joined by shuffle.
+MOST_BROADCAST = 2_000_000
+
+
+def keep_rows(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """A semi or anti join of wide rows with distinct keys, which are counted first: few are broadcast, so that the rows stay where they are."""
+    keys = checkpointed(keys)
+    return df.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, on, how)
+
+
 def map_batches(df: DataFrame, fn: Callable[[list, ...], dict[str, list]], schema: str, *args) -> DataFrame:
     """Apply ``fn(*columns, *args)`` to each Arrow batch; a batch is bounded in rows and in bytes by Spark."""
     out_schema = to_arrow(schema)

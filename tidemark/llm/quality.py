@@ -4,19 +4,21 @@ Each document gets counts and, from them, rates in whole numbers. For each langu
 mergeable quantile sketch is kept per rate: a histogram over buckets whose width grows with the value
 (values keep their six leading binary digits, so a quantile is at most 1/32 off). Sketches merge by
 adding counts, so Spark aggregates them partially before any shuffle, and a group with few documents
-uses the merged sketch of its language, or of all. A document is rejected if a rate lies far outside
-its group's quartiles and beyond a floor; both are parameters.
+uses the merged sketch of its language, or of all. A document is rejected if a rate lies far above its
+group's quartiles. A group whose own fence lies far above that of its language, as where a quarter of a
+source is junk, gets the fence of the language, and so does a language from all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import checkpointed, written
 
 SPACE = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -28,14 +30,23 @@ POSITION_BITS = 24
 
 @dataclass(frozen=True)
 class Rules:
-    """min_words and max_repeat_percent are fixed; the fences are quartile + spread x quartile range, at least the floor."""
+    """min_words and max_repeat_percent are fixed; a fence is the upper quartile + spread x quartile range.
+
+    Ranges count as their least value at least, so a group of equal values has some room; a fence of more
+    than ``far`` times the wider group's gives way to that.
+    """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     min_group: int = 50
     spread: int = 4
-    #: rate: floor of its upper fence, per thousand words (lines for dup_lines), or hundredths of a code point.
-    floors: tuple[tuple[str, int], ...] = (("symbols", 150), ("shouts", 250), ("dup_lines", 400), ("repeats", 350), ("word_length", 1000))
+    far: int = 2
+    #: rate: its least quartile range, per thousand words (lines for dup_lines), or hundredths of a code point.
+    ranges: tuple[tuple[str, int], ...] = (("symbols", 38), ("shouts", 62), ("dup_lines", 100), ("repeats", 88), ("word_length", 30))
+
+
+#: Rows of the table of fences that are broadcast; with more groups the join is salted.
+MOST_GROUPS, SALTS = 200_000, 16
 
 
 def words_of(text: Column) -> Column:
@@ -78,14 +89,15 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("found", F.sort_array(found)).withColumn("n_repeat_words", _covered(F.col("found"))).drop("words", "order", "found")
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, source`` and the counts of each document; null texts have no words, null groups count as ''."""
+def counts(docs: DataFrame, *carried: str) -> DataFrame:
+    """``doc_id, lang, source``, the counts of each document, and columns of other names as they are; null texts have no words, null groups count as ''."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     group = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    df = docs.select("doc_id", *group, text.alias("text"))
-    df = df.select("doc_id", "lang", "source", "text", words_of(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("lines"))
+    df = docs.select("doc_id", *carried, *group, text.alias("text"))
+    df = df.select("doc_id", *carried, "lang", "source", "text", words_of(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("lines"))
     df = df.select(
         "doc_id",
+        *carried,
         "lang",
         "source",
         "words",
@@ -125,17 +137,32 @@ def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame, rules: Rules) -> DataFrame:
-    """One row per language and source: the upper fence of each rate, from the smallest group that is large enough."""
-    own, lang, whole = quartiles(sketch, ["lang", "source"]), quartiles(sketch, ["lang"]), quartiles(sketch, [])
-    levels = own
-    for k, wider in enumerate((lang, whole)):
-        keys = ["lang", "rate"][k:]
-        levels = levels.join(wider.select(*keys, *(F.col(c).alias(f"{c}_{k}") for c in ("total", "q1", "q3"))), keys)
-    pick = lambda q: F.when(F.col("total") >= rules.min_group, F.col(q)).when(F.col("total_0") >= rules.min_group, F.col(f"{q}_0")).otherwise(F.col(f"{q}_1"))
-    q1, q3 = pick("q1"), pick("q3")
-    fence = q3 + (q3 - q1) * rules.spread
-    names = [x for x, _ in rules.floors]
-    return levels.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == x, F.greatest(fence, F.lit(floor).cast("long")))).alias(f"{x}_fence") for x, floor in rules.floors)).select("lang", "source", *(f"{x}_fence" for x in names))
+    """One row per language and source: the upper fence of each rate."""
+    least = F.element_at(F.create_map(*(F.lit(x) for pair in rules.ranges for x in pair)), F.col("rate")).cast("long")
+    fence = F.col("q3") + F.greatest(F.col("q3") - F.col("q1"), least) * rules.spread
+    of = lambda by, name: quartiles(sketch, by).select(*by, "rate", F.when(F.col("total") >= rules.min_group, fence).alias(name), fence.alias(f"{name}_any"))
+    levels = of(["lang", "source"], "own").join(of(["lang"], "of_lang"), ["lang", "rate"]).join(F.broadcast(of([], "of_all")), "rate")
+    near = lambda own, wider: F.when(F.col(own) <= wider * rules.far, F.col(own)).otherwise(wider)
+    levels = levels.withColumn("fence", near("own", near("of_lang", F.col("of_all_any"))))
+    return levels.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == x, F.col("fence"))).alias(f"{x}_fence") for x, _ in rules.ranges))
+
+
+def _judged(docs: DataFrame, rules: Rules, cut: Callable[[DataFrame], DataFrame], *carried: str) -> DataFrame:
+    """The counts of each row, ``base_failed``, ``kept`` and the columns carried along; ``cut`` stores the counts once."""
+    failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)
+    measured = cut(counts(docs, *carried).select("*", *(c.alias(x) for x, c in _rates().items()), failed.alias("base_failed")))
+    names = [x for x, _ in rules.ranges]
+    limits = checkpointed(fences(sketches(measured, names), rules))
+    passes = ~F.col("base_failed")
+    for x in names:
+        passes = passes & (F.col(x) <= F.col(f"{x}_fence"))
+    # A source may hold many of the rows, so they aren't dealt by it.
+    if limits.count() <= MOST_GROUPS:
+        joined = measured.join(F.broadcast(limits), ["lang", "source"])
+    else:
+        spread = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")).join(spread, ["lang", "source", "salt"])
+    return joined.withColumn("kept", passes)
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -144,31 +171,27 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     Null, empty and blank texts have no words and fail the base rules. Rows repeat as they do in
     ``docs``; rates equal to a fence pass; other columns are not read; an empty table gives no rows.
     """
-    failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)
-    measured = checkpointed(counts(docs).select("*", *(c.alias(x) for x, c in _rates().items()), failed.alias("base_failed")))
-    names = [x for x, _ in rules.floors]
-    limits = fences(sketches(measured, names), rules)
-    passes = ~F.col("base_failed")
-    for x in names:
-        passes = passes & (F.col(x) <= F.col(f"{x}_fence"))
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return measured.join(limits, ["lang", "source"]).select(*columns, passes.alias("kept"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return _judged(docs, rules, checkpointed).select(*columns)
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents that ``judge`` keeps, columns as they were; rows without a doc_id or of a rejected doc_id go."""
-    rejected = judge(docs, rules).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.where("doc_id IS NOT NULL").join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that ``judge`` keeps, columns as they were; each row is judged by itself, whatever its doc_id.
+
+    The rows are stored beside their counts and filtered there, so that no text is shuffled.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return _judged(docs.select("doc_id", "text", "lang", "source", row), rules, written, "row").where("kept").select("row.*")
 
 
 def oracle(rules: Rules = Rules()) -> str:
     """``judge`` over the table ``documents`` in DuckDB's SQL."""
     space = "[\\x20\\x09-\\x0D]+"
-    names = [x for x, _ in rules.floors]
+    names = [x for x, _ in rules.ranges]
     rates = {"symbols": "n_symbols * 1000 // n_words", "shouts": "n_shouts * 1000 // n_words", "dup_lines": "n_dup_lines * 1000 // n_lines", "repeats": "n_repeat_words * 1000 // n_words", "word_length": "word_chars * 100 // n_words"}
     quart = lambda by: f"SELECT {by}rate, max(total) AS total, min(CASE WHEN below * 4 >= total THEN bucket END) AS q1, min(CASE WHEN below * 4 >= total * 3 THEN bucket END) AS q3 FROM (SELECT {by}rate, bucket, sum(sum(n)) OVER (PARTITION BY {by}rate ORDER BY bucket) AS below, sum(sum(n)) OVER (PARTITION BY {by}rate) AS total FROM sketch GROUP BY {by}rate, bucket) GROUP BY {by}rate"
-    fence = "greatest(q3 + (q3 - q1) * {}, floor)".format(rules.spread)
-    floors = ", ".join(f"('{x}', {n})" for x, n in rules.floors)
+    fence = lambda of: f"{of}.q3 + greatest({of}.q3 - {of}.q1, least) * {rules.spread}"
+    ranges = ", ".join(f"('{x}', {n})" for x, n in rules.ranges)
     kept = " AND ".join(f"{x} <= {x}_fence" for x in names)
     return f"""
 WITH base AS (
@@ -188,11 +211,13 @@ measured AS (SELECT *, {", ".join(f"coalesce({e}, 0) AS {x}" for x, e in rates.i
 each AS (UNPIVOT (SELECT lang, source, {", ".join(f"{x}::BIGINT AS {x}" for x in names)} FROM measured) ON {", ".join(names)} INTO NAME rate VALUE v),
 sketch AS (SELECT lang, source, rate, v - v % width + width - 1 AS bucket, count(*) AS n FROM (SELECT *, 1::BIGINT << greatest(0, length(bin(v)) - 6) AS width FROM each) GROUP BY ALL),
 own AS ({quart("lang, source, ")}), by_lang AS ({quart("lang, ")}), whole AS ({quart("")}),
-floors(rate, floor) AS (VALUES {floors}),
-picked AS (
-  SELECT own.lang, own.source, own.rate, floor, CASE WHEN own.total >= {rules.min_group} THEN own.q1 WHEN by_lang.total >= {rules.min_group} THEN by_lang.q1 ELSE whole.q1 END AS q1,
-    CASE WHEN own.total >= {rules.min_group} THEN own.q3 WHEN by_lang.total >= {rules.min_group} THEN by_lang.q3 ELSE whole.q3 END AS q3
-  FROM own JOIN by_lang ON own.lang = by_lang.lang AND own.rate = by_lang.rate JOIN whole ON own.rate = whole.rate JOIN floors ON own.rate = floors.rate),
-fences AS (SELECT lang, source, {", ".join(f"max(CASE WHEN rate = '{x}' THEN {fence} END) AS {x}_fence" for x in names)} FROM picked GROUP BY lang, source)
+ranges(rate, least) AS (VALUES {ranges}),
+levels AS (
+  SELECT own.lang, own.source, own.rate, CASE WHEN own.total >= {rules.min_group} THEN {fence("own")} END AS own_fence,
+    CASE WHEN by_lang.total >= {rules.min_group} THEN {fence("by_lang")} END AS lang_fence, {fence("whole")} AS all_fence
+  FROM own JOIN by_lang ON own.lang = by_lang.lang AND own.rate = by_lang.rate JOIN whole ON own.rate = whole.rate JOIN ranges ON own.rate = ranges.rate),
+wider AS (SELECT *, CASE WHEN lang_fence <= all_fence * {rules.far} THEN lang_fence ELSE all_fence END AS wide_fence FROM levels),
+picked AS (SELECT lang, source, rate, CASE WHEN own_fence <= wide_fence * {rules.far} THEN own_fence ELSE wide_fence END AS fence FROM wider),
+fences AS (SELECT lang, source, {", ".join(f"max(CASE WHEN rate = '{x}' THEN fence END) AS {x}_fence" for x in names)} FROM picked GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {kept} AS kept
 FROM measured JOIN fences USING (lang, source)"""
