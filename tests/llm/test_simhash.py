@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
+from tidemark.llm import components as components_of
 from tidemark.llm import simhash
 from tidemark.llm.components import components
 
@@ -62,16 +64,22 @@ def test_links_lose_no_pair(spark):
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 7), replace=False)) for b in base for _ in range(12)]
     prints = np.unique(np.array(near, np.uint64))
-    packed, whole = simhash.distance_table(prints, 6)
-    rows = [(int(p), int(w), *(int(b[i]) for b in packed)) for i, (p, w) in enumerate(zip(prints.view(np.int64), whole))]
-    table = spark.createDataFrame(rows, "print long, whole long, " + ", ".join(f"band{k} long" for k in range(6)))
+    table = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "print long")
     want = {(int(a), int(b)) for a in prints.view(np.int64) for b in prints.view(np.int64) if a < b and int(a ^ b).bit_count() <= 4 and (int(a) ^ int(b)) & (2**64 - 1)}
     want = {(a, b) for a, b in want if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
     full = {(int(a), int(b)) for a in prints.view(np.int64) for b in prints.view(np.int64) if a < b and ((int(a) ^ int(b)) & (2**64 - 1)).bit_count() <= 4}
-    assert {(r.a, r.b) for r in simhash.links(table).collect()} == full and want <= full
+    for bands in (None, 5, 6, 7, 9):  # any number of bands gives the same links
+        assert {(r.a, r.b) for r in simhash.links(table, bands=bands).collect()} == full and want <= full
 
 
-def test_components_of_paths_and_stars(spark):
+def test_more_fingerprints_get_more_bands():
+    chosen = [simhash.bands_for(n) for n in (0, 1000, 250_000, 10**7, 10**9, 10**11)]
+    assert chosen == sorted(chosen) and chosen[0] == 5 and chosen[2] == 6 and chosen[-1] > 8
+
+
+@pytest.mark.parametrize("hot", [200, 3])  # at 3, nodes with a third of the links take the way of hubs
+def test_components_of_paths_and_stars(spark, monkeypatch, hot):
+    monkeypatch.setattr(components_of, "HOT_NODES", hot)
     links = [(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 140)] + [(7, 7), (3, 2)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(51)}, **{k: 100 for k in range(100, 140)}}

@@ -12,16 +12,27 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import checkpointed
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+#: Nodes with more than this part of all links are joined by broadcast; so there are fewer than twice this.
+HOT_NODES = 200
+
+
+def _star(links: DataFrame, large: bool, most: int) -> DataFrame:
     """One star step over links ``a > b``: each neighbour (the larger ones, or the smaller ones and the
-    node itself) is linked to the smallest node of the neighbourhood."""
+    node itself) is linked to the smallest node of the neighbourhood.
+
+    Nodes with more than ``most`` links are a small table that is broadcast, so no task gets all links of one.
+    """
     if large:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        hung = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count("*").alias("n"))
     else:
-        low = links.groupBy("a").agg(F.min("b").alias("low"))
-        hung = links.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
+        both = links
+        low = links.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+    hubs, others = F.broadcast(low.where(F.col("n") > most)), low.where(F.col("n") <= most)
+    hung = both.join(hubs, "a").unionByName(both.join(hubs.select("a"), "a", "left_anti").join(others, "a"))
+    hung = (hung.where("b > a") if large else hung).select(F.col("b").alias("a"), F.col("low").alias("b"))
+    if not large:
+        hung = hung.unionByName(low.select("a", F.col("low").alias("b")))
     return hung.where("a > b").distinct()
 
 
@@ -37,4 +48,5 @@ def components(links: DataFrame) -> DataFrame:
         if mark == before or mark[0] == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = mark
-        edges = checkpointed(_star(_star(edges, large=True), large=False))
+        most = mark[0] // HOT_NODES
+        edges = checkpointed(_star(_star(edges, True, most), False, most))

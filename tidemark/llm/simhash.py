@@ -4,10 +4,11 @@ Every distinct fingerprint gets a row of Hamming distances to fixed reference fi
 obey the triangle inequality, so two fingerprints whose distances to some reference differ by more than
 the threshold can't be a pair. References alone prune random 64-bit values poorly (one reference keeps
 57 % of all pairs at threshold 4) and give no join key, so distances are also taken within bands: the 64
-bits are cut into ``threshold + 2`` bands, and a pair within the threshold has at least two equal bands,
-in which all its distances are equal. The job is then
+bits are cut into more bands than the threshold, and a pair within it has at least ``bands - threshold``
+equal bands, in which all its distances are equal. More bands give longer keys in more combinations; how
+many follows from the number of distinct fingerprints, and the result is the same with any. The job is then
 
-1. an equi-join on the reference distances of each two bands,
+1. an equi-join on the reference distances of each ``bands - threshold`` bands,
 2. the discard of pairs whose largest coordinate difference over all references exceeds the threshold,
 3. the comparison of the fingerprints themselves for those that are left.
 
@@ -17,13 +18,14 @@ Equal fingerprints count once in all of this. The links are exact: none is lost,
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, map_batches, text_or_empty
+from tidemark.llm.common import checkpointed, keep_rows, map_batches, text_or_empty
 from tidemark.llm.components import components
 
 #: References within bands (a distance takes 4 bits) and over all 64 bits (a distance takes 8 bits).
@@ -73,29 +75,45 @@ def distance_table(prints: np.ndarray, bands: int) -> tuple[list[np.ndarray], np
     return [p.view(np.int64) for p in packed], whole.sum(1, dtype=np.uint64).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, bands: int = 6) -> DataFrame:
-    """``doc_id, print`` (signed 64-bit) with the packed distance table ``whole, band0, band1, ...``."""
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """``doc_id, print`` (signed 64-bit), one row per row of ``docs``."""
 
-    def run(doc_ids, texts, shingle, bands):
-        prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
-        packed, whole = distance_table(prints, bands)
-        return {"doc_id": doc_ids, "print": prints.view(np.int64), "whole": whole} | {f"band{k}": p for k, p in enumerate(packed)}
+    def run(doc_ids, texts, shingle):
+        return {"doc_id": doc_ids, "print": np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)}
 
-    schema = "doc_id long,print long,whole long," + ",".join(f"band{k} long" for k in range(bands))
-    return map_batches(docs.select("doc_id", text_or_empty()), run, schema, shingle, bands)
+    return map_batches(docs.select("doc_id", text_or_empty()), run, "doc_id long,print long", shingle)
 
 
-def links(table: DataFrame, threshold: int = 4, bands: int = 6) -> DataFrame:
-    """``a, b`` pairs of distinct fingerprints at most ``threshold`` bits apart.
+def bands_for(prints: int, threshold: int = 4) -> int:
+    """The number of bands with the fewest rows and expected random candidates, for so many distinct fingerprints."""
 
-    ``table``: distinct fingerprints with their distances. ``bands`` must exceed ``threshold``; more bands
-    give longer join keys for larger tables.
+    def work(bands: int) -> float:
+        return comb(bands, threshold) * (prints + prints**2 / 2 / 2 ** (64 * (bands - threshold) / bands))
+
+    return min(range(max(threshold + 1, -(-64 // 15)), threshold + 8), key=work)
+
+
+def distances(prints: DataFrame, bands: int) -> DataFrame:
+    """``print, whole, band0, band1, ...``: the packed distance table of distinct fingerprints."""
+
+    def run(prints, bands):
+        packed, whole = distance_table(np.array(prints, np.int64).view(np.uint64), bands)
+        return {"print": prints, "whole": whole} | {f"band{k}": p for k, p in enumerate(packed)}
+
+    return map_batches(prints.select("print"), run, "print long,whole long," + ",".join(f"band{k} long" for k in range(bands)), bands)
+
+
+def links(prints: DataFrame, threshold: int = 4, bands: int | None = None) -> DataFrame:
+    """``a, b`` pairs of fingerprints at most ``threshold`` bits apart, from distinct ones (column ``print``).
+
+    ``bands`` must exceed ``threshold``; left out, it follows from the number of fingerprints.
     """
+    bands = bands or bands_for(prints.count(), threshold)
     if bands <= threshold or -(-64 // bands) > 15:
         raise ValueError("bands must exceed the threshold, and be 5 at least")
     keys = [F.struct(F.lit(k).alias("of"), *(F.col(f"band{b}").alias(f"k{i}") for i, b in enumerate(some))) for k, some in enumerate(combinations(range(bands), bands - threshold))]
     names = ["of", *(f"k{i}" for i in range(bands - threshold))]
-    spread = table.select("print", "whole", F.explode(F.array(*keys)).alias("key")).select("print", "whole", "key.*")
+    spread = distances(prints, bands).select("print", "whole", F.explode(F.array(*keys)).alias("key")).select("print", "whole", "key.*")
     left = spread.select(*names, F.col("print").alias("a"), F.col("whole").alias("wa"))
     right = spread.select(*names, F.col("print").alias("b"), F.col("whole").alias("wb"))
     differ = [F.abs(F.shiftright("wa", 8 * k).bitwiseAND(F.lit(255)) - F.shiftright("wb", 8 * k).bitwiseAND(F.lit(255))) for k in range(WHOLE_REFERENCES)]
@@ -103,7 +121,7 @@ def links(table: DataFrame, threshold: int = 4, bands: int = 6) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, bands: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, bands: int | None = None) -> DataFrame:
     """``doc_id, fingerprint, component_id``: one row per document, the component being the smallest
     doc_id that links lead to.
 
@@ -112,9 +130,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, bands
     are kept apart, but each counts with its doc_id; a null doc_id stays null and counts as no smallest
     one. Other columns are not read. An empty table gives no rows.
     """
-    prints = checkpointed(fingerprints(docs, shingle, bands))
-    rest = [c for c in prints.columns if c not in ("doc_id", "print")]
-    table = checkpointed(prints.groupBy("print").agg(F.count("*").alias("n"), F.min("doc_id").alias("smallest"), *(F.first(c).alias(c) for c in rest)))
+    prints = checkpointed(fingerprints(docs, shingle))
+    table = checkpointed(prints.groupBy("print").agg(F.count("*").alias("n"), F.min("doc_id").alias("smallest")))
     linked = components(links(table, threshold, bands)).withColumnRenamed("node", "print")
     named = table.select("print", "smallest").join(linked, "print")
     low = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
@@ -129,10 +146,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, bands
     return joined.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each_group(docs: DataFrame, shingle: int = 4, threshold: int = 4, bands: int = 6) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, shingle: int = 4, threshold: int = 4, bands: int | None = None) -> DataFrame:
     """The documents without those that have a smaller doc_id in their component; columns as they were.
 
     Rows without a doc_id stay. Of repeated rows of one doc_id all stay.
     """
     gone = near_duplicates(docs, shingle, threshold, bands).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return keep_rows(docs, gone, "doc_id", "left_anti").select(*docs.columns)
