@@ -76,10 +76,10 @@ def rows():
 
 def test_against_brute_force(spark, rows):
     docs = spark.createDataFrame(rows + [(3, None), (3, rows[3][1]), (None, ""), (7, "x " * 20000 + "196.3.67.149")], "doc_id long, text string").selectExpr("*", "1 AS found", "'x' AS kind")
-    got = [(r.doc_id, r.text) for r in pii.pseudonyms(docs).collect()]
+    got = [(r.doc_id, r.text) for r in pii.pseudonyms(docs, "tidemark").collect()]
     want = [(d, plain(t)) for d, t in rows] + [(3, None), (3, plain(rows[3][1])), (None, ""), (7, plain("x " * 20000 + "196.3.67.149"))]
     assert sorted(got, key=str) == sorted(want, key=str)
-    assert pii.pseudonyms(docs.limit(0)).count() == 0
+    assert pii.pseudonyms(docs.limit(0), "k").count() == 0
 
 
 def test_undo_and_other_kinds(spark):
@@ -99,7 +99,7 @@ def test_undo_and_other_kinds(spark):
 
 
 def test_equal_addresses_stay_linked(spark):
-    got = {r.doc_id: r.text for r in pii.pseudonyms(spark.createDataFrame([(1, "to a.b@x.example.com."), (2, "A.B@x.example.com"), (3, "c@x.example.com")], "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in pii.pseudonyms(spark.createDataFrame([(1, "to a.b@x.example.com."), (2, "A.B@x.example.com"), (3, "c@x.example.com")], "doc_id long, text string"), "k").collect()}
     assert got[1][3:-1] == got[2] != got[3] and "example" not in "".join(got.values())
 
 

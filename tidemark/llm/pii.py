@@ -1,7 +1,8 @@
 """Pseudonyms for personal data that keep the format, with DataFrame functions only.
 
-Numbers and dates that pass validation (card numbers and IBANs by their check digits, phone numbers,
-social security numbers and addresses by their ranges, dates by the calendar) are permuted by a keyed
+Numbers and dates that pass validation (card numbers and IBANs by their check digits, social security
+numbers and addresses by their ranges, dates by the calendar, phone numbers by their form alone, as
+numbers in texts often have areas that don't exist) are permuted by a keyed
 Feistel network within the set of valid values of their format. Equal values get equal pseudonyms in all
 documents, different values different ones, and the key's holder can undo it. Mail addresses, which have
 no fixed format, get a keyed hash in the form of an address.
@@ -233,7 +234,7 @@ def _kind(match: Column) -> Column:
     return out.otherwise("card")
 
 
-def pseudonyms(docs: DataFrame, key: str = "tidemark", undo: bool = False) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
     """``doc_id, n_email, n_iban, n_phone, n_date, n_ip, n_ssn, n_card, text``: texts with pseudonyms, and how many of each kind.
 
     A null text stays null with zero counts; empty texts and texts without valid personal data come out

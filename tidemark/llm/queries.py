@@ -10,6 +10,10 @@ from tidemark.llm import audio, bpe, html_extract, license_scan, packing, pii, q
 from tidemark.llm.common import table
 
 
+#: The key of the registered query only; pseudonyms that must hold need a secret one.
+EXAMPLE_KEY = "tidemark"
+
+
 def op1_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonyms(table(spark, sf_dir, "documents"))
+    return pii.pseudonyms(table(spark, sf_dir, "documents"), EXAMPLE_KEY)
 
 
 def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
