@@ -1,8 +1,13 @@
+import shutil
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import classify as cl
+from tidemark.operators import timeseries as ts
+from tidemark.schema import DAY_MS
 from tidemark.sources.tables import Store
 from tidemark.streaming import stateful as st
 
@@ -97,11 +102,82 @@ def test_streamed_ingest(spark, tmp_path):
         st.ingest_stream(stream, store, lambda: 5, cl.Config(min_seen=2)).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     texts = {r.frame_id: (r.content_text, r.raw_text) for r in store.read("frame_text").collect()}
     assert texts == {0: ("Menu\nbody", "Menu\nbody"), 1: ("body", "Menu\nbody"), 2: ("body", "Menu\nbody")}
-    assert store.read("chrome_text_catalog").first().seen_count == 3
+    assert st.catalog(store, 2).first().seen_count == 3 and st.catalog(store, 2).count() == 1
     assert store.read("jobs").count() == 3 and store.read("frames").count() == 3
-    before = store.versions("frames")
-    st.ingest_batch(store, spark.read.schema(frame).parquet(f"{tmp_path}/in").drop("spans"), spark.createDataFrame([], "frame_id long, span_index int, text string, normalized_text string, source string, x float, y float, w float, h float, line_index int"), 6)
-    assert store.read("frames").count() == 3 and store.versions("frames") != before  # frames that are stored aren't taken again
+    assert store.versions("frames") == [] and len(store.batches("frames")) == 3  # appended, nothing is rewritten
+    before = store.read("frames").inputFiles()
+    again = spark.read.schema(frame).parquet(f"{tmp_path}/in")
+    st.ingest_batch(store, again.drop("spans"), again.select("frame_id", F.explode("spans").alias("s")).select("frame_id", "s.*"), 6)
+    assert store.read("frames").count() == store.read("jobs").count() == 3 and set(before) <= set(store.read("frames").inputFiles())  # frames that are stored aren't taken again
+    store.compact("frames")
+    assert store.versions("frames") == [1] and store.batches("frames") == [] and store.read("frames").count() == 3
+
+
+FRAME = "frame_id long, seq long, captured_at long, monitor_index int, width int, height int, image_path string, content_hash string, app_hint string, window_title string, browser_url string, activity_type string, app string, title string, rect struct<x:float,y:float,w:float,h:float>"
+SPAN = "frame_id long, span_index int, text string, normalized_text string, source string, x float, y float, w float, h float, line_index int"
+
+
+def some_frames(spark, ids):
+    rect = (0.1, 0.1, 0.8, 0.8)
+    frames = [(k, k, DAY_MS * k, 0, 10, 10, f"frames/{k}.jpg", "h", "ed", None, None, None, "ed", None, rect) for k in ids]
+    spans = [(k, n, t, t.lower(), "ocr", x, x, 0.05, 0.02, n) for k in ids for n, (t, x) in enumerate((("Menu", 0.11), ("body", 0.5)))]
+    return spark.createDataFrame(frames, FRAME), spark.createDataFrame(spans, SPAN)
+
+
+def contents(store):
+    jobs = sorted((r.job_id, r.kind, r.frame_id, r.state) for r in store.read("jobs").collect())
+    texts = sorted((r.frame_id, r.content_text, r.suppressed_count) for r in store.read("frame_text").collect())
+    seen = sorted((r.signature, r.seen_count) for r in st.catalog(store, 2).collect())
+    return jobs, texts, seen, store.read("text_spans").count(), sorted(r.frame_id for r in store.read("frames").collect())
+
+
+def test_a_batch_that_failed_anywhere_can_run_again(spark, tmp_path):
+    class Broken(Store):
+        left = None
+
+        def append(self, name, df, batch):
+            if self.left is not None:
+                if self.left == 0:
+                    raise OSError("lost")
+                self.left -= 1
+            super().append(name, df, batch)
+
+    config, wanted = cl.Config(min_seen=2), Store(spark, f"file://{tmp_path}/whole")
+    st.ingest_batch(wanted, *some_frames(spark, [1, 2]), 5, config)
+    for fails_at in range(5):
+        shutil.copytree(f"{tmp_path}/whole", f"{tmp_path}/broken{fails_at}")
+    st.ingest_batch(wanted, *some_frames(spark, [3, 4]), 5, config)
+    for fails_at in range(5):  # between every two of the five tables
+        store = Broken(spark, f"file://{tmp_path}/broken{fails_at}")
+        store.left = fails_at
+        with pytest.raises(OSError):
+            st.ingest_batch(store, *some_frames(spark, [3, 4]), 5, config)
+        store.left = None
+        if fails_at == 4:  # a worker takes the job meanwhile
+            store.write("jobs", store.read("jobs"))
+        st.ingest_batch(store, *some_frames(spark, [3, 4]), 5, config)
+        assert contents(store) == contents(wanted)
+
+
+def test_days_are_pruned(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    st.ingest_batch(store, *some_frames(spark, [1, 2, 3, 4]), 5)
+    frames = ts.within(store.read("frames"), 2 * DAY_MS, 3 * DAY_MS)
+    assert [r.frame_id for r in frames.collect()] == [2]
+    plan = frames._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "(day#" in plan
+    store.compact("frames")
+    assert [r.frame_id for r in ts.within(store.read("frames"), 2 * DAY_MS, 3 * DAY_MS).collect()] == [2]
+
+
+def test_plain_ingest(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    frames, texts = some_frames(spark, [1, 2])[0], spark.createDataFrame([(1, "raw words")], "frame_id long, raw_text string")
+    for _ in range(2):
+        st.ingest_plain(store, frames, texts, 5, "a")
+    rows = sorted((r.frame_id, r.content_text, r.raw_text, r.filter_version, r.suppressed_count) for r in store.read("frame_text").collect())
+    assert rows == [(1, "raw words", "raw words", 0, 0), (2, "", "", 0, 0)] and store.read("jobs").count() == 2
+    assert store.read("text_spans").count() == 0 and st.catalog(store).count() == 0
 
 
 def test_debounce(spark, tmp_path):

@@ -6,14 +6,20 @@ stores it (``sources.tables.Store``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import schema
+from tidemark.operators import timeseries as ts
 
 BACKOFF_BASE_MS, BACKOFF_MOST_MS = 1000, 60_000
 
+#: Jobs that are numbered together, about; jobs that one claim may take.
+SLICE, MOST_CLAIMED = 100_000, 100_000
+
 
 def stats(jobs: DataFrame) -> DataFrame:
     """One row with a column per state; states without jobs count zero."""
@@ -24,14 +30,25 @@ def pending_vision(jobs: DataFrame) -> DataFrame:
     return jobs.where((F.col("kind") == "vision_tag") & F.col("state").isin("pending", "running")).agg(F.count("*").alias("n"))
 
 
-def enqueue(jobs: DataFrame, new: DataFrame, now: int) -> DataFrame:
-    """Append pending jobs; ids continue after the largest one in the order of the caller's ``seq``."""
-    top = jobs.agg(F.coalesce(F.max("job_id"), F.lit(0)).alias("top"))
-    numbered = new.withColumn("job_id", F.row_number().over(W.orderBy("seq")).cast("long")).join(F.broadcast(top)).withColumn("job_id", F.col("job_id") + F.col("top"))
-    fixed = {"state": F.lit("pending"), "attempts": F.lit(0).cast("long"), "last_error": F.lit(None).cast("string"), "updated_at": F.lit(now).cast("long")}
+def numbered(jobs: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """New pending jobs with the columns of ``jobs``; ids continue after the largest one in the order of the caller's ``seq``.
+
+    Ranks are taken within slices of ``seq`` and shifted by the counts of the slices before.
+    """
+    top = jobs.agg(F.coalesce(F.max("job_id"), F.lit(0)).alias("top"))  # one row
+    sliced = new.withColumn("__slice", F.floor(F.col("seq") / SLICE))
+    before = W.orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    shift = sliced.groupBy("__slice").agg(F.count("*").alias("n")).select("__slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    own = F.row_number().over(W.partitionBy("__slice").orderBy("seq", *(c for c in ("frame_id", "kind") if c in new.columns)))
+    placed = sliced.withColumn("own", own).join(shift, "__slice").join(F.broadcast(top))
+    fixed = {"job_id": F.col("own") + F.col("shift") + F.col("top"), "state": F.lit("pending"), "attempts": F.lit(0).cast("long"), "last_error": F.lit(None).cast("string"), "updated_at": F.lit(now).cast("long")}
     defaults = {"priority": F.lit(0).cast("long"), "max_attempts": F.lit(3).cast("long"), "not_before": F.lit(0).cast("long"), "frame_id": F.lit(None).cast("long")}
-    columns = fixed | {c: d for c, d in defaults.items() if c not in new.columns}
-    return jobs.unionByName(numbered.withColumns(columns).select(*jobs.columns))
+    return placed.withColumns(fixed | {c: d for c, d in defaults.items() if c not in new.columns}).select(*jobs.columns)
+
+
+def enqueue(jobs: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """The queue with new pending jobs."""
+    return jobs.unionByName(numbered(jobs, new, now))
 
 
 def claimable(jobs: DataFrame, kinds: list[str], limit: int, now: int) -> DataFrame:
@@ -43,7 +60,9 @@ def claimable(jobs: DataFrame, kinds: list[str], limit: int, now: int) -> DataFr
 
 
 def claim(jobs: DataFrame, kinds: list[str], limit: int, now: int) -> DataFrame:
-    """The queue after the claim; claimed jobs are running."""
+    """The queue after the claim; claimed jobs are running. They are broadcast, so their number is checked."""
+    if limit > MOST_CLAIMED:
+        raise ValueError(f"one claim takes at most {MOST_CLAIMED} jobs")
     taken = claimable(jobs, kinds, limit, now).select("job_id", F.lit(True).alias("taken"))
     out = jobs.join(F.broadcast(taken), "job_id", "left")  # at most ``limit`` rows
     return out.withColumn("state", F.when(F.col("taken"), "running").otherwise(F.col("state"))).withColumn("updated_at", F.when(F.col("taken"), now).otherwise(F.col("updated_at"))).select(*jobs.columns)
@@ -56,10 +75,58 @@ def _change(jobs: DataFrame, ids: DataFrame, changes: dict[str, Column]) -> Data
 
 
 def not_running(jobs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The ids that can't be finished: callers raise if there are any."""
+    """The ids that can't be finished."""
     return ids.select("job_id").join(jobs.where("state = 'running'"), "job_id", "left_anti")
 
 
+def check_running(jobs: DataFrame, ids: DataFrame) -> None:
+    """Raise if a job isn't there or isn't running."""
+    if wrong := not_running(jobs, ids).orderBy("job_id").limit(5).collect():
+        raise LookupError(f"jobs that aren't running: {', '.join(str(r.job_id) for r in wrong)}")
+
+
+def retention_sweep(frames: DataFrame, now: int, days: int, deleted: Callable[[list[str]], list[bool]], limit: int = 1000) -> DataFrame:
+    """``frame_id`` of at most ``limit`` expired frames whose image file ``deleted`` has removed; a frame whose file stays is kept."""
+    rows = ts.retention_candidates(frames, now, days, limit).collect()  # at most ``limit`` rows
+    gone = deleted([r.image_path for r in rows])
+    return frames.sparkSession.createDataFrame([(r.frame_id,) for r, ok in zip(rows, gone) if ok], "frame_id long")
+
+
+def work_once(jobs: DataFrame, kinds: list[str], now: int, work: Callable[[DataFrame], DataFrame], batch: int = 1) -> tuple[DataFrame, int]:
+    """Claim up to ``batch`` due jobs, do them and finish them: the queue afterwards, and how many there were.
+
+    ``work`` gets the claimed jobs and returns ``job_id`` and the columns of ``route_outcomes``.
+    """
+    taken = claimable(jobs, kinds, batch, now)
+    ids = [r.job_id for r in taken.select("job_id").collect()]
+    if not ids:
+        return jobs, 0
+    running = claim(jobs, kinds, batch, now)
+    routed = route_outcomes(work(running.where(F.col("job_id").isin(ids))), now)
+    out = running.join(F.broadcast(routed), "job_id", "left")  # at most ``batch`` rows
+    again = (F.col("outcome") == "retry") & (F.col("attempts") + 1 < F.col("max_attempts"))
+    failed = F.col("outcome").isin("retry", "dead")
+    changes = {
+        "state": F.when(F.col("outcome") == "done", "done").when(again, "pending").when(failed, "dead").otherwise(F.col("state")),
+        "not_before": F.when(again, F.col("retry_at")).otherwise(F.col("not_before")).cast("long"),
+        "last_error": F.when(failed, F.coalesce("last_error", F.lit("the provider failed"))).otherwise(F.col("last_error")),
+        "updated_at": F.when(F.col("outcome").isNotNull(), F.lit(now)).otherwise(F.col("updated_at")).cast("long"),
+        "attempts": F.col("attempts") + F.when(failed, 1).otherwise(0),
+    }
+    done = out.select(*(changes[c].alias(c) if c in changes else F.col(c) for c in jobs.columns))
+    return done, len(ids)
+
+
+def idle_wait_ms(waited: int) -> int:
+    """How long a worker without jobs waits: 250 ms, doubled up to two seconds."""
+    return min(2 * waited, 2000) if waited else 250
+
+
+def refill(idle: bool, in_flight: int, batch: int, backlog: int) -> tuple[int, bool]:
+    """How many frames an idle producer adds, and whether models stay loaded because there was a backlog."""
+    take = min(batch, backlog) if wants_refill(idle, in_flight, batch) else 0
+    return take, take > 0
+
 def complete(jobs: DataFrame, ids: DataFrame, now: int) -> DataFrame:
     return _change(jobs, ids, {"state": F.lit("done"), "updated_at": F.lit(now).cast("long")})
 

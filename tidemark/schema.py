@@ -26,8 +26,13 @@ VISION = T.StructType([_f("frame_id", T.LongType(), False), _f("description", T.
 EMBEDDINGS = T.StructType([_f("frame_id", T.LongType(), False), _f("chunk_index", T.IntegerType(), False), _f("chunk_text", T.StringType()), _f("source", T.StringType()), _f("model", T.StringType()), _f("embedding", T.ArrayType(T.FloatType()))])
 JOBS = T.StructType([_f("job_id", T.LongType(), False), _f("kind", T.StringType()), _f("frame_id", T.LongType()), _f("state", T.StringType()), _f("priority", T.LongType()), _f("attempts", T.LongType()), _f("max_attempts", T.LongType()), _f("not_before", T.LongType()), _f("last_error", T.StringType()), _f("updated_at", T.LongType())])
 CATALOG = T.StructType([_f("signature", T.StringType(), False), _f("app_hint", T.StringType()), _f("region_bucket", T.StringType()), _f("normalized_text", T.StringType()), _f("seen_count", T.LongType()), _f("first_seen_at", T.LongType()), _f("last_seen_at", T.LongType()), _f("suppressed", T.BooleanType())])
+IMAGE_EMBEDDINGS = T.StructType([_f("frame_id", T.LongType(), False), _f("model", T.StringType()), _f("embedding", T.ArrayType(T.FloatType()))])
+FRAME_TAGS = T.StructType([_f("frame_id", T.LongType(), False), _f("name", T.StringType())])
+SETTINGS = T.StructType([_f("key", T.StringType(), False), _f("value", T.StringType())])
 
-TABLES = {"frames": FRAMES, "frame_text": FRAME_TEXT, "text_spans": SPANS, "vision_analysis": VISION, "embeddings": EMBEDDINGS, "jobs": JOBS, "chrome_text_catalog": CATALOG}
+TABLES = {"frames": FRAMES, "frame_text": FRAME_TEXT, "text_spans": SPANS, "vision_analysis": VISION, "embeddings": EMBEDDINGS, "jobs": JOBS, "chrome_text_catalog": CATALOG, "image_embeddings": IMAGE_EMBEDDINGS, "frame_tags": FRAME_TAGS, "settings": SETTINGS}
+#: Tables whose files lie in a directory per day, which windows of time prune.
+BY_DAY = ("frames", "frame_text", "text_spans")
 SATELLITES = ("frame_text", "text_spans", "vision_analysis", "embeddings", "image_embeddings", "jobs", "frame_tags")
 
 

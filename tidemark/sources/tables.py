@@ -7,8 +7,12 @@ for the oracles.
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark import schema
 
@@ -100,35 +104,107 @@ FRAME_TAGS_SQL = "SELECT doc_id AS frame_id, CASE WHEN quality = 1 THEN 'good' E
 WITH = f"frames AS ({FRAMES_SQL}), frame_text AS ({FRAME_TEXT_SQL}), vectors AS ({VECTORS_SQL}), jobs AS ({JOBS_SQL}), frame_tags AS ({FRAME_TAGS_SQL})"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: the one that ``spark.checkpoint.dir`` names.
+
+    Where the session names none, a folder of this machine does in local mode, as in tests; on a cluster
+    that is an error, since other machines would not see its files.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        named = sc.getCheckpointDir()
+    return named
+
+
+def fingerprint(df: DataFrame) -> str:
+    """A name for the files that a DataFrame reads, by their paths, sizes and times."""
+    conf, path_of = df.sparkSession._jsc.hadoopConfiguration(), df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    seen = hashlib.sha256()
+    for name in sorted(df.inputFiles()):
+        path = path_of(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        seen.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return seen.hexdigest()[:24]
+
+
 class Store:
-    """A directory of Parquet tables. Writers append whole versions; readers take the newest complete one.
+    """A directory of Parquet tables: whole versions, and batches appended to the newest one.
 
-    There is one writer at a time; a version is visible once its marker is written, so a lost job leaves
-    the version before in place.
+    There is one writer at a time. A version or batch is visible once its marker is written, so a lost job
+    leaves what was before in place. A batch has a name, and writing it again replaces it, so a batch that
+    failed halfway can be run again. Tables of ``schema.BY_DAY`` are partitioned by day where rows have one.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def versions(self, name: str) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
+        schema.check_version(self.schema_version())
+
+    def _listed(self, path: str, prefix: str) -> list[str]:
+        """Names of complete directories below a path, without the prefix they begin with."""
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
             return []
-        done = [s.getPath() for s in fs.listStatus(path)]
-        return sorted(int(p.getName()[1:]) for p in done if p.getName().startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        found = [s.getPath() for s in fs.listStatus(at)]
+        return [p.getName()[len(prefix) :] for p in found if p.getName().startswith(prefix) and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
 
-    def read(self, name: str) -> DataFrame:
-        found = self.versions(name)
-        if not found:
-            return self.spark.createDataFrame([], schema.TABLES[name])
-        return self.spark.read.parquet(f"{self.root}/{name}/v{found[-1]}")
+    def schema_version(self) -> int:
+        """The version that the data was written with: the largest marker, or this build's where there is none."""
+        return max(map(int, self._listed(f"{self.root}/_schema", "v")), default=schema.SCHEMA_VERSION)
 
-    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> int:
+    def versions(self, name: str) -> list[int]:
+        return sorted(map(int, self._listed(f"{self.root}/{name}", "v")))
+
+    def batches(self, name: str) -> list[str]:
+        """Names of the batches appended to the newest version."""
+        return sorted(self._listed(self._added(name), "batch="))
+
+    def _added(self, name: str) -> str:
+        return f"{self.root}/{name}/added-to-{(self.versions(name) or [0])[-1]}"
+
+    def read(self, name: str, without: str | None = None) -> DataFrame:
+        """A table, if asked for without one of its batches."""
+        kind, versions = schema.TABLES[name], self.versions(name)
+        added = self._added(name)
+        paths = [f"{added}/batch={b}" for b in self.batches(name) if b != without]
+        day = StructType([*kind.fields, StructField("day", IntegerType())]) if name in schema.BY_DAY else kind
+        reader = self.spark.read.schema(day)
+        out = reader.parquet(f"{self.root}/{name}/v{versions[-1]}") if versions else None
+        if paths:
+            more = reader.option("basePath", added).parquet(*paths).drop("batch")
+            out = more if out is None else out.unionByName(more)
+        return self.spark.createDataFrame([], day) if out is None else out
+
+    def batch(self, name: str, batch: str) -> DataFrame:
+        return self.spark.read.schema(schema.TABLES[name]).parquet(f"{self._added(name)}/batch={batch}")
+
+    def write(self, name: str, df: DataFrame) -> int:
+        """The next version of a table, in place of the one before and its batches."""
         version = (self.versions(name) or [0])[-1] + 1
-        df.write.parquet(f"{self.root}/{name}/v{version}", partitionBy=partition_by)
+        self._save(name, df, f"{self.root}/{name}/v{version}")
         return version
 
+    def append(self, name: str, df: DataFrame, batch: str) -> None:
+        """Add a batch; it replaces the one of its name."""
+        self._save(name, df, f"{self._added(name)}/batch={batch}")
+
+    def compact(self, name: str) -> int:
+        """Fold the batches into the next version. Call it between batches, when none has to be run again."""
+        return self.write(name, self.read(name))
+
+    def _save(self, name: str, df: DataFrame, path: str) -> None:
+        if not self._listed(f"{self.root}/_schema", "v"):
+            self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/_schema/v{schema.SCHEMA_VERSION}")
+        if name == "frames":
+            df = df.withColumn("day", F.floor(F.col("captured_at") / schema.DAY_MS).cast("int"))
+        by = ["day"] if name in schema.BY_DAY and "day" in df.columns else None
+        df.write.mode("overwrite").parquet(path, partitionBy=by)
+
 
 def storage_classes(spark: SparkSession, classes: dict[str, str]) -> DataFrame:
     """``class, n_files, n_bytes`` of directories, from file metadata alone."""

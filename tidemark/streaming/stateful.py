@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark import schema
 from tidemark.operators import classify as cl
 from tidemark.operators import queue
+from tidemark.operators.timeseries import within
+from tidemark.schema import DAY_MS
 from tidemark.sources.tables import Store
 
 #: Side of the luma grid, weights of red, green and blue in 256ths, change that keeps a frame.
@@ -129,40 +132,69 @@ def split_think(pieces: DataFrame) -> DataFrame:
     return parts.where("text <> ''").select("stream_id", F.col("part").cast("long").alias("seq"), (F.col("part") % 2 == 1).alias("thinking"), "text")
 
 
-def ingest_batch(store: Store, frames: DataFrame, spans: DataFrame, now: int, config: cl.Config = cl.Config()) -> None:
-    """One micro-batch: classify against the stored catalog, then write the next version of every table.
+def catalog(store: Store, min_seen: int = cl.Config().min_seen, without: str | None = None) -> DataFrame:
+    """The catalog of repeated lines: sightings are appended batch by batch and added up here."""
+    rows = store.read("chrome_text_catalog", without)
+    return cl.merge_catalog(rows.limit(0), rows, min_seen)
 
-    ``frames`` holds the columns of the frames table and ``seq, app, title, rect``. The catalog is written
-    last but one and the queue last, so a batch that is run again after a failure finds its frames stored
-    and skips them.
+
+def ingest_batch(store: Store, frames: DataFrame, spans: DataFrame, now: int, config: cl.Config = cl.Config(), batch: str | None = None) -> None:
+    """One micro-batch: classify against the catalog as it was before, then append to every table.
+
+    ``frames`` holds the columns of the frames table and ``seq, app, title, rect``. Frames that another
+    batch stored are left out. Nothing stored is rewritten: each table gets the files of this batch, in
+    directories by day. Frames come last and say that the batch is done; a batch that failed before, run
+    again under its name (a hash of its frames if none is given), replaces what it wrote, and all that it
+    reads leaves out its own files, so the result is that of one run.
     """
-    done = store.read("frames").select("frame_id")
-    frames = frames.join(done, "frame_id", "left_anti")
-    spans = spans.join(frames.select("frame_id"), "frame_id", "left_semi")
-    catalog = store.read("chrome_text_catalog")
-    lines = cl.line_roles(spans, frames, config, catalog)
+    low, high, key = frames.agg(F.min("captured_at"), F.max("captured_at"), F.sum(F.xxhash64("frame_id").cast("decimal(38,0)"))).first()
+    if low is None:
+        return
+    batch = batch or f"frames{key}"
+    done = within(store.read("frames", batch), low, high + 1).select("frame_id")
+    frames = frames.join(done, "frame_id", "left_anti").withColumn("day", F.floor(F.col("captured_at") / DAY_MS).cast("int"))
+    spans = spans.join(frames.select("frame_id", "day"), "frame_id")
+    lines = cl.line_roles(spans, frames, config, catalog(store, config.min_seen, batch)).persist()  # for three tables
     classified = cl.classify_spans(spans, lines)
     raw = cl.lines_of(spans).groupBy("frame_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_index", "text"))), lambda s: s["text"]), "\n").alias("raw_text"))
-    texts = frames.select("frame_id", F.col("title").alias("target_title"), F.col("app").alias("target_app")).join(raw, "frame_id", "left").join(cl.content_texts(lines), "frame_id", "left").join(cl.suppressed_counts(classified), "frame_id", "left")
+    texts = frames.select("frame_id", "day", F.col("title").alias("target_title"), F.col("app").alias("target_app")).join(raw, "frame_id", "left").join(cl.content_texts(lines), "frame_id", "left").join(cl.suppressed_counts(classified), "frame_id", "left")
     texts = texts.withColumns({"raw_text": F.coalesce("raw_text", F.lit("")), "content_text": F.coalesce("content_text", F.lit("")), "suppressed_count": F.coalesce("suppressed_count", F.lit(0)).cast("int"), "primary_source": F.lit("ocr"), "filter_version": F.lit(cl.FILTER_VERSION)})
-    jobs = frames.select("frame_id", F.lit("embed_text").alias("kind"), F.col("frame_id").alias("seq"))
-    new = {"text_spans": classified, "frame_text": texts, "chrome_text_catalog": None, "jobs": None, "frames": frames}
-    for name, rows in new.items():
-        old = store.read(name)
-        if name == "chrome_text_catalog":
-            store.write(name, cl.merge_catalog(old, cl.observations(lines, now), config.min_seen).select(*old.columns))
-        elif name == "jobs":
-            store.write(name, queue.enqueue(old, jobs, now))
-        else:
-            store.write(name, old.unionByName(rows.select(*old.columns)))
-
-
-def ingest_stream(stream: DataFrame, store: Store, clock: Callable[[], int], config: cl.Config = cl.Config()):
-    """A ``writeStream`` that ingests frames whose ``spans`` come as an array of structs."""
-
-    def batch(df: DataFrame, _: int) -> None:
+    _append(store, frames, texts, now, batch, {"text_spans": classified, "chrome_text_catalog": cl.observations(lines, now).withColumn("suppressed", F.col("seen_count") >= config.min_seen)})
+    lines.unpersist()
+
+
+def _append(store: Store, frames: DataFrame, texts: DataFrame, now: int, batch: str, others: dict[str, DataFrame]) -> None:
+    """The files of one batch, frames last; a job that is queued already isn't queued again."""
+    jobs = store.read("jobs", batch)
+    new = frames.select("frame_id", F.lit("embed_text").alias("kind"), F.col("frame_id").alias("seq")).join(jobs.select("frame_id", "kind"), ["frame_id", "kind"], "left_anti")
+    for name, rows in (others | {"frame_text": texts, "jobs": queue.numbered(jobs, new, now), "frames": frames}).items():
+        columns = [*schema.TABLES[name].names, *(["day"] if name in schema.BY_DAY else [])]
+        store.append(name, rows.select(*columns), batch)
+
+
+def ingest_plain(store: Store, frames: DataFrame, texts: DataFrame, now: int, batch: str) -> None:
+    """Frames with ``frame_id, raw_text`` taken as they are: the content is the raw text, of filter version 0, nothing suppressed."""
+    low, high = frames.agg(F.min("captured_at"), F.max("captured_at")).first()
+    if low is None:
+        return
+    done = within(store.read("frames", batch), low, high + 1).select("frame_id")
+    frames = frames.join(done, "frame_id", "left_anti").withColumn("day", F.floor(F.col("captured_at") / DAY_MS).cast("int"))
+    text = F.coalesce("raw_text", F.lit(""))
+    none = F.lit(None).cast("string")
+    rows = frames.select("frame_id", "day").join(texts.select("frame_id", "raw_text"), "frame_id", "left")
+    rows = rows.select("frame_id", "day", text.alias("raw_text"), text.alias("content_text"), F.lit("ocr").alias("primary_source"), F.lit(0).alias("filter_version"), F.lit(0).alias("suppressed_count"), none.alias("target_title"), none.alias("target_app"))
+    _append(store, frames, rows, now, batch, {})
+
+
+def ingest_stream(stream: DataFrame, store: Store, clock: Callable[[], int], config: cl.Config = cl.Config(), name: str = "stream"):
+    """A ``writeStream`` that ingests frames whose ``spans`` come as an array of structs.
+
+    Batches are named by the stream's ``name`` and their number, which stays the same when one is run again.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
         spans = df.select("frame_id", F.explode("spans").alias("s")).select("frame_id", "s.*")
-        ingest_batch(store, df.drop("spans"), spans, clock(), config)
+        ingest_batch(store, df.drop("spans"), spans, clock(), config, f"{name}-{number}")
 
     return stream.writeStream.foreachBatch(batch)
 
