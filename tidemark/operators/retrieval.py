@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,70 +27,122 @@ def candidate_pool(limit: int) -> int:
     return clamp(5 * limit, 50, 2000)
 
 
+#: Parts of an index by term, and tasks that share a part when it is written.
+BUCKETS, SHARES = 32, 8
+#: Terms up to which an index is asked by name; above, all of it is read and joined.
+NAMED_TERMS = 1_000
+
+
 @dataclass
 class Index:
-    """``tokens``: frame_id, tokens; ``postings``: frame_id, term, positions; ``lengths``: frame_id, size.
+    """``postings``: bucket, term, frame_id, size, positions; ``layer``: rows of texts, tokens, to be added up.
 
-    Texts without tokens belong to ``tokens`` and ``lengths`` too. A single search scans the tokens; a
-    batch goes by the postings.
+    ``size`` is the number of tokens of the frame's text. Terms lie in the bucket of their hash, so a stored
+    index is read only where the terms of a query are. Texts without tokens count in ``layer``.
     """
 
-    tokens: DataFrame
     postings: DataFrame
-    lengths: DataFrame
+    layer: DataFrame
+    buckets: int = BUCKETS
 
+    def of(self, terms: list[str]) -> DataFrame:
+        """The postings of a few terms; the buckets are constants that prune a stored index."""
+        if len(terms) > NAMED_TERMS:
+            return self.postings
+        buckets = [F.pmod(F.hash(F.lit(t)), F.lit(self.buckets)) for t in terms]
+        return self.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
-def build_index(texts: DataFrame, column: str, stemmed: bool = False) -> Index:
-    """The index of one text layer of ``frame_id, <column>``; callers store or cache the parts they use again.
+    def totals(self) -> DataFrame:
+        """One row: ``total`` texts and their ``mean`` number of tokens."""
+        return self.layer.agg(F.sum("texts").alias("total"), (F.sum("tokens") / F.sum("texts")).alias("mean"))
 
-    A batch filters postings by term before they are grouped, so an index that isn't stored still
-    shuffles only the rows of the terms asked for.
-    """
+
+def build_index(texts: DataFrame, column: str, stemmed: bool = False, buckets: int = BUCKETS) -> Index:
+    """The index of one text layer of ``frame_id, <column>``, for ``write_index`` or for use as it is."""
     words = tx.tokens(F.col(column))
-    docs = texts.select("frame_id", (tx.stems(words) if stemmed else words).alias("tokens"))
-    each = docs.select("frame_id", F.posexplode("tokens").alias("position", "term"))
-    return Index(docs, each.groupBy("frame_id", "term").agg(F.sort_array(F.collect_list("position")).alias("positions")), docs.select("frame_id", F.size("tokens").alias("size")))
+    docs = texts.select("frame_id", (tx.stems(words) if stemmed else words).alias("tokens")).withColumn("size", F.size("tokens"))
+    each = docs.select("frame_id", "size", F.posexplode("tokens").alias("position", "term"))
+    keyed = each.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets)))
+    postings = keyed.groupBy("bucket", "term", "frame_id", "size").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    return Index(postings, docs.agg(F.count("*").alias("texts"), F.sum("size").alias("tokens")), buckets)
+
 
+def write_index(texts: DataFrame, column: str, path: str, stemmed: bool = False, buckets: int = BUCKETS, segment: str = "all") -> None:
+    """Store the index of some texts as one segment; the segment is replaced if it is there.
 
-def _frequency(phrase: tuple[str, ...]) -> Column:
-    """How often a phrase stands in ``tokens``."""
-    if len(phrase) == 1:
-        return F.size("tokens") - F.size(F.array_remove("tokens", phrase[0]))
-    at = lambda i: [F.get("tokens", i + k) == t for k, t in enumerate(phrase)]
+    Files are dealt by bucket and frame, so a frequent term is shared by ``SHARES`` tasks, and are sorted
+    by term, so that row groups without a query's terms are skipped.
+    """
+    index = build_index(texts, column, stemmed, buckets)
+    dealt = index.postings.repartition(buckets * SHARES, "bucket", F.pmod(F.xxhash64("frame_id"), F.lit(SHARES)))
+    dealt.sortWithinPartitions("bucket", "term", "frame_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    # Written last: a segment without its totals isn't there yet.
+    index.layer.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/layer/segment={segment}")
 
-    def here(i: Column) -> Column:
-        first, *rest = at(i)
-        for x in rest:
-            first = first & x
-        return F.coalesce(first, F.lit(False))
 
-    may = F.array_contains("tokens", phrase[0]) & F.array_contains("tokens", phrase[1])
-    return F.when(may, F.size(F.filter(F.sequence(F.lit(0), F.size("tokens")), here))).otherwise(F.lit(0))
+def read_index(spark: SparkSession, path: str) -> Index:
+    """All segments of a stored index."""
+    layer = spark.read.parquet(f"{path}/layer")
+    return Index(spark.read.parquet(f"{path}/postings").drop("segment"), layer, layer.first().buckets)
+
+
+def segments(spark: SparkSession, path: str) -> list[str]:
+    """Names of the complete segments of a stored index."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/layer")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(p.getName().partition("=")[2] for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
 def score_phrases(index: Index, queries: list[list[list[str]]]) -> DataFrame:
     """``query, frame_id, score`` (lower is better) of frames with all phrases of a query, for a few queries at once.
 
-    Document counts and the mean length are those of the whole layer, whatever is asked for later. Nothing
-    is shuffled but one row of counts.
+    Document counts and the mean length are those of the whole layer, whatever is asked for later. Only
+    the postings of the queries' terms are read and shuffled, by frame.
     """
     phrases = sorted({tuple(p) for q in queries for p in q})
-    docs = index.tokens.select("frame_id", F.size("tokens").alias("size"), *(_frequency(p).alias(f"tf{k}") for k, p in enumerate(phrases)))
-    layer = docs.agg(F.count("*").alias("total"), F.avg("size").alias("mean"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(phrases))))
-    rows = docs.join(F.broadcast(layer))  # one row
+    terms = sorted({t for p in phrases for t in p})
+    alone = {p[0] for p in phrases if len(p) == 1}
+    together = {t for p in phrases if len(p) > 1 for t in p}
+    of = lambda t, what: F.max(F.when(F.col("term") == t, what))
+    counts = {t: of(t, F.size("positions")).alias(f"n{k}") for k, t in enumerate(terms) if t in alone}
+    places = {t: of(t, F.col("positions")).alias(f"p{k}") for k, t in enumerate(terms) if t in together}
+    found = index.of(terms).groupBy("frame_id", "size").agg(*counts.values(), *places.values())
+
+    def shifted(by: int):
+        return lambda x: x - by
+
+    def frequency(phrase: tuple[str, ...]) -> Column:
+        if len(phrase) == 1:
+            return F.coalesce(F.col(f"n{terms.index(phrase[0])}"), F.lit(0))
+        starts = [F.transform(f"p{terms.index(t)}", shifted(k)) for k, t in enumerate(phrase)]
+        both = starts[0]
+        for more in starts[1:]:
+            both = F.array_intersect(both, more)
+        return F.coalesce(F.size(both), F.lit(0))
+
+    docs = found.select("frame_id", "size", *(frequency(p).alias(f"tf{k}") for k, p in enumerate(phrases)))
+    holding = docs.agg(*(F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(phrases))))
+    rows = docs.join(F.broadcast(holding)).join(F.broadcast(index.totals()))  # one row each
     each = []
     for n, query in enumerate(queries):
         score, all_there = F.lit(0.0), F.lit(True)
         for p in query:
             k = phrases.index(tuple(p))
-            tf, n_p = F.col(f"tf{k}"), F.col(f"n{k}")
-            idf = F.greatest(F.log((F.col("total") - n_p + 0.5) / (n_p + 0.5)), F.lit(LEAST_IDF))
-            score = score + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+            tf = F.col(f"tf{k}")
+            score = score + bm25(tf, F.col(f"n{k}"))
             all_there = all_there & (tf > 0)
         each.append(F.when(all_there, F.struct(F.lit(n).alias("query"), (-score).alias("score"))))
-    # The outer form: a filter before it would be pushed below the tokens and count them anew for each use.
-    found = F.explode_outer(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("found")
-    return rows.select("frame_id", found).where("found IS NOT NULL").select("found.query", "frame_id", "found.score")
+    if len(each) == 1:
+        return rows.select("frame_id", each[0].alias("found")).where("found IS NOT NULL").select("found.query", "frame_id", "found.score")
+    some = F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("found")
+    return rows.select("frame_id", some).select("found.query", "frame_id", "found.score")
+
+
+def bm25(tf: Column, holding: Column) -> Column:
+    """A phrase's part of a score, beside the columns ``total, mean, size``."""
+    idf = F.greatest(F.log((F.col("total") - holding + 0.5) / (holding + 0.5)), F.lit(LEAST_IDF))
+    return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("size") / F.col("mean")))
 
 
 def text_arm(index: Index, frames: DataFrame, text: str, pool: int, start: int = MIN_MS, end: int = MAX_MS, stemmed: bool = False) -> DataFrame:
@@ -105,16 +158,28 @@ def with_rank(df: DataFrame, order: list, limit: int) -> DataFrame:
     return df.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
+def _first(k: int, query: np.ndarray, distance: np.ndarray, frame: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The ``k`` nearest rows of each query, sorted; ties go by frame and chunk."""
+    order = np.lexsort((chunk, frame, distance, query))
+    of = query[order]
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    place = np.arange(len(of)) - np.repeat(starts, np.diff(np.r_[starts, len(of)]))
+    return tuple(x[order[place < k]] for x in (query, distance, frame, chunk))
+
+
 def _nearest(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, block: int = 1024) -> DataFrame:
-    """``query_id, frame_id, chunk_index, distance`` (1 - cosine, in doubles): the best ``k`` per Arrow batch and query.
+    """``query_id, frame_id, chunk_index, distance`` (1 - cosine, in doubles): the best ``k`` per task and query.
 
-    Vectors of another length than the queries' raise.
+    A task holds its best ``k`` so far and emits them once, so ``MOST_RESULTS`` bounds what it holds and
+    what is shuffled grows with the tasks, not with the vectors. Vectors of another length than the
+    queries' raise.
     """
     q = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
     size = q.shape[1] if len(q) else 0
     schema = pa.schema([("query_id", pa.int64()), ("frame_id", pa.int64()), ("chunk_index", pa.int32()), ("distance", pa.float64())])
 
     def best(batches):
+        kth, held, waiting = np.full(len(q), np.inf), None, 0
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
@@ -123,14 +188,21 @@ def _nearest(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, b
                 raise ValueError(f"a vector doesn't have {size} dimensions")
             v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
             v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            frame, chunk = frame.to_numpy(), chunk.to_numpy()
+            frame, chunk, parts = frame.to_numpy(), chunk.to_numpy(), [held] if held else []
             for at in range(0, len(q), block):
                 d = 1 - q[at : at + block] @ v.T
                 # Ties at the k-th place go by id, so all rows as near as it stay in the race.
-                n = min(k, d.shape[1])
-                last = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
-                r, c = np.nonzero(d <= last)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + block][r]), pa.array(frame[c]), pa.array(chunk[c], pa.int32()), pa.array(d[r, c])], schema=schema)
+                if d.shape[1] >= k:
+                    kth[at : at + block] = np.minimum(kth[at : at + block], np.partition(d, k - 1, axis=1)[:, k - 1])
+                r, c = np.nonzero(d <= kth[at : at + block, None])
+                parts.append((r + at, d[r, c], frame[c], chunk[c]))
+            held = tuple(map(np.concatenate, zip(*parts)))
+            if len(held[0]) > waiting:
+                held = _first(k, *held)
+                waiting = 2 * len(held[0]) + 10_000
+        if held:
+            query, distance, frame, chunk = _first(k, *held)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(frame), pa.array(chunk, pa.int32()), pa.array(distance)], schema=schema)
 
     return vectors.select("frame_id", "chunk_index", "embedding").mapInArrow(best, "query_id long, frame_id long, chunk_index int, distance double")
 
@@ -156,19 +228,27 @@ def knn(vectors: DataFrame, frames: DataFrame, query: list[float], k: int, start
     return with_rank(first, ["distance", "frame_id"], k)
 
 
-#: Vectors of one batch of searches, and tokens of their texts.
-MOST_QUERIES, MOST_TOKENS = 100_000, 100_000
+#: Vectors of one batch of searches, tokens of their texts, and neighbours that a task may hold for them.
+MOST_QUERIES, MOST_TOKENS, MOST_RESULTS = 100_000, 100_000, 10_000_000
+
+
+def asked_for(queries: DataFrame, *columns: str) -> list:
+    """The rows of a query set, whose size is checked."""
+    rows = queries.select(*columns).limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
+        raise ValueError(f"a query set holds at most {MOST_QUERIES} rows; give more in several calls")
+    return rows
 
 
 def knn_batch(vectors: DataFrame, queries: DataFrame | list, k: int) -> DataFrame:
     """``query_id, frame_id, chunk_index, distance, rank`` of the ``k`` nearest chunks for each of a stated set of queries.
 
-    Vectors are compared with blocks of queries; every batch keeps its best ``k`` for each query, so what
-    is shuffled is bounded by batches x queries x k. The query set is a parameter: its size is checked.
+    Vectors are compared with blocks of queries; every task keeps its best ``k`` for each query, so what
+    is shuffled is bounded by tasks x queries x k. The query set is a parameter: its size is checked.
     """
-    rows = queries if isinstance(queries, list) else [tuple(r) for r in queries.select("query_id", "embedding").limit(MOST_QUERIES + 1).collect()]
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"a query set holds at most {MOST_QUERIES} vectors")
+    rows = queries if isinstance(queries, list) else [tuple(r) for r in asked_for(queries, "query_id", "embedding")]
+    if len(rows) > MOST_QUERIES or len(rows) * k > MOST_RESULTS:
+        raise ValueError(f"a query set holds at most {MOST_QUERIES} vectors and asks for at most {MOST_RESULTS} neighbours")
     part = _nearest(vectors, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1), k)
     w = W.partitionBy("query_id").orderBy("distance", "frame_id", "chunk_index")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -202,6 +282,11 @@ class Corpus:
     texts: DataFrame
     vectors: DataFrame | None = None
     stemmed: bool = False
+    indexes: dict[str, Index] = field(default_factory=dict)
+
+    def index(self, layer: str) -> Index:
+        """The stored index of a text layer, or one made for this search alone."""
+        return self.indexes.get(layer) or build_index(self.texts, layer, self.stemmed)
 
 
 def hybrid_ids(corpus: Corpus, text: str, limit: int, query_vector: list[float] | None = None, start: int = MIN_MS, end: int = MAX_MS, include_chrome: bool = False) -> DataFrame:
@@ -209,7 +294,7 @@ def hybrid_ids(corpus: Corpus, text: str, limit: int, query_vector: list[float]
     limit, blank = normalized_limit(limit), not text.strip()
     pool = candidate_pool(limit)
     layers = ["content_text", *(["raw_text"] if include_chrome else [])]
-    arms = [text_arm(build_index(corpus.texts, c, corpus.stemmed), corpus.frames, text, pool, start, end, corpus.stemmed) for c in layers]
+    arms = [text_arm(corpus.index(c), corpus.frames, text, pool, start, end, corpus.stemmed) for c in layers]
     if query_vector is not None and corpus.vectors is not None and not blank:
         arms.append(knn(corpus.vectors, corpus.frames, query_vector, pool, start, end))
     fused = rrf(arms, limit)
@@ -224,8 +309,12 @@ def hybrid_search(corpus: Corpus, text: str, limit: int = 20, query_vector: list
 
 def rag_context(corpus: Corpus, text: str, k: int = 8, query_vector: list[float] | None = None, drop_blank: bool = False) -> DataFrame:
     """``frame_id, text, score, captured_at`` for an answer: whole texts, the snippet where there is none."""
-    hits = hybrid_search(corpus, text, k, query_vector)
-    own = corpus.texts.select("frame_id", F.when(F.col("content_text") != "", F.col("content_text")).alias("content"))
+    return with_texts(hybrid_search(corpus, text, k, query_vector), corpus.texts, drop_blank)
+
+
+def with_texts(hits: DataFrame, texts: DataFrame, drop_blank: bool = False) -> DataFrame:
+    """``frame_id, text, score, captured_at`` of hits, best first; ``drop_blank`` leaves out hits without words."""
+    own = texts.select("frame_id", F.when(F.col("content_text") != "", F.col("content_text")).alias("content"))
     out = hits.join(own, "frame_id", "left").select("frame_id", F.coalesce("content", "snippet").alias("text"), "score", "captured_at")
     return (out.where(F.trim("text") != "") if drop_blank else out).orderBy(F.desc("score"), F.desc("frame_id"))
 
@@ -233,22 +322,25 @@ def rag_context(corpus: Corpus, text: str, k: int = 8, query_vector: list[float]
 # Many searches in one plan. The queries are a table: what is shuffled grows with the matches.
 
 
-def bm25_batch(index: Index, terms: DataFrame) -> DataFrame:
+def bm25_batch(index: Index, terms: list[tuple[int, int, int, str]], spark: SparkSession) -> DataFrame:
     """``query, frame_id, score`` of frames with all phrases of a query.
 
-    ``terms``: ``query, phrase, place, term``, one row per token; it is broadcast, so callers check its size.
+    ``terms``: ``(query, phrase, place, term)``, one for each token; they are broadcast, so their number is
+    checked.
     """
-    sizes = terms.groupBy("query", "phrase").agg(F.count("*").alias("length"))
-    wanted = sizes.groupBy("query").agg(F.count("*").alias("phrases"))
-    hits = index.postings.join(F.broadcast(terms), "term").select("query", "phrase", "frame_id", F.explode("positions").alias("position"), "place")
-    starts = hits.groupBy("query", "phrase", "frame_id", (F.col("position") - F.col("place")).alias("start")).agg(F.count("*").alias("n"))
-    tf = starts.join(F.broadcast(sizes), ["query", "phrase"]).where("n = length").groupBy("query", "phrase", "frame_id").agg(F.count("*").alias("tf"))
-    holding = tf.groupBy("query", "phrase").agg(F.count("*").alias("n_p"))
-    layer = index.lengths.agg(F.count("*").alias("total"), F.avg("size").alias("mean"))
-    rows = tf.join(F.broadcast(holding), ["query", "phrase"]).join(index.lengths, "frame_id").join(F.broadcast(layer))
-    idf = F.greatest(F.log((F.col("total") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = rows.groupBy("query", "frame_id").agg(F.sum(part).alias("score"), F.count("*").alias("found"))
+    if len(terms) > MOST_TOKENS:
+        raise ValueError(f"a batch holds at most {MOST_TOKENS} query tokens")
+    asked = spark.createDataFrame(terms, "query long, phrase int, place int, term string")
+    phrases: dict[tuple[int, int], int] = Counter((q, p) for q, p, _, _ in terms)
+    sizes = spark.createDataFrame([(q, p, n) for (q, p), n in phrases.items()], "query long, phrase int, length long")
+    wanted = spark.createDataFrame(list(Counter(q for q, _ in phrases).items()), "query long, phrases long")
+    postings = index.of(sorted({t for *_, t in terms}))
+    hits = postings.join(F.broadcast(asked), "term").select("query", "phrase", "frame_id", "size", F.explode("positions").alias("position"), "place")
+    starts = hits.groupBy("query", "phrase", "frame_id", "size", (F.col("position") - F.col("place")).alias("start")).agg(F.count("*").alias("n"))
+    tf = starts.join(F.broadcast(sizes), ["query", "phrase"]).where("n = length").groupBy("query", "phrase", "frame_id", "size").agg(F.count("*").alias("tf"))
+    holding = tf.groupBy("query", "phrase").agg(F.count("*").alias("n_p"))  # as many rows as phrases at most
+    rows = tf.join(F.broadcast(holding), ["query", "phrase"]).join(F.broadcast(index.totals()))
+    scored = rows.groupBy("query", "frame_id").agg(F.sum(bm25(F.col("tf"), F.col("n_p"))).alias("score"), F.count("*").alias("found"))
     return scored.join(F.broadcast(wanted), "query").where("found = phrases").select("query", "frame_id", (-F.col("score")).alias("score"))
 
 
@@ -258,17 +350,14 @@ def hybrid_batch(corpus: Corpus, queries: DataFrame, limit: int = 20, index: Ind
     The same results as ``hybrid_ids`` for each row; ``start`` and ``end`` may be null.
     """
     spark, pool = queries.sparkSession, candidate_pool(normalized_limit(limit))
-    asked = queries.limit(MOST_QUERIES + 1).collect()
-    rows = [(q.query, n, k, t) for q in asked for n, p in enumerate(tx.query_phrases(q.text, corpus.stemmed)) for k, t in enumerate(p)]
-    if len(rows) > MOST_TOKENS:
-        raise ValueError(f"a batch holds at most {MOST_TOKENS} query tokens")
+    asked = asked_for(queries, "query", "text", "embedding", "start", "end")
     # A phrase given twice counts twice, as it does in a single search.
-    terms = spark.createDataFrame(rows, "query long, phrase int, place int, term string")
+    terms = [(q.query, n, k, t) for q in asked for n, p in enumerate(tx.query_phrases(q.text, corpus.stemmed)) for k, t in enumerate(p)]
     window = F.broadcast(spark.createDataFrame([(q.query, MIN_MS if q.start is None else q.start, MAX_MS if q.end is None else q.end) for q in asked], "query long, low long, high long"))
     times = corpus.frames.select("frame_id", "captured_at")
     inside = lambda df: df.join(times, "frame_id").join(window, "query").where("captured_at >= low AND captured_at < high")
     top = lambda df, order: df.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order))).where(F.col("rank") <= pool)
-    text = top(inside(bm25_batch(index or build_index(corpus.texts, "content_text", corpus.stemmed), terms)), ["score", "frame_id"]).select("query", "frame_id", F.col("rank").alias("r0"))
+    text = top(inside(bm25_batch(index or corpus.index("content_text"), terms, spark)), ["score", "frame_id"]).select("query", "frame_id", F.col("rank").alias("r0"))
     near = knn_batch(corpus.vectors, [(q.query, q.embedding) for q in asked if q.text.strip()], pool).withColumnRenamed("query_id", "query").drop("rank")
     first = inside(near).groupBy("query", "frame_id").agg(F.min("distance").alias("distance"))
     vector = top(first, ["distance", "frame_id"]).select("query", "frame_id", F.col("rank").alias("r1"))

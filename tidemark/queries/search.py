@@ -23,13 +23,26 @@ def query_vector(vectors) -> list[float]:
     return list(vectors.where("frame_id = 0 AND chunk_index = 0").first().embedding)
 
 
+def stored(spark, sf_dir: str, column: str, stemmed: bool = False) -> rt.Index:
+    """The index of a text layer, written once below the shared folder for the files as they are now."""
+    texts = src.frame_text(spark, sf_dir)
+    path = f"{src.shared_folder(spark)}/tidemark-index/{src.fingerprint(texts)}-{column}-{'stems' if stemmed else 'words'}"
+    if "all" not in rt.segments(spark, path):
+        rt.write_index(texts, column, path, stemmed)
+    return rt.read_index(spark, path)
+
+
+def corpus(spark, sf_dir: str, stemmed: bool = False, layers: tuple[str, ...] = ("content_text",)) -> rt.Corpus:
+    return rt.Corpus(F_(spark, sf_dir), T_(spark, sf_dir), X_(spark, sf_dir), stemmed, {c: stored(spark, sf_dir, c, stemmed) for c in layers})
+
+
 def arm(column, text, start=None, end=None, stemmed=False):
-    def run(frames, texts):
+    def run(spark, sf_dir):
         window = (start, end) if start is not None else ()
-        found = rt.text_arm(rt.build_index(texts, column, stemmed), frames, text, POOL, *window, stemmed=stemmed)
+        found = rt.text_arm(stored(spark, sf_dir, column, stemmed), F_(spark, sf_dir), text, POOL, *window, stemmed=stemmed)
         return found.select("frame_id", F.round("score", 6).alias("score"), "rank")
 
-    return over(F_, T_)(run)
+    return run
 
 
 def near(**options):
@@ -40,15 +53,22 @@ def near(**options):
     return over(F_, X_)(run)
 
 
-def hybrid(text, **options):
-    def run(frames, texts, vectors):
-        return rt.hybrid_ids(rt.Corpus(frames, texts, vectors), text, LIMIT, query_vector(vectors), **options).select("frame_id", F.round("score", 9).alias("score"))
+def hybrid(text, include_chrome=False, **options):
+    def run(spark, sf_dir):
+        c = corpus(spark, sf_dir, layers=("content_text", "raw_text") if include_chrome else ("content_text",))
+        return rt.hybrid_ids(c, text, LIMIT, query_vector(c.vectors), include_chrome=include_chrome, **options).select("frame_id", F.round("score", 9).alias("score"))
+
+    return run
+
 
-    return over(F_, T_, X_)(run)
+def full(spark, sf_dir):
+    c = corpus(spark, sf_dir, True, ("content_text", "raw_text"))
+    return rt.hybrid_search(c, TERMS, LIMIT, query_vector(c.vectors), include_chrome=True)
 
 
-def full(frames, texts, vectors):
-    return rt.hybrid_search(rt.Corpus(frames, texts, vectors, stemmed=True), TERMS, LIMIT, query_vector(vectors), include_chrome=True)
+def context(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return rt.rag_context(c, TERMS, 8, query_vector(c.vectors))
 
 
 def batch(vectors):
@@ -56,40 +76,42 @@ def batch(vectors):
     return rt.knn_batch(vectors, queries, 10).select("query_id", "frame_id", "chunk_index", F.round("distance", 6).alias("distance"))
 
 
-#: Searches of one batch: text, and the frame whose vector is asked for.
-BATCH = ((0, TERMS, 0), (1, PHRASE, 25), (2, "that", 50), (3, "and with", 75))
+#: Every ASKED_th frame with a vector is a search of the batch: for the first two words of its text, and its vector.
+ASKED = 50
 
 
-def searches(frames, texts, vectors):
-    asked = frames.sparkSession.createDataFrame([(n, text, frame) for n, text, frame in BATCH], "query long, text string, frame long")
-    own = vectors.where("chunk_index = 0").select(F.col("frame_id").alias("frame"), "embedding")
+def searches(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    own = c.vectors.where(f"chunk_index = 0 AND frame_id % {ASKED} = 0").select(F.col("frame_id").alias("query"), "embedding")
+    words = F.array_join(F.slice(tx.tokens(F.col("content_text")), 1, 2), " ")
+    text = c.texts.where(f"frame_id % {ASKED} = 0").select(F.col("frame_id").alias("query"), words.alias("text"))
     none = F.lit(None).cast("long")
-    queries = F.broadcast(asked).join(own, "frame").select("query", "text", "embedding", none.alias("start"), none.alias("end"))
-    return rt.hybrid_batch(rt.Corpus(frames, texts, vectors), queries, LIMIT).select("query", "frame_id", F.round("score", 9).alias("score"), "rank")
+    queries = own.join(text, "query", "left").select("query", F.coalesce("text", F.lit("")).alias("text"), "embedding", none.alias("start"), none.alias("end"))
+    return rt.hybrid_batch(c, queries, LIMIT).select("query", "frame_id", F.round("score", 9).alias("score"), "rank")
 
 
-def many_terms(texts):
+def many_terms(spark, sf_dir):
     queries = [[["that"]], [["with"], ["that"]], [["of", "the"]], [["and"], ["of", "the"]]]
-    return rt.score_phrases(rt.build_index(texts, "content_text"), queries).select("query", "frame_id", F.round("score", 6).alias("score"))
+    return rt.score_phrases(stored(spark, sf_dir, "content_text"), queries).select("query", "frame_id", F.round("score", 6).alias("score"))
 
 
 QUERIES = {
-    "search_hybrid": over(F_, T_, X_)(full),
+    "search_hybrid": full,
     "fts_bm25": arm("content_text", TERMS),
     "fts_phrase": arm("content_text", PHRASE),
     "fts_raw_layer": arm("raw_text", RAW_ONLY),
     "fts_time_window": arm("content_text", TERMS, LOW, HIGH),
     "fts_stemmed": arm("content_text", TERMS, stemmed=True),
-    "fts_batch": over(T_)(many_terms),
+    "fts_batch": many_terms,
     "knn_text": near(),
     "knn_in_range": near(start=LOW, end=HIGH),
     "knn_prefiltered": near(start=LOW, end=HIGH, prefilter=True),
     "knn_batch": over(X_)(batch),
     "hybrid_rrf": hybrid(TERMS),
     "hybrid_rrf_time_window": hybrid(TERMS, start=LOW, end=HIGH),
-    "hybrid_batch": over(F_, T_, X_)(searches),
+    "hybrid_batch": searches,
     "hybrid_chrome": hybrid(RAW_ONLY, include_chrome=True),
-    "rag_context": over(F_, T_, X_)(lambda f, t, x: rt.rag_context(rt.Corpus(f, t, x), TERMS, 8, query_vector(x))),
+    "rag_context": context,
     "fallback_snippet": over(T_)(lambda t: t.select("frame_id", tx.fallback_snippet(F.col("content_text")).alias("snippet"))),
     "normalize_text": over(T_)(lambda t: t.select("frame_id", tx.normalize_text(F.col("raw_text")).alias("text"))),
     "token_estimate": over(T_)(lambda t: t.select("frame_id", tx.token_estimate(F.col("content_text")).alias("tokens"))),
@@ -141,12 +163,29 @@ def batch_sql() -> str:
 
 
 def hybrid_batch_sql() -> str:
-    ctes = ", ".join(f"{score_sql(f's{n}', 'content', text)}, {arm_sql(f'arm{n}', f's{n}')}, {knn_sql(f'near{n}', frame=frame)}" for n, text, frame in BATCH)
-    return f"{WITH}, {ctes} " + " UNION ALL ".join(f"SELECT {n} AS query, *, row_number() OVER (ORDER BY score DESC, frame_id DESC) AS rank FROM ({fused_sql(f'arm{n}', f'near{n}')})" for n, _, _ in BATCH)
+    """All searches of the batch at once: per query, term and frame, then the same ranks and sums."""
+    asked = f"asked AS (SELECT v.frame_id AS query, v.embedding, coalesce(list_slice(w, 1, 2), []) AS terms FROM vectors v LEFT JOIN content ON content.frame_id = v.frame_id WHERE v.chunk_index = 0 AND v.frame_id % {ASKED} = 0)"
+    layer = "layer AS (SELECT count(*) AS total, avg(len(w)) AS mean FROM content)"
+    words = "words AS (SELECT query, k, terms[k] AS term FROM (SELECT query, terms, unnest(generate_series(1, len(terms))) AS k FROM asked))"
+    tf = "tf AS (SELECT frame_id, size, term, count(*) AS tf FROM (SELECT frame_id, len(w) AS size, unnest(w) AS term FROM content) WHERE term IN (SELECT term FROM words) GROUP BY ALL)"
+    n_p = "n_p AS (SELECT term, count(*) AS n FROM tf GROUP BY term)"
+    part = f"greatest(ln((total - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)), {rt.LEAST_IDF}) * (tf * {rt.K1 + 1}::DOUBLE) / (tf + {rt.K1}::DOUBLE * (1 - {rt.B}::DOUBLE + {rt.B}::DOUBLE * size / mean))"
+    scored = f"scored AS (SELECT query, frame_id, -sum({part}) AS score FROM words JOIN tf USING (term) JOIN n_p USING (term), layer GROUP BY query, frame_id HAVING count(*) = (SELECT count(*) FROM words w2 WHERE w2.query = words.query))"
+    arm = f"arm AS (SELECT query, frame_id, row_number() OVER (PARTITION BY query ORDER BY score, frame_id) AS r FROM scored WHERE frame_id IN (SELECT frame_id FROM frames) QUALIFY r <= {POOL})"
+    chunks = f"chunks AS (SELECT query, v.frame_id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], a.embedding::DOUBLE[]) AS distance FROM asked a, vectors v WHERE len(terms) > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, v.frame_id, v.chunk_index) <= {POOL})"
+    near = f"near AS (SELECT query, frame_id, row_number() OVER (PARTITION BY query ORDER BY distance, frame_id) AS r FROM (SELECT query, frame_id, min(distance) AS distance FROM chunks WHERE frame_id IN (SELECT frame_id FROM frames) GROUP BY ALL) QUALIFY r <= {POOL})"
+    fused = f"fused AS (SELECT query, frame_id, 0.0::DOUBLE + coalesce(1.0::DOUBLE / ({rt.RRF_K} + arm.r), 0) + coalesce(1.0::DOUBLE / ({rt.RRF_K} + near.r), 0) AS score FROM arm FULL JOIN near USING (query, frame_id))"
+    return f"{WITH}, {asked}, {layer}, {words}, {tf}, {n_p}, {scored}, {arm}, {chunks}, {near}, {fused} SELECT query, frame_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, frame_id DESC) AS rank FROM fused QUALIFY rank <= {LIMIT}"
+
+
+def rag_sql() -> str:
+    ids = fused_sql("arm", "near").replace("round(score, 9) AS score", "score").replace(f"LIMIT {LIMIT}", "LIMIT 8")
+    return f"{WITH}, {score_sql('s', 'content', TERMS)}, {arm_sql('arm', 's').replace(f'LIMIT {POOL}', f'LIMIT {rt.candidate_pool(8)}')}, {knn_sql('near').replace(f'LIMIT {POOL}', f'LIMIT {rt.candidate_pool(8)}')} SELECT frame_id, coalesce(content_text, '') AS text, score::REAL AS score, captured_at FROM ({ids}) JOIN frames USING (frame_id) LEFT JOIN frame_text USING (frame_id)"
 
 
 ORACLES = {
     "hybrid_batch": hybrid_batch_sql(),
+    "rag_context": rag_sql(),
     "fts_bm25": f"{WITH}, {score_sql('s', 'content', TERMS)}, {arm_sql('arm', 's')} {ARM}",
     "fts_phrase": f"{WITH}, {score_sql('s', 'content', PHRASE)}, {arm_sql('arm', 's')} {ARM}",
     "fts_raw_layer": f"{WITH}, {score_sql('s', 'raw', RAW_ONLY)}, {arm_sql('arm', 's')} {ARM}",
