@@ -19,7 +19,7 @@ def test_depth(spark):
     assert quota([100] * 90, 40, 200) == [3] * 90 and quota([50, 50], 2, 200) == [3, 3] and quota([100] * 10, 40, 200) == [20] * 10
 
 
-def fold(costs, budget):
+def plain_fold(costs, budget):
     batch, spent, out = 0, 0, []
     for c in costs:
         if spent and spent + c > budget:
@@ -37,7 +37,7 @@ def test_batches_and_packing(spark):
     packed = {(r.g, r.k): r.cut for r in rp.pack_context(df, 400, "g", ["k"]).collect()}
     for g in range(6):
         own = [(k, rp.estimate(t) + 6) for q, k, t, _ in rows if q == g and t]
-        want = fold([c for _, c in own], 200)
+        want = plain_fold([c for _, c in own], 200)
         n = max(want) + 1
         assert [got[g, k] for k, _ in own] == [(b, f"day 1 (part {b + 1} of {n})" if n > 1 else "day 1") for b in want]
         spent, kept = 0, []
@@ -48,7 +48,7 @@ def test_batches_and_packing(spark):
             kept.append(k)
         assert sorted(k for q, k in packed if q == g) == kept
     one = spark.createDataFrame([(1, 1, "é" * 900), (1, 2, "b")], "g long, k long, text string")
-    assert [(r.k, r.cut) for r in rp.pack_context(one, 100, "g", ["k"]).collect()] == [(1, True)]
+    assert [(r.k, r.cut, r.text) for r in rp.pack_context(one, 100, "g", ["k"]).collect()] == [(1, True, "é" * 94)]
 
 
 class Fake:
@@ -63,24 +63,48 @@ class Fake:
 
 
 def groups(periods, each, size=20):
-    return [(f"day {p + 1}", [(1 + p * each + k, "t" * size) for k in range(each)]) for p in range(periods)]
+    return [(f"day {p + 1}", [(p * each + k, "t" * size, 1000 - p * each - k) for k in range(each)]) for p in range(periods)]
 
 
 def test_report_modes():
     fake = Fake()
-    empty = rp.generate_report([], fake, 1, 0)
+    empty = rp.generate_report([], fake, 1)
     assert (empty.mode, fake.calls) == ("empty", [])
-    small = rp.generate_report(groups(1, 5), fake, 1, 5)
-    assert (small.mode, small.passes, small.frames_summarized) == ("single_pass", 1, 5)
-    week = rp.generate_report(groups(7, 10), Fake(), 7, 70)
+    small = rp.generate_report(groups(1, 5), fake, 1)
+    assert (small.mode, small.passes, small.frames_summarized, small.frames_sampled) == ("single_pass", 1, 5, 5)
+    assert [i for i, _ in fake.calls[0]] == [4, 3, 2, 1, 0]  # in order of time
+    assert [i for i, _ in (rp.generate_report(groups(1, 5), fake, 1, by_time=False), fake.calls[-1])[1]] == [0, 1, 2, 3, 4]
+    week = rp.generate_report(groups(7, 10), Fake(), 7)
     assert (week.mode, week.passes, week.periods_covered, week.truncated) == ("map_reduce", 8, 7, False)
-    assert {1, 70} <= set(week.cited) and week.frames_summarized == 70
-    long = rp.generate_report(groups(7, 10), Fake(words=2000), 7, 70)
-    assert long.passes >= 9 and {1, 70} <= set(long.cited)
-    many = rp.generate_report(groups(100, 3), Fake(), 100, 300)
+    assert {0, 69} <= set(week.cited) and week.frames_summarized == 70
+    long = rp.generate_report(groups(7, 10), Fake(words=2000), 7)
+    assert long.passes >= 9 and {0, 69} <= set(long.cited)
+    many = rp.generate_report(groups(100, 3), Fake(), 100)
     assert many.truncated and many.passes <= 65
     with pytest.raises(rp.Cancelled):
-        rp.generate_report(groups(2, 20), Fake(), 2, 40, cancelled=lambda: True)
+        rp.generate_report(groups(2, 20), Fake(), 2, cancelled=lambda: True)
+
+
+def test_report_edges():
+    blank = Fake(words=0)
+    out = rp.generate_report(groups(3, 10), blank, 3)
+    assert (out.mode, out.passes, out.cited, len(blank.calls)) == ("empty", 0, [], 3)
+    fake = Fake()
+    assert rp.generate_report([("day 1", [])], fake, 1).mode == "empty" and rp.generate_report([("day 1", [(1, " ", 0)])], fake, 1).mode == "empty" and not fake.calls
+    short = Fake()
+    short.context_tokens = 2000
+    split = rp.generate_report(groups(1, 50, 2000), short, 1)
+    assert (split.mode, split.periods_covered) == ("map_reduce", 1) and split.frames_summarized == 50
+    assert all(sum(rp.estimate(t) + 6 for _, t in texts) <= 2000 for texts in short.calls)
+    exact = rp.generate_report(groups(64, 3), Fake(), 64)
+    assert exact.truncated and exact.passes == 65
+    assert not rp.generate_report(groups(63, 3), Fake(), 63).truncated
+    citing = Fake()
+    citing.summarise = lambda prompt, texts, reply, base=citing.summarise: (base(prompt, texts, reply)[0] * 400, [i for i, _ in texts] or [7])
+    deep = rp.generate_report([(label, [(i + 1, t, at) for i, t, at in chunks]) for label, chunks in groups(20, 3)], citing, 20)
+    assert deep.passes > 21 and 0 not in deep.cited and deep.frames_summarized == 60
+    many = rp.generate_report(groups(10, 60), Fake(), 10)
+    assert len(many.cited) == 200 and many.frames_summarized == 600
 
 
 def test_coverage_skips_blank_texts(spark):

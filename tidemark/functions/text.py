@@ -141,12 +141,11 @@ def token_estimate(text: Column) -> Column:
 
 def truncate_bytes(text: Column, most: int) -> Column:
     """The longest beginning of at most ``most`` UTF-8 bytes that splits no character."""
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t.encode()[:most].decode("utf-8", "ignore"), na_action="ignore")
-
-    return cut(text)
+    raw, out = text.cast("binary"), F.lit(None).cast("string")
+    for cut in range(max(0, most - 3), max(0, most) + 1):  # the latest cut whose next byte begins a character
+        begins = ~F.hex(F.substring(raw, cut + 1, 1)).between("80", "BF")
+        out = F.when(begins, F.decode(F.substring(raw, 1, cut), "UTF-8")).otherwise(out)
+    return F.when(F.octet_length(text) <= max(0, most), text).otherwise(out)
 
 
 def fallback_snippet(text: Column, most: int = 160) -> Column:

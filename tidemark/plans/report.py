@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tidemark.functions.text import token_estimate
+from tidemark.functions.text import token_estimate, truncate_bytes
 from tidemark.operators.timeseries import bucket_width, is_sampled, ranked, within
 from tidemark.schema import DAY_MS
 
@@ -60,24 +63,37 @@ def coverage_groups(frames: DataFrame, texts: DataFrame, start: int, end: int, d
     return taken.join(text, "frame_id").select("period", F.concat(F.lit("day "), day.cast("string")).alias("label"), "frame_id", "captured_at", "text")
 
 
+def fold(costs: list[int], budget: int, spent: int = 0, batch: int = 0) -> tuple[list[int], int, int]:
+    """Batch numbers of costs in order: a new batch where the next would exceed ``budget``; and where that leaves off."""
+    out = []
+    for cost in costs:
+        if spent > 0 and spent + cost > budget:
+            spent, batch = 0, batch + 1
+        spent += cost
+        out.append(batch)
+    return out, spent, batch
+
+
 def batches(chunks: DataFrame, budget: int, by: str, order: list[str]) -> DataFrame:
     """Add ``batch`` from 0 within each group ``by``: rows in order, a new batch where the next would exceed ``budget``.
 
-    A row that exceeds it alone has a batch of its own. The fold is over the costs alone, as an array; texts
-    are joined back by their place.
+    A row that exceeds it alone has a batch of its own. This is a fold in order, so a group is one task;
+    Spark sorts it, rows pass through in batches and only the running sum of a group is held.
     """
-    cost = token_estimate(F.trim("text")) + CHUNK_TOKENS
-    placed = chunks.where(F.trim("text") != "").withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*order))).withColumn("cost", cost)
-    costs = placed.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "cost"))), lambda s: s["cost"]).alias("costs"))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
 
-    def step(s, c):
-        full = (s["spent"] > 0) & (s["spent"] + c > budget)
-        batch = s["batch"] + F.when(full, 1).otherwise(0)
-        return F.struct((F.when(full, F.lit(0)).otherwise(s["spent"]) + c).cast("long").alias("spent"), batch.alias("batch"), F.concat(s["out"], F.array(batch)).alias("out"))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, spent, batch = None, 0, 0
+        for pdf in frames:
+            numbers = []
+            for group, costs in pdf.groupby(by, sort=False, dropna=False)["__cost"]:
+                if (group,) != at:
+                    at, spent, batch = (group,), 0, 0
+                more, spent, batch = fold(costs.tolist(), budget, spent, batch)
+                numbers += more
+            yield pdf.drop(columns="__cost").assign(batch=np.array(numbers, np.int32))
 
-    folded = costs.select(by, F.posexplode(F.aggregate("costs", start, step, lambda s: s["out"])).alias("place", "batch")).withColumn("place", F.col("place") + 1)
-    return placed.join(folded, [by, "place"]).drop("place", "cost")
+    rows = chunks.where(F.trim("text") != "").withColumn("__cost", token_estimate(F.trim("text")) + CHUNK_TOKENS)
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, StructType([*chunks.schema.fields, StructField("batch", IntegerType())]))
 
 
 def batch_labels(batched: DataFrame, by: str) -> DataFrame:
@@ -87,7 +103,7 @@ def batch_labels(batched: DataFrame, by: str) -> DataFrame:
 
 
 def pack_context(chunks: DataFrame, budget: int, by: str, order: list[str]) -> DataFrame:
-    """Best first within ``budget`` tokens per group: ``kept`` rows, of which only an oversize first one is ``cut``.
+    """Best first within ``budget`` tokens per group: the rows kept, trimmed; only an oversize first one is ``cut`` to what fits.
 
     Packing stops at the first row that doesn't fit, so a running sum says which rows are kept.
     """
@@ -95,7 +111,9 @@ def pack_context(chunks: DataFrame, budget: int, by: str, order: list[str]) -> D
     rows = chunks.where(F.trim("text") != "").withColumn("place", F.row_number().over(w)).withColumn("cost", token_estimate(F.trim("text")) + CHUNK_TOKENS)
     spent = F.sum("cost").over(w.rowsBetween(W.unboundedPreceding, 0))
     cut = (F.col("place") == 1) & (F.col("cost") > budget) & (F.lit(budget) > CHUNK_TOKENS)
-    return rows.withColumn("spent", spent).withColumn("cut", cut).where((F.col("spent") <= budget) | F.col("cut")).drop("spent")
+    kept = rows.withColumn("spent", spent).withColumn("cut", cut).where((F.col("spent") <= budget) | F.col("cut")).drop("spent")
+    head = truncate_bytes(F.trim("text"), 2 * (budget - CHUNK_TOKENS))
+    return kept.withColumn("text", F.when(F.col("cut"), head).otherwise(F.trim("text"))).where("text <> ''")
 
 
 class Summariser(Protocol):
@@ -124,65 +142,96 @@ class Cancelled(Exception):
     pass
 
 
-def _reduce(nodes: list[str], fits: Callable[[list[str]], bool], call: Callable[[str, list[str]], str], left: int) -> tuple[list[str], bool]:
-    """Combine summaries level by level until they fit one pass or no passes are left."""
-    truncated = False
-    while len(nodes) > 1 and not fits(nodes):
-        level = []
-        for k in range(0, len(nodes), FAN_IN):
-            part = nodes[k : k + FAN_IN]
-            if len(part) == 1:
-                level += part
-                continue
-            if left <= 0:
-                truncated = True
-                break
-            level.append(call(MAP_PROMPT, part))
-            left -= 1
-        if truncated or level == nodes:
-            return level or nodes, True
-        nodes = level
-    return nodes, truncated
+Chunk = tuple[int, str, int]  # frame_id, text, captured_at
+Group = tuple[str, list[Chunk]]
+
+
+def fitted(groups: list[Group], budget: int) -> list[Group]:
+    """Groups split into parts that fit one pass each; blank chunks and groups without chunks go."""
+    out = []
+    for label, chunks in groups:
+        chunks = [c for c in chunks if c[1].strip()]
+        numbers = fold([estimate(c[1].strip()) + CHUNK_TOKENS for c in chunks], budget)[0]
+        parts = [[c for c, n in zip(chunks, numbers) if n == k] for k in range(numbers[-1] + 1 if numbers else 0)]
+        out += [(f"{label} (part {k + 1} of {len(parts)})" if len(parts) > 1 else label, part) for k, part in enumerate(parts)]
+    return out
+
+
+def relevance_groups(context: DataFrame, reply: int, context_tokens: int) -> list[Group]:
+    """``part 1``, ``part 2``, ...: retrieved texts, best first, in groups that fit a pass each; the search's limit bounds them."""
+    rows = context.orderBy(F.desc("score"), F.desc("frame_id")).select("frame_id", "text", "captured_at").collect()
+    parts = fitted([("", [tuple(r) for r in rows])], per_batch(reply, context_tokens))
+    return [(f"part {k + 1}", chunks) for k, (_, chunks) in enumerate(parts)]
 
 
-def generate_report(groups: list[tuple[str, list[tuple[int, str]]]], provider: Summariser, periods_total: int, frames_sampled: int, reply_tokens: int = 512, min_frames: int = 20, truncated: bool = False, cancelled: Callable[[], bool] = lambda: False, progress: Callable[[int], None] = lambda n: None) -> Report:
-    """Map, reduce and finish a report over planned groups of ``(label, [(frame_id, text)])``.
+def grouped(sampled: DataFrame) -> list[Group]:
+    """The groups of ``coverage_groups`` in order of time; quotas bound them."""
+    out: dict[str, list[Chunk]] = {}
+    for r in sampled.orderBy("captured_at", "frame_id").collect():
+        out.setdefault(r.label, []).append((r.frame_id, r.text, r.captured_at))
+    return list(out.items())
+
+
+def generate_report(groups: list[Group], provider: Summariser, periods_total: int, reply_tokens: int = 512, min_frames: int = 20, truncated: bool = False, by_time: bool = True, cancelled: Callable[[], bool] = lambda: False, progress: Callable[[str, int], None] = lambda what, n: None) -> Report:
+    """Map, reduce and finish a report over planned groups.
 
     The plan is bounded (31 periods, 64 passes), so the driver holds it; each pass is one call of the provider.
+    ``truncated`` says that the plan left frames out already; ``by_time`` puts a single pass in order of time.
+    Only what is summarised from frames cites them.
     """
-    out = Report(periods_total=periods_total, periods_covered=len(groups), frames_sampled=frames_sampled, truncated=truncated)
-    if not groups:
-        return out
+    groups = [(label, chunks) for label, chunks in groups if any(c[1].strip() for c in chunks)]
+    every = [c for _, chunks in groups for c in chunks if c[1].strip()]
+    if not every:
+        return Report(periods_total=periods_total)
     context = provider.context_tokens or CONTEXT_TOKENS
-    reply, cited = reply_budget(reply_tokens, context), {}
+    reply, cited, passes = reply_budget(reply_tokens, context), {}, 0
+    room = per_batch(reply, context)
+    out = Report(periods_total=periods_total, periods_covered=len(groups), frames_sampled=len(every), truncated=truncated)
 
-    def call(prompt: str, texts: list[tuple[int, str]]) -> str:
+    def call(what: str, prompt: str, texts: list[tuple[int, str]]) -> tuple[str, list[int]]:
+        nonlocal passes
         if cancelled():
             raise Cancelled
         text, ids = provider.summarise(prompt, texts, reply)
-        out.passes += 1
-        progress(out.passes)
-        if text.strip():
+        passes += 1
+        progress(what, passes)
+        return text.strip(), ids
+
+    def done(mode: str, markdown: str) -> Report:
+        out.mode, out.markdown, out.passes = mode, markdown, passes
+        out.cited, out.frames_summarized = list(cited)[:MOST_CITED], len(cited)
+        return out
+
+    parts = fitted(groups, room)
+    if len(parts) == 1 or (len(every) <= min_frames and sum(estimate(c[1].strip()) + CHUNK_TOKENS for c in every) <= room):
+        chunks = sorted(every, key=lambda c: c[2]) if by_time else every
+        text, ids = call("final", FINAL_PROMPT, [c[:2] for c in chunks])
+        cited.update(dict.fromkeys(ids))
+        return done("single_pass", text)
+
+    nodes = []
+    for label, chunks in parts:
+        text, ids = call("map", MAP_PROMPT, [c[:2] for c in chunks])
+        if text:
             cited.update(dict.fromkeys(ids))
-        return text
-
-    room = context - reply - estimate(FINAL_PROMPT) - PROMPT_TOKENS
-    fits = lambda nodes: sum(estimate(n) + CHUNK_TOKENS for n in nodes) <= room
-    every = [chunk for _, chunks in groups for chunk in chunks]
-    if len(groups) == 1 or (len(every) <= min_frames and fits([t for _, t in every])):
-        out.mode, out.markdown = "single_pass", call(FINAL_PROMPT, every)
-    else:
-        out.mode, nodes = "map_reduce", []
-        for label, chunks in groups:
-            if out.passes >= MOST_PASSES:
+            nodes.append(f"{label}: {text}")
+        if passes >= MOST_PASSES:
+            out.truncated = True
+            break
+    if not nodes:
+        return Report(periods_total=periods_total)
+    last_room = context - reply - estimate(FINAL_PROMPT) - PROMPT_TOKENS
+    as_texts = lambda some: [(0, n) for n in some]
+    while len(nodes) > 1 and sum(estimate(n) + CHUNK_TOKENS for n in nodes) > last_room:
+        level = []
+        for k in range(0, len(nodes), FAN_IN):
+            if passes >= MOST_PASSES:
                 out.truncated = True
                 break
-            if (text := call(MAP_PROMPT, chunks)).strip():
-                nodes.append(f"{label}: {text}")
-        numbered = lambda texts: [(0, t) for t in texts]
-        nodes, cut = _reduce(nodes, fits, lambda p, t: call(p, numbered(t)), MOST_PASSES - out.passes)
-        out.truncated |= cut
-        out.markdown = call(FINAL_PROMPT, numbered(nodes))
-    ids = [i for i in cited if i]
-    out.frames_summarized, out.cited = len(ids), ids[:MOST_CITED]
-    return out
+            some = nodes[k : k + FAN_IN]
+            level.append(some[0] if len(some) == 1 else call("reduce", MAP_PROMPT, as_texts(some))[0])
+        nodes = level or nodes
+        if passes >= MOST_PASSES:
+            out.truncated = True
+            break
+    return done("map_reduce", call("final", FINAL_PROMPT, as_texts(nodes))[0])
