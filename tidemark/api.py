@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schema
+from tidemark.functions import scalars
 from tidemark.operators import classify, insights, queue, retrieval
 from tidemark.operators import timeseries as ts
 from tidemark.plans import report
-from tidemark.providers import Embedder
+from tidemark.providers import Answerer, Embedder, answer_deltas
 from tidemark.sources.tables import Store, storage_classes
+from tidemark.streaming import stateful
 
 #: Least and largest sizes of answers.
 FRAMES, CONTEXT, TIMELINE, INSIGHTS = 500, 50, (120, 2000), (24, 720)
+LAYERS = ("content_text", "raw_text")
 
 
 class Engine:
-    """Commands over one store. Without an embedder, searches use text alone."""
+    """Commands over one store. Without an embedder, searches use text alone.
+
+    ``index_texts`` stores the full-text index; searches use it while it is that of the texts' version.
+    """
 
     def __init__(self, store: Store, embedder: Embedder | None = None, stemmed: bool = True):
         self.store, self.embedder, self.stemmed = store, embedder, stemmed
@@ -26,7 +34,47 @@ class Engine:
         return self.store.read(name)
 
     def corpus(self) -> retrieval.Corpus:
-        return retrieval.Corpus(self._t("frames"), self._t("frame_text"), self._t("embeddings"), self.stemmed)
+        return retrieval.Corpus(self._t("frames"), self._t("frame_text"), self._t("embeddings"), self.stemmed, self.indexes())
+
+    def _index_path(self, layer: str) -> str:
+        version = (self.store.versions("frame_text") or [0])[-1]
+        return f"{self.store.root}/_index/{layer}-{'stems' if self.stemmed else 'words'}-v{version}"
+
+    def index_texts(self) -> None:
+        """Bring the stored index up to the texts: the texts of a version are one segment, and so is each batch since."""
+        spark, version = self.store.spark, (self.store.versions("frame_text") or [0])[-1]
+        for layer in LAYERS:
+            path = self._index_path(layer)
+            done = set(retrieval.segments(spark, path))
+            if version and "texts" not in done:
+                retrieval.write_index(spark.read.schema(schema.FRAME_TEXT).parquet(f"{self.store.root}/frame_text/v{version}"), layer, path, self.stemmed, segment="texts")
+            for batch in self.store.batches("frame_text"):
+                if batch not in done:
+                    retrieval.write_index(self.store.batch("frame_text", batch), layer, path, self.stemmed, segment=batch)
+
+    def indexes(self) -> dict[str, retrieval.Index]:
+        """The stored indexes that cover all texts."""
+        wanted = {*(["texts"] if self.store.versions("frame_text") else []), *self.store.batches("frame_text")}
+        paths = {layer: self._index_path(layer) for layer in LAYERS}
+        return {layer: retrieval.read_index(self.store.spark, path) for layer, path in paths.items() if wanted and wanted == set(retrieval.segments(self.store.spark, path))}
+
+    def get_settings(self) -> dict:
+        """All settings with their defaults, as the types of these and within their limits."""
+        stored = {r.key: r.value for r in self._t("settings").collect()}  # a row for each known key at most
+        read = {k: scalars.parse_setting(stored.get(k), default) for k, default in scalars.DEFAULTS.items()}
+        return {k: scalars.clamp_setting(k, v) if k in scalars.LIMITS else v for k, v in read.items()}
+
+    def set_settings(self, changes: dict) -> None:
+        """All changes or none: they are checked first and stored as one version of the table."""
+        if unknown := sorted(set(changes) - set(scalars.DEFAULTS)):
+            raise KeyError(f"no such settings: {', '.join(unknown)}")
+        for k, v in changes.items():
+            if not isinstance(v, (int, float) if k in scalars.LIMITS else type(scalars.DEFAULTS[k])) or (isinstance(v, bool) and k in scalars.LIMITS):
+                raise TypeError(f"{k} is no {type(scalars.DEFAULTS[k]).__name__}")
+        rows = [(k, scalars.format_setting(scalars.clamp_setting(k, v) if k in scalars.LIMITS else v), 0) for k, v in changes.items()]
+        if rows:
+            new = self.store.spark.createDataFrame(rows, "key string, value string, seq int")
+            self.store.write("settings", queue.upsert(self._t("settings"), new, ["key"]))
 
     def _vector(self, text: str) -> list[float] | None:
         return [float(x) for x in self.embedder.embed([text])[0]] if self.embedder and text.strip() else None
@@ -40,6 +88,17 @@ class Engine:
         chunks = retrieval.rag_context(self.corpus(), text, k, self._vector(text)).withColumn("ask", F.lit(0))
         return report.pack_context(chunks, budget, "ask", [F.desc("score"), F.desc("frame_id")])
 
+    def ask(self, text: str, provider: Answerer, k: int = 8, budget: int = 4096, cancelled: Callable[[], bool] = lambda: False) -> Iterator[tuple[str, object]]:
+        """The deltas of an answer in order: ``("thinking" | "token", text)``, ``("citation", frame_id)``, then ``("done", None)``,
+        ``("cancelled", None)`` or ``("error", message)``. At most ``k`` retrieved texts come to the driver."""
+        rows = self.ask_context(text, k, budget).orderBy("place").select("frame_id", "text").collect()
+        yield from answer_deltas(provider, text, list({r.frame_id: (r.frame_id, r.text) for r in reversed(rows)}.values())[::-1], cancelled)
+
+    def search_images(self, vector: list[float], limit: int = 20) -> DataFrame:
+        """Frames by the distance of their image vectors."""
+        images = self._t("image_embeddings").select("frame_id", F.lit(0).alias("chunk_index"), "embedding")
+        return retrieval.knn(images, self._t("frames"), vector, retrieval.normalized_limit(limit))
+
     def get_timeline(self, start: int, end: int, buckets: int) -> DataFrame:
         return ts.timeline_buckets(self._t("frames"), start, end, ts.clamp(buckets, *TIMELINE))
 
@@ -76,9 +135,68 @@ class Engine:
     def plan_report(self, start: int, end: int, daily: int = 40, weekly: int = 200) -> DataFrame:
         return report.coverage_groups(self._t("frames"), self._t("frame_text"), start, end, daily, weekly)
 
+    def generate_report(self, start: int, end: int, provider: report.Summariser, prompt: str | None = None, daily: int = 40, weekly: int = 200, min_frames: int = 20, reply_tokens: int = 512, **hooks) -> report.Report:
+        """A report over a window: of what is relevant to ``prompt``, else of an even sample of every period.
+
+        It is marked truncated where frames were left out: more frames than sampled, or a full search.
+        """
+        if prompt and prompt.strip():
+            context = provider.context_tokens or report.CONTEXT_TOKENS
+            hits = retrieval.hybrid_search(self.corpus(), prompt.strip(), weekly, self._vector(prompt.strip()), start, end)
+            found = hits.select("frame_id", "snippet", "score", "captured_at").collect()  # at most ``weekly`` rows
+            local = self.store.spark.createDataFrame(found, hits.select("frame_id", "snippet", "score", "captured_at").schema)
+            groups = report.relevance_groups(retrieval.with_texts(local, self._t("frame_text"), drop_blank=True), report.reply_budget(reply_tokens, context), context)
+            return report.generate_report(groups, provider, len(groups), reply_tokens, min_frames, len(found) >= weekly, by_time=False, **hooks)
+        groups = report.grouped(self.plan_report(start, end, daily, weekly))
+        there = ts.within(self._t("frames"), start, end).count()
+        return report.generate_report(groups, provider, report.grid_size(start, end), reply_tokens, min_frames, sum(len(c) for _, c in groups) < there, **hooks)
+
+    def complete_jobs(self, ids: list[int], now: int) -> None:
+        """Finish running jobs; an error if one isn't running."""
+        jobs, wanted = self._t("jobs"), self._ids(ids, "job_id")
+        queue.check_running(jobs, wanted)
+        self.store.write("jobs", queue.complete(jobs, wanted, now))
+
+    def fail_jobs(self, ids: list[int], error: str, now: int, retry_at: int | None = None) -> None:
+        jobs, wanted = self._t("jobs"), self._ids(ids, "job_id")
+        queue.check_running(jobs, wanted)
+        self.store.write("jobs", queue.fail(jobs, wanted, error, now, retry_at))
+
+    def work(self, kinds: list[str], now: int, provider: Callable[[DataFrame], DataFrame], batch: int = 1) -> int:
+        """Claim and do due jobs; how many there were."""
+        jobs, n = queue.work_once(self._t("jobs"), kinds, now, provider, batch)
+        if n:
+            self.store.write("jobs", jobs)
+        return n
+
+    def sweep_stale(self, now: int, older_ms: int) -> None:
+        self.store.write("jobs", queue.reset_stale(self._t("jobs"), now, older_ms))
+
+    def sweep_retention(self, now: int, days: int, deleted: Callable[[list[str]], list[bool]], limit: int = 1000) -> int:
+        """Delete the oldest expired frames whose files are gone; how many there were."""
+        gone = queue.retention_sweep(self._t("frames"), now, days, deleted, limit)
+        if n := gone.count():
+            self.delete_frames(gone)
+        return n
+
+    def purge_app(self, app: str, batch: int = 256) -> int:
+        """Delete all frames of an application once; a setting written last says that it is done."""
+        mark, n = f"purged:{app.lower()}", 0
+        if self._t("settings").where(F.col("key") == mark).count():
+            return 0
+        while rows := ts.frames_by_app(self._t("frames"), app, batch).select("frame_id").collect():
+            self.delete_frames(self._ids([r.frame_id for r in rows], "frame_id"))
+            n += len(rows)
+        new = self.store.spark.createDataFrame([(mark, "true", 0)], "key string, value string, seq int")
+        self.store.write("settings", queue.upsert(self._t("settings"), new, ["key"]))
+        return n
+
+    def _ids(self, ids: list[int], name: str) -> DataFrame:
+        return self.store.spark.createDataFrame([(i,) for i in ids], f"{name} long")
+
     def backfill(self, config: classify.Config = classify.Config()) -> int:
         """Re-clean older texts, queue the changed ones for embedding, and say how many there were."""
-        out = classify.backfill(self._t("frame_text"), self._t("text_spans"), self._t("embeddings"), self._t("chrome_text_catalog"), config)
+        out = classify.backfill(self._t("frame_text"), self._t("text_spans"), self._t("embeddings"), stateful.catalog(self.store, config.min_seen), config)
         changed = out["changed"].select("frame_id", F.lit("embed_text").alias("kind"), F.col("frame_id").alias("seq"))
         n = changed.count()
         if n:

@@ -82,6 +82,10 @@ def relative_time(age_ms: Column) -> Column:
 LIMITS = {"capture_interval_ms": (250, 3_600_000), "change_threshold": (0.0, 1.0), "max_width": (320, 7680), "worker_concurrency": (1, 16), "chrome_min_seen": (2, 1000), "chrome_protect_chars": (1, 10_000), "chrome_grid": (1, 32), "ctx_size": (512, 32_768)}
 
 
+#: Settings that are stored, with their defaults.
+DEFAULTS = {"capture_interval_ms": 2000, "change_threshold": 0.006, "max_width": 1920, "worker_concurrency": 1, "chrome_min_seen": 4, "chrome_protect_chars": 48, "chrome_grid": 8, "ctx_size": 0, "retention_days": 0, "excluded_apps": "[]", "tagging_enabled": False}
+
+
 def clamp_setting(name: str, value: float) -> float:
     """Within the setting's limits; values that aren't finite become the least. A context size of 0 means automatic."""
     low, high = LIMITS[name]
@@ -105,3 +109,44 @@ def parse_setting(text: str | None, default):
 
 def format_setting(value) -> str:
     return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def pixel_rect(rect: Column, width: Column, height: Column) -> Column:
+    """A pixel rectangle as parts of its image, clamped so that it ends within it; zeros for an empty image."""
+    unit = lambda v, size: F.least(F.greatest(v / size, F.lit(0.0)), F.lit(1.0))
+    x, y = unit(rect["x"], width), unit(rect["y"], height)
+    w, h = F.least(unit(rect["w"], width), 1 - x), F.least(unit(rect["h"], height), 1 - y)
+    some, zero = (width > 0) & (height > 0), F.lit(0.0)
+    return F.struct(*(F.when(some, v).otherwise(zero).alias(k) for k, v in zip("xywh", (x, y, w, h))))
+
+
+def content_hash(content: Column) -> Column:
+    """An opaque id of bytes or text: equal content, equal id."""
+    return F.sha2(content.cast("binary"), 256)
+
+
+def local_day_range(day: Column, zone: str) -> Column:
+    """``start, end`` in milliseconds of a local date in a time zone; days with a change of the clock are shorter or longer."""
+    midnight = lambda d: F.timestamp_millis(F.datediff(d, F.lit("1970-01-01").cast("date")).cast("long") * DAY_MS)
+    at = lambda d: F.unix_millis(F.to_utc_timestamp(midnight(d), zone))
+    return F.struct(at(day).alias("start"), at(F.date_add(day, 1)).alias("end"))
+
+
+def bucket_count(pixels: float, pixels_each: float, low: int, high: int) -> int:
+    """How many buckets a chart of some width shows."""
+    return max(low, min(high, math.floor(pixels / pixels_each + 0.5)))
+
+
+#: Severities of a status from the worst on.
+SEVERITIES = ("error", "warning", "busy", "ok")
+
+
+def worst_status(statuses: Column, order: tuple[str, ...] = SEVERITIES) -> Column:
+    """The worst of an array of statuses; unknown ones don't count, none gives null."""
+    known = F.array_intersect(F.array(*map(F.lit, order)), statuses)
+    return F.get(known, F.lit(0))
+
+
+def nearest_rank(values: list[float], percent: int = 95) -> float | None:
+    """The value at place ``len * percent / 100`` of the sorted values, at most the last."""
+    return sorted(values)[min(len(values) - 1, len(values) * percent // 100)] if values else None

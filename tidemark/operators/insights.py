@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.timeseries import timeline_buckets, within
@@ -68,3 +69,40 @@ def shares(df: DataFrame, value: str = "n") -> DataFrame:
     """Add each row's part of the largest value and of the sum, as charts draw them."""
     sums = df.agg(F.max(value).alias("__max"), F.sum(value).alias("__sum"))
     return df.join(F.broadcast(sums)).withColumn("of_max", F.col(value) / F.col("__max")).withColumn("of_sum", F.col(value) / F.col("__sum")).drop("__max", "__sum")
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """``name, n`` of tables."""
+    out = None
+    for name, df in tables.items():
+        own = df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def apps_before(frame_text: DataFrame, version: int) -> DataFrame:
+    """Applications with texts of a filter version below ``version``."""
+    return frame_text.where((F.col("filter_version") < version) & F.col("target_app").isNotNull()).select("target_app").distinct()
+
+
+def nearest_thumbnail(thumbnails: DataFrame, at: int) -> DataFrame:
+    """The row of ``frame_id, captured_at`` nearest to a moment, the earlier one of two."""
+    gap = F.abs(F.col("captured_at") - at)
+    best = F.min(F.struct(gap.alias("gap"), "captured_at", "frame_id")).alias("best")
+    return thumbnails.agg(best).where("best IS NOT NULL").select("best.frame_id", "best.captured_at")
+
+
+def latency_percentile(values: DataFrame, column: str, percent: int = 95) -> DataFrame:
+    """``n`` and the value at place ``n * percent / 100`` of the sorted values, at most the last, from counts per value.
+
+    Counts are summed within slices of neighbouring values and shifted, so no task sorts all values.
+    """
+    counts = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
+    total = counts.agg(F.sum("c").alias("n"))
+    sliced = counts.withColumn("slice", F.floor(F.col(column) / 1000))
+    before = W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    shift = sliced.groupBy("slice").agg(F.sum("c").alias("s")).select("slice", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("shift"))
+    upto = F.sum("c").over(W.partitionBy("slice").orderBy(column).rowsBetween(W.unboundedPreceding, 0))
+    placed = sliced.withColumn("upto", upto).join(shift, "slice").withColumn("upto", F.col("upto") + F.col("shift")).join(F.broadcast(total))
+    place = F.least(F.expr(f"n * {percent} div 100"), F.col("n") - 1)
+    return placed.where(F.col("upto") > place).groupBy("n").agg(F.min(column).alias("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -10,6 +11,8 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.streaming.stateful import Splitter
+
 
 class Embedder(Protocol):
     dimensions: int
@@ -28,6 +31,29 @@ class Tagger(Protocol):
         """A reply for ``functions.scalars.reply_struct``."""
 
 
+class Answerer(Protocol):
+    def answer(self, question: str, context: list[tuple[int, str]]) -> Iterator[str]:
+        """The pieces of a reply to a question, grounded on ``(frame_id, text)`` rows."""
+
+
+def answer_deltas(provider: Answerer, question: str, context: list[tuple[int, str]], cancelled: Callable[[], bool] = lambda: False) -> Iterator[tuple[str, object]]:
+    """A reply as ordered deltas: thinking and spoken pieces, then the frames it was grounded on, then how it ended."""
+    splitter = Splitter()
+    try:
+        pieces = provider.answer(question, context)
+        for piece in pieces:
+            if cancelled():
+                yield "cancelled", None
+                return
+            yield from (("thinking" if thinking else "token", text) for thinking, text in splitter.push(piece))
+        yield from (("thinking" if thinking else "token", text) for thinking, text in splitter.push("", last=True))
+    except Exception as e:  # what a provider raises is the user's to see, whatever it is
+        yield "error", str(e)
+        return
+    yield from (("citation", i) for i, _ in context)
+    yield "done", None
+
+
 class HashEmbedder:
     """Sums of fixed pseudo-random word vectors: equal texts get equal vectors."""
 

@@ -13,7 +13,7 @@ from tidemark.sources import tables as src
 from tidemark.streaming import stateful as st
 
 CONFIG = cl.Config()
-GATE = 0.12
+GATE, MONITORS = 0.12, 48
 DENIED = [" CLICK ", "", "purch"]
 
 f32 = cl.f32
@@ -60,7 +60,7 @@ def reconciled(spans, context):
 def gated(spark, sf_dir):
     e = src.read(spark, sf_dir, "embeddings")
     luma = F.transform("embedding", lambda x: F.least(F.greatest(F.floor(x.cast("double") * 128 + 128), F.lit(0)), F.lit(255)).cast("int"))
-    return st.change_gate(e.select((F.col("vec_id") % 3).cast("int").alias("monitor_index"), F.col("vec_id").alias("captured_at"), luma.alias("luma")), GATE).select("monitor_index", "captured_at")
+    return st.change_gate(e.select((F.col("vec_id") % MONITORS).cast("int").alias("monitor_index"), F.col("vec_id").alias("captured_at"), luma.alias("luma")), GATE).select("monitor_index", "captured_at")
 
 
 def thinking(spark, sf_dir):
@@ -118,6 +118,13 @@ ORACLES = {
     "content_text_rebuild": f"{WITH} SELECT frame_id, coalesce(string_agg(text, chr(10) ORDER BY line_index) FILTER (role IN ('content', 'unknown')), '') AS content_text FROM roles GROUP BY frame_id",
     "chrome_catalog": f"{WITH} SELECT signature, seen_count FROM cat",
     "reconcile_backfill": f"{WITH} SELECT frame_id, sum(CASE WHEN role NOT IN ('content', 'unknown') OR (short AND own IN (SELECT signature FROM cat WHERE seen_count >= 4)) THEN n_words ELSE 0 END)::BIGINT AS suppressed_count FROM roles GROUP BY frame_id",
+    "change_gate": f"""WITH RECURSIVE rows AS (SELECT CAST(vec_id % {MONITORS} AS INTEGER) AS monitor_index, vec_id AS captured_at, row_number() OVER (PARTITION BY vec_id % {MONITORS} ORDER BY vec_id) AS place,
+  list_transform(embedding, lambda x: CAST(least(greatest(floor(x::DOUBLE * 128 + 128), 0), 255) AS INTEGER)) AS luma FROM embeddings),
+fold AS (SELECT monitor_index, captured_at, place, luma AS held, true AS kept FROM rows WHERE place = 1
+  UNION ALL SELECT monitor_index, captured_at, place, CASE WHEN moved THEN luma ELSE held END, moved FROM (
+    SELECT r.monitor_index, r.captured_at, r.place, r.luma, f.held, list_sum(list_transform(list_zip(r.luma, f.held), lambda p: abs(p[1] - p[2]))) / (len(r.luma) * 255.0::DOUBLE) > {GATE} AS moved
+    FROM fold f JOIN rows r ON r.monitor_index = f.monitor_index AND r.place = f.place + 1))
+SELECT monitor_index, captured_at FROM fold WHERE kept""",
     "think_split": "SELECT conv_id AS stream_id, i - 1 AS seq, (i - 1) % 2 = 1 AS thinking, part AS text FROM (SELECT conv_id, generate_subscripts(p, 1) AS i, unnest(p) AS part FROM (SELECT conv_id, string_split(string_agg(CASE WHEN role = 'user' THEN chr(1) || text || chr(1) ELSE text END, '' ORDER BY turn), chr(1)) AS p FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)) WHERE part <> ''",
     "vision_reply_parse": f"SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'plain ' ELSE 'saw ' END || event_type AS description, CASE WHEN event_id % 5 <> 0 AND event_id % 9 < 8 THEN {list(ACTIVITIES)}[event_id % 9 + 1] END AS activity_type, CASE WHEN event_id % 5 <> 0 AND event_id % 4 <> 0 THEN event_type END AS app_hint, CASE WHEN event_id % 5 <> 0 AND floor(value) > 0 AND floor(value) <= 1 THEN floor(value)::DOUBLE ELSE -1.0::DOUBLE END AS confidence FROM events",
 }
