@@ -1,3 +1,7 @@
+import math
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +100,61 @@ def test_batched_searches_equal_single_ones(spark, corpus):
         window = {"start": start, "end": end} if start is not None else {}
         want = [(r.frame_id, round(r.score, 9)) for r in rt.hybrid_ids(corpus, text, 5, vector, **window).collect()]
         assert got.get(n, []) == want
+
+
+@pytest.mark.parametrize("chrome", [False, True])
+def test_interactive_search_equals_the_plan(corpus, chrome):
+    for text, vector, window in (("alpha", unit(1), {}), ("alpha-beta gamma", None, {}), ("menu", unit(2), {"start": 150, "end": 450}), ("!!", unit(0), {}), ("missing", None, {}), (" ", unit(0), {})):
+        want = [tuple(r) for r in rt.hybrid_search(corpus, text, 3, vector, include_chrome=chrome, **window).collect()]
+        got = rt.search_hits(corpus, text, 3, vector, include_chrome=chrome, **window)
+        assert [(*r[:3], *r[4:]) for r in got] == [(*r[:3], *r[4:]) for r in want]
+        assert [r[3] for r in got] == pytest.approx([r[3] for r in want])
+
+
+def plain_search(rows, text, limit, stemmed):
+    """BM25 over whole texts in order of rank, without Spark."""
+    docs = {i: [tx.stem(t) if stemmed else t for t in tx.tokens_python(content)] for i, content in rows}
+    phrases, mean = tx.query_phrases(text, stemmed), sum(map(len, docs.values())) / len(docs)
+    tf = lambda words, p: sum(words[k : k + len(p)] == p for k in range(len(words)))
+    holding = {tuple(p): sum(tf(w, p) > 0 for w in docs.values()) for p in phrases}
+    score = {}
+    for i, words in docs.items():
+        if all(tf(words, p) for p in phrases):
+            score[i] = -sum(max(math.log((len(docs) - holding[tuple(p)] + 0.5) / (holding[tuple(p)] + 0.5)), 1e-6) * (n := tf(words, p)) * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(words) / mean)) for p in phrases)
+    return sorted((round(s, 9), i) for i, s in score.items())[:limit]
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_stored_index_against_brute_force(spark, tmp_path, stemmed):
+    rng = random.Random(2)
+    words = "hope hopes hoping hoped relational relate motor motoring Ünder under ab ab-cd cat cats".split()
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 25)))) for k in range(300)]
+    texts = spark.createDataFrame(rows, "frame_id long, content_text string")
+    frames = spark.createDataFrame([(k, k) for k, _ in rows], "frame_id long, captured_at long")
+    for segment in range(2):
+        rt.write_index(texts.where(f"frame_id % 2 = {segment}"), "content_text", f"{tmp_path}/i", stemmed, 8, f"s{segment}")
+    index = rt.read_index(spark, f"{tmp_path}/i")
+    assert rt.segments(spark, f"{tmp_path}/i") == ["s0", "s1"] and index.buckets == 8
+    for text in ("hope cats", "hoping-motor", "relational under", "ab-cd hopes", "cat cat", "nothing"):
+        got = [(round(r.score, 9), r.frame_id) for r in rt.text_arm(index, frames, text, 40, stemmed=stemmed).orderBy("rank").collect()]
+        assert got == plain_search(rows, text, 40, stemmed)
+    plan = rt.score_phrases(index, [[["hope"], ["cat"]]])._jdf.queryExecution().executedPlan().toString()
+    assert all(part.startswith("bucket#") for part in plan.split("PartitionFilters: [")[1:] if "bucket" in part[:40]) and "PushedFilters: [In(term, [cat,hope])]" in plan
+
+
+def test_neighbours_of_many_batches_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (600, 5)).astype(float)  # many ties
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    vectors = spark.createDataFrame([(k // 2, k % 2, [float(x) for x in row]) for k, row in enumerate(v)], "frame_id long, chunk_index int, embedding array<float>").repartition(3)
+    queries = [(n, [float(x) for x in v[7 * n]]) for n in range(20) if np.abs(v[7 * n]).sum()]
+    got = {}
+    for r in rt.knn_batch(vectors, queries, 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((round(r.distance, 9), r.frame_id, r.chunk_index))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    unit_of = lambda x: x / max(np.linalg.norm(x), 1e-300)
+    for n, q in queries:
+        near = sorted((round(1 - float(unit_of(np.array(q)) @ unit_of(row)), 9), k // 2, k % 2) for k, row in enumerate(v))
+        assert [d for d, *_ in got[n]] == pytest.approx([d for d, *_ in near[:7]])
+    with pytest.raises(ValueError):
+        rt.knn_batch(vectors, queries, rt.MOST_RESULTS)

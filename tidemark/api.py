@@ -81,7 +81,8 @@ class Engine:
 
     def search(self, text: str, limit: int = 20, time_range: tuple[int, int] | None = None, include_chrome: bool = False) -> DataFrame:
         start, end = time_range or (schema.MIN_MS, schema.MAX_MS)
-        return retrieval.hybrid_search(self.corpus(), text, limit, self._vector(text), start, end, include_chrome)
+        hits = retrieval.search_hits(self.corpus(), text, limit, self._vector(text), start, end, include_chrome)
+        return self.store.spark.createDataFrame(hits, retrieval.HITS)
 
     def ask_context(self, text: str, k: int = 8, budget: int = 4096) -> DataFrame:
         """What an answer is grounded on: retrieved texts packed into a token budget."""

@@ -32,6 +32,11 @@ def is_excluded(app: Column, title: Column, entries: list[str]) -> Column:
     return out
 
 
+def may_capture(locked: Column, own_window: Column, app: Column, title: Column, entries: list[str]) -> Column:
+    """The privacy gate: no frame of a locked screen, of our own window or of a denied application; unknown states count as no."""
+    return ~F.coalesce(locked, F.lit(False)) & ~F.coalesce(own_window, F.lit(False)) & ~is_excluded(app, title, entries)
+
+
 def rect_in_monitor(rect: Column, monitor: Column) -> Column:
     """A window's pixels as parts of the monitor, clamped; null where its centre lies on another one."""
     cx, cy = rect["x"] + rect["w"] / 2, rect["y"] + rect["h"] / 2

@@ -152,6 +152,10 @@ def fallback_snippet(text: Column, most: int = 160) -> Column:
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 
 
+def fallback_snippet_python(text: str, most: int = 160) -> str:
+    return text[:most] + "…" if len(text) > most else text
+
+
 SNIPPET_TOKENS = 12
 RAW_TOKEN = re.compile(r"[^\W_]+")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.timeseries import timeline_buckets, within
+from tidemark.operators.timeseries import bucket_width, timeline_buckets, within
 
 TOP_APPS = 12
 
@@ -29,6 +29,21 @@ def summary(frames: DataFrame, start: int, end: int, buckets: int) -> dict[str,
     return {"totals": totals(frames, start, end), "captures": timeline_buckets(frames, start, end, buckets), "top_apps": top_apps(frames, start, end), "activity": activity_breakdown(frames, start, end)}
 
 
+def summary_rows(frames: DataFrame, start: int, end: int, buckets: int, limit: int = TOP_APPS) -> DataFrame:
+    """``part, key, n``: totals, captures per bucket, the top applications and activities of a window from one scan.
+
+    Counts per bucket, application and activity are taken first; the parts are sums of these.
+    """
+    width = bucket_width(start, end, buckets)
+    inside = within(frames, start, end).groupBy(F.expr(f"(captured_at - {start}L) div {width}L").alias("bucket"), "app_hint", "activity_type").agg(F.count("*").alias("n"))
+    part = lambda name, key: F.struct(F.lit(name).alias("part"), key.cast("string").alias("key"))
+    tagged = F.col("activity_type").isNotNull()
+    parts = F.array(part("total", F.lit(None)), F.when(tagged, part("tagged", F.lit(None))), part("captures", F.col("bucket")), part("app", F.col("app_hint")), F.when(tagged, part("activity", F.col("activity_type"))))
+    summed = inside.select("n", F.explode(parts).alias("p")).where("p IS NOT NULL").groupBy("p.part", "p.key").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(W.partitionBy("part").orderBy(F.desc("n"), F.asc_nulls_first("key")))
+    return summed.withColumn("place", place).where(~F.col("part").isin("app", "activity") | (F.col("place") <= limit)).drop("place")
+
+
 def suppression_stats(spans: DataFrame, frame_text: DataFrame, filter_version: int) -> DataFrame:
     """Suppressed and all spans per target application, for texts of one filter version."""
     texts = frame_text.where(F.col("filter_version") == filter_version).select("frame_id", "target_app")

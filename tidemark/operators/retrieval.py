@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -49,12 +50,11 @@ class Index:
         """The postings of a few terms; the buckets are constants that prune a stored index."""
         if len(terms) > NAMED_TERMS:
             return self.postings
-        buckets = [F.pmod(F.hash(F.lit(t)), F.lit(self.buckets)) for t in terms]
-        return self.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+        return self.postings.where(f"bucket IN ({', '.join(f'pmod(hash({quoted(t)}), {self.buckets})' for t in terms)}) AND term IN ({', '.join(map(quoted, terms))})")
 
     def totals(self) -> DataFrame:
         """One row: ``total`` texts and their ``mean`` number of tokens."""
-        return self.layer.agg(F.sum("texts").alias("total"), (F.sum("tokens") / F.sum("texts")).alias("mean"))
+        return self.layer.selectExpr("sum(texts) AS total", "sum(tokens) / sum(texts) AS mean")
 
 
 def build_index(texts: DataFrame, column: str, stemmed: bool = False, buckets: int = BUCKETS) -> Index:
@@ -104,45 +104,39 @@ def score_phrases(index: Index, queries: list[list[list[str]]]) -> DataFrame:
     terms = sorted({t for p in phrases for t in p})
     alone = {p[0] for p in phrases if len(p) == 1}
     together = {t for p in phrases if len(p) > 1 for t in p}
-    of = lambda t, what: F.max(F.when(F.col("term") == t, what))
-    counts = {t: of(t, F.size("positions")).alias(f"n{k}") for k, t in enumerate(terms) if t in alone}
-    places = {t: of(t, F.col("positions")).alias(f"p{k}") for k, t in enumerate(terms) if t in together}
-    found = index.of(terms).groupBy("frame_id", "size").agg(*counts.values(), *places.values())
+    # Expressions are written as text: an interactive search spends more on building columns one by one than on running them.
+    of = lambda t, what: f"max(IF(term = {quoted(t)}, {what}, NULL)) AS {'n' if t in alone and what != 'positions' else 'p'}{terms.index(t)}"
+    found = [*(of(t, "size(positions)") for t in terms if t in alone), *(of(t, "positions") for t in terms if t in together)]
 
-    def shifted(by: int):
-        return lambda x: x - by
-
-    def frequency(phrase: tuple[str, ...]) -> Column:
+    def frequency(phrase: tuple[str, ...]) -> str:
         if len(phrase) == 1:
-            return F.coalesce(F.col(f"n{terms.index(phrase[0])}"), F.lit(0))
-        starts = [F.transform(f"p{terms.index(t)}", shifted(k)) for k, t in enumerate(phrase)]
-        both = starts[0]
-        for more in starts[1:]:
-            both = F.array_intersect(both, more)
-        return F.coalesce(F.size(both), F.lit(0))
-
-    docs = found.select("frame_id", "size", *(frequency(p).alias(f"tf{k}") for k, p in enumerate(phrases)))
-    holding = docs.agg(*(F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(phrases))))
+            return f"coalesce(n{terms.index(phrase[0])}, 0)"
+        both = f"p{terms.index(phrase[0])}"
+        for k, t in enumerate(phrase[1:], 1):
+            both = f"array_intersect({both}, transform(p{terms.index(t)}, x -> x - {k}))"
+        return f"coalesce(size({both}), 0)"
+
+    docs = index.of(terms).groupBy("frame_id", "size").agg(*map(F.expr, found)).selectExpr("frame_id", "size", *(f"{frequency(p)} AS tf{k}" for k, p in enumerate(phrases)))
+    holding = docs.selectExpr(*(f"count_if(tf{k} > 0) AS n{k}" for k in range(len(phrases))))
     rows = docs.join(F.broadcast(holding)).join(F.broadcast(index.totals()))  # one row each
     each = []
     for n, query in enumerate(queries):
-        score, all_there = F.lit(0.0), F.lit(True)
-        for p in query:
-            k = phrases.index(tuple(p))
-            tf = F.col(f"tf{k}")
-            score = score + bm25(tf, F.col(f"n{k}"))
-            all_there = all_there & (tf > 0)
-        each.append(F.when(all_there, F.struct(F.lit(n).alias("query"), (-score).alias("score"))))
+        places = [phrases.index(tuple(p)) for p in query]
+        score = " + ".join(["0.0D", *(bm25(f"tf{k}", f"n{k}") for k in places)])
+        each.append(f"IF({' AND '.join(f'tf{k} > 0' for k in places) or 'true'}, struct({n} AS query, -({score}) AS score), NULL)")
     if len(each) == 1:
-        return rows.select("frame_id", each[0].alias("found")).where("found IS NOT NULL").select("found.query", "frame_id", "found.score")
-    some = F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("found")
-    return rows.select("frame_id", some).select("found.query", "frame_id", "found.score")
+        return rows.selectExpr("frame_id", f"{each[0]} AS found").where("found IS NOT NULL").selectExpr("found.query", "frame_id", "found.score")
+    return rows.selectExpr("frame_id", f"explode(filter(array({', '.join(each)}), x -> x IS NOT NULL)) AS found").selectExpr("found.query", "frame_id", "found.score")
+
+
+def quoted(text: str) -> str:
+    """A text as a constant of Spark's SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def bm25(tf: Column, holding: Column) -> Column:
+def bm25(tf: str, holding: str) -> str:
     """A phrase's part of a score, beside the columns ``total, mean, size``."""
-    idf = F.greatest(F.log((F.col("total") - holding + 0.5) / (holding + 0.5)), F.lit(LEAST_IDF))
-    return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    return f"greatest(ln((total - {holding} + 0.5D) / ({holding} + 0.5D)), {LEAST_IDF!r}D) * ({tf} * {K1 + 1}D) / ({tf} + {K1}D * (1 - {B}D + {B}D * size / mean))"
 
 
 def text_arm(index: Index, frames: DataFrame, text: str, pool: int, start: int = MIN_MS, end: int = MAX_MS, stemmed: bool = False) -> DataFrame:
@@ -307,6 +301,57 @@ def hybrid_search(corpus: Corpus, text: str, limit: int = 20, query_vector: list
     return hydrate(fused, corpus.frames, corpus.texts, tx.query_phrases(text, corpus.stemmed), include_chrome, corpus.stemmed)
 
 
+HITS = "frame_id long, captured_at long, snippet string, score float, image_path string, app_hint string"
+
+
+def search_hits(corpus: Corpus, text: str, limit: int = 20, query_vector: list[float] | None = None, start: int = MIN_MS, end: int = MAX_MS, include_chrome: bool = False) -> list[tuple]:
+    """The hits of ``hybrid_search`` as rows, for one interactive search.
+
+    The arms run at the same time, and what they find, a pool of at most 2,000 rows each, is fused and cut
+    to snippets here; one more job reads the frames and texts of these rows by their ids.
+    """
+    limit = normalized_limit(limit)
+    if not text.strip():
+        return []
+    pool, phrases = candidate_pool(limit), tx.query_phrases(text, corpus.stemmed)
+    layers = ["content_text", *(["raw_text"] if include_chrome else [])] if phrases else []
+    inside = within(corpus.frames, start, end).select("frame_id")
+
+    def text_ids(layer: str) -> list[int]:
+        scored = score_phrases(corpus.index(layer), [phrases]).select("frame_id", "score").join(inside, "frame_id", "left_semi")
+        return [r.frame_id for r in scored.orderBy("score", "frame_id").limit(pool).collect()]
+
+    def near_chunks() -> list[tuple[int, float]]:
+        return [(r.frame_id, r.distance) for r in knn_chunks(corpus.vectors, query_vector, pool).collect()]
+
+    with ThreadPoolExecutor(len(layers) + 1) as pool_of:
+        found = [pool_of.submit(text_ids, layer) for layer in layers]
+        near = pool_of.submit(near_chunks) if query_vector is not None and corpus.vectors is not None else None
+        arms = [f.result() for f in found]
+        chunks = near.result() if near else []
+    nearest: dict[int, float] = {}
+    for frame, distance in chunks:
+        nearest[frame] = min(distance, nearest.get(frame, distance))
+    ids = sorted({*nearest, *(i for arm in arms for i in arm)})
+    among = f"frame_id IN ({', '.join(map(str, ids)) or 'NULL'})"
+    rows = within(corpus.frames, start, end).where(among).select("frame_id", "captured_at", "image_path", "app_hint")
+    own = corpus.texts.where(among).select("frame_id", "content_text", "raw_text")
+    known = {r.frame_id: r for r in rows.join(own, "frame_id", "left").collect()} if ids else {}
+    if near:
+        arms.append([i for i, _ in sorted(nearest.items(), key=lambda x: (x[1], x[0])) if i in known])
+    scores: dict[int, float] = {}
+    for arm in arms:
+        for rank, i in enumerate(arm, 1):
+            scores[i] = scores.get(i, 0.0) + 1.0 / (RRF_K + rank)
+    best = sorted(scores, key=lambda i: (-scores[i], -i))[:limit]
+
+    def said(content: str | None, raw: str | None) -> str:
+        hit = next((x for t in (content, raw if include_chrome else None) if t is not None and (x := tx.snippet_python(t, phrases, corpus.stemmed)) is not None), None)
+        return hit if hit is not None else tx.fallback_snippet_python(content or "")
+
+    return [(i, r.captured_at, said(r.content_text, r.raw_text), scores[i], r.image_path, r.app_hint) for i in best for r in [known[i]]]
+
+
 def rag_context(corpus: Corpus, text: str, k: int = 8, query_vector: list[float] | None = None, drop_blank: bool = False) -> DataFrame:
     """``frame_id, text, score, captured_at`` for an answer: whole texts, the snippet where there is none."""
     return with_texts(hybrid_search(corpus, text, k, query_vector), corpus.texts, drop_blank)
@@ -340,7 +385,7 @@ def bm25_batch(index: Index, terms: list[tuple[int, int, int, str]], spark: Spar
     tf = starts.join(F.broadcast(sizes), ["query", "phrase"]).where("n = length").groupBy("query", "phrase", "frame_id", "size").agg(F.count("*").alias("tf"))
     holding = tf.groupBy("query", "phrase").agg(F.count("*").alias("n_p"))  # as many rows as phrases at most
     rows = tf.join(F.broadcast(holding), ["query", "phrase"]).join(F.broadcast(index.totals()))
-    scored = rows.groupBy("query", "frame_id").agg(F.sum(bm25(F.col("tf"), F.col("n_p"))).alias("score"), F.count("*").alias("found"))
+    scored = rows.groupBy("query", "frame_id").agg(F.expr(f"sum({bm25('tf', 'n_p')})").alias("score"), F.count("*").alias("found"))
     return scored.join(F.broadcast(wanted), "query").where("found = phrases").select("query", "frame_id", (-F.col("score")).alias("score"))
 
 

@@ -1,6 +1,7 @@
 """Registered queries and the SQL that they are held against."""
 
-from tidemark.queries import browse, ingest, report, search
+from tidemark.queries import browse, commands, ingest, report, search
 
-QUERIES = browse.QUERIES | search.QUERIES | ingest.QUERIES | report.QUERIES
-ORACLES = browse.ORACLES | search.ORACLES | ingest.ORACLES | report.ORACLES
+PARTS = (browse, search, ingest, report, commands)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
