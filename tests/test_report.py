@@ -1,9 +1,14 @@
+import hashlib
 import random
+from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as sc
+from tidemark.functions import text as tx
+from tidemark.operators import insights
 from tidemark.plans import report as rp
 from tidemark.schema import DAY_MS
 
@@ -144,3 +149,21 @@ def test_paths_rectangles_and_settings(spark):
     assert [sc.clamp_setting(*x) for x in (("capture_interval_ms", 1), ("change_threshold", float("nan")), ("max_width", 100000), ("worker_concurrency", 0), ("ctx_size", 0), ("ctx_size", 100), ("ctx_size", 999999))] == [250, 0.0, 7680, 1, 0, 512, 32768]
     assert (sc.parse_setting("Yes", False), sc.parse_setting("x", 5), sc.parse_setting("7", 5), sc.parse_setting(None, "a"), sc.format_setting(True)) == (True, 5, 7, "a", "true")
     assert [one(spark, lambda a: sc.relative_time(a.cast("long")), a=str(s * 1000)) for s in (10, 60, 600, 7200, 200000)] == ["just now", "1 min ago", "10 min ago", "2 h ago", "2 d ago"]
+
+
+def test_scalars_of_charts_and_days(spark):
+    days = spark.sql("SELECT explode(sequence(DATE'2023-03-20', DATE'2023-11-05')) AS day")
+    for zone in ("Europe/Berlin", "America/New_York", "UTC"):
+        midnight = lambda d, z=ZoneInfo(zone): int(datetime(d.year, d.month, d.day, tzinfo=z).timestamp() * 1000)
+        for r in days.select("day", sc.local_day_range(F.col("day"), zone).alias("r")).collect():
+            assert (r.r.start, r.r.end) == (midnight(r.day), midnight(r.day + timedelta(days=1)))
+    assert [sc.bucket_count(*x) for x in ((1000, 10, 24, 720), (90, 10, 24, 720), (99999, 10, 24, 720), (305, 10, 1, 99))] == [100, 24, 720, 31]
+    assert sc.nearest_rank([5, 1, 4, 2, 3]) == 5 and sc.nearest_rank(list(range(20))) == 19 and sc.nearest_rank(list(range(100))) == 95 and sc.nearest_rank([]) is None
+    assert one(spark, lambda a: sc.worst_status(F.split(a, ",")), a="ok,busy,odd") == "busy" and one(spark, lambda a: sc.worst_status(F.split(a, ",")), a="odd") is None
+    assert one(spark, sc.content_hash, a="é") == hashlib.sha256("é".encode()).hexdigest()
+    values = spark.createDataFrame([(float(x),) for x in list(range(3000)) * 2], "v double")
+    assert tuple(insights.latency_percentile(values, "v").first()) == (6000, float(sorted(list(range(3000)) * 2)[5700]))
+    assert insights.latency_percentile(values.limit(0), "v").count() == 0
+    cut = lambda text, n: spark.createDataFrame([(text,)], "t string").select(tx.truncate_bytes(F.col("t"), n).alias("x")).first().x
+    for n in range(0, 14):
+        assert cut("aé日😀b", n) == "aé日😀b".encode()[:n].decode("utf-8", "ignore")

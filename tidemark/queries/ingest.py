@@ -13,7 +13,7 @@ from tidemark.sources import tables as src
 from tidemark.streaming import stateful as st
 
 CONFIG = cl.Config()
-GATE, MONITORS = 0.12, 48
+GATE, MONITORS = 0.075, 48
 DENIED = [" CLICK ", "", "purch"]
 
 f32 = cl.f32
