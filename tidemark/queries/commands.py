@@ -82,7 +82,7 @@ def mirrored(frames, vision):
 
 def routed(jobs):
     results = jobs.where("state = 'running'").select("job_id", "frame_id", "attempts", (F.col("job_id") % 3 > 0).alias("frame_exists"), F.expr("IF(job_id % 4 = 0, ' ', 'x')").alias("text"), (F.col("kind") == "vision_tag").alias("needs_image"), F.expr("CASE job_id % 7 WHEN 1 THEN 'missing' WHEN 2 THEN 'unreadable' ELSE 'ok' END").alias("image_state"), (F.col("job_id") % 5 > 0).alias("provider_ok"))
-    return queue.route_outcomes(results, NOW)
+    return queue.route_outcomes(results, NOW).select("job_id", "outcome", F.coalesce("retry_at", F.lit(0)).alias("retry_at"))
 
 
 def merged(frames):
@@ -173,7 +173,7 @@ ORACLES = {
     "mirror_labels": f"{BROWSE} SELECT frame_id, CASE WHEN frame_id IN (SELECT frame_id FROM vision) AND frame_id % 3 = 0 THEN NULL ELSE activity_type END AS activity_type FROM frames",
     "route_outcomes": f"""{BROWSE}, r AS (SELECT *, CASE WHEN frame_id IS NULL THEN 'dead' WHEN job_id % 3 = 0 THEN 'done' WHEN kind = 'vision_tag' AND job_id % 7 = 1 THEN 'dead' WHEN kind = 'vision_tag' AND job_id % 7 = 2 THEN 'retry'
       WHEN kind <> 'vision_tag' AND job_id % 4 = 0 THEN 'done' WHEN job_id % 5 > 0 THEN 'done' ELSE 'retry' END AS outcome FROM jobs WHERE state = 'running')
-      SELECT job_id, outcome, CASE WHEN outcome = 'retry' THEN {NOW} + CAST(least(1000 * 2 ** attempts, 60000) AS BIGINT) END AS retry_at FROM r""",
+      SELECT job_id, outcome, CASE WHEN outcome = 'retry' THEN {NOW} + CAST(least(1000 * 2 ** attempts, 60000) AS BIGINT) ELSE 0 END AS retry_at FROM r""",
     "merge_catalog": f"{BROWSE} SELECT app_hint || '/' || captured_at // 3600000 % 24 AS signature, count(*) AS seen_count, min(captured_at) AS first_seen_at, max(captured_at) AS last_seen_at, count(*) >= 4 AS suppressed FROM frames WHERE app_hint IS NOT NULL GROUP BY 1",
     "knn_images": f"{SEARCH}, {knn_sql('near', prefilter=True).replace('FROM vectors WHERE frame_id IN', 'FROM vectors WHERE chunk_index = 0 AND frame_id IN').replace('LIMIT 100', f'LIMIT {LIMIT}')} SELECT frame_id, round(distance, 6) AS distance, rank FROM near",
 }
