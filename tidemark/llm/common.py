@@ -57,14 +57,19 @@ def keep_rows(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, on, how)
 
 
+#: Rows that a function of columns gets at once; a worker holds the values of no more than these.
+ROWS_AT_ONCE = 512
+
+
 def map_batches(df: DataFrame, fn: Callable[[list, ...], dict[str, list]], schema: str, *args) -> DataFrame:
-    """Apply ``fn(*columns, *args)`` to each Arrow batch; a batch is bounded in rows and in bytes by Spark."""
+    """Apply ``fn(*columns, *args)`` to slices of Arrow batches, which Spark bounds in rows and in bytes."""
     out_schema = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = fn(*(c.to_pylist() for c in batch.columns), *args)
-            yield pa.RecordBatch.from_pydict(got, schema=out_schema)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                got = fn(*(c.to_pylist() for c in batch.slice(at, ROWS_AT_ONCE).columns), *args)
+                yield pa.RecordBatch.from_pydict(got, schema=out_schema)
 
     return df.mapInArrow(run, schema)
 
