@@ -102,8 +102,10 @@ def test_batched_searches_equal_single_ones(spark, corpus):
         assert got.get(n, []) == want
 
 
-@pytest.mark.parametrize("chrome", [False, True])
-def test_interactive_search_equals_the_plan(corpus, chrome):
+@pytest.mark.parametrize("chrome,pool", [(False, 50), (True, 50), (False, 1)])
+def test_interactive_search_equals_the_plan(corpus, chrome, pool, monkeypatch):
+    monkeypatch.setattr(rt, "candidate_pool", lambda limit: pool)
+    monkeypatch.setattr(rt, "OVER_FETCH", 4 if pool > 1 else 1)  # at 1, windows ask the arm again
     for text, vector, window in (("alpha", unit(1), {}), ("alpha-beta gamma", None, {}), ("menu", unit(2), {"start": 150, "end": 450}), ("!!", unit(0), {}), ("missing", None, {}), (" ", unit(0), {})):
         want = [tuple(r) for r in rt.hybrid_search(corpus, text, 3, vector, include_chrome=chrome, **window).collect()]
         got = rt.search_hits(corpus, text, 3, vector, include_chrome=chrome, **window)

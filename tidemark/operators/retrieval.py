@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from tidemark.operators.timeseries import clamp, within
 from tidemark.schema import MAX_MS, MIN_MS
 
 RRF_K = 60
+
+#: How many pools an interactive text arm takes before the window is tried.
+OVER_FETCH = 4
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
@@ -307,8 +311,9 @@ HITS = "frame_id long, captured_at long, snippet string, score float, image_path
 def search_hits(corpus: Corpus, text: str, limit: int = 20, query_vector: list[float] | None = None, start: int = MIN_MS, end: int = MAX_MS, include_chrome: bool = False) -> list[tuple]:
     """The hits of ``hybrid_search`` as rows, for one interactive search.
 
-    The arms run at the same time, and what they find, a pool of at most 2,000 rows each, is fused and cut
-    to snippets here; one more job reads the frames and texts of these rows by their ids.
+    The arms run at the same time, and what they find, at most 8,000 rows each, is fused and cut to snippets
+    here. The window is tried on the frames of these rows; if it leaves too few of a text arm that had more, that
+    arm is asked again within the window. Texts are read for the hits alone.
     """
     limit = normalized_limit(limit)
     if not text.strip():
@@ -317,26 +322,32 @@ def search_hits(corpus: Corpus, text: str, limit: int = 20, query_vector: list[f
     layers = ["content_text", *(["raw_text"] if include_chrome else [])] if phrases else []
     inside = within(corpus.frames, start, end).select("frame_id")
 
-    def text_ids(layer: str) -> list[int]:
-        scored = score_phrases(corpus.index(layer), [phrases]).select("frame_id", "score").join(inside, "frame_id", "left_semi")
-        return [r.frame_id for r in scored.orderBy("score", "frame_id").limit(pool).collect()]
+    def ranked_ids(layer: str, most: int, join: bool = False) -> list[int]:
+        scored = score_phrases(corpus.index(layer), [phrases])
+        scored = scored.join(inside, "frame_id", "left_semi") if join else scored
+        return [r.frame_id for r in scored.orderBy("score", "frame_id").limit(most).select("frame_id").collect()]
 
     def near_chunks() -> list[tuple[int, float]]:
         return [(r.frame_id, r.distance) for r in knn_chunks(corpus.vectors, query_vector, pool).collect()]
 
-    with ThreadPoolExecutor(len(layers) + 1) as pool_of:
-        found = [pool_of.submit(text_ids, layer) for layer in layers]
-        near = pool_of.submit(near_chunks) if query_vector is not None and corpus.vectors is not None else None
-        arms = [f.result() for f in found]
-        chunks = near.result() if near else []
-    nearest: dict[int, float] = {}
-    for frame, distance in chunks:
-        nearest[frame] = min(distance, nearest.get(frame, distance))
-    ids = sorted({*nearest, *(i for arm in arms for i in arm)})
-    among = f"frame_id IN ({', '.join(map(str, ids)) or 'NULL'})"
-    rows = within(corpus.frames, start, end).where(among).select("frame_id", "captured_at", "image_path", "app_hint")
-    own = corpus.texts.where(among).select("frame_id", "content_text", "raw_text")
-    known = {r.frame_id: r for r in rows.join(own, "frame_id", "left").collect()} if ids else {}
+    def rows_of(df: DataFrame, ids: Iterable[int], *columns: str) -> dict[int, Row]:
+        among = f"frame_id IN ({', '.join(map(str, ids)) or 'NULL'})"
+        return {r.frame_id: r for r in df.where(among).select("frame_id", *columns).collect()}
+
+    meta = within(corpus.frames, start, end)
+    with ThreadPoolExecutor(len(layers) + 2) as threads:
+        found = [threads.submit(ranked_ids, layer, OVER_FETCH * pool) for layer in layers]
+        near = threads.submit(near_chunks) if query_vector is not None and corpus.vectors is not None else None
+        arms, nearest = [f.result() for f in found], {}
+        for frame, distance in near.result() if near else []:
+            nearest[frame] = min(distance, nearest.get(frame, distance))
+        known = rows_of(meta, sorted({*nearest, *(i for arm in arms for i in arm)}), "captured_at", "image_path", "app_hint")
+        for k, arm in enumerate(arms):
+            left = [i for i in arm if i in known]
+            if len(left) < pool and len(arm) == OVER_FETCH * pool:  # the window may hold more of them further down
+                left = ranked_ids(layers[k], pool, join=True)
+                known |= rows_of(meta, left, "captured_at", "image_path", "app_hint")
+            arms[k] = left[:pool]
     if near:
         arms.append([i for i, _ in sorted(nearest.items(), key=lambda x: (x[1], x[0])) if i in known])
     scores: dict[int, float] = {}
@@ -349,7 +360,9 @@ def search_hits(corpus: Corpus, text: str, limit: int = 20, query_vector: list[f
         hit = next((x for t in (content, raw if include_chrome else None) if t is not None and (x := tx.snippet_python(t, phrases, corpus.stemmed)) is not None), None)
         return hit if hit is not None else tx.fallback_snippet_python(content or "")
 
-    return [(i, r.captured_at, said(r.content_text, r.raw_text), scores[i], r.image_path, r.app_hint) for i in best for r in [known[i]]]
+    texts = rows_of(corpus.texts, best, "content_text", "raw_text") if best else {}
+    shown = {i: said(texts[i].content_text, texts[i].raw_text) if i in texts else "" for i in best}
+    return [(i, known[i].captured_at, shown[i], scores[i], known[i].image_path, known[i].app_hint) for i in best]
 
 
 def rag_context(corpus: Corpus, text: str, k: int = 8, query_vector: list[float] | None = None, drop_blank: bool = False) -> DataFrame:
