@@ -86,3 +86,18 @@ def to_arrow(schema: str) -> pa.Schema:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit("")).alias(col)
+
+
+#: Keys with more than this part of all rows are joined by broadcast; so there are fewer than this.
+HOT_KEYS = 200
+
+
+def join_hot(rows: DataFrame, of_key: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Inner join of rows with a table of one row per key that counts the rows of its key in ``n``.
+
+    A key may hold many of the rows. Those with more than a 200th of all are fewer than 200, so they are
+    broadcast and their rows stay where they are; the others' rows are joined by shuffle.
+    """
+    most = (of_key.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS
+    hot, others = F.broadcast(of_key.where(F.col(n) > most)), of_key.where(F.col(n) <= most)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(others, key))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import audio, bpe, html_extract, license_scan, packing, pii, quality, secret_scan, simhash, url_filter
-from tidemark.llm.common import table
+from tidemark.llm import audio, bpe, filter_audit, html_extract, license_scan, packing, pii, quality, resampling, secret_scan, simhash, token_counts, url_filter
+from tidemark.llm.common import shared_folder, table
 
 
 #: The key of the registered query only; pseudonyms that must hold need a secret one.
@@ -54,6 +55,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, so that each run does the whole work; a deployment keeps one."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio_columns": op1_audio_columns,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -65,6 +79,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_adaptive_quality_rules": op8_adaptive_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_token_counts": op12_token_counts,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op3_license_scan": license_scan.oracle(), "op8_adaptive_quality_rules": quality.oracle()}
+ORACLES: dict[str, str] = {
+    "op3_license_scan": license_scan.oracle(),
+    "op8_adaptive_quality_rules": quality.oracle(),
+    "op11_importance_resampling": resampling.oracle(),
+    "op13_filter_audit": filter_audit.oracle(),
+}
