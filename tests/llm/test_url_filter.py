@@ -82,7 +82,10 @@ def slow_tree(urls, tree):
 
     def grow(host, rows, above):
         known = [r for r in rows if r[2]]
-        if not known or len(known) == len(rows):
+        if not any(r[2] == "block" for r in known):
+            return
+        if above >= tree.reject and all(r[2] == "block" for r in rows):
+            rejected.update((host, r[0]) for r in rows)
             return
         while all(r[1] for r in rows) and len({r[1][0] for r in rows}) == 1:
             rows = [(shape, rest[1:], label) for shape, rest, label in rows]
@@ -107,7 +110,7 @@ def slow_tree(urls, tree):
 
     for host, rows in hosts.items():
         bad, known = sum(r[2] == "block" for r in rows), sum(r[2] is not None for r in rows)
-        grow(host, rows, share(bad, known, 0.5))
+        grow(host, rows, round(share(bad, known, 0.5), 9))
     return rejected
 
 
@@ -132,7 +135,7 @@ def test_templates_apart_far_below_the_host(spark):
     assert {u: v == "block" for u, v in got.items()} == {u: "bad" in u for u in urls}
 
 
-def test_one_label_decides_its_own_url(spark):
+def test_one_label_is_enough_for_its_template(spark):
     assert verdicts(spark, ["http://casino-y.org/de/1", "http://plain.org/de/1"]) == {"http://casino-y.org/de/1": "block", "http://plain.org/de/1": "allow"}
 
 
@@ -147,4 +150,4 @@ def held_out(pages):
 
 def test_hidden_labels_are_found(spark):
     bad, found, pure = held_out(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
-    assert bad > 200 and found > 0.7 and pure > 0.8
+    assert bad > 200 and found > 0.9 and pure > 0.85

@@ -4,8 +4,12 @@ Each document gets counts and, from them, rates in whole numbers. For each langu
 mergeable quantile sketch is kept per rate: a histogram over buckets whose width grows with the value
 (values keep their six leading binary digits, so a quantile is at most 1/32 off). Sketches merge by
 adding counts, so Spark aggregates them partially before any shuffle, and a group with few documents
-uses the merged sketch of its language, or of all. A document is rejected if a rate lies far above its
-group's quartiles. A group whose own fence lies far above that of its language, as where a quarter of a
+uses the merged sketch of its language, or of all. Sketches hold the documents that pass the base rules.
+
+A document is rejected if a rate lies far above its group's quartiles. Most rates are zero in most documents,
+so quartiles alone would forbid a single mark. A rate moves in steps of one occurrence, though, and the
+step is the larger the shorter a document is: the quartile range counts as one occurrence in a document
+of the group's 0.05 quantile of length at least, which is read from a sketch of the lengths. A group whose own fence lies far above that of its language, as where a quarter of a
 source is junk, gets the fence of the language, and so does a language from all.
 """
 
@@ -32,19 +36,22 @@ POSITION_BITS = 24
 class Rules:
     """min_words and max_repeat_percent are fixed; a fence is the upper quartile + spread x quartile range.
 
-    Ranges count as their least value at least, so a group of equal values has some room; a fence of more
-    than ``far`` times the wider group's gives way to that.
+    Ranges count as one occurrence in a short document at least; a fence of more than ``far`` times the
+    wider group's gives way to that.
     """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     min_group: int = 50
-    spread: int = 4
+    spread: int = 6
     far: int = 2
-    #: rate: its least quartile range, per thousand words (lines for dup_lines), or hundredths of a code point.
-    ranges: tuple[tuple[str, int], ...] = (("symbols", 38), ("shouts", 62), ("dup_lines", 100), ("repeats", 88), ("word_length", 30))
 
 
+#: Each rate: what is counted, the length that it is divided by, the factor, and what one occurrence counts
+#: (a window found twice covers six words).
+RATES = {"symbols": ("n_symbols", "n_words", 1000, 1), "shouts": ("n_shouts", "n_words", 1000, 1), "dup_lines": ("n_dup_lines", "n_lines", 1000, 1), "repeats": ("n_repeat_words", "n_words", 1000, 6), "word_length": ("word_chars", "n_words", 100, 1)}
+LENGTHS = ("n_words", "n_lines")
+
 #: Rows of the table of fences that are broadcast; with more groups the join is salted.
 MOST_GROUPS, SALTS = 200_000, 16
 
@@ -112,8 +119,7 @@ def counts(docs: DataFrame, *carried: str) -> DataFrame:
 
 
 def _rates() -> dict[str, Column]:
-    per = lambda n, of, by=1000: F.expr(f"CASE WHEN {of} = 0 THEN 0 ELSE {n} * {by} DIV {of} END")
-    return {"symbols": per("n_symbols", "n_words"), "shouts": per("n_shouts", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words", 100)}
+    return {x: F.expr(f"CASE WHEN {of} = 0 THEN 0 ELSE {n} * {by} DIV {of} END") for x, (n, of, by, _) in RATES.items()}
 
 
 def bucket(value: Column) -> Column:
@@ -129,39 +135,51 @@ def sketches(rates: DataFrame, names: list[str]) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """``q1, q3`` and the number of documents, for each group ``by`` and rate."""
+    """The quartiles ``q1, q3``, the 0.05 quantile ``low`` and the number of documents, for each group ``by`` and rate."""
     merged = sketch.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*by, "rate")
     ranked = merged.withColumn("below", F.sum("n").over(w.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
-    return ranked.groupBy(*by, "rate").agg(F.max("total").alias("total"), *(F.min(F.when(F.col("below") * 4 >= F.col("total") * k, F.col("bucket"))).alias(f"q{k}") for k in (1, 3)))
+    return ranked.groupBy(*by, "rate").agg(F.max("total").alias("total"), *(F.min(F.when(F.col("below") * n >= F.col("total") * k, F.col("bucket"))).alias(x) for x, k, n in (("q1", 1, 4), ("q3", 3, 4), ("low", 1, 20))))
+
+
+def _fences_of(sketch: DataFrame, by: list[str], rules: Rules) -> DataFrame:
+    """The groups ``by``, their number of documents as ``total``, and the upper fence of each rate."""
+    q = lambda x, k: F.max(F.when(F.col("rate") == x, F.col(k)))
+    one = lambda of, by, n: F.floor(F.lit(by * n) / F.greatest(q(of, "low"), F.lit(1)))
+    fence = {x: q(x, "q3") + rules.spread * F.greatest(q(x, "q3") - q(x, "q1"), one(*RATES[x][1:])) for x in RATES}
+    return quartiles(sketch, by).groupBy(*by).agg(F.max("total").alias("total"), *(c.alias(x) for x, c in fence.items()))
 
 
 def fences(sketch: DataFrame, rules: Rules) -> DataFrame:
-    """One row per language and source: the upper fence of each rate."""
-    least = F.element_at(F.create_map(*(F.lit(x) for pair in rules.ranges for x in pair)), F.col("rate")).cast("long")
-    fence = F.col("q3") + F.greatest(F.col("q3") - F.col("q1"), least) * rules.spread
-    of = lambda by, name: quartiles(sketch, by).select(*by, "rate", F.when(F.col("total") >= rules.min_group, fence).alias(name), fence.alias(f"{name}_any"))
-    levels = of(["lang", "source"], "own").join(of(["lang"], "of_lang"), ["lang", "rate"]).join(F.broadcast(of([], "of_all")), "rate")
-    near = lambda own, wider: F.when(F.col(own) <= wider * rules.far, F.col(own)).otherwise(wider)
-    levels = levels.withColumn("fence", near("own", near("of_lang", F.col("of_all_any"))))
-    return levels.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == x, F.col("fence"))).alias(f"{x}_fence") for x, _ in rules.ranges))
+    """One row per language and source with a sketch: the upper fence of each rate."""
+    named = lambda df, by, name: df.select(*by, F.struct(*df.columns).alias(name))
+    own, lang, every = (named(_fences_of(sketch, by, rules), by, name) for by, name in ((["lang", "source"], "own"), (["lang"], "of_lang"), ([], "of_all")))
+    levels = own.join(lang, "lang").crossJoin(F.broadcast(every))  # one row of all
+
+    def picked(x: str) -> Column:
+        wide = F.col(f"of_all.{x}")
+        for name in ("of_lang", "own"):
+            near = (F.col(f"{name}.total") >= rules.min_group) & (F.col(f"{name}.{x}") <= wide * rules.far)
+            wide = F.when(near, F.col(f"{name}.{x}")).otherwise(wide)
+        return wide.alias(f"{x}_fence")
+
+    return levels.select("lang", "source", *map(picked, RATES))
 
 
 def _judged(docs: DataFrame, rules: Rules, cut: Callable[[DataFrame], DataFrame], *carried: str) -> DataFrame:
     """The counts of each row, ``base_failed``, ``kept`` and the columns carried along; ``cut`` stores the counts once."""
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)
     measured = cut(counts(docs, *carried).select("*", *(c.alias(x) for x, c in _rates().items()), failed.alias("base_failed")))
-    names = [x for x, _ in rules.ranges]
-    limits = checkpointed(fences(sketches(measured, names), rules))
+    limits = checkpointed(fences(sketches(measured.where("NOT base_failed"), [*RATES, *LENGTHS]), rules))
     passes = ~F.col("base_failed")
-    for x in names:
+    for x in RATES:
         passes = passes & (F.col(x) <= F.col(f"{x}_fence"))
     # A source may hold many of the rows, so they aren't dealt by it.
     if limits.count() <= MOST_GROUPS:
-        joined = measured.join(F.broadcast(limits), ["lang", "source"])
+        joined = measured.join(F.broadcast(limits), ["lang", "source"], "left")
     else:
         spread = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")).join(spread, ["lang", "source", "salt"])
+        joined = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")).join(spread, ["lang", "source", "salt"], "left")
     return joined.withColumn("kept", passes)
 
 
@@ -187,11 +205,11 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def oracle(rules: Rules = Rules()) -> str:
     """``judge`` over the table ``documents`` in DuckDB's SQL."""
     space = "[\\x20\\x09-\\x0D]+"
-    names = [x for x, _ in rules.ranges]
-    rates = {"symbols": "n_symbols * 1000 // n_words", "shouts": "n_shouts * 1000 // n_words", "dup_lines": "n_dup_lines * 1000 // n_lines", "repeats": "n_repeat_words * 1000 // n_words", "word_length": "word_chars * 100 // n_words"}
-    quart = lambda by: f"SELECT {by}rate, max(total) AS total, min(CASE WHEN below * 4 >= total THEN bucket END) AS q1, min(CASE WHEN below * 4 >= total * 3 THEN bucket END) AS q3 FROM (SELECT {by}rate, bucket, sum(sum(n)) OVER (PARTITION BY {by}rate ORDER BY bucket) AS below, sum(sum(n)) OVER (PARTITION BY {by}rate) AS total FROM sketch GROUP BY {by}rate, bucket) GROUP BY {by}rate"
-    fence = lambda of: f"{of}.q3 + greatest({of}.q3 - {of}.q1, least) * {rules.spread}"
-    ranges = ", ".join(f"('{x}', {n})" for x, n in rules.ranges)
+    names, values = list(RATES), [*RATES, *LENGTHS]
+    rates = {x: f"{n} * {by} // {of}" for x, (n, of, by, _) in RATES.items()}
+    quart = lambda by: f"SELECT {by}rate, max(total) AS total, min(CASE WHEN below * 4 >= total THEN bucket END) AS q1, min(CASE WHEN below * 4 >= total * 3 THEN bucket END) AS q3, min(CASE WHEN below * 20 >= total THEN bucket END) AS low FROM (SELECT {by}rate, bucket, sum(sum(n)) OVER (PARTITION BY {by}rate ORDER BY bucket) AS below, sum(sum(n)) OVER (PARTITION BY {by}rate) AS total FROM sketch GROUP BY {by}rate, bucket) GROUP BY {by}rate"
+    fence = lambda of: f"{of}.q3 + greatest({of}.q3 - {of}.q1, one // greatest({of}_len.low, 1)) * {rules.spread}"
+    steps = ", ".join(f"('{x}', '{of}', {by * n})" for x, (_, of, by, n) in RATES.items())
     kept = " AND ".join(f"{x} <= {x}_fence" for x in names)
     return f"""
 WITH base AS (
@@ -208,16 +226,18 @@ counted AS (
     len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
   FROM base LEFT JOIN covered ON base.r = covered.r),
 measured AS (SELECT *, {", ".join(f"coalesce({e}, 0) AS {x}" for x, e in rates.items())}, n_words < {rules.min_words} OR n_repeat_words * 100 > n_words * {rules.max_repeat_percent} AS base_failed FROM counted),
-each AS (UNPIVOT (SELECT lang, source, {", ".join(f"{x}::BIGINT AS {x}" for x in names)} FROM measured) ON {", ".join(names)} INTO NAME rate VALUE v),
+each AS (UNPIVOT (SELECT lang, source, {", ".join(f"{x}::BIGINT AS {x}" for x in values)} FROM measured WHERE NOT base_failed) ON {", ".join(values)} INTO NAME rate VALUE v),
 sketch AS (SELECT lang, source, rate, v - v % width + width - 1 AS bucket, count(*) AS n FROM (SELECT *, 1::BIGINT << greatest(0, length(bin(v)) - 6) AS width FROM each) GROUP BY ALL),
 own AS ({quart("lang, source, ")}), by_lang AS ({quart("lang, ")}), whole AS ({quart("")}),
-ranges(rate, least) AS (VALUES {ranges}),
+steps(rate, length, one) AS (VALUES {steps}),
 levels AS (
   SELECT own.lang, own.source, own.rate, CASE WHEN own.total >= {rules.min_group} THEN {fence("own")} END AS own_fence,
     CASE WHEN by_lang.total >= {rules.min_group} THEN {fence("by_lang")} END AS lang_fence, {fence("whole")} AS all_fence
-  FROM own JOIN by_lang ON own.lang = by_lang.lang AND own.rate = by_lang.rate JOIN whole ON own.rate = whole.rate JOIN ranges ON own.rate = ranges.rate),
+  FROM own JOIN by_lang ON own.lang = by_lang.lang AND own.rate = by_lang.rate JOIN whole ON own.rate = whole.rate JOIN steps ON own.rate = steps.rate
+  JOIN own AS own_len ON own_len.lang = own.lang AND own_len.source = own.source AND own_len.rate = length
+  JOIN by_lang AS by_lang_len ON by_lang_len.lang = own.lang AND by_lang_len.rate = length JOIN whole AS whole_len ON whole_len.rate = length),
 wider AS (SELECT *, CASE WHEN lang_fence <= all_fence * {rules.far} THEN lang_fence ELSE all_fence END AS wide_fence FROM levels),
 picked AS (SELECT lang, source, rate, CASE WHEN own_fence <= wide_fence * {rules.far} THEN own_fence ELSE wide_fence END AS fence FROM wider),
 fences AS (SELECT lang, source, {", ".join(f"max(CASE WHEN rate = '{x}' THEN fence END) AS {x}_fence" for x in names)} FROM picked GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {kept} AS kept
-FROM measured JOIN fences USING (lang, source)"""
+FROM measured LEFT JOIN fences USING (lang, source)"""

@@ -1,14 +1,16 @@
 """URL filters: rules by host and path, and a tree of path templates for all other URLs.
 
-Labels come from the rules and from words that name an unwanted kind of host. A label decides its own
-URL; the tree decides URLs without one. Per host it grows level by level: digits and long hex runs are
+The rules decide the URLs that they fit, the tree all others. Its evidence are labels: what the rules say,
+and words that name an unwanted kind of host; they decide no URL by themselves. Per host it grows level by level: digits and long hex runs are
 wildcards, and so is a segment that takes many values below the same parent. Then siblings whose labelled
 shares don't differ statistically merge into one branch, below which the tree goes on. A template's
-share of bad labels is smoothed towards that of the branch above it; it is rejected if that share is high.
-Templates without labels of their own are allowed.
+share of bad labels is smoothed towards that of the branch above it; it is rejected if that share is high. One
+bad label and no good one are enough for the template that holds it. Templates without labels of their own
+are allowed: what the rules say of one part of a host says nothing of the others.
 
-The tree grows only where a branch holds URLs with and without labels, as deep as their paths go, and
-skips segments that all URLs of a branch share. Everything works on counts per host and path shape, and
+The tree grows only where a branch is not decided yet, as deep as its paths go, and skips segments that all
+URLs of a branch share: a branch without bad labels is allowed, one whose URLs all have bad labels, at a high
+share, is rejected as it stands. Everything works on counts per host and path shape, and
 joins are salted, so a host with many of the URLs is dealt to several tasks.
 """
 
@@ -40,8 +42,8 @@ class Tree:
     many: int = 20
     different: float = 0.5
     very_many: int = 200
-    weight: float = 2.0
-    reject: float = 0.8
+    weight: float = 1.0
+    reject: float = 0.6
     merge_z: float = 1.96
     salts: int = 16
 
@@ -103,14 +105,17 @@ def rejected_shapes(urls: DataFrame, tree: Tree = Tree()) -> DataFrame:
     rows = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), count("block").alias("b"), (count("block") + count("allow")).alias("m"))
     parts = F.split("shape", "/")
     rows = written(rows.withColumn("rest", F.slice(parts, 2, F.size(parts))).withColumn("node", F.lit("")).withColumn("above", F.lit(None).cast("double")))
-    found = None
+    found = urls.select("host", "shape").limit(0)
     while not rows.isEmpty():
-        # A branch goes on only if some of its URLs have a label and some don't, behind the segments all share.
         nodes = rows.groupBy("host", "node").agg(F.sum("n").alias("all"), F.sum("b").alias("bad"), F.sum("m").alias("known"), F.min("rest").alias("low"), F.max("rest").alias("high"))
+        # The segments that all URLs of a branch share are skipped.
         first = F.array_position(F.zip_with("low", "high", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
-        share = (F.col("bad") + F.coalesce("above", F.lit(0.5)) * tree.weight) / (F.col("known") + tree.weight)
-        nodes = nodes.where("known > 0 AND known < all").select("host", "node", "bad", "known", F.when(first > 0, first - 1).otherwise(F.size("low")).cast("int").alias("shared"))
-        rows = join_salted(rows, nodes, ["host", "node"], tree.salts).withColumn("above", F.coalesce("above", share))
+        root = (F.col("bad") + 0.5 * tree.weight) / (F.col("known") + tree.weight)
+        nodes = nodes.where("bad > 0").select("host", "node", root.alias("root"), (F.col("bad") == F.col("all")).alias("pure"), F.when(first > 0, first - 1).otherwise(F.size("low")).cast("int").alias("shared"))
+        rows = written(join_salted(rows, nodes, ["host", "node"], tree.salts).withColumn("above", F.coalesce("above", F.round("root", 9))))
+        whole = F.col("pure") & (F.col("above") >= tree.reject)
+        found = found.unionByName(rows.where(whole).select("host", "shape"))
+        rows = rows.where(~whole)
         rest = F.slice("rest", F.col("shared") + 1, F.greatest(F.size("rest") - F.col("shared"), F.lit(0)))
         rows = rows.withColumn("rest", rest).withColumn("segment", F.coalesce(F.get("rest", F.lit(0)), F.lit(""))).select("host", "shape", "node", "above", "rest", "segment", "n", "b", "m")
 
@@ -122,13 +127,13 @@ def rejected_shapes(urls: DataFrame, tree: Tree = Tree()) -> DataFrame:
         branches = merged_branches(children, tree)
         smoothed = F.round((F.col("b") + F.col("above") * tree.weight) / (F.col("m") + tree.weight), 9)
         branches = branches.select("host", "node", "segment", F.concat("node", F.lit("/"), "branch").alias("below"), smoothed.alias("share"))
-        rows = join_salted(rows.drop("above"), branches, ["host", "node", "segment"], tree.salts)
+        rows = join_salted(rows.drop("above"), branches, ["host", "node", "segment"], tree.salts)  # the segments with labels
         rest = F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0)))
-        rows = written(rows.select("host", "shape", F.col("below").alias("node"), F.col("share").alias("above"), rest.alias("rest"), (F.size("rest") == 0).alias("done"), "n", "b", "m"))
-        ended = rows.where(F.col("done") & (F.col("above") >= tree.reject)).select("host", "shape")
-        found = ended if found is None else found.unionByName(ended)
+        rows = rows.select("host", "shape", F.col("below").alias("node"), F.col("share").alias("above"), rest.alias("rest"), (F.size("rest") == 0).alias("done"), "n", "b", "m")
+        rows = written(rows)
+        found = found.unionByName(rows.where(F.col("done") & (F.col("above") >= tree.reject)).select("host", "shape"))
         rows = rows.where(~F.col("done")).drop("done")
-    return urls.select("host", "shape").limit(0) if found is None else found
+    return found
 
 
 def judge(pages: DataFrame, rules=RULES, tree: Tree = Tree(), bad_words=BAD_WORDS) -> DataFrame:
@@ -141,4 +146,4 @@ def judge(pages: DataFrame, rules=RULES, tree: Tree = Tree(), bad_words=BAD_WORD
     df = labelled(pages, rules, bad_words)
     rejected = rejected_shapes(df.select("host", "shape", "label"), tree).withColumn("rejected", F.lit(True))
     joined = join_salted(df, rejected, ["host", "shape"], tree.salts, "left")
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("label", F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"))
+    return joined.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("label")).when(F.col("rejected"), "block").otherwise("allow").alias("verdict"))
