@@ -125,3 +125,14 @@ def test_a_very_long_text_of_tokens_takes_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6
+
+
+def test_redact_repeated_rows_and_no_rows(spark):
+    rows = [(1, "plain", "x", 5), (1, "plain", "x", 5), (2, "password=hunter2hunter2", "y", 23), (2, "password=hunter2hunter2", "y", 23), (None, None, None, None), (3, "", "", 0), (4, "word " * 50_000 + "password=hunter2hunter2", "z", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long")
+    got = sorted(map(tuple, secret_scan.redact(docs).collect()), key=str)
+    mark = "[secret]"
+    want = [(1, "plain", "x", 5)] * 2 + [(2, mark, "y", 8)] * 2 + [(None, None, None, None), (3, "", "", 0), (4, "word " * 50_000 + mark, "z", 250_008)]
+    assert [(d, t and t.replace("password=", ""), s) for d, t, s, _ in got] == [(d, t, s) for d, t, s, _ in sorted(want, key=str)]
+    assert all(n == (None if t is None else len(t)) for _, t, _, n in got)
+    assert secret_scan.redact(docs.limit(0)).count() == 0 and secret_scan.redact(docs).columns == docs.columns

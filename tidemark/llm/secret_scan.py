@@ -301,7 +301,7 @@ def trained(n: int = 8000, least_recall: float = 0.99) -> Network:
 
 def scores_of(text: str, spans: list[tuple[int, int]], net: Network) -> np.ndarray:
     """Scores of spans, read in blocks of bounded size."""
-    return np.concatenate([net.score(windows(text, spans[k : k + 4096])) for k in range(0, len(spans), 4096)])
+    return np.concatenate([net.score(windows(text, spans[k : k + 512])) for k in range(0, len(spans), 512)])
 
 
 def find(text: str, net: Network) -> list[tuple[str, int, int, float]]:
@@ -341,23 +341,26 @@ def digests(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]", net: Network | None = None) -> DataFrame:
     """The documents with each finding's span replaced by ``mark``; ``n_chars`` follows where there is one.
 
-    Null texts stay null; texts without findings stay as they are; all other columns stay.
+    Null texts stay null; texts without findings stay as they are; all other columns stay. Rows repeat as
+    they do in ``docs``, whole texts are read, however long, and a table without rows gives none. Only
+    changed texts come back from Python.
     """
     net = net or trained()
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
         def one(text):
-            if text is None:
+            found = find(text, net) if text else []
+            if not found:
                 return None
             out, at = [], 0
-            for _, a, b, _ in find(text, net):
+            for _, a, b, _ in found:
                 if b > at:
                     out += [text[at:a], mark] if a >= at else []
                     at = b
             return "".join([*out, text[at:]])
 
-        return texts.map(one, na_action="ignore")
+        return texts.map(one)
 
-    done = docs.withColumn("text", masked(F.col("text")))
+    done = docs.withColumn("text", F.coalesce(masked(F.col("text")), F.col("text")))
     return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
