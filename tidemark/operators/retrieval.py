@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -247,7 +248,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame | list, k: int) -> DataFram
     rows = queries if isinstance(queries, list) else [tuple(r) for r in asked_for(queries, "query_id", "embedding")]
     if len(rows) > MOST_QUERIES or len(rows) * k > MOST_RESULTS:
         raise ValueError(f"a query set holds at most {MOST_QUERIES} vectors and asks for at most {MOST_RESULTS} neighbours")
-    part = _nearest(vectors, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1), k)
+    part = _nearest(vectors, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).reshape(len(rows), len(rows[0][1]) if rows else 0), k)
     w = W.partitionBy("query_id").orderBy("distance", "frame_id", "chunk_index")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -281,6 +282,12 @@ class Corpus:
     vectors: DataFrame | None = None
     stemmed: bool = False
     indexes: dict[str, Index] = field(default_factory=dict)
+    #: A cell index of the vectors (``cells.Cells``), which is searched in their place.
+    cells: Any = None
+
+    def near(self, query: list[float], k: int, start: int, end: int) -> DataFrame:
+        """``frame_id, distance, rank`` of the nearest frames."""
+        return self.cells.knn(self.frames, query, k, start, end) if self.cells else knn(self.vectors, self.frames, query, k, start, end)
 
     def index(self, layer: str) -> Index:
         """The stored index of a text layer, or one made for this search alone."""
@@ -293,8 +300,8 @@ def hybrid_ids(corpus: Corpus, text: str, limit: int, query_vector: list[float]
     pool = candidate_pool(limit)
     layers = ["content_text", *(["raw_text"] if include_chrome else [])]
     arms = [text_arm(corpus.index(c), corpus.frames, text, pool, start, end, corpus.stemmed) for c in layers]
-    if query_vector is not None and corpus.vectors is not None and not blank:
-        arms.append(knn(corpus.vectors, corpus.frames, query_vector, pool, start, end))
+    if query_vector is not None and (corpus.cells or corpus.vectors) is not None and not blank:
+        arms.append(corpus.near(query_vector, pool, start, end))
     fused = rrf(arms, limit)
     return fused.limit(0) if blank else fused
 
@@ -328,7 +335,7 @@ def search_hits(corpus: Corpus, text: str, limit: int = 20, query_vector: list[f
         return [r.frame_id for r in scored.orderBy("score", "frame_id").limit(most).select("frame_id").collect()]
 
     def near_chunks() -> list[tuple[int, float]]:
-        return [(r.frame_id, r.distance) for r in knn_chunks(corpus.vectors, query_vector, pool).collect()]
+        return [(r.frame_id, r.distance) for r in (corpus.cells.chunks(query_vector, pool) if corpus.cells else knn_chunks(corpus.vectors, query_vector, pool)).collect()]
 
     def rows_of(df: DataFrame, ids: Iterable[int], *columns: str) -> dict[int, Row]:
         among = f"frame_id IN ({', '.join(map(str, ids)) or 'NULL'})"
@@ -337,7 +344,7 @@ def search_hits(corpus: Corpus, text: str, limit: int = 20, query_vector: list[f
     meta = within(corpus.frames, start, end)
     with ThreadPoolExecutor(len(layers) + 2) as threads:
         found = [threads.submit(ranked_ids, layer, OVER_FETCH * pool) for layer in layers]
-        near = threads.submit(near_chunks) if query_vector is not None and corpus.vectors is not None else None
+        near = threads.submit(near_chunks) if query_vector is not None and (corpus.cells or corpus.vectors) is not None else None
         arms, nearest = [f.result() for f in found], {}
         for frame, distance in near.result() if near else []:
             nearest[frame] = min(distance, nearest.get(frame, distance))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -15,6 +15,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.functions.text import token_estimate, truncate_bytes
 from tidemark.operators.timeseries import bucket_width, is_sampled, ranked, within
+from tidemark.plans.folds import Fold, fold_slices
 from tidemark.schema import DAY_MS
 
 #: Frames a period has at least, nodes per reduction, periods, passes and citations at most,
@@ -77,23 +78,16 @@ def fold(costs: list[int], budget: int, spent: int = 0, batch: int = 0) -> tuple
 def batches(chunks: DataFrame, budget: int, by: str, order: list[str]) -> DataFrame:
     """Add ``batch`` from 0 within each group ``by``: rows in order, a new batch where the next would exceed ``budget``.
 
-    A row that exceeds it alone has a batch of its own. This is a fold in order, so a group is one task;
-    Spark sorts it, rows pass through in batches and only the running sum of a group is held.
+    A row that exceeds it alone has a batch of its own. This is a fold in order, taken in slices, so that
+    a group of any size is shared by all tasks.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, spent, batch = None, 0, 0
-        for pdf in frames:
-            numbers = []
-            for group, costs in pdf.groupby(by, sort=False, dropna=False)["__cost"]:
-                if (group,) != at:
-                    at, spent, batch = (group,), 0, 0
-                more, spent, batch = fold(costs.tolist(), budget, spent, batch)
-                numbers += more
-            yield pdf.drop(columns="__cost").assign(batch=np.array(numbers, np.int32))
+    def step(spent: int, batch: int, rows: pd.DataFrame):
+        numbers, spent, batch = fold(rows["__cost"].tolist(), budget, spent, batch)
+        return rows.drop(columns="__cost").assign(batch=np.array(numbers, np.int32)), spent, batch
 
     rows = chunks.where(F.trim("text") != "").withColumn("__cost", token_estimate(F.trim("text")) + CHUNK_TOKENS)
-    return rows.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, StructType([*chunks.schema.fields, StructField("batch", IntegerType())]))
+    return fold_slices(rows, by, order, Fold(step, 0), StructType([*chunks.schema.fields, StructField("batch", IntegerType())]))
 
 
 def batch_labels(batched: DataFrame, by: str) -> DataFrame:

@@ -15,6 +15,7 @@ from tidemark import schema
 from tidemark.operators import classify as cl
 from tidemark.operators import queue
 from tidemark.operators.timeseries import within
+from tidemark.plans.folds import Fold, fold_slices
 from tidemark.schema import DAY_MS
 from tidemark.sources.tables import Store
 
@@ -39,21 +40,19 @@ def difference(a: np.ndarray, b: np.ndarray, same_size: bool = True) -> float:
 def change_gate(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``monitor_index, captured_at, luma array<int>, ...`` that differ from the last row kept on their monitor.
 
-    The reference row moves only when a row is kept, so this is a fold in order of time. Rows are dealt by
-    monitor and sorted by Spark, and pass through in batches; only the last kept row is held.
+    The reference row moves only when a row is kept, so this is a fold in order of time; it is taken in slices,
+    so that one monitor with all rows is shared by all tasks.
     """
 
-    def gate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict = {}
-        for pdf in frames:
-            keep = np.zeros(len(pdf), bool)
-            for k, (monitor, luma) in enumerate(zip(pdf["monitor_index"], pdf["luma"])):
-                if monitor not in last or difference(last[monitor], luma) > threshold:
-                    last[monitor], keep[k] = luma, True
-            yield pdf[keep]
+    def step(last: list[int] | None, number: int, rows: pd.DataFrame):
+        keep, last = np.zeros(len(rows), bool), None if last is None else np.array(last)
+        for k, luma in enumerate(rows["luma"]):
+            if last is None or difference(last, luma) > threshold:
+                last, keep[k] = luma, True
+        return rows[keep], [int(x) for x in last], number
 
-    order = ["monitor_index", "captured_at", *(c for c in ("frame_id",) if c in df.columns)]
-    return df.repartition("monitor_index").sortWithinPartitions(*order).mapInPandas(gate, df.schema)
+    order = ["captured_at", *(c for c in ("frame_id",) if c in df.columns)]
+    return fold_slices(df, "monitor_index", order, Fold(step), df.schema)
 
 
 def change_gate_stream(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -87,19 +86,23 @@ class Splitter:
         self.thinking, self.held = thinking, held
 
     def push(self, piece: str, last: bool = False) -> list[tuple[bool, str]]:
+        return [(thinking, said) for _, thinking, said in self.numbered(piece, 0, last)[0]]
+
+    def numbered(self, piece: str, tags: int, last: bool = False) -> tuple[list[tuple[int, bool, str]], int]:
+        """Segments with the number of tags before them, of which there were ``tags``; and the number after the piece."""
         text, out = self.held + piece, []
         while True:
             before, tag, after = text.partition(self.TAGS[self.thinking])
             if not tag:
                 break
             if before:
-                out.append((self.thinking, before))
-            self.thinking, text = not self.thinking, after
+                out.append((tags, self.thinking, before))
+            self.thinking, text, tags = not self.thinking, after, tags + 1
         wait = "" if last else self._tail(text)
         if said := text[: len(text) - len(wait)]:
-            out.append((self.thinking, said))
+            out.append((tags, self.thinking, said))
         self.held = wait
-        return out
+        return out, tags
 
     def _tail(self, text: str) -> str:
         tag = self.TAGS[self.thinking]
@@ -124,12 +127,32 @@ def split_think_stream(df: DataFrame) -> DataFrame:
 
 
 def split_think(pieces: DataFrame) -> DataFrame:
-    """``stream_id, seq, thinking, text`` segments of whole streams, numbered from 0."""
-    joined = pieces.groupBy("stream_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), "").alias("text"))
-    # A closing tag in speech, or an opening one in thought, is text, so tags count in turn.
-    marked = F.regexp_replace("text", r"(?s)<think>(.*?)(?:</think>|\z)", "\0$1\0")
-    parts = joined.select("stream_id", F.posexplode(F.split(marked, "\0")).alias("part", "text"))
-    return parts.where("text <> ''").select("stream_id", F.col("part").cast("long").alias("seq"), (F.col("part") % 2 == 1).alias("thinking"), "text")
+    """``stream_id, seq, thinking, text`` segments of whole streams, numbered from 0 by the tags before them.
+
+    A closing tag in speech, or an opening one in thought, is text. Pieces pass through in slices of order with
+    the mode and the open tail as state, so a stream may be of any length; a segment is one row.
+    """
+    names = ["stream_id", "seq", "piece", "part", "text"]
+
+    def rows_of(stream, at: int, part: int, found: list) -> pd.DataFrame:
+        return pd.DataFrame([(stream, tags, at, part + k, text) for k, (tags, _, text) in enumerate(found)], columns=names)
+
+    def step(state: list, tags: int, rows: pd.DataFrame):
+        splitter, out = Splitter(*state[:2]), []
+        for stream, at, text in zip(rows["stream_id"], rows["seq"], rows["text"]):
+            found, tags = splitter.numbered(text or "", tags)
+            out.append(rows_of(stream, at, 0, found))
+        return pd.concat(out), [splitter.thinking, splitter.held, int(at)], tags
+
+    def finish(state: list, tags: int, stream) -> pd.DataFrame | None:
+        found, _ = Splitter(*state[:2]).numbered("", tags, last=True)
+        return rows_of(stream, state[2], 1 << 30, found) if found else None
+
+    own = pieces.select("stream_id", F.col("seq").cast("long").alias("seq"), "text")
+    kind = own.schema["stream_id"].dataType.simpleString()
+    cut = fold_slices(own, "stream_id", ["seq"], Fold(step, [False, "", 0], finish), f"stream_id {kind}, seq long, piece long, part int, text string")
+    joined = cut.groupBy("stream_id", "seq").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY piece, part)").alias("text"))
+    return joined.select("stream_id", "seq", (F.col("seq") % 2 == 1).alias("thinking"), "text")
 
 
 def catalog(store: Store, min_seen: int = cl.Config().min_seen, without: str | None = None) -> DataFrame:
