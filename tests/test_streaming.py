@@ -184,3 +184,21 @@ def test_debounce(spark, tmp_path):
     rows = pd.DataFrame({"ts": pd.to_datetime([0, 500, 1200, 5000], unit="ms")})
     spark.createDataFrame(rows).write.parquet(f"{tmp_path}/in")
     assert sorted(r.n for r in st.debounce(spark.read.parquet(f"{tmp_path}/in")).collect()) == [1, 3]
+
+
+def test_sse_cut_at_every_byte(spark):
+    sent = 'data: {"choices": [{"delta": {"content": "h\u00e9 \U0001f600", "reasoning_content": "why"}}]}\r\n: note\n\ndata: oops\ndata:{"choices": []}\ndata: {"choices": [{"delta": {"content": ""}}]}\ndata:\n data: x\ndata: {"choices": [{"delta": {"content": "b"}}]}\n'.encode()
+    end = b"data: [DONE]\ndata: {\"choices\": [{\"delta\": {\"content\": \"late\"}}]}\n"
+    whole = sent + end
+    rows = [(at, k, part) for at in range(len(whole) + 1) for k, part in enumerate((whole[:at], whole[at:]))]
+    rows += [(1000, k, bytes([b])) for k, b in enumerate(whole)] + [(2000, 0, sent + b"data: {}"), (3000, 0, None), (3000, 1, b"data: [DO")]
+    got = {}
+    for r in sorted(st.sse_pieces(spark.createDataFrame(rows, "stream_id long, seq int, data binary").repartition(3)).collect(), key=lambda r: (r.stream_id, r.seq, r.part)):
+        got.setdefault(r.stream_id, []).append((r.kind, r.text))
+    want = [("reasoning", "why"), ("content", "h\u00e9 \U0001f600"), ("content", "b"), ("done", None)]
+    assert all(got[at] == want for at in (*range(len(whole) + 1), 1000, 2000)) and got[3000] == [("done", None)]
+
+
+def test_lines_after_the_end_are_left_out(spark):
+    lines = spark.createDataFrame([(1, 0, False), (1, 1, True), (1, 2, False), (2, 5, False), (2, 7, None)], "s int, k int, done boolean")
+    assert sorted((r.s, r.k) for r in st.until_done(lines, "s", "k").collect()) == [(1, 0), (1, 1), (2, 5), (2, 7)]

@@ -68,19 +68,22 @@ def reply_struct(reply: Column) -> Column:
 
 
 def sse_deltas(line: Column) -> Column:
-    """``done, thinking, text`` of a server-sent line, null for comments, blanks and lines that aren't JSON."""
+    """``done, thinking, text`` of a server-sent line, null for comments, blanks, empty pieces and lines that aren't JSON."""
     data = F.trim(F.regexp_extract(line, r"(?s)^data:(.*)$", 1))
     delta = F.get(F.from_json(data, "choices array<struct<delta struct<content string, reasoning_content string>>>")["choices"], F.lit(0))["delta"]
-    text = F.coalesce(delta["reasoning_content"], delta["content"])
+    some = lambda name: F.nullif(delta[name], F.lit(""))
+    text = F.coalesce(some("reasoning_content"), some("content"))
     done = data == "[DONE]"
-    return F.when(done | text.isNotNull(), F.struct(done.alias("done"), delta["reasoning_content"].isNotNull().alias("thinking"), F.when(~done, text).alias("text")))
+    return F.when(done | text.isNotNull(), F.struct(done.alias("done"), some("reasoning_content").isNotNull().alias("thinking"), F.when(~done, text).alias("text")))
 
 
-def relative_time(age_ms: Column) -> Column:
-    """just now, minutes, hours or days."""
-    s = F.floor(age_ms / 1000)
-    ago = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(f" {unit} ago"))
-    return F.when(s < 45, "just now").when(s < 90, "1 min ago").when(s < 3600, ago(F.round(s / 60), "min")).when(s < 86400, ago(F.round(s / 3600), "h")).otherwise(ago(F.round(s / 86400), "d"))
+def relative_time(at_ms: Column, now_ms: Column) -> Column:
+    """How long ago, in words up to a week (times to come are just now), and the date of what is older."""
+    age = now_ms - at_ms
+    ago = lambda each, unit: F.concat(F.floor(age / each + 0.5).cast("string"), F.lit(f"{unit} ago"))
+    label = F.when(age < 45_000, "just now").when(age < 90_000, "1m ago").when(age < 3_600_000, ago(60_000, "m")).when(age < 7_200_000, "1h ago")
+    label = label.when(age < DAY_MS, ago(3_600_000, "h")).when(age < 2 * DAY_MS, "yesterday").when(age < 7 * DAY_MS, ago(DAY_MS, "d"))
+    return label.otherwise(F.date_format(F.timestamp_millis(at_ms), "MMM d, yyyy"))
 
 
 #: Settings with their least and largest values.
@@ -142,14 +145,14 @@ def bucket_count(pixels: float, pixels_each: float, low: int, high: int) -> int:
     return max(low, min(high, math.floor(pixels / pixels_each + 0.5)))
 
 
-#: Severities of a status from the worst on.
-SEVERITIES = ("error", "warning", "busy", "ok")
+#: Statuses of a part of the system from the worst on.
+STATUSES = ("error", "unavailable", "initializing", "ready", "disabled", "unknown")
 
 
-def worst_status(statuses: Column, order: tuple[str, ...] = SEVERITIES) -> Column:
-    """The worst of an array of statuses; unknown ones don't count, none gives null."""
+def worst_status(statuses: Column, order: tuple[str, ...] = STATUSES) -> Column:
+    """The worst of an array of statuses; others than these don't count, none gives unknown."""
     known = F.array_intersect(F.array(*map(F.lit, order)), statuses)
-    return F.get(known, F.lit(0))
+    return F.coalesce(F.get(known, F.lit(0)), F.lit(order[-1]))
 
 
 def nearest_rank(values: list[float], percent: int = 95) -> float | None:

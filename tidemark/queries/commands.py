@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as sc
@@ -12,10 +13,11 @@ from tidemark.operators import retrieval as rt
 from tidemark.operators import timeseries as ts
 from tidemark.queries.browse import END, MIDDLE, NOW, START, over, vision
 from tidemark.queries.browse import WITH as BROWSE
-from tidemark.queries.search import LIMIT, X_, knn_sql, query_vector
+from tidemark.queries.search import LIMIT, X_, knn_sql, query_vector, vector_cells
 from tidemark.queries.search import WITH as SEARCH
 from tidemark.schema import DAY_MS
 from tidemark.sources import tables as src
+from tidemark.streaming import stateful as st
 
 BUCKETS = 30
 WIDTH = ts.bucket_width(START, END, BUCKETS)
@@ -48,16 +50,34 @@ def capturable(frames):
     return frames.where(gate).select("frame_id")
 
 
-def stream_lines(spark, sf_dir):
+def sent_lines(spark, sf_dir):
     """Conversation turns as lines of a server-sent stream."""
     c = src.read(spark, sf_dir, "conversations")
     delta = lambda name: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias(name)).alias("delta"))).alias("choices"))))
     line = F.when(F.col("turn") % 7 == 6, "data: [DONE]").when(F.col("turn") % 5 == 4, ": note").when(F.col("role") == "user", delta("reasoning_content")).otherwise(delta("content"))
-    return c.where("text IS NOT NULL").select("conv_id", "turn", sc.sse_deltas(line).alias("d")).where("d IS NOT NULL").select("conv_id", "turn", "d.*")
+    return c.where("text IS NOT NULL").select("conv_id", "turn", line.alias("line"))
+
+
+def stream_lines(spark, sf_dir):
+    found = sent_lines(spark, sf_dir).select("conv_id", "turn", sc.sse_deltas(F.col("line")).alias("d")).where("d IS NOT NULL").select("conv_id", "turn", "d.*")
+    return st.until_done(found, "conv_id", "turn")
+
+
+#: Bytes of a line that come with the chunk before it.
+EARLY = 9
+
+
+def stream_chunks(spark, sf_dir):
+    """The same lines in chunks that end within the next line."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    rows = sent_lines(spark, sf_dir).withColumn("bytes", F.encode(F.concat("line", F.lit("\n")), "utf-8"))
+    early = F.coalesce(F.lead(F.substring("bytes", 1, EARLY)).over(w), F.lit("").cast("binary"))
+    own = F.when(F.row_number().over(w) == 1, F.col("bytes")).otherwise(F.substring("bytes", EARLY + 1, 1 << 30))
+    return st.sse_pieces(rows.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.concat(own, early).alias("data"))).select("stream_id", "seq", "kind", "text")
 
 
 def worst(jobs):
-    status = F.expr("CASE state WHEN 'dead' THEN 'error' WHEN 'failed' THEN 'warning' WHEN 'running' THEN 'busy' ELSE 'ok' END")
+    status = F.expr("CASE state WHEN 'dead' THEN 'error' WHEN 'failed' THEN 'unavailable' WHEN 'running' THEN 'initializing' ELSE 'ready' END")
     return jobs.groupBy("frame_id").agg(F.collect_set(status).alias("s")).select("frame_id", sc.worst_status(F.col("s")).alias("status"))
 
 
@@ -96,6 +116,13 @@ def images(frames, vectors):
     return rt.knn(own, frames, query_vector(vectors), LIMIT).select("frame_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+def images_by_cells(spark, sf_dir):
+    """The same with a cell index of the image vectors."""
+    vectors = X_(spark, sf_dir)
+    index = vector_cells(spark, vectors.where("chunk_index = 0"), "images")
+    return index.knn(src.frames(spark, sf_dir), query_vector(vectors), LIMIT).select("frame_id", F.round("distance", 6).alias("distance"), "rank")
+
+
 F_, T_ = src.frames, src.frame_text
 
 QUERIES = {
@@ -109,11 +136,12 @@ QUERIES = {
     "content_hash": over(T_)(lambda t: t.select("frame_id", sc.content_hash(F.col("content_text")).alias("hash"))),
     "window_rect": over(F_)(rectangles),
     "pixel_rect": over(F_)(pixels),
-    "relative_time": over(F_)(lambda f: f.select("frame_id", sc.relative_time(F.lit(END) - F.col("captured_at")).alias("said"))),
+    "relative_time": over(F_)(lambda f: f.select("frame_id", sc.relative_time(F.col("captured_at"), F.lit(END)).alias("said"))),
     "frame_path_guard": over(F_)(paths),
     "privacy_gate": over(F_)(capturable),
     "degenerate_windows": over(F_)(lambda f: ts.frames_in_range(f, START, START, 10).unionByName(ts.frames_in_range(f, END, START, 10)).unionByName(ts.frames_in_range(f, START, END, 0))),
     "sse_lines": stream_lines,
+    "sse_chunks": stream_chunks,
     "enqueue_jobs": over(src.jobs, F_)(enqueued),
     "tag_requests": over(src.jobs, F_, vision)(requested),
     "replace_children": over(T_)(replaced),
@@ -121,9 +149,12 @@ QUERIES = {
     "route_outcomes": over(src.jobs)(routed),
     "merge_catalog": over(F_)(merged),
     "knn_images": over(F_, X_)(images),
+    "knn_cells_images": images_by_cells,
 }
 
 UNIT = "least(greatest(({}) / {}.0::DOUBLE, 0), 1)"
+#: The line that ends each stream.
+ENDED = "ended AS (SELECT conv_id, min(turn) AS last FROM conversations WHERE text IS NOT NULL AND turn % 7 = 6 GROUP BY conv_id)"
 INSIDE = f"captured_at >= {START} AND captured_at < {END}"
 
 
@@ -157,16 +188,17 @@ ORACLES = {
     "apps_before_version": f"{BROWSE} SELECT DISTINCT target_app FROM frame_text WHERE filter_version < 2 AND target_app IS NOT NULL",
     "nearest_thumbnail": f"{BROWSE} SELECT frame_id, captured_at FROM frames ORDER BY abs(captured_at - {MIDDLE}), captured_at, frame_id LIMIT 1",
     "latency_percentile": f"{BROWSE}, v AS (SELECT updated_at - not_before AS ms FROM jobs) SELECT count(*) AS n, list_sort(list(ms))[least(count(*) * 95 // 100, count(*) - 1) + 1] AS value FROM v",
-    "worst_status": f"{BROWSE} SELECT frame_id, CASE min(CASE state WHEN 'dead' THEN 0 WHEN 'failed' THEN 1 WHEN 'running' THEN 2 ELSE 3 END) WHEN 0 THEN 'error' WHEN 1 THEN 'warning' WHEN 2 THEN 'busy' ELSE 'ok' END AS status FROM jobs GROUP BY frame_id",
+    "worst_status": f"{BROWSE} SELECT frame_id, CASE min(CASE state WHEN 'dead' THEN 0 WHEN 'failed' THEN 1 WHEN 'running' THEN 2 ELSE 3 END) WHEN 0 THEN 'error' WHEN 1 THEN 'unavailable' WHEN 2 THEN 'initializing' ELSE 'ready' END AS status FROM jobs GROUP BY frame_id",
     "truncate_bytes": f"{BROWSE} SELECT frame_id, left(content_text, list_max(list_filter(generate_series(0, {BYTES}), lambda k: strlen(left(content_text, k)) <= {BYTES}))) AS text FROM frame_text",
     "content_hash": f"{BROWSE} SELECT frame_id, sha256(content_text) AS hash FROM frame_text",
     "window_rect": rect_sql(),
     "pixel_rect": pixel_sql(),
-    "relative_time": f"{BROWSE}, s AS (SELECT frame_id, CAST(floor(({END} - captured_at) / 1000.0::DOUBLE) AS BIGINT) AS s FROM frames) SELECT frame_id, CASE WHEN s < 45 THEN 'just now' WHEN s < 90 THEN '1 min ago' WHEN s < 3600 THEN CAST(floor(s / 60.0 + 0.5) AS BIGINT) || ' min ago' WHEN s < 86400 THEN CAST(floor(s / 3600.0 + 0.5) AS BIGINT) || ' h ago' ELSE CAST(floor(s / 86400.0 + 0.5) AS BIGINT) || ' d ago' END AS said FROM s",
+    "relative_time": f"{BROWSE}, s AS (SELECT frame_id, captured_at, {END} - captured_at AS age FROM frames) SELECT frame_id, CASE WHEN age < 45000 THEN 'just now' WHEN age < 90000 THEN '1m ago' WHEN age < 3600000 THEN CAST(floor(age / 60000.0::DOUBLE + 0.5) AS BIGINT) || 'm ago' WHEN age < 7200000 THEN '1h ago' WHEN age < 86400000 THEN CAST(floor(age / 3600000.0::DOUBLE + 0.5) AS BIGINT) || 'h ago' WHEN age < 172800000 THEN 'yesterday' WHEN age < 604800000 THEN CAST(floor(age / 86400000.0::DOUBLE + 0.5) AS BIGINT) || 'd ago' ELSE strftime(epoch_ms(captured_at), '%b %-d, %Y') END AS said FROM s",
     "frame_path_guard": f"{BROWSE} SELECT frame_id, frame_id % 4 IN (0, 3) AS inside FROM frames",
     "privacy_gate": f"{BROWSE} SELECT frame_id FROM frames WHERE NOT (frame_id % 3 <> 0 AND frame_id % 13 = 1) AND frame_id % 10 <> 4 AND NOT coalesce(contains(lower(app_hint), 'click'), false) AND NOT coalesce(contains(activity_type, 'click'), false)",
     "degenerate_windows": f"{BROWSE} SELECT frame_id, captured_at, image_path, app_hint FROM frames WHERE false",
-    "sse_lines": "SELECT conv_id, turn, turn % 7 = 6 AS done, turn % 7 <> 6 AND role = 'user' AS thinking, CASE WHEN turn % 7 <> 6 THEN text END AS text FROM conversations WHERE text IS NOT NULL AND (turn % 7 = 6 OR turn % 5 <> 4)",
+    "sse_lines": f"WITH {ENDED} SELECT conv_id, turn, turn % 7 = 6 AS done, turn % 7 <> 6 AND role = 'user' AS thinking, CASE WHEN turn % 7 <> 6 THEN text END AS text FROM conversations LEFT JOIN ended USING (conv_id) WHERE text IS NOT NULL AND (turn % 7 = 6 OR (turn % 5 <> 4 AND text <> '')) AND turn <= coalesce(last, turn)",
+    "sse_chunks": f"WITH {ENDED} SELECT conv_id AS stream_id, turn AS seq, CASE WHEN turn % 7 = 6 THEN 'done' WHEN role = 'user' THEN 'reasoning' ELSE 'content' END AS kind, CASE WHEN turn % 7 <> 6 THEN text END AS text FROM conversations LEFT JOIN ended USING (conv_id) WHERE text IS NOT NULL AND (turn % 7 = 6 OR (turn % 5 <> 4 AND text <> '')) AND turn <= coalesce(last, turn) UNION ALL SELECT conv_id, max(turn), 'done', NULL FROM conversations WHERE text IS NOT NULL AND conv_id NOT IN (SELECT conv_id FROM ended) GROUP BY conv_id",
     "enqueue_jobs": f"{BROWSE} SELECT (SELECT max(job_id) FROM jobs) + row_number() OVER (ORDER BY frame_id) AS job_id, frame_id, 'embed_text' AS kind, 'pending' AS state, CAST({NOW} AS BIGINT) AS updated_at FROM frames WHERE frame_id % 5 = 2",
     "tag_requests": f"{BROWSE}, free AS (SELECT frame_id FROM frames WHERE {INSIDE} AND frame_id NOT IN (SELECT frame_id FROM vision) AND frame_id NOT IN (SELECT frame_id FROM jobs WHERE kind = 'vision_tag' AND state IN ('pending', 'running', 'dead') AND frame_id IS NOT NULL) ORDER BY captured_at, frame_id LIMIT 1000) SELECT (SELECT max(job_id) FROM jobs) + row_number() OVER (ORDER BY frame_id) AS job_id, frame_id, 'vision_tag' AS kind, CAST(10 AS BIGINT) AS priority FROM free",
     "replace_children": f"{BROWSE} SELECT frame_id, content_text, 0 AS part FROM frame_text WHERE frame_id % 4 <> 1 UNION ALL SELECT frame_id, 'new', p FROM frame_text, (VALUES (0), (1)) AS t(p) WHERE frame_id % 4 = 1",
@@ -177,3 +209,4 @@ ORACLES = {
     "merge_catalog": f"{BROWSE} SELECT app_hint || '/' || captured_at // 3600000 % 24 AS signature, count(*) AS seen_count, min(captured_at) AS first_seen_at, max(captured_at) AS last_seen_at, count(*) >= 4 AS suppressed FROM frames WHERE app_hint IS NOT NULL GROUP BY 1",
     "knn_images": f"{SEARCH}, {knn_sql('near', prefilter=True).replace('FROM vectors WHERE frame_id IN', 'FROM vectors WHERE chunk_index = 0 AND frame_id IN').replace('LIMIT 100', f'LIMIT {LIMIT}')} SELECT frame_id, round(distance, 6) AS distance, rank FROM near",
 }
+ORACLES["knn_cells_images"] = ORACLES["knn_images"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.operators import cells as ce
 from tidemark.operators import retrieval as rt
 from tidemark.queries.browse import END, START, over
 from tidemark.schema import DAY_MS
@@ -53,6 +54,42 @@ def near(**options):
     return over(F_, X_)(run)
 
 
+def vector_cells(spark, vectors, name: str) -> ce.Cells:
+    """The cell index of vectors, written once below the shared folder for the files as they are now."""
+    path = f"{src.shared_folder(spark)}/tidemark-index/{src.fingerprint(vectors)}-{name}-cells"
+    if "all" not in rt.segments(spark, path):
+        ce.write_cells(vectors, path)
+    return ce.read_cells(spark, path)
+
+
+def near_by_cells(**options):
+    def run(spark, sf_dir):
+        vectors = X_(spark, sf_dir)
+        found = vector_cells(spark, vectors, "text").knn(F_(spark, sf_dir), query_vector(vectors), POOL, **options)
+        return found.select("frame_id", F.round("distance", 6).alias("distance"), "rank")
+
+    return run
+
+
+def asked_vectors(vectors):
+    """Every ASKED_th frame's first vector is a query."""
+    return vectors.where(f"frame_id % {ASKED} = 0 AND chunk_index = 0").select(F.col("frame_id").alias("query_id"), "embedding")
+
+
+def batch_by_cells(spark, sf_dir):
+    vectors = X_(spark, sf_dir)
+    found = vector_cells(spark, vectors, "text").batch(asked_vectors(vectors), 10)
+    return found.select("query_id", "frame_id", "chunk_index", F.round("distance", 6).alias("distance"))
+
+
+def visits(spark, sf_dir):
+    """What the searches of ``knn_cells_batch`` read and skip."""
+    vectors = X_(spark, sf_dir)
+    rows = rt.asked_for(asked_vectors(vectors), "query_id", "embedding")
+    ids, queries = ce.np.array([r[0] for r in rows]), ce.np.array([r[1] for r in rows], float)
+    return vector_cells(spark, vectors, "text").visits(ids, queries, 10)
+
+
 def hybrid(text, include_chrome=False, **options):
     def run(spark, sf_dir):
         c = corpus(spark, sf_dir, layers=("content_text", "raw_text") if include_chrome else ("content_text",))
@@ -91,8 +128,11 @@ def searches(spark, sf_dir):
 
 
 def many_terms(spark, sf_dir):
-    queries = [[["that"]], [["with"], ["that"]], [["of", "the"]], [["and"], ["of", "the"]]]
-    return rt.score_phrases(stored(spark, sf_dir, "content_text"), queries).select("query", "frame_id", F.round("score", 6).alias("score"))
+    """Every ASKED_th frame is a search for the first two words of its text."""
+    words = F.slice(tx.tokens(F.col("content_text")), 1, 2)
+    rows = rt.asked_for(T_(spark, sf_dir).where(f"frame_id % {ASKED} = 0").select("frame_id", words.alias("words")).orderBy("frame_id"), "frame_id", "words")
+    terms = [(r.frame_id, n, 0, word) for r in rows for n, word in enumerate(r.words)]
+    return rt.bm25_batch(stored(spark, sf_dir, "content_text"), terms, spark).select("query", "frame_id", F.round("score", 6).alias("score"))
 
 
 QUERIES = {
@@ -107,6 +147,11 @@ QUERIES = {
     "knn_in_range": near(start=LOW, end=HIGH),
     "knn_prefiltered": near(start=LOW, end=HIGH, prefilter=True),
     "knn_batch": over(X_)(batch),
+    "knn_cells": near_by_cells(),
+    "knn_cells_in_range": near_by_cells(start=LOW, end=HIGH),
+    "knn_cells_prefiltered": near_by_cells(start=LOW, end=HIGH, prefilter=True),
+    "knn_cells_batch": batch_by_cells,
+    "knn_cells_visits": visits,
     "hybrid_rrf": hybrid(TERMS),
     "hybrid_rrf_time_window": hybrid(TERMS, start=LOW, end=HIGH),
     "hybrid_batch": searches,
@@ -158,11 +203,11 @@ def fused_sql(*arms: str) -> str:
 
 
 def batch_sql() -> str:
-    parts = [(0, "that"), (1, "with that"), (2, "of-the"), (3, "and of-the")]
-    return f"{WITH}, " + ", ".join(score_sql(f"q{n}", "content", text) for n, text in parts) + " " + " UNION ALL ".join(f"SELECT {n} AS query, frame_id, round(score, 6) AS score FROM q{n}" for n, _ in parts)
+    """The text arm of the batch alone, whose searches don't need a vector."""
+    return hybrid_batch_sql("SELECT query, frame_id, round(score, 6) AS score FROM scored").replace("FROM vectors v LEFT JOIN content ON content.frame_id = v.frame_id WHERE v.chunk_index = 0 AND v.frame_id", "FROM content v WHERE v.frame_id").replace("v.embedding, ", "")
 
 
-def hybrid_batch_sql() -> str:
+def hybrid_batch_sql(only: str = "") -> str:
     """All searches of the batch at once: per query, term and frame, then the same ranks and sums."""
     asked = f"asked AS (SELECT v.frame_id AS query, v.embedding, coalesce(list_slice(w, 1, 2), []) AS terms FROM vectors v LEFT JOIN content ON content.frame_id = v.frame_id WHERE v.chunk_index = 0 AND v.frame_id % {ASKED} = 0)"
     layer = "layer AS (SELECT count(*) AS total, avg(len(w)) AS mean FROM content)"
@@ -175,6 +220,8 @@ def hybrid_batch_sql() -> str:
     chunks = f"chunks AS (SELECT query, v.frame_id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], a.embedding::DOUBLE[]) AS distance FROM asked a, vectors v WHERE len(terms) > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, v.frame_id, v.chunk_index) <= {POOL})"
     near = f"near AS (SELECT query, frame_id, row_number() OVER (PARTITION BY query ORDER BY distance, frame_id) AS r FROM (SELECT query, frame_id, min(distance) AS distance FROM chunks WHERE frame_id IN (SELECT frame_id FROM frames) GROUP BY ALL) QUALIFY r <= {POOL})"
     fused = f"fused AS (SELECT query, frame_id, 0.0::DOUBLE + coalesce(1.0::DOUBLE / ({rt.RRF_K} + arm.r), 0) + coalesce(1.0::DOUBLE / ({rt.RRF_K} + near.r), 0) AS score FROM arm FULL JOIN near USING (query, frame_id))"
+    if only:
+        return f"{WITH}, {asked}, {layer}, {words}, {tf}, {n_p}, {scored} {only}"
     return f"{WITH}, {asked}, {layer}, {words}, {tf}, {n_p}, {scored}, {arm}, {chunks}, {near}, {fused} SELECT query, frame_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, frame_id DESC) AS rank FROM fused QUALIFY rank <= {LIMIT}"
 
 
@@ -202,3 +249,9 @@ ORACLES = {
     "normalize_text": f"{WITH} SELECT frame_id, lower(trim(regexp_replace(raw_text, '[\\s\\x{{85}}\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))) AS text FROM frame_text",
     "token_estimate": f"{WITH} SELECT frame_id, strlen(content_text) // 2 + 1 AS tokens FROM frame_text",
 }
+ORACLES |= {
+    "knn_cells": ORACLES["knn_text"],
+    "knn_cells_in_range": ORACLES["knn_in_range"],
+    "knn_cells_prefiltered": ORACLES["knn_prefiltered"],
+    "knn_cells_batch": ORACLES["knn_batch"].replace("q.frame_id % 25 = 0", f"q.frame_id % {ASKED} = 0"),
+}

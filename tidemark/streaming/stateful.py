@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -134,19 +135,19 @@ def split_think(pieces: DataFrame) -> DataFrame:
     """
     names = ["stream_id", "seq", "piece", "part", "text"]
 
-    def rows_of(stream, at: int, part: int, found: list) -> pd.DataFrame:
-        return pd.DataFrame([(stream, tags, at, part + k, text) for k, (tags, _, text) in enumerate(found)], columns=names)
+    def rows_of(found: list) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=names)
 
     def step(state: list, tags: int, rows: pd.DataFrame):
         splitter, out = Splitter(*state[:2]), []
         for stream, at, text in zip(rows["stream_id"], rows["seq"], rows["text"]):
             found, tags = splitter.numbered(text or "", tags)
-            out.append(rows_of(stream, at, 0, found))
-        return pd.concat(out), [splitter.thinking, splitter.held, int(at)], tags
+            out += [(stream, n, at, part, said) for part, (n, _, said) in enumerate(found)]
+        return rows_of(out), [splitter.thinking, splitter.held, int(at)], tags
 
     def finish(state: list, tags: int, stream) -> pd.DataFrame | None:
         found, _ = Splitter(*state[:2]).numbered("", tags, last=True)
-        return rows_of(stream, state[2], 1 << 30, found) if found else None
+        return rows_of([(stream, n, state[2], 1 << 30, said) for n, _, said in found]) if found else None
 
     own = pieces.select("stream_id", F.col("seq").cast("long").alias("seq"), "text")
     kind = own.schema["stream_id"].dataType.simpleString()
@@ -155,6 +156,55 @@ def split_think(pieces: DataFrame) -> DataFrame:
     return joined.select("stream_id", "seq", (F.col("seq") % 2 == 1).alias("thinking"), "text")
 
 
+def until_done(lines: DataFrame, by: str, order: str, done: str = "done") -> DataFrame:
+    """The lines of each stream up to the first that ends it; what a server sends after that isn't read."""
+    end = lines.where(done).groupBy(by).agg(F.min(order).alias("__end"))
+    return lines.join(end, by, "left").where(F.col("__end").isNull() | (F.col(order) <= F.col("__end"))).drop("__end")
+
+
+def _said(line: bytes) -> list[tuple[str, str | None]]:
+    """Pieces of one server-sent line: reasoning, content, or the end; none for comments, blanks and what isn't JSON."""
+    prefix, _, data = line.decode("utf-8", "replace").partition("data:")
+    data = data.strip()
+    if prefix or not data:
+        return []
+    if data == "[DONE]":
+        return [("done", None)]
+    try:
+        delta = json.loads(data)["choices"][0].get("delta") or {}
+        return [(kind, delta[name]) for kind, name in (("reasoning", "reasoning_content"), ("content", "content")) if isinstance(delta.get(name), str) and delta[name]]
+    except (ValueError, TypeError, KeyError, IndexError, AttributeError):
+        return []
+
+
+def sse_pieces(chunks: DataFrame) -> DataFrame:
+    """``stream_id, seq, part, kind, text`` from ``stream_id, seq, data binary``: what a server has sent, as it arrived.
+
+    Chunks may end anywhere, within a line or a character: an open line waits for the next chunk (``seq`` is
+    that of the chunk that ends it), and only whole lines are decoded. Nothing after ``[DONE]`` counts; a
+    stream that ends without it is done after its last chunk, and its open line isn't read.
+    """
+    names = ["stream_id", "seq", "part", "kind", "text"]
+
+    def step(state: list, number: int, rows: pd.DataFrame):
+        held, ended, out = bytes.fromhex(state[0]), state[1], []
+        for stream, at, data in zip(rows["stream_id"], rows["seq"], rows["data"]):
+            *lines, held = (held + (data or b"")).split(b"\n") if not ended else (b"",)
+            found = []
+            for line in lines:
+                found += [] if ended else _said(line)
+                ended = ended or ("done", None) in found
+            out += [(stream, at, part, *piece) for part, piece in enumerate(found)]
+        return pd.DataFrame(out, columns=names, dtype=object), [held.hex(), ended, int(at)], number
+
+    def finish(state: list, number: int, stream) -> pd.DataFrame | None:
+        return None if state[1] else pd.DataFrame([(stream, state[2], 1 << 30, "done", None)], columns=names, dtype=object)
+
+    own = chunks.select("stream_id", F.col("seq").cast("long").alias("seq"), F.col("data").cast("binary").alias("data"))
+    kind = own.schema["stream_id"].dataType.simpleString()
+    return fold_slices(own, "stream_id", ["seq"], Fold(step, ["", False, 0], finish), f"stream_id {kind}, seq long, part int, kind string, text string")
+
+
 def catalog(store: Store, min_seen: int = cl.Config().min_seen, without: str | None = None) -> DataFrame:
     """The catalog of repeated lines: sightings are appended batch by batch and added up here."""
     rows = store.read("chrome_text_catalog", without)
