@@ -168,10 +168,10 @@ def layer_sql(name: str, column: str) -> str:
     return f"{name} AS (SELECT frame_id, {words} AS w FROM frame_text)"
 
 
-def score_sql(name: str, layer: str, text: str) -> str:
+def score_sql(name: str, layer: str, text: str, stemmed: bool = False) -> str:
     """CTEs with ``frame_id, score`` of a query over a layer."""
     tfs = []
-    for phrase in tx.query_phrases(text):
+    for phrase in tx.query_phrases(text, stemmed):
         match = " AND ".join(f"w[i + {k}] = '{t}'" for k, t in enumerate(phrase))
         tfs.append(f"len(list_filter(generate_series(1, len(w)), lambda i: {match}))")
     cols = ", ".join(f"{x} AS t{k}" for k, x in enumerate(tfs))
@@ -225,12 +225,82 @@ def hybrid_batch_sql(only: str = "") -> str:
     return f"{WITH}, {asked}, {layer}, {words}, {tf}, {n_p}, {scored}, {arm}, {chunks}, {near}, {fused} SELECT query, frame_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, frame_id DESC) AS rank FROM fused QUALIFY rank <= {LIMIT}"
 
 
+def stems_sql() -> str:
+    """CTE ``stems`` with ``word, stem`` of every distinct word of both layers: Porter's steps, one CTE each.
+
+    A y that is a consonant is written Y on the way, so vowels and consonants are classes of letters, and the
+    measure of a beginning counts its runs of vowels before consonants.
+    """
+    m = lambda x: f"len(regexp_extract_all({x}, '[aeiouy]+[^aeiouy]+'))"
+    vowel = lambda x: f"regexp_matches({x}, '[aeiouy]')"
+    short = lambda x: f"regexp_matches({x}, '[^aeiouy][aeiouy][^aeiouywxY]$')"
+    cut = lambda n: f"left(w, length(w) - {n})"
+    ends = lambda end: f"suffix(w, '{end}')"
+    swaps = lambda table: "CASE " + " ".join(f"WHEN {ends(e)} THEN CASE WHEN {m(cut(len(e)))} > 0 THEN {cut(len(e))} || '{new}' ELSE w END" for e, new in table) + " ELSE w END"
+
+    def dropped(end: str) -> str:
+        part = cut(len(end) - (end in ("sion", "tion")))
+        return f"WHEN {ends(end)} THEN CASE WHEN {m(part)} > 1 THEN {part} ELSE w END"
+
+    twice = "length(w) > 1 AND lower(right(w, 1)) = lower(left(right(w, 2), 1)) AND NOT " + vowel("right(w, 1)") + " AND right(w, 1) NOT IN ('l', 's', 'z')"
+    steps = [
+        f"CASE WHEN {ends('sses')} OR {ends('ies')} THEN {cut(2)} WHEN {ends('s')} AND NOT {ends('ss')} THEN {cut(1)} ELSE w END",
+        f"CASE WHEN {ends('eed')} THEN CASE WHEN {m(cut(3))} > 0 THEN {cut(1)} ELSE w END WHEN {ends('ed')} AND {vowel(cut(2))} THEN {cut(2)} || '-' WHEN {ends('ing')} AND {vowel(cut(3))} THEN {cut(3)} || '-' ELSE w END",
+        f"CASE WHEN NOT was THEN w WHEN {ends('at')} OR {ends('bl')} OR {ends('iz')} THEN w || 'e' WHEN {twice} THEN {cut(1)} WHEN {m('w')} = 1 AND {short('w')} THEN w || 'e' ELSE w END",
+        f"CASE WHEN lower(right(w, 1)) = 'y' AND {vowel(cut(1))} THEN {cut(1)} || 'i' ELSE w END",
+        swaps(tx.TABLE_2),
+        swaps(tx.TABLE_3),
+        f"CASE {' '.join(map(dropped, tx.ENDS_4))} ELSE w END",
+        f"CASE WHEN {ends('e')} AND ({m(cut(1))} > 1 OR ({m(cut(1))} = 1 AND NOT {short(cut(1))})) THEN {cut(1)} ELSE w END",
+        f"CASE WHEN {ends('ll')} AND {m('w')} > 1 THEN {cut(1)} ELSE w END",
+    ]
+    first = "porter0 AS (SELECT word, regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM words WHERE regexp_full_match(word, '[a-z]{3,}'))"
+    # What step 1b has cut carries a dash to the next step.
+    of = lambda k: f"(SELECT word, rtrim(w, '-') AS w, {ends('-')} AS was FROM porter{k})" if k == 2 else f"porter{k}"
+    chain = [f"porter{k + 1} AS (SELECT word, {step} AS w FROM {of(k)})" for k, step in enumerate(steps)]
+    words = "words AS (SELECT DISTINCT word FROM (SELECT unnest(w) AS word FROM content UNION ALL SELECT unnest(w) FROM raw))"
+    return ", ".join([words, first, *chain, f"stems AS (SELECT words.word, coalesce(lower(p.w), words.word) AS stem FROM words LEFT JOIN porter{len(steps)} p ON p.word = words.word)"])
+
+
+def stemmed_sql(name: str, layer: str) -> str:
+    """CTE of a layer whose words are stems."""
+    each = f"SELECT frame_id, i, w[i] AS word FROM (SELECT frame_id, w, unnest(generate_series(1, len(w))) AS i FROM {layer})"
+    return f"{name} AS (SELECT {layer}.frame_id, coalesce(x.w, []) AS w FROM {layer} LEFT JOIN (SELECT frame_id, list(stem ORDER BY i) AS w FROM ({each}) JOIN stems USING (word) GROUP BY frame_id) x ON x.frame_id = {layer}.frame_id)"
+
+
+def snippet_sql(name: str, column: str, layer: str, terms: str) -> str:
+    """CTE ``frame_id, snippet`` of the hits whose text holds a term: twelve tokens with the most different terms, the earliest of these."""
+    token = "[\\p{L}\\p{N}]+"
+    wanted = ", ".join(f"'{p[0]}'" for p in tx.query_phrases(terms, True))
+    parts = f"SELECT frame_id, generate_subscripts(toks, 1) - 1 AS i, unnest(toks) AS tok, unnest(gaps[1:len(toks)]) AS gap, unnest(w) AS stem, len(toks) AS n FROM (SELECT frame_id, regexp_extract_all({column}, '{token}') AS toks, regexp_split_to_array({column}, '{token}') AS gaps, w FROM fused JOIN frame_text USING (frame_id) JOIN {layer} USING (frame_id))"
+    window = rt.tx.SNIPPET_TOKENS
+    return f"""{name}_parts AS ({parts}),
+{name}_hits AS (SELECT * FROM {name}_parts WHERE stem IN ({wanted})),
+{name}_best AS (SELECT a.frame_id, a.i, count(DISTINCT b.stem) AS kinds, any_value(a.n) AS n FROM {name}_hits a JOIN {name}_hits b ON a.frame_id = b.frame_id AND b.i >= a.i AND b.i < a.i + {window} GROUP BY a.frame_id, a.i QUALIFY row_number() OVER (PARTITION BY a.frame_id ORDER BY kinds DESC, a.i) = 1),
+{name}_window AS (SELECT frame_id, n, greatest(0, least(i, n - {window})) AS low, least(n, greatest(0, least(i, n - {window})) + {window}) AS high FROM {name}_best),
+{name} AS (SELECT frame_id, CASE WHEN any_value(low) > 0 THEN '…' ELSE '' END || string_agg(CASE WHEN i > low THEN gap ELSE '' END || CASE WHEN stem IN ({wanted}) THEN '[' || tok || ']' ELSE tok END, '' ORDER BY i) || CASE WHEN any_value(high) < any_value(p.n) THEN '…' ELSE '' END AS snippet
+  FROM {name}_parts p JOIN {name}_window USING (frame_id) WHERE i >= low AND i < high GROUP BY frame_id)"""
+
+
+def hits_sql() -> str:
+    """The flagship: three arms, fused, with each hit's frame and snippet."""
+    arms = [score_sql("s", "content_stems", TERMS, True), arm_sql("arm", "s"), score_sql("s2", "raw_stems", TERMS, True), arm_sql("arm2", "s2"), knn_sql("near")]
+    fused = f"fused AS ({fused_sql('arm', 'arm2', 'near').replace('round(score, 9) AS score', 'score')})"
+    cuts = [snippet_sql("of_content", "content_text", "content_stems", TERMS), snippet_sql("of_raw", "raw_text", "raw_stems", TERMS)]
+    said = "coalesce(of_content.snippet, of_raw.snippet, CASE WHEN length(content_text) > 160 THEN content_text[:160] || '…' ELSE content_text END, '')"
+    return f"{STEMMED}, {', '.join([*arms, fused, *cuts])} SELECT frame_id, captured_at, {said} AS snippet, score::REAL AS score, image_path, app_hint FROM fused JOIN frames USING (frame_id) LEFT JOIN frame_text USING (frame_id) LEFT JOIN of_content USING (frame_id) LEFT JOIN of_raw USING (frame_id)"
+
+
 def rag_sql() -> str:
     ids = fused_sql("arm", "near").replace("round(score, 9) AS score", "score").replace(f"LIMIT {LIMIT}", "LIMIT 8")
     return f"{WITH}, {score_sql('s', 'content', TERMS)}, {arm_sql('arm', 's').replace(f'LIMIT {POOL}', f'LIMIT {rt.candidate_pool(8)}')}, {knn_sql('near').replace(f'LIMIT {POOL}', f'LIMIT {rt.candidate_pool(8)}')} SELECT frame_id, coalesce(content_text, '') AS text, score::REAL AS score, captured_at FROM ({ids}) JOIN frames USING (frame_id) LEFT JOIN frame_text USING (frame_id)"
 
 
+STEMMED = f"{WITH}, {stems_sql()}, {stemmed_sql('content_stems', 'content')}, {stemmed_sql('raw_stems', 'raw')}"
+
 ORACLES = {
+    "search_hybrid": hits_sql(),
+    "fts_stemmed": f"{STEMMED}, {score_sql('s', 'content_stems', TERMS, True)}, {arm_sql('arm', 's')} {ARM}",
     "hybrid_batch": hybrid_batch_sql(),
     "rag_context": rag_sql(),
     "fts_bm25": f"{WITH}, {score_sql('s', 'content', TERMS)}, {arm_sql('arm', 's')} {ARM}",
