@@ -161,3 +161,26 @@ def test_neighbours_of_many_batches_against_brute_force(spark):
         assert [d for d, *_ in got[n]] == pytest.approx([d for d, *_ in near[:7]])
     with pytest.raises(ValueError):
         rt.knn_batch(vectors, queries, rt.MOST_RESULTS)
+
+
+def test_segments_with_other_numbers_of_buckets(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    rows = [(k, f"heron number{k} {'mill' if k % 3 else 'lake'}") for k in range(40)]
+    parts = [spark.createDataFrame(rows[k::3], "frame_id long, content_text string") for k in range(3)]
+    for k, (part, buckets) in enumerate(zip(parts, (32, 7, 1))):
+        rt.write_index(part, "content_text", path, buckets=buckets, segment=f"s{k}")
+    index, whole = rt.read_index(spark, path), rt.build_index(spark.createDataFrame(rows, "frame_id long, content_text string"), "content_text")
+    assert index.parts == (1, 7, 32)
+    for query in ([["heron"]], [["number7"]], [["mill"], ["heron"]], [["heron", "number5"]]):
+        got, want = (sorted((r.frame_id, round(r.score, 9)) for r in rt.score_phrases(x, [query]).collect()) for x in (index, whole))
+        assert got == want and got
+    rt.write_index(parts[0], "content_text", path, buckets=5, segment="s0")  # written again with another number
+    assert rt.read_index(spark, path).parts == (1, 5, 7) and rt.score_phrases(rt.read_index(spark, path), [[["heron"]]]).count() == 40
+
+
+def test_marks_are_folded_within_tokens(spark):
+    texts = {"\u1ebf": "e", "e\u0302\u0301": "e", "Z\u0307a\u0323b": "zab", "\u0391\u0301\u03c9": "\u03b1\u03c9", "\u1f84x": "\u03b1x", "\u0439": "\u0438", "\ud55c": "\ud55c", "\u0130x": "ix", "na\u00efve": "naive"}
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").select("k", tx.tokens(F.col("t")).alias("w")).orderBy("k").collect()
+    assert [r.w for r in got] == [[x] for x in texts.values()]
+    assert [tx.tokens_python(t) for t in texts] == [[x] for x in texts.values()]
+    assert tx.snippet_python("the u\u0308ber heron", [["uber"]]) == "the [u\u0308ber] heron"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -15,13 +16,22 @@ from pyspark.sql.types import ArrayType, StringType
 TOKEN = r"[\p{L}\p{N}]+"
 
 
-def accent_pairs() -> tuple[str, str]:
-    """Latin lower-case letters with marks, and the letters below the marks."""
-    pairs = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, range(0xC0, 0x250)) if c == c.lower() and unicodedata.decomposition(c) and unicodedata.normalize("NFD", c)[0].isascii()}
-    return "".join(pairs), "".join(pairs.values())
+def accent_pairs() -> tuple[str, str, str]:
+    """Lower-case letters and digits with marks, by canonical decomposition; what is below their marks; and the marks."""
+    pairs, marks = {}, []
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif c == c.lower() and unicodedata.decomposition(c):
+            base, *rest = unicodedata.normalize("NFD", c)
+            if base.isalnum() and rest and all(map(unicodedata.combining, rest)):
+                pairs[c] = base
+    return "".join(pairs), "".join(pairs.values()), "".join(marks)
 
 
-ACCENTED, PLAIN = accent_pairs()
+#: ``translate`` drops what stands in ACCENTED beyond the length of PLAIN: the marks.
+LETTERS, PLAIN, MARKS = accent_pairs()
+ACCENTED = LETTERS + MARKS
 
 
 def fold(text: Column) -> Column:
@@ -34,8 +44,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+FOLDED = str.maketrans(LETTERS, PLAIN, MARKS)
+
+
 def fold_python(text: str) -> str:
-    return text.lower().translate(str.maketrans(ACCENTED, PLAIN))
+    return text.lower().translate(FOLDED)
 
 
 def tokens_python(text: str) -> list[str]:
@@ -157,7 +170,8 @@ def fallback_snippet_python(text: str, most: int = 160) -> str:
 
 
 SNIPPET_TOKENS = 12
-RAW_TOKEN = re.compile(r"[^\W_]+")
+#: A token of a text that isn't folded yet holds the marks of its letters.
+RAW_TOKEN = re.compile(rf"[^\W_](?:[^\W_]|[{MARKS}])*")
 
 
 def snippet_python(text: str, phrases: list[list[str]], stemmed: bool = False) -> str | None:

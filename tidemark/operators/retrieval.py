@@ -33,29 +33,35 @@ def candidate_pool(limit: int) -> int:
     return clamp(5 * limit, 50, 2000)
 
 
-#: Parts of an index by term, and tasks that share a part when it is written.
-BUCKETS, SHARES = 32, 8
+#: Parts of an index by term, and bytes of text that a task indexes and that a file of a part comes from, about.
+BUCKETS, TASK_BYTES, FILE_BYTES = 32, 4 << 20, 512 << 20
 #: Terms up to which an index is asked by name; above, all of it is read and joined.
 NAMED_TERMS = 1_000
 
 
 @dataclass
 class Index:
-    """``postings``: bucket, term, frame_id, size, positions; ``layer``: rows of texts, tokens, to be added up.
+    """``postings``: buckets, bucket, term, frame_id, size, positions; ``layer``: rows of texts, tokens, to be added up.
 
     ``size`` is the number of tokens of the frame's text. Terms lie in the bucket of their hash, so a stored
-    index is read only where the terms of a query are. Texts without tokens count in ``layer``.
+    index is read only where the terms of a query are. Segments may differ in their number of buckets;
+    ``parts`` lists these numbers. Texts without tokens count in ``layer``.
     """
 
     postings: DataFrame
     layer: DataFrame
-    buckets: int = BUCKETS
+    parts: tuple[int, ...] = (BUCKETS,)
+
+    @property
+    def buckets(self) -> int:
+        return max(self.parts)
 
     def of(self, terms: list[str]) -> DataFrame:
         """The postings of a few terms; the buckets are constants that prune a stored index."""
         if len(terms) > NAMED_TERMS:
             return self.postings
-        return self.postings.where(f"bucket IN ({', '.join(f'pmod(hash({quoted(t)}), {self.buckets})' for t in terms)}) AND term IN ({', '.join(map(quoted, terms))})")
+        places = " OR ".join(f"(buckets = {n} AND bucket IN ({', '.join(f'pmod(hash({quoted(t)}), {n})' for t in terms)}))" for n in self.parts)
+        return self.postings.where(f"({places}) AND term IN ({', '.join(map(quoted, terms))})")
 
     def totals(self) -> DataFrame:
         """One row: ``total`` texts and their ``mean`` number of tokens."""
@@ -69,26 +75,41 @@ def build_index(texts: DataFrame, column: str, stemmed: bool = False, buckets: i
     each = docs.select("frame_id", "size", F.posexplode("tokens").alias("position", "term"))
     keyed = each.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets)))
     postings = keyed.groupBy("bucket", "term", "frame_id", "size").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    return Index(postings, docs.agg(F.count("*").alias("texts"), F.sum("size").alias("tokens")), buckets)
+    return Index(postings.withColumn("buckets", F.lit(buckets)), docs.agg(F.count("*").alias("texts"), F.sum("size").alias("tokens")), (buckets,))
 
 
 def write_index(texts: DataFrame, column: str, path: str, stemmed: bool = False, buckets: int = BUCKETS, segment: str = "all") -> None:
     """Store the index of some texts as one segment; the segment is replaced if it is there.
 
-    Files are dealt by bucket and frame, so a frequent term is shared by ``SHARES`` tasks, and are sorted
-    by term, so that row groups without a query's terms are skipped.
+    Tasks and files follow the bytes of the texts. A part of many bytes is dealt to several tasks by frame,
+    so a frequent term is shared; files are sorted by term, so that row groups without a query's terms are skipped.
     """
+    size = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    shares = max(1, -(-size // (buckets * FILE_BYTES)))
     index = build_index(texts, column, stemmed, buckets)
-    dealt = index.postings.repartition(buckets * SHARES, "bucket", F.pmod(F.xxhash64("frame_id"), F.lit(SHARES)))
-    dealt.sortWithinPartitions("bucket", "term", "frame_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    tasks = clamp(-(-size // TASK_BYTES), 1, buckets * shares)
+    dealt = index.postings.drop("buckets").repartition(tasks, "bucket", F.pmod(F.xxhash64("frame_id"), F.lit(shares)))
+    dealt.sortWithinPartitions("bucket", "term", "frame_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={segment}/buckets={buckets}")
+    for other in (n for n in stored_buckets(texts.sparkSession, f"{path}/postings/segment={segment}") if n != buckets):
+        at = texts.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/postings/segment={segment}/buckets={other}")
+        at.getFileSystem(texts.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
     # Written last: a segment without its totals isn't there yet.
     index.layer.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/layer/segment={segment}")
 
 
+def stored_buckets(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of buckets below a segment's folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("buckets="))
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
-    """All segments of a stored index."""
+    """All segments of a stored index, whatever their numbers of buckets."""
     layer = spark.read.parquet(f"{path}/layer")
-    return Index(spark.read.parquet(f"{path}/postings").drop("segment"), layer, layer.first().buckets)
+    counts = tuple(sorted(r.buckets for r in layer.select("buckets").distinct().collect()))  # a few numbers
+    return Index(spark.read.parquet(f"{path}/postings").drop("segment"), layer, counts)
 
 
 def segments(spark: SparkSession, path: str) -> list[str]:
