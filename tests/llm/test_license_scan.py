@@ -36,3 +36,13 @@ def test_labels(spark, text, labels):
     assert row.labels == labels and (row.score > 0) == bool(labels)
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())
     assert row.n_words == len(words)
+
+
+def test_phrases_of_other_words_and_templates_joined_by_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the Sleepycat terms"), (2, "MIT license"), (3, "plain"), (4, license_scan.TEMPLATES[1][1]), (5, None)], "doc_id long, text string")
+    want = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs).collect()}
+    monkeypatch.setattr(license_scan, "MOST_GRAMS", 0)
+    assert {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs).collect()} == want
+    monkeypatch.setattr(license_scan, "PHRASES", (("sleepycat terms", "sleepycat"), ("mit license", "mit")))
+    got = {r.doc_id: (r.n_base, r.base_labels) for r in license_scan.scan(docs).collect()}
+    assert got[1] == (1, "sleepycat") and got[2] == (1, "mit") and got[3] == (0, "")

@@ -80,6 +80,20 @@ def _phrase_starts(words: Column) -> Column:
     return F.filter(places, lambda x: x["label"].isNotNull())
 
 
+def _may_hold_phrases(text: Column) -> Column:
+    """Whether a text holds a word of each phrase, taken so that few words do for all; others needn't be searched."""
+    words = [phrase.split() for phrase, _ in PHRASES]
+    needed = sorted({max(own, key=lambda w: (sum(w in other for other in words), len(w), w)) for own in words})
+    may = F.lit(False)
+    for word in needed:
+        may = may | F.contains(F.lower(text), F.lit(word))
+    return may
+
+
+#: Rows of the table of template grams that is broadcast (some 100 bytes each); larger ones are joined by shuffle.
+MOST_GRAMS = 200_000
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``, one row per row of ``docs``.
 
@@ -92,7 +106,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
     grams = spark.createDataFrame(template_grams(templates, k), "template int, label string, grams int, length int, place int, " + ", ".join(f"{w} string" for w in names))
     grams = grams.withColumn("hash", F.xxhash64(*names))
 
-    base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(text).alias("words"), F.contains(F.lower(text), F.lit("license")).alias("may"))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(text).alias("words"), _may_hold_phrases(text).alias("may"))
     none = F.array().cast("array<struct<start:bigint,label:string>>")
     base = base.select("row", "doc_id", "words", F.size("words").cast("long").alias("n_words"), F.when(F.col("may"), _phrase_starts(F.col("words"))).otherwise(none).alias("base"))
 
@@ -104,7 +118,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
     same = places["hash"] == grams["hash"]
     for i, w in enumerate(names):
         same = same & (at(i) == grams[w])
-    joined = places.join(F.broadcast(grams), same, "left").where("coalesce(pos, 0) = 0 OR template IS NOT NULL")
+    few = grams.count() <= MOST_GRAMS
+    joined = places.join(F.broadcast(grams) if few else grams, same, "left").where("coalesce(pos, 0) = 0 OR template IS NOT NULL")
     head = F.coalesce("pos", F.lit(0)) == 0
     hits = joined.select(
         "row", "template", "label", "grams", "length", "place", "pos", (F.col("pos") - F.col("place")).alias("diagonal"),
