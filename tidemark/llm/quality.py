@@ -196,6 +196,8 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, columns as they were; each row is judged by itself, whatever its doc_id.
 
+    Null, empty and blank texts fail the base rules and go; repeated rows go or stay together; a table
+    without rows gives none.
     The rows are stored beside their counts and filtered there, so that no text is shuffled.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
