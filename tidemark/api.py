@@ -13,12 +13,15 @@ from tidemark.operators import classify, insights, queue, retrieval
 from tidemark.operators import timeseries as ts
 from tidemark.plans import report
 from tidemark.providers import Answerer, Embedder, answer_deltas
+from tidemark.sources import images
 from tidemark.sources.tables import Store, storage_classes
 from tidemark.streaming import stateful
 
 #: Least and largest sizes of answers.
 FRAMES, CONTEXT, TIMELINE, INSIGHTS = 500, 50, (120, 2000), (24, 720)
 LAYERS = ("content_text", "raw_text")
+#: What the segments of an index begin with that stand for deletions.
+DELETION = "deletion-"
 
 
 class Engine:
@@ -41,22 +44,32 @@ class Engine:
         return f"{self.store.root}/_index/{layer}-{'stems' if self.stemmed else 'words'}-v{version}"
 
     def index_texts(self) -> None:
-        """Bring the stored index up to the texts: the texts of a version are one segment, and so is each batch since."""
+        """Bring the stored index up to the texts: the texts of a version are one segment, and so is each batch since.
+
+        A deletion takes the deleted texts off the totals, so scores are those of an index made anew.
+        """
         spark, version = self.store.spark, (self.store.versions("frame_text") or [0])[-1]
         for layer in LAYERS:
             path = self._index_path(layer)
             done = set(retrieval.segments(spark, path))
+            texts = spark.read.schema(schema.FRAME_TEXT)
             if version and "texts" not in done:
-                retrieval.write_index(spark.read.schema(schema.FRAME_TEXT).parquet(f"{self.store.root}/frame_text/v{version}"), layer, path, self.stemmed, segment="texts")
+                retrieval.write_index(texts.parquet(f"{self.store.root}/frame_text/v{version}"), layer, path, self.stemmed, segment="texts")
             for batch in self.store.batches("frame_text"):
                 if batch not in done:
                     retrieval.write_index(self.store.batch("frame_text", batch), layer, path, self.stemmed, segment=batch)
+            for part in self.store.deletions():
+                if f"{DELETION}{part}" not in done:
+                    hidden = self.store.stored("frame_text").join(self.store.deleted([part]).select("frame_id").distinct(), "frame_id", "left_semi")
+                    retrieval.write_removal(hidden, layer, path, f"{DELETION}{part}", self.stemmed)
 
     def indexes(self) -> dict[str, retrieval.Index]:
-        """The stored indexes that cover all texts."""
-        wanted = {*(["texts"] if self.store.versions("frame_text") else []), *self.store.batches("frame_text")}
+        """The stored indexes that cover all texts and deletions."""
+        wanted = {*(["texts"] if self.store.versions("frame_text") else []), *self.store.batches("frame_text"), *(f"{DELETION}{n}" for n in self.store.deletions())}
         paths = {layer: self._index_path(layer) for layer in LAYERS}
-        return {layer: retrieval.read_index(self.store.spark, path) for layer, path in paths.items() if wanted and wanted == set(retrieval.segments(self.store.spark, path))}
+        found = {layer: retrieval.read_index(self.store.spark, path) for layer, path in paths.items() if wanted and wanted == set(retrieval.segments(self.store.spark, path))}
+        gone = self.store.deleted()
+        return found if gone is None else {layer: retrieval.without(index, gone) for layer, index in found.items()}
 
     def get_settings(self) -> dict:
         """All settings with their defaults, as the types of these and within their limits."""
@@ -65,16 +78,15 @@ class Engine:
         return {k: scalars.clamp_setting(k, v) if k in scalars.LIMITS else v for k, v in read.items()}
 
     def set_settings(self, changes: dict) -> None:
-        """All changes or none: they are checked first and stored as one version of the table."""
+        """All changes or none: they are checked first and stored as one change of the table."""
         if unknown := sorted(set(changes) - set(scalars.DEFAULTS)):
             raise KeyError(f"no such settings: {', '.join(unknown)}")
         for k, v in changes.items():
             if not isinstance(v, (int, float) if k in scalars.LIMITS else type(scalars.DEFAULTS[k])) or (isinstance(v, bool) and k in scalars.LIMITS):
                 raise TypeError(f"{k} is no {type(scalars.DEFAULTS[k]).__name__}")
-        rows = [(k, scalars.format_setting(scalars.clamp_setting(k, v) if k in scalars.LIMITS else v), 0) for k, v in changes.items()]
+        rows = [(k, scalars.format_setting(scalars.clamp_setting(k, v) if k in scalars.LIMITS else v)) for k, v in changes.items()]
         if rows:
-            new = self.store.spark.createDataFrame(rows, "key string, value string, seq int")
-            self.store.write("settings", queue.upsert(self._t("settings"), new, ["key"]))
+            self.store.change("settings", self.store.spark.createDataFrame(rows, schema.SETTINGS))
 
     def _vector(self, text: str) -> list[float] | None:
         return [float(x) for x in self.embedder.embed([text])[0]] if self.embedder and text.strip() else None
@@ -131,7 +143,7 @@ class Engine:
         """One frame as asked, or the untagged ones of a window."""
         frames, jobs = self._t("frames"), self._t("jobs")
         chosen = frames.where(F.col("frame_id") == frame_id) if frame_id is not None else insights.untagged_frames(frames, self._t("vision_analysis"), jobs, 1000, start, end)
-        self.store.write("jobs", queue.tag_requests(jobs, chosen, now))
+        self.store.change("jobs", queue.new_tag_requests(jobs, chosen, now))
 
     def plan_report(self, start: int, end: int, daily: int = 40, weekly: int = 200) -> DataFrame:
         return report.coverage_groups(self._t("frames"), self._t("frame_text"), start, end, daily, weekly)
@@ -153,45 +165,73 @@ class Engine:
         return report.generate_report(groups, provider, report.grid_size(start, end), reply_tokens, min_frames, sum(len(c) for _, c in groups) < there, **hooks)
 
     def complete_jobs(self, ids: list[int], now: int) -> None:
-        """Finish running jobs; an error if one isn't running."""
-        jobs, wanted = self._t("jobs"), self._ids(ids, "job_id")
-        queue.check_running(jobs, wanted)
-        self.store.write("jobs", queue.complete(jobs, wanted, now))
+        """Finish running jobs; an error if one isn't running. Like all steps of the queue it writes the changed jobs alone."""
+        self._finish(ids, lambda jobs, wanted: queue.complete(jobs, wanted, now))
 
     def fail_jobs(self, ids: list[int], error: str, now: int, retry_at: int | None = None) -> None:
-        jobs, wanted = self._t("jobs"), self._ids(ids, "job_id")
+        self._finish(ids, lambda jobs, wanted: queue.fail(jobs, wanted, error, now, retry_at))
+
+    def _finish(self, ids: list[int], step: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        jobs, wanted = self._t("jobs").where(F.col("job_id").isin(ids)), self._ids(ids, "job_id")
         queue.check_running(jobs, wanted)
-        self.store.write("jobs", queue.fail(jobs, wanted, error, now, retry_at))
+        self.store.change("jobs", step(jobs, wanted))
+
+    def claim_jobs(self, kinds: list[str], limit: int, now: int) -> DataFrame:
+        """The claimed jobs, which are running when this returns."""
+        due = queue.claimable(self._t("jobs"), kinds, limit, now)
+        ids = [r.job_id for r in due.select("job_id").collect()]  # at most ``limit``
+        if ids:
+            self.store.change("jobs", queue.claim(self._t("jobs").where(F.col("job_id").isin(ids)), kinds, limit, now))
+        return self._t("jobs").where(F.col("job_id").isin(ids))
 
     def work(self, kinds: list[str], now: int, provider: Callable[[DataFrame], DataFrame], batch: int = 1) -> int:
-        """Claim and do due jobs; how many there were."""
-        jobs, n = queue.work_once(self._t("jobs"), kinds, now, provider, batch)
+        """Claim due jobs, do them and finish them; how many there were.
+
+        The claim is stored before the work begins, so jobs of a worker that is lost are found by the sweep.
+        """
+        running = self.claim_jobs(kinds, batch, now)
+        n = running.count()
         if n:
-            self.store.write("jobs", jobs)
+            self.store.change("jobs", queue.finished(running, provider(running), now))
         return n
 
-    def sweep_stale(self, now: int, older_ms: int) -> None:
-        self.store.write("jobs", queue.reset_stale(self._t("jobs"), now, older_ms))
+    def sweep_stale(self, now: int, older_ms: int) -> int:
+        """Put jobs that have run for too long back in the queue; how many there were."""
+        stale = queue.stale(self._t("jobs"), now, older_ms)
+        if n := stale.count():
+            self.store.change("jobs", queue.reset_stale(stale, now, older_ms))
+        return n
 
     def sweep_retention(self, now: int, days: int, deleted: Callable[[list[str]], list[bool]], limit: int = 1000) -> int:
-        """Delete the oldest expired frames whose files are gone; how many there were."""
-        gone = queue.retention_sweep(self._t("frames"), now, days, deleted, limit)
-        if n := gone.count():
-            self.delete_frames(gone)
-        return n
+        """Delete the oldest expired frames whose files are gone; how many there were.
+
+        ``deleted`` runs in tasks and says of each image whether its file is gone (``images.Remover`` removes files).
+        """
+        oldest = ts.retention_candidates(self._t("frames"), now, days, limit).select("frame_id")
+        return self._delete_with_files(self._t("frames").join(oldest, "frame_id", "left_semi"), deleted)
+
+    def purge_app(self, app: str, batch: int = 256, deleted: Callable[[list[str]], list[bool]] | None = None) -> int:
+        """Delete all frames of an application once, images first; how many were deleted.
 
-    def purge_app(self, app: str, batch: int = 256) -> int:
-        """Delete all frames of an application once; a setting written last says that it is done."""
-        mark, n = f"purged:{app.lower()}", 0
+        A frame whose file stays is kept, and the setting that says that the purge is done is written only when
+        no frame is left, so that a later call tries the others again. All frames go in one pass: tasks hand
+        ``batch`` paths at a time to ``deleted``, and one deletion holds the frames whose files are gone.
+        """
+        mark = f"purged:{app.lower()}"
         if self._t("settings").where(F.col("key") == mark).count():
             return 0
-        while rows := ts.frames_by_app(self._t("frames"), app, batch).select("frame_id").collect():
-            self.delete_frames(self._ids([r.frame_id for r in rows], "frame_id"))
-            n += len(rows)
-        new = self.store.spark.createDataFrame([(mark, "true", 0)], "key string, value string, seq int")
-        self.store.write("settings", queue.upsert(self._t("settings"), new, ["key"]))
+        n = self._delete_with_files(ts.of_app(self._t("frames"), app), deleted, batch)
+        if not ts.of_app(self._t("frames"), app).limit(1).count():
+            self.store.change("settings", self.store.spark.createDataFrame([(mark, "true")], schema.SETTINGS))
         return n
 
+    def _delete_with_files(self, frames: DataFrame, deleted: Callable[[list[str]], list[bool]] | None, batch: int = 256) -> int:
+        gone = frames.select("frame_id", "captured_at", "image_path")
+        if not gone.limit(1).count():
+            return 0
+        part = self.store.delete(gone if deleted is None else images.without_files(gone, deleted, batch))
+        return self.store.deleted([part]).count()
+
     def _ids(self, ids: list[int], name: str) -> DataFrame:
         return self.store.spark.createDataFrame([(i,) for i in ids], f"{name} long")
 
@@ -201,13 +241,11 @@ class Engine:
         changed = out["changed"].select("frame_id", F.lit("embed_text").alias("kind"), F.col("frame_id").alias("seq"))
         n = changed.count()
         if n:
-            self.store.write("jobs", queue.enqueue(self._t("jobs"), changed, 0))
+            self.store.change("jobs", queue.numbered(self._t("jobs"), changed, 0))
         for name, key in (("embeddings", "embeddings"), ("text_spans", "spans"), ("frame_text", "frame_text")):  # texts last: they say what is done
             self.store.write(name, out[key].select(*schema.TABLES[name].names))
         return n
 
     def delete_frames(self, ids: DataFrame) -> None:
-        """Frames and all that hangs off them; the frames go last, so a lost job can run again."""
-        names = [n for n in schema.TABLES if n in schema.SATELLITES or n == "frames"]
-        for name, df in reversed(list(queue.cascade_delete({n: self._t(n) for n in names}, ids).items())):
-            self.store.write(name, df)
+        """Frames and all that hangs off them."""
+        self.store.delete(self._t("frames").join(ids.select("frame_id").distinct(), "frame_id", "left_semi"))

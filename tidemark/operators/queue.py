@@ -102,8 +102,13 @@ def work_once(jobs: DataFrame, kinds: list[str], now: int, work: Callable[[DataF
     if not ids:
         return jobs, 0
     running = claim(jobs, kinds, batch, now)
-    routed = route_outcomes(work(running.where(F.col("job_id").isin(ids))), now)
-    out = running.join(F.broadcast(routed), "job_id", "left")  # at most ``batch`` rows
+    done = finished(running.where(F.col("job_id").isin(ids)), work(running.where(F.col("job_id").isin(ids))), now)
+    return running.where(~F.col("job_id").isin(ids)).unionByName(done), len(ids)
+
+
+def finished(running: DataFrame, results: DataFrame, now: int) -> DataFrame:
+    """Running jobs as the results of their work (the columns of ``route_outcomes``) leave them."""
+    out = running.join(route_outcomes(results, now), "job_id", "left")
     again = (F.col("outcome") == "retry") & (F.col("attempts") + 1 < F.col("max_attempts"))
     failed = F.col("outcome").isin("retry", "dead")
     changes = {
@@ -113,8 +118,7 @@ def work_once(jobs: DataFrame, kinds: list[str], now: int, work: Callable[[DataF
         "updated_at": F.when(F.col("outcome").isNotNull(), F.lit(now)).otherwise(F.col("updated_at")).cast("long"),
         "attempts": F.col("attempts") + F.when(failed, 1).otherwise(0),
     }
-    done = out.select(*(changes[c].alias(c) if c in changes else F.col(c) for c in jobs.columns))
-    return done, len(ids)
+    return out.select(*(changes[c].alias(c) if c in changes else F.col(c) for c in running.columns))
 
 
 def idle_wait_ms(waited: int) -> int:
@@ -146,8 +150,17 @@ def fail(jobs: DataFrame, ids: DataFrame, error: str, now: int, retry_at: int |
 
 def reset_stale(jobs: DataFrame, now: int, older_ms: int) -> DataFrame:
     """Running jobs untouched for ``older_ms`` are pending again; 0 or less resets all. Attempts stay."""
-    stale = (F.col("state") == "running") & ((F.col("updated_at") <= now - older_ms) if older_ms > 0 else F.lit(True))
-    return jobs.withColumns({"updated_at": F.when(stale, now).otherwise(F.col("updated_at")), "state": F.when(stale, "pending").otherwise(F.col("state"))}).select(*jobs.columns)
+    late = _is_stale(now, older_ms)
+    return jobs.withColumns({"updated_at": F.when(late, now).otherwise(F.col("updated_at")), "state": F.when(late, "pending").otherwise(F.col("state"))}).select(*jobs.columns)
+
+
+def _is_stale(now: int, older_ms: int) -> Column:
+    return (F.col("state") == "running") & ((F.col("updated_at") <= now - older_ms) if older_ms > 0 else F.lit(True))
+
+
+def stale(jobs: DataFrame, now: int, older_ms: int) -> DataFrame:
+    """The jobs that ``reset_stale`` changes."""
+    return jobs.where(_is_stale(now, older_ms))
 
 
 def backoff_ms(attempts: Column) -> Column:
@@ -170,10 +183,15 @@ def route_outcomes(results: DataFrame, now: int) -> DataFrame:
     return results.select("job_id", outcome.alias("outcome"), F.when(outcome == "retry", F.lit(now) + backoff_ms(F.col("attempts"))).alias("retry_at"))
 
 
-def tag_requests(jobs: DataFrame, frames: DataFrame, now: int, most: int = 1000, priority: int = 10) -> DataFrame:
-    """Queue on-demand tagging of the oldest ``most`` frames given."""
+def new_tag_requests(jobs: DataFrame, frames: DataFrame, now: int, most: int = 1000, priority: int = 10) -> DataFrame:
+    """New jobs: on-demand tagging of the oldest ``most`` frames given."""
     new = frames.orderBy("captured_at", "frame_id").limit(most).select("frame_id", F.col("frame_id").alias("seq"), F.lit("vision_tag").alias("kind"), F.lit(priority).cast("long").alias("priority"))
-    return enqueue(jobs, new, now)
+    return numbered(jobs, new, now)
+
+
+def tag_requests(jobs: DataFrame, frames: DataFrame, now: int, most: int = 1000, priority: int = 10) -> DataFrame:
+    """The queue with on-demand tagging of the oldest ``most`` frames given."""
+    return jobs.unionByName(new_tag_requests(jobs, frames, now, most, priority))
 
 
 def wants_refill(idle: bool, in_flight: int, batch: int) -> bool:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
@@ -120,6 +120,18 @@ def segments(spark: SparkSession, path: str) -> list[str]:
     return sorted(p.getName().partition("=")[2] for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
+def write_removal(texts: DataFrame, column: str, path: str, segment: str, stemmed: bool = False) -> None:
+    """A segment that takes texts off the totals of an index; their postings are left out by ``without``."""
+    size = F.size(tx.stems(tx.tokens(F.col(column))) if stemmed else tx.tokens(F.col(column)))
+    minus = texts.agg((-F.count("*")).alias("texts"), (-F.coalesce(F.sum(size), F.lit(0))).alias("tokens"))
+    minus.withColumn("buckets", F.lit(BUCKETS)).coalesce(1).write.mode("overwrite").parquet(f"{path}/layer/segment={segment}")
+
+
+def without(index: Index, gone: DataFrame) -> Index:
+    """An index without the postings of some frames, whose texts its totals leave out already."""
+    return replace(index, postings=index.postings.join(gone.select("frame_id"), "frame_id", "left_anti").select(*index.postings.columns))
+
+
 def score_phrases(index: Index, queries: list[list[list[str]]]) -> DataFrame:
     """``query, frame_id, score`` (lower is better) of frames with all phrases of a query, for a few queries at once.
 

@@ -50,11 +50,14 @@ def ascii_fold(col: Column) -> Column:
     return F.translate(col, upper, upper.lower())
 
 
-def frames_by_app(frames: DataFrame, app: str, limit: int) -> DataFrame:
+def of_app(frames: DataFrame, app: str) -> DataFrame:
     """Frames of an application, A-Z in either case; an empty name matches nothing."""
-    if not app:
-        return frames.select(*META).limit(0)
-    return frames.where(ascii_fold(F.col("app_hint")) == ascii_fold(F.lit(app))).select(*META).orderBy("captured_at", "frame_id").limit(limit)
+    return frames.where((ascii_fold(F.col("app_hint")) == ascii_fold(F.lit(app))) & F.lit(bool(app)))
+
+
+def frames_by_app(frames: DataFrame, app: str, limit: int) -> DataFrame:
+    """The oldest frames of an application."""
+    return of_app(frames, app).select(*META).orderBy("captured_at", "frame_id").limit(limit)
 
 
 def bucket_width(start: int, end: int, buckets: int) -> int:

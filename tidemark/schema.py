@@ -33,6 +33,8 @@ SETTINGS = T.StructType([_f("key", T.StringType(), False), _f("value", T.StringT
 TABLES = {"frames": FRAMES, "frame_text": FRAME_TEXT, "text_spans": SPANS, "vision_analysis": VISION, "embeddings": EMBEDDINGS, "jobs": JOBS, "chrome_text_catalog": CATALOG, "image_embeddings": IMAGE_EMBEDDINGS, "frame_tags": FRAME_TAGS, "settings": SETTINGS}
 #: Tables whose files lie in a directory per day, which windows of time prune.
 BY_DAY = ("frames", "frame_text", "text_spans")
+#: Tables whose rows change one by one, and their keys.
+KEYS = {"jobs": ["job_id"], "settings": ["key"], "vision_analysis": ["frame_id"]}
 SATELLITES = ("frame_text", "text_spans", "vision_analysis", "embeddings", "image_embeddings", "jobs", "frame_tags")
 
 

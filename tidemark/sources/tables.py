@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark import schema
+from tidemark.sources import migrations
 
 #: A line that every raw text ends with: what a window shows around its content.
 CHROME_LINE = "File Edit View Window Help"
@@ -132,16 +133,22 @@ def fingerprint(df: DataFrame) -> str:
 
 
 class Store:
-    """A directory of Parquet tables: whole versions, and batches appended to the newest one.
+    """A directory of Parquet tables: whole versions, batches appended to the newest one, changed rows and deletions.
 
     There is one writer at a time. A version or batch is visible once its marker is written, so a lost job
     leaves what was before in place. A batch has a name, and writing it again replaces it, so a batch that
     failed halfway can be run again. Tables of ``schema.BY_DAY`` are partitioned by day where rows have one.
+
+    Changes of keyed tables and deletions of frames write what they change, not the table: reading puts the
+    changed rows in place of those with their keys and leaves deleted frames out of every table. A deleted
+    frame stays deleted, even if its batch is run again. ``compact`` and ``forget_deleted`` fold them in.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        schema.check_version(self.schema_version())
+        found = schema.check_version(self.schema_version())
+        if found < schema.SCHEMA_VERSION:
+            migrations.bring_up(self, found)
 
     def _listed(self, path: str, prefix: str) -> list[str]:
         """Names of complete directories below a path, without the prefix they begin with."""
@@ -168,7 +175,11 @@ class Store:
         return f"{self.root}/{name}/added-to-{(self.versions(name) or [0])[-1]}"
 
     def read(self, name: str, without: str | None = None) -> DataFrame:
-        """A table, if asked for without one of its batches."""
+        """A table as it is now, if asked for without one of its batches."""
+        return self.living(name, self._changed(name, self.stored(name, without)))
+
+    def stored(self, name: str, without: str | None = None) -> DataFrame:
+        """The newest version and its batches."""
         kind, versions = schema.TABLES[name], self.versions(name)
         added = self._added(name)
         paths = [f"{added}/batch={b}" for b in self.batches(name) if b != without]
@@ -194,12 +205,96 @@ class Store:
         self._save(name, df, f"{self._added(name)}/batch={batch}")
 
     def compact(self, name: str) -> int:
-        """Fold the batches into the next version. Call it between batches, when none has to be run again."""
+        """Fold batches, changes and deletions into the next version. Call it between batches, when none has to be run again."""
         return self.write(name, self.read(name))
 
+    def changes(self, name: str) -> list[tuple[int, int]]:
+        """The fewest change files that hold all changes since the newest version, as their first and last numbers."""
+        spans = [tuple(map(int, s.split("-"))) for s in self._listed(self._added(name), "change=")]
+        cover, at = [], 1
+        while widest := max((last for first, last in spans if first == at), default=0):
+            cover.append((at, widest))
+            at = widest + 1
+        return cover
+
+    def change(self, name: str, rows: DataFrame) -> None:
+        """Put rows in place of those with the keys of ``schema.KEYS``; new keys are added.
+
+        The rows alone are written. Two files of equally many changes become one, as in counting by twos, so
+        after n changes a read opens about log2(n) files, and a changed row is written that often.
+        """
+        done = self.changes(name)
+        number = done[-1][1] + 1 if done else 1
+        names = schema.TABLES[name].names
+        self._save(name, rows.select(*names).withColumn("change", F.lit(number)), f"{self._added(name)}/change={number}-{number}")
+        while len(done := self.changes(name)) > 1 and done[-2][1] - done[-2][0] == done[-1][1] - done[-1][0]:
+            first, last = done[-2][0], done[-1][1]
+            self._save(name, self._latest(name, done[-2:]), f"{self._added(name)}/change={first}-{last}")
+
+    def _latest(self, name: str, spans: list[tuple[int, int]]) -> DataFrame:
+        """The last change of each key, with its number."""
+        kind, added = schema.TABLES[name], self._added(name)
+        reader = self.spark.read.schema(StructType([*kind.fields, StructField("change", IntegerType())]))
+        found = reader.parquet(*(f"{added}/change={first}-{last}" for first, last in spans))
+        return found.groupBy(*schema.KEYS[name]).agg(F.max_by(F.struct(*kind.names, "change"), "change").alias("r")).select("r.*")
+
+    def _changed(self, name: str, df: DataFrame) -> DataFrame:
+        spans = self.changes(name) if name in schema.KEYS else []
+        if not spans:
+            return df
+        keys, latest = schema.KEYS[name], self._latest(name, spans).drop("change")
+        return df.join(latest.select(*keys), keys, "left_anti").select(*df.columns).unionByName(latest)
+
+    def deletions(self) -> list[int]:
+        return sorted(map(int, self._listed(f"{self.root}/_deleted", "part=")))
+
+    def deleted(self, parts: list[int] | None = None) -> DataFrame | None:
+        """``frame_id, day`` of deleted frames, of all deletions or of some; None where there are none."""
+        parts = self.deletions() if parts is None else parts
+        reader = self.spark.read.schema("frame_id long, day int")
+        return reader.parquet(*(f"{self.root}/_deleted/part={n}" for n in parts)) if parts else None
+
+    def delete(self, frames: DataFrame) -> int:
+        """Delete frames and all that hangs off them, by a file of ``frame_id`` and the day of ``captured_at``; its number.
+
+        The frames are evaluated once, by the write. Equal rows of many tasks come together by day, so a
+        deletion of a few thousand frames is one small file, sorted by day.
+        """
+        number = (self.deletions() or [0])[-1] + 1
+        day = F.floor(F.col("captured_at") / schema.DAY_MS).cast("int").alias("day")
+        rows = frames.select("frame_id", day).repartition("day").sortWithinPartitions("day", "frame_id")
+        self._save("_deleted", rows, f"{self.root}/_deleted/part={number}")
+        return number
+
+    def living(self, name: str, df: DataFrame) -> DataFrame:
+        """Rows of a table of frames, or of one that hangs off them, without those of deleted frames.
+
+        Frames are compared within their day, so a window of time reads the deletions of its days alone.
+        The side of the ids is broadcast while its files are small enough for Spark's own limit.
+        """
+        gone = self.deleted() if name == "frames" or name in schema.SATELLITES else None
+        if gone is None:
+            return df
+        on = ["day", "frame_id"] if name == "frames" and "day" in df.columns else ["frame_id"]
+        return df.join(gone.select(*on), on, "left_anti").select(*df.columns)
+
+    def forget_deleted(self) -> None:
+        """Fold deletions into new versions of all tables they touch, the frames last, and drop them then.
+
+        Call it between batches, as ``compact``; a lost job leaves the deletions, and can run again.
+        """
+        for name in (*schema.SATELLITES, "frames"):
+            if self.versions(name) or self.batches(name) or self.changes(name):
+                self.compact(name)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_deleted")
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def mark_schema(self, version: int) -> None:
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/_schema/v{version}")
+
     def _save(self, name: str, df: DataFrame, path: str) -> None:
         if not self._listed(f"{self.root}/_schema", "v"):
-            self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/_schema/v{schema.SCHEMA_VERSION}")
+            self.mark_schema(schema.SCHEMA_VERSION)
         if name == "frames":
             df = df.withColumn("day", F.floor(F.col("captured_at") / schema.DAY_MS).cast("int"))
         by = ["day"] if name in schema.BY_DAY and "day" in df.columns else None

@@ -18,17 +18,11 @@ from tidemark.operators import queue
 from tidemark.operators.timeseries import within
 from tidemark.plans.folds import Fold, fold_slices
 from tidemark.schema import DAY_MS
+from tidemark.sources.images import GRID, fingerprint  # noqa: F401 (what the gate compares)
 from tidemark.sources.tables import Store
 
-#: Side of the luma grid, weights of red, green and blue in 256ths, change that keeps a frame.
-GRID, LUMA, THRESHOLD = 32, (77, 150, 29), 0.006
-
-
-def fingerprint(pixels: np.ndarray) -> np.ndarray:
-    """Luma of a GRID x GRID sample of height x width x channels pixels."""
-    height, width = pixels.shape[:2]
-    rows, cols = np.arange(GRID) * height // GRID, np.arange(GRID) * width // GRID
-    return (pixels[rows[:, None], cols[None, :], :3].astype(np.int64) @ np.array(LUMA) >> 8).astype(np.uint8).ravel()
+#: Fixed value: change that keeps a frame.
+THRESHOLD = 0.006
 
 
 def difference(a: np.ndarray, b: np.ndarray, same_size: bool = True) -> float:
@@ -57,7 +51,10 @@ def change_gate(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def change_gate_stream(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The change gate over a stream; the last kept row of each monitor is state."""
+    """The change gate over a stream; the last kept row of each monitor is state.
+
+    Rows whose image can't be read have no ``luma``: they are kept, so that they can be set aside, and move nothing.
+    """
 
     def gate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = np.array(state.get[0]) if state.exists else None
@@ -65,6 +62,9 @@ def change_gate_stream(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame
             pdf = pdf.sort_values("captured_at", ignore_index=True)
             keep = np.zeros(len(pdf), bool)
             for k, luma in enumerate(pdf["luma"]):
+                if luma is None:
+                    keep[k] = True
+                    continue
                 luma = np.asarray(luma)
                 if last is None or difference(last, luma) > threshold:
                     last, keep[k] = luma, True
@@ -225,7 +225,7 @@ def ingest_batch(store: Store, frames: DataFrame, spans: DataFrame, now: int, co
         return
     batch = batch or f"frames{key}"
     done = within(store.read("frames", batch), low, high + 1).select("frame_id")
-    frames = frames.join(done, "frame_id", "left_anti").withColumn("day", F.floor(F.col("captured_at") / DAY_MS).cast("int"))
+    frames = store.living("frames", frames.join(done, "frame_id", "left_anti")).withColumn("day", F.floor(F.col("captured_at") / DAY_MS).cast("int"))
     spans = spans.join(frames.select("frame_id", "day"), "frame_id")
     lines = cl.line_roles(spans, frames, config, catalog(store, config.min_seen, batch)).persist()  # for three tables
     classified = cl.classify_spans(spans, lines)
@@ -251,7 +251,7 @@ def ingest_plain(store: Store, frames: DataFrame, texts: DataFrame, now: int, ba
     if low is None:
         return
     done = within(store.read("frames", batch), low, high + 1).select("frame_id")
-    frames = frames.join(done, "frame_id", "left_anti").withColumn("day", F.floor(F.col("captured_at") / DAY_MS).cast("int"))
+    frames = store.living("frames", frames.join(done, "frame_id", "left_anti")).withColumn("day", F.floor(F.col("captured_at") / DAY_MS).cast("int"))
     text = F.coalesce("raw_text", F.lit(""))
     none = F.lit(None).cast("string")
     rows = frames.select("frame_id", "day").join(texts.select("frame_id", "raw_text"), "frame_id", "left")
