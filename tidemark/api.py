@@ -12,7 +12,7 @@ from tidemark.functions import scalars
 from tidemark.operators import classify, insights, queue, retrieval
 from tidemark.operators import timeseries as ts
 from tidemark.plans import report
-from tidemark.providers import Answerer, Embedder, answer_deltas
+from tidemark.providers import Answerer, Asks, Embedder, answer_deltas
 from tidemark.sources import images
 from tidemark.sources.tables import Store, storage_classes
 from tidemark.streaming import stateful
@@ -31,7 +31,7 @@ class Engine:
     """
 
     def __init__(self, store: Store, embedder: Embedder | None = None, stemmed: bool = True):
-        self.store, self.embedder, self.stemmed = store, embedder, stemmed
+        self.store, self.embedder, self.stemmed, self.asks = store, embedder, stemmed, Asks()
 
     def _t(self, name: str) -> DataFrame:
         return self.store.read(name)
@@ -107,6 +107,13 @@ class Engine:
         rows = self.ask_context(text, k, budget).orderBy("place").select("frame_id", "text").collect()
         yield from answer_deltas(provider, text, list({r.frame_id: (r.frame_id, r.text) for r in reversed(rows)}.values())[::-1], cancelled)
 
+    def start_ask(self, request: str, text: str, provider: Answerer, k: int = 8, budget: int = 4096) -> Iterator[tuple[str, str, object]]:
+        """``ask`` under an id: ``(id, kind, what)`` deltas, which ``cancel_ask`` ends, as does another request with the id."""
+        return self.asks.start(request, lambda cancelled: self.ask(text, provider, k, budget, cancelled))
+
+    def cancel_ask(self, request: str) -> bool:
+        return self.asks.cancel(request)
+
     def search_images(self, vector: list[float], limit: int = 20) -> DataFrame:
         """Frames by the distance of their image vectors."""
         images = self._t("image_embeddings").select("frame_id", F.lit(0).alias("chunk_index"), "embedding")
