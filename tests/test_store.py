@@ -163,6 +163,17 @@ def test_queue_steps_over_a_store(spark, tmp_path):
     assert engine.sweep_stale(50, 0) == 2
 
 
+def test_a_batch_run_again_keeps_the_jobs_that_were_taken(spark, tmp_path):
+    store = filled(spark, tmp_path, range(4))
+    Engine(store).claim_jobs(["embed_text"], 1, 10)
+    Engine(store).complete_jobs([1], 11)
+    frames = some_frames(spark, [0, 2])[0]
+    st.ingest_plain(store, frames, spark.createDataFrame([(0, "x"), (2, "y")], "frame_id long, raw_text string"), 12, "b0")
+    jobs = store.read("jobs").collect()
+    assert sorted(j.frame_id for j in jobs) == [0, 1, 2, 3] and len({j.job_id for j in jobs}) == 4
+    assert {j.frame_id: j.state for j in jobs} == {0: "done", 1: "pending", 2: "pending", 3: "pending"}
+
+
 def old_store(spark, path, version):
     """A store as a build of an older schema left it."""
     frames = [(k, DAY_MS * k, 0, 1, 1, f"frames/{k}.jpg", "h", "ed", None, None, None) for k in range(3)]
