@@ -9,7 +9,7 @@ from tidemark.api import Engine
 from tidemark.operators import timeseries as ts
 from tidemark.schema import DAY_MS
 from tidemark.sources import images
-from tidemark.sources.tables import Store
+from tidemark.sources.tables import Store, cover
 from tidemark.streaming import stateful as st
 
 
@@ -212,3 +212,40 @@ def test_older_stores_are_brought_up(spark, tmp_path, monkeypatch):
     store = Store(spark, path)
     assert store.read("frame_text").count() == 3 and store.versions("frame_text") == [1, 2] and store.schema_version() == 4
     assert Store(spark, f"file://{tmp_path}/new").schema_version() == schema.SCHEMA_VERSION
+
+
+def test_the_fewest_sums_cover_all_batches():
+    n = 1000
+    sums = {(a, a + w - 1) for w in (2, 4, 8, 16, 32, 64, 128, 256, 512) for a in range(1, n + 1, w) if a + w - 1 <= n}
+    assert len(cover(n, sums)) == bin(n).count("1") == 6
+    for without in (1, 2, 500, 512, 513, 999, 1000):
+        got = cover(n, sums, without)
+        assert [k for a, b in got for k in range(a, b + 1)] == [k for k in range(1, n + 1) if k != without] and len(got) <= 20
+    assert cover(3, set()) == [(1, 1), (2, 2), (3, 3)] and cover(0, set()) == [] and cover(1, set(), 1) == []
+
+
+def test_sightings_are_summed_by_twos(spark, tmp_path):
+    store, name = Store(spark, f"file://{tmp_path}/s"), "chrome_text_catalog"
+    seen = lambda rows: spark.createDataFrame([(s, "ed", "0,0", s, n, t, t + 1, False) for s, n, t in rows], schema.CATALOG)
+    merge = lambda rows: st._added_up(rows, 4)
+    whole = lambda without=None: {r.signature: (r.seen_count, r.first_seen_at, r.last_seen_at, r.suppressed) for r in st._added_up(store.read(name, without), 4).collect()}
+    summed = lambda without=None: {r.signature: (r.seen_count, r.first_seen_at, r.last_seen_at, r.suppressed) for r in st.catalog(store, 4, without).collect()}
+    for k in range(1, 6):
+        store.append(name, seen([("a", k, k), (f"own{k}", 1, k)]), f"b-{k}")
+        assert summed() == whole()  # not summed yet
+        store.sum_up(name, f"b-{k}", merge)
+    assert sorted(store._sums(name)) == [(1, 2), (1, 4), (3, 4)] and summed() == whole() and summed()["a"] == (15, 1, 6, True)
+    assert len(store.partly_summed(name).inputFiles()) < len(store.read(name).inputFiles())
+    for k in (1, 3, 5):
+        assert summed(f"b-{k}") == whole(f"b-{k}") and summed(f"b-{k}")["a"][0] == 15 - k
+    store.append(name, seen([("a", 100, 0)]), "b-3")  # a batch comes again with other rows
+    assert sorted(store._sums(name)) == [(1, 2)] and summed() == whole() and summed()["a"] == (112, 0, 6, True)
+    store.sum_up(name, "b-3", merge)
+    assert sorted(store._sums(name)) == [(1, 2), (1, 4), (3, 4)] and summed() == whole()
+    store.append(name, seen([("a", 50, 9)]), "b-1")  # lost before it was summed: others go on without its sum
+    for k in (6, 7, 8):
+        store.append(name, seen([("a", k, k)]), f"b-{k}")
+        store.sum_up(name, f"b-{k}", merge)
+    assert sorted(store._sums(name)) == [(1, 8), (3, 4), (5, 6), (5, 8), (7, 8)] and summed() == whole()
+    store.compact(name)
+    assert store._sums(name) == [] and summed() == whole()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,6 +133,21 @@ def fingerprint(df: DataFrame) -> str:
     return seen.hexdigest()[:24]
 
 
+def cover(n: int, sums: set[tuple[int, int]], without: int | None = None) -> list[tuple[int, int]]:
+    """The fewest sums and single numbers that hold 1 to n, but for one number, in order."""
+    widest = {}
+    for first, last in sums:
+        if last <= n and not (without is not None and first <= without <= last):
+            widest[first] = max(last, widest.get(first, 0))
+    out, at = [], 1
+    while at <= n:
+        last = widest.get(at, at)
+        if at != without:
+            out.append((at, last))
+        at = last + 1
+    return out
+
+
 class Store:
     """A directory of Parquet tables: whole versions, batches appended to the newest one, changed rows and deletions.
 
@@ -201,9 +217,62 @@ class Store:
         return version
 
     def append(self, name: str, df: DataFrame, batch: str) -> None:
-        """Add a batch; it replaces the one of its name."""
+        """Add a batch; it replaces the one of its name, and the sums that hold that one go first."""
+        number = self._order(name).get(batch)
+        for first, last in self._sums(name) if number else []:
+            if first <= number <= last:
+                self._remove(f"{self._added(name)}/sum={first}-{last}")
         self._save(name, df, f"{self._added(name)}/batch={batch}")
 
+    def _sums(self, name: str) -> list[tuple[int, int]]:
+        return [tuple(map(int, s.split("-"))) for s in self._listed(self._added(name), "sum=")]
+
+    def _order(self, name: str) -> dict[str, int]:
+        """The numbers of batches that were summed, from 1 in the order of summing; files without rows hold them."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._added(name)}/_order")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [s.getPath().getName().partition("-") for s in fs.listStatus(at)] if fs.exists(at) else []
+        return {batch: int(number) for number, _, batch in found}
+
+    def _remove(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def sum_up(self, name: str, batch: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+        """Add a finished batch to the sums: of every 2, 4, 8, ... batches in order that end with it or lack one.
+
+        ``merge`` adds rows up and may be applied to its own results. Each row is summed once for each width.
+        """
+        order = self._order(name)
+        number = order.get(batch)
+        if number is None:
+            number = len(order) + 1
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._added(name)}/_order/{number}-{batch}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(at)
+        names, width = {n: b for b, n in order.items()} | {number: batch}, 2
+        while width <= len(names):
+            first = (number - 1) // width * width + 1
+            last = first + width - 1
+            if last <= len(names) and (first, last) not in self._sums(name):
+                inside = {(a, b) for a, b in self._sums(name) if first <= a and b <= last}
+                parts = [self._piece(name, names, a, b) for a, b in cover(last, inside) if a >= first]  # two, unless a sum was lost
+                self._save(name, merge(self.spark.read.schema(schema.TABLES[name]).parquet(*parts)), f"{self._added(name)}/sum={first}-{last}")
+            width *= 2
+
+    def _piece(self, name: str, names: dict[int, str], first: int, last: int) -> str:
+        return f"{self._added(name)}/" + (f"batch={names[first]}" if first == last else f"sum={first}-{last}")
+
+    def partly_summed(self, name: str, without: str | None = None) -> DataFrame:
+        """Rows that add up to those of ``read``: of n summed batches about 2 log2(n) files at most are opened."""
+        order = self._order(name)
+        names = {n: b for b, n in order.items()}
+        pieces = [self._piece(name, names, *p) for p in cover(len(names), set(self._sums(name)), order.get(without))]
+        pieces += [f"{self._added(name)}/batch={b}" for b in self.batches(name) if b not in order and b != without]
+        if self.versions(name):
+            pieces.append(f"{self.root}/{name}/v{self.versions(name)[-1]}")
+        reader = self.spark.read.schema(schema.TABLES[name])
+        return reader.parquet(*pieces) if pieces else self.spark.createDataFrame([], schema.TABLES[name])
+
     def compact(self, name: str) -> int:
         """Fold batches, changes and deletions into the next version. Call it between batches, when none has to be run again."""
         return self.write(name, self.read(name))
@@ -286,8 +355,7 @@ class Store:
         for name in (*schema.SATELLITES, "frames"):
             if self.versions(name) or self.batches(name) or self.changes(name):
                 self.compact(name)
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_deleted")
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self._remove(f"{self.root}/_deleted")
 
     def mark_schema(self, version: int) -> None:
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/_schema/v{version}")

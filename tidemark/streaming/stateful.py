@@ -206,8 +206,14 @@ def sse_pieces(chunks: DataFrame) -> DataFrame:
 
 
 def catalog(store: Store, min_seen: int = cl.Config().min_seen, without: str | None = None) -> DataFrame:
-    """The catalog of repeated lines: sightings are appended batch by batch and added up here."""
-    rows = store.read("chrome_text_catalog", without)
+    """The catalog of repeated lines: sightings are appended batch by batch and added up here.
+
+    Finished batches are summed by twos, so few files are read, whatever the number of batches.
+    """
+    return _added_up(store.partly_summed("chrome_text_catalog", without), min_seen)
+
+
+def _added_up(rows: DataFrame, min_seen: int) -> DataFrame:
     return cl.merge_catalog(rows.limit(0), rows, min_seen)
 
 
@@ -233,6 +239,7 @@ def ingest_batch(store: Store, frames: DataFrame, spans: DataFrame, now: int, co
     texts = frames.select("frame_id", "day", F.col("title").alias("target_title"), F.col("app").alias("target_app")).join(raw, "frame_id", "left").join(cl.content_texts(lines), "frame_id", "left").join(cl.suppressed_counts(classified), "frame_id", "left")
     texts = texts.withColumns({"raw_text": F.coalesce("raw_text", F.lit("")), "content_text": F.coalesce("content_text", F.lit("")), "suppressed_count": F.coalesce("suppressed_count", F.lit(0)).cast("int"), "primary_source": F.lit("ocr"), "filter_version": F.lit(cl.FILTER_VERSION)})
     _append(store, frames, texts, now, batch, {"text_spans": classified, "chrome_text_catalog": cl.observations(lines, now).withColumn("suppressed", F.col("seen_count") >= config.min_seen)})
+    store.sum_up("chrome_text_catalog", batch, lambda rows: _added_up(rows, config.min_seen))
     lines.unpersist()
 
 
