@@ -184,3 +184,21 @@ def test_marks_are_folded_within_tokens(spark):
     assert [r.w for r in got] == [[x] for x in texts.values()]
     assert [tx.tokens_python(t) for t in texts] == [[x] for x in texts.values()]
     assert tx.snippet_python("the u\u0308ber heron", [["uber"]]) == "the [u\u0308ber] heron"
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_postings_are_made_where_the_texts_are_read(spark, tmp_path, monkeypatch, stemmed):
+    monkeypatch.setattr(rt, "TOKENS_AT_ONCE", 7)  # a text may be longer
+    monkeypatch.setattr(rt, "FILE_BYTES", 50)  # parts of the terms are shared
+    rows = [(k, " ".join(["herons", "mills", f"w{k % 5}", "heron"][: k % 5] * (1 + k % 3))) for k in range(60)] + [(60, None), (61, "!")]
+    texts = spark.createDataFrame(rows, "frame_id long, content_text string")
+    index = rt.build_index(texts, "content_text", stemmed)
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+    rt.write_index(texts, "content_text", f"{tmp_path}/i", stemmed, 4)
+    words = {i: [tx.stem(t) if stemmed else t for t in tx.tokens_python(t or "")] for i, t in rows}
+    want = sorted((t, i, len(w), [k for k, x in enumerate(w) if x == t]) for i, w in words.items() for t in set(w))
+    for x in (index, rt.read_index(spark, f"{tmp_path}/i")):
+        assert sorted(tuple(r) for r in x.postings.select("term", "frame_id", "size", "positions").collect()) == want
+        assert tuple(x.totals().first()) == (62, sum(map(len, words.values())) / 62)
+    parts = spark.read.parquet(f"{tmp_path}/i/postings").where("term = 'heron'").select(F.input_file_name()).distinct()
+    assert parts.count() > 1

@@ -41,7 +41,7 @@ class Engine:
 
     def _index_path(self, layer: str) -> str:
         version = (self.store.versions("frame_text") or [0])[-1]
-        return f"{self.store.root}/_index/{layer}-{'stems' if self.stemmed else 'words'}-v{version}"
+        return f"{self.store.root}/_index-3/{layer}-{'stems' if self.stemmed else 'words'}-v{version}"
 
     def index_texts(self) -> None:
         """Bring the stored index up to the texts: the texts of a version are one segment, and so is each batch since.
