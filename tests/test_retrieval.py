@@ -190,6 +190,7 @@ def test_marks_are_folded_within_tokens(spark):
 def test_postings_are_made_where_the_texts_are_read(spark, tmp_path, monkeypatch, stemmed):
     monkeypatch.setattr(rt, "TOKENS_AT_ONCE", 7)  # a text may be longer
     monkeypatch.setattr(rt, "FILE_BYTES", 50)  # parts of the terms are shared
+    monkeypatch.setattr(rt, "TASK_BYTES", 50)
     rows = [(k, " ".join(["herons", "mills", f"w{k % 5}", "heron"][: k % 5] * (1 + k % 3))) for k in range(60)] + [(60, None), (61, "!")]
     texts = spark.createDataFrame(rows, "frame_id long, content_text string")
     index = rt.build_index(texts, "content_text", stemmed)
@@ -202,3 +203,18 @@ def test_postings_are_made_where_the_texts_are_read(spark, tmp_path, monkeypatch
         assert tuple(x.totals().first()) == (62, sum(map(len, words.values())) / 62)
     parts = spark.read.parquet(f"{tmp_path}/i/postings").where("term = 'heron'").select(F.input_file_name()).distinct()
     assert parts.count() > 1
+
+
+def test_batched_terms_shuffle_no_results(spark, monkeypatch):
+    monkeypatch.setattr(rt, "CELLS", 20)  # blocks of few frames and queries
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choices("heron mill lake weir".split(), k=rng.randint(0, 9)))) for k in range(80)]
+    index = rt.build_index(spark.createDataFrame(rows, "frame_id long, content_text string"), "content_text")
+    asked = {q: " ".join(rng.choices("heron mill lake weir heron-mill lake-lake missing".split(), k=q % 4)) for q in range(40)}
+    terms = [(q, n, k, t) for q, text in asked.items() for n, p in enumerate(tx.query_phrases(text)) for k, t in enumerate(p)]
+    found = rt.bm25_batch(index, terms, spark)
+    got = {(r.query, r.frame_id): r.score for r in found.collect()}
+    assert got == pytest.approx({(q, i): s for q, text in asked.items() if text for s, i in plain_search(rows, text, 100, False)}, abs=2e-9) and got
+    # What follows the match of queries and frames is narrow.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange")
