@@ -4,6 +4,9 @@ Whether a line counts as an observation of its signature depends on geometry and
 number of earlier observations is a running count over (frame, signature) pairs. Counts are taken within
 slices of the frame sequence and shifted by the slices before, so a signature that is everywhere is
 still dealt to many tasks. All geometry is in single precision.
+
+Spans that come as rows are shuffled once to make their lines. Where a row holds a whole line's words, the line
+is made in its row, and only lines that repetition may suppress are shuffled to be counted.
 """
 
 from __future__ import annotations
@@ -49,6 +52,16 @@ def lines_of(spans: DataFrame) -> DataFrame:
     return grouped.withColumn("text", text).withColumn("normalized", normalize_text(F.col("text"))).drop("words")
 
 
+def lines_within(rows: DataFrame) -> DataFrame:
+    """The lines of ``lines_of`` with ``n_words``, where each row holds one line's spans: ``words``, an array of ``text, x, y, w, h`` in order.
+
+    Each row has a word at least. Nothing is shuffled; all other columns stay.
+    """
+    edge = lambda at, size: F.array_max(F.transform("words", lambda s: s[at] + s[size]))
+    lines = rows.withColumns({"x": F.array_min("words.x"), "y": F.array_min("words.y"), "right": edge("x", "w"), "bottom": edge("y", "h"), "text": F.array_join("words.text", " "), "n_words": F.size("words").cast("long")})
+    return lines.withColumn("normalized", normalize_text(F.col("text"))).drop("words")
+
+
 def inside_fraction(rect: Column) -> Column:
     """Part of a line's area inside ``rect``; a line without area is inside if its top left corner is."""
     w, h = F.col("right") - F.col("x"), F.col("bottom") - F.col("y")
@@ -93,24 +106,43 @@ def line_roles(spans: DataFrame, context: DataFrame, config: Config = Config(),
     ``context``: ``frame_id, seq, app, title, rect`` of frames in ingest order; ``rect`` is null where the
     window isn't known. ``catalog`` holds sightings from before.
     """
+    lines = lines_of(spans).join(context.select("frame_id", "seq", "app", "title", "rect"), "frame_id")
+    return with_roles(with_signatures(lines, config), config, catalog).drop("early", "own")
+
+
+def with_signatures(lines: DataFrame, config: Config = Config()) -> DataFrame:
+    """Lines that hold their frame's ``seq, app, title, rect``, with what follows from geometry and title alone.
+
+    ``early``: a role that repetition doesn't change, or null; ``own``: the signature of a line short enough to
+    be suppressed, else null; ``signature, region_bucket``: those of an observed line, else null.
+    """
     config = config.sane()
     rect, known = F.col("rect"), F.col("rect").isNotNull()
     short = F.char_length("normalized") < config.protect_chars
     outside = known & (inside_fraction(rect) < f32(INSIDE))
     title = normalize_text(F.col("title"))
-    lines = lines_of(spans).join(context.select("frame_id", "seq", "app", "title", "rect"), "frame_id")
     early = F.when(outside & short & (F.col("y") >= f32(SYSTEM_TOP)), "system").when(outside, "background").when((title != "") & (F.col("normalized") == title), "chrome")
-    lines = lines.withColumn("early", early)
+    lines = lines.withColumn("early", early).withColumn("own", F.when(short, signature(F.col("app"), config.grid)))
     observed = F.col("early").isNull() & short & known & ~is_interior(rect)
-    lines = lines.withColumn("signature", F.when(observed, signature(F.col("app"), config.grid))).withColumn("region_bucket", F.when(observed, region(config.grid)))
-    prior = _with_prior(lines.where("signature IS NOT NULL").select("frame_id", "seq", "signature").distinct())
+    return lines.withColumn("signature", F.when(observed, F.col("own"))).withColumn("region_bucket", F.when(observed, region(config.grid)))
+
+
+def with_roles(lines: DataFrame, config: Config = Config(), catalog: DataFrame | None = None) -> DataFrame:
+    """Add ``prior, role, reason`` to the lines of ``with_signatures``; only observed lines are shuffled.
+
+    ``frame_id, seq, rect, early, signature`` are read; all other columns stay.
+    """
+    config = config.sane()
+    observed = lines.where("signature IS NOT NULL")
+    prior = _with_prior(observed.select("frame_id", "seq", "signature").distinct())
     if catalog is not None:
         prior = prior.join(catalog.select("signature", "seen_count"), "signature", "left").withColumn("prior", F.col("prior") + F.coalesce("seen_count", F.lit(0))).drop("seen_count")
-    lines = lines.join(prior, ["frame_id", "signature"], "left")
-    role = F.coalesce("early", F.when(F.col("prior") + 1 >= config.min_seen, "chrome"), F.when(known, "content").otherwise("unknown"))
+    others = lines.where("signature IS NULL").withColumn("prior", F.lit(None).cast("long"))
+    lines = observed.join(prior, ["frame_id", "signature"]).unionByName(others)
+    role = F.coalesce("early", F.when(F.col("prior") + 1 >= config.min_seen, "chrome"), F.when(F.col("rect").isNotNull(), "content").otherwise("unknown"))
     lines = lines.withColumn("role", role)
     reason = F.when(F.col("role") == "system", "system_ui").when(F.col("role") == "background", "background_window").when(F.col("role") == "chrome", "static_chrome")
-    return lines.withColumn("reason", reason).drop("early")
+    return lines.withColumn("reason", reason)
 
 
 def content_texts(lines: DataFrame) -> DataFrame:
@@ -131,6 +163,12 @@ def suppressed_counts(spans: DataFrame) -> DataFrame:
     return spans.groupBy("frame_id").agg(F.count_if(~F.col("is_searchable")).alias("suppressed_count"))
 
 
+def suppressed_words(lines: DataFrame) -> DataFrame:
+    """``suppressed_counts`` from lines with ``n_words`` and their roles."""
+    kept = F.col("role").isin("content", "unknown")
+    return lines.groupBy("frame_id").agg(F.sum(F.when(kept, 0).otherwise(F.col("n_words"))).alias("suppressed_count"))
+
+
 def observations(lines: DataFrame, at: int) -> DataFrame:
     """Catalog rows from one ingest: sightings per signature."""
     seen = lines.where("signature IS NOT NULL").groupBy("signature").agg(F.min("app").alias("app_hint"), F.min("region_bucket").alias("region_bucket"), F.min("normalized").alias("normalized_text"), F.count_distinct("frame_id").alias("seen_count"))
@@ -160,6 +198,16 @@ def reconcile(spans: DataFrame, apps: DataFrame, catalog: DataFrame, config: Con
     return out.withColumns(changes).select(*spans.columns)
 
 
+def reconcile_lines(lines: DataFrame, catalog: DataFrame, config: Config = Config()) -> DataFrame:
+    """``reconcile`` for lines of ``with_roles``: only kept, short ones are shuffled, by their own signatures."""
+    config = config.sane()
+    may = F.col("role").isin("content", "unknown") & F.col("own").isNotNull()
+    warm = catalog.where(F.col("seen_count") >= config.min_seen).select(F.col("signature").alias("own"), F.lit(True).alias("warm"))
+    kept = lines.where(may).join(warm, "own", "left")
+    kept = kept.withColumns({"role": F.when(F.col("warm"), "chrome").otherwise(F.col("role")), "reason": F.when(F.col("warm"), "static_chrome").otherwise(F.col("reason"))})
+    return kept.select(*lines.columns).unionByName(lines.where(~may))
+
+
 def backfill(frame_text: DataFrame, spans: DataFrame, embeddings: DataFrame, catalog: DataFrame, config: Config = Config(), current: int = FILTER_VERSION) -> dict[str, DataFrame]:
     """Re-clean texts of older filter versions: the new ``frame_text``, ``spans`` and ``embeddings``, and ``changed`` frames to embed again."""
     old = frame_text.where(F.col("filter_version") < current)
