@@ -74,3 +74,9 @@ def test_hot_length_full_pieces_and_repeated_ids(spark, monkeypatch):
     assert got.sequence_id.nunique() == -(-got.length.sum() // 16)
     full = got[got.length == 16]
     assert len(full) >= 9 and not got.merge(full[["sequence_id"]]).duplicated("sequence_id").any()
+
+
+def test_large_ids_beside_a_null_one(spark):
+    ids = [2**53 + 1, None, 2**62 + 1]
+    docs = spark.createDataFrame([(d, "a few words") for d in ids], "doc_id long, text string")
+    assert {r.doc_id for r in packing.pack_documents(docs, 16).collect()} == set(ids)

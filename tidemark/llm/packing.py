@@ -20,12 +20,13 @@ from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import DEFAULT_TOKENIZER, encoder
-from tidemark.llm.common import checkpointed, map_batches, text_or_empty
+from tidemark.llm.common import checkpointed, map_batches, text_or_empty, to_arrow
 
 #: Rows of a length that are ranked together, about; a length with more is split into buckets.
 RANKED_ROWS = 1_000
@@ -169,14 +170,18 @@ def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "copy", "piece")) - 1
     ranked = dealt.withColumn("in_bucket", rank).join(shift, ["length", "bucket"]).withColumn("rank", F.col("in_bucket") + F.col("shift"))
 
-    def place(frames):
+    out = "doc_id long,piece int,start long,length long,ids_crc32 long,sequence_id long,offset long"
+    out_schema = to_arrow(out)
+
+    def place(batches):
         keys = table["length"].to_numpy(np.int64) << 40 | table["low"].to_numpy(np.int64)
         low, sequence, offset = (table[c].to_numpy(np.int64) for c in ("low", "sequence", "offset"))
-        for pdf in frames:
-            at = np.searchsorted(keys, pdf["length"].to_numpy(np.int64) << 40 | pdf["rank"].to_numpy(np.int64), "right") - 1
-            yield pdf.drop(columns="rank").assign(sequence_id=sequence[at] + pdf["rank"].to_numpy(np.int64) - low[at], offset=offset[at])
+        for batch in batches:
+            rank = batch["rank"].to_numpy()
+            at = np.searchsorted(keys, batch["length"].to_numpy() << 40 | rank, "right") - 1
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(sequence[at] + rank - low[at]), pa.array(offset[at])], schema=out_schema)
 
-    placed = ranked.select(*columns, "rank").mapInPandas(place, "doc_id long,piece int,start long,length long,ids_crc32 long,sequence_id long,offset long")
+    placed = ranked.select(*columns, "rank").mapInArrow(place, out)
     return placed.unionByName(full)
 
 
