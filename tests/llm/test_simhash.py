@@ -83,3 +83,9 @@ def test_components_of_paths_and_stars(spark, monkeypatch, hot):
     links = [(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 140)] + [(7, 7), (3, 2)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(51)}, **{k: 100 for k in range(100, 140)}}
+
+
+@pytest.mark.parametrize("hot", [200, 3])
+def test_components_of_more_links_than_are_broadcast(spark, monkeypatch, hot):
+    monkeypatch.setattr(components_of, "MOST_LINKS", 0)
+    test_components_of_paths_and_stars(spark, monkeypatch, hot)
