@@ -1,5 +1,6 @@
 import random
 import re
+from math import comb
 
 import numpy as np
 import pytest
@@ -89,3 +90,54 @@ def test_components_of_paths_and_stars(spark, monkeypatch, hot):
 def test_components_of_more_links_than_are_broadcast(spark, monkeypatch, hot):
     monkeypatch.setattr(components_of, "MOST_LINKS", 0)
     test_components_of_paths_and_stars(spark, monkeypatch, hot)
+
+
+def classes_of(links):
+    low = {x: x for link in links for x in link}
+    while any(low[a] != low[b] for a, b in links):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    return low
+
+
+@pytest.mark.parametrize("part", [2048, 7])  # at 7, keys are cut into parts
+def test_one_dense_group_makes_no_row_for_each_link(spark, monkeypatch, part):
+    """All fingerprints at most 2 bits from one: each two of them are linked."""
+    monkeypatch.setattr(simhash, "PART_PRINTS", part)
+    base = 0x8123_4567_89AB_CDEF
+    near = [base] + [base ^ 1 << a ^ (1 << b if b < a else 0) for a in range(24) for b in range(a + 1)]
+    far = [int(x) for x in np.random.default_rng(2).integers(0, 2**64, 300, np.uint64)]
+    prints = np.array(near + far, np.uint64).view(np.int64)
+    table = spark.createDataFrame([(int(p),) for p in prints], "print long")
+    every = [(int(a), int(b)) for k, a in enumerate(prints) for b in prints[:k][np.bitwise_count((prints[:k] ^ a).view(np.uint64)) <= 4]]
+    for bands in (5, 6):
+        rows = simhash.groups(table, bands=bands).collect()
+        assert classes_of({(r.a, r.b) for r in rows}) == classes_of(every) and len(every) > 40_000
+        assert part == 7 or len(rows) <= len(near) * comb(bands, 4)  # a row for each key of a fingerprint at most
+
+
+def test_groups_connect_what_links_of_two_classes_do(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 30, dtype=np.uint64)
+    near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 5), replace=False)) for b in base for _ in range(10)]
+    prints = np.unique(np.array(near, np.uint64)).view(np.int64)
+    of = {int(p): int(p) % 3 for p in prints}
+    table = spark.createDataFrame(list(of.items()), "print long, class long")
+    want = {(r.a, r.b) for r in simhash.links(table).collect() if of[r.a] != of[r.b]}
+    rows = simhash.groups(table).collect()
+    assert classes_of({(r.a, r.b) for r in rows}) == classes_of(want)
+    members = {}
+    for r in rows:
+        members.setdefault((r.key, r.a), set()).add(r.b)
+    assert all(any({a, b} <= m for m in members.values()) for a, b in want)
+
+
+def test_grouped_with_rows_of_many_batches(spark):
+    prints = np.arange(3000, dtype=np.int64) << 40  # 12 bits that all differ in, so keys have thousands of rows
+    table = spark.createDataFrame([(int(p),) for p in prints], "print long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        links = [(r.a, r.b) for r in simhash.groups(table).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(classes_of(links).values()) == {0} and len(classes_of(links)) == 3000

@@ -13,19 +13,25 @@ many follows from the number of distinct fingerprints, and the result is the sam
 3. the comparison of the fingerprints themselves for those that are left.
 
 Equal fingerprints count once in all of this. The links are exact: none is lost, and none is made up.
+
+The number of links grows with the square of a group of near fingerprints, so components aren't made from all
+of them. The fingerprints of a key are compared within a task, which gives out a row for each that has a link.
+Keys of many fingerprints are cut into parts, and each two parts are compared by a task of their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, keep_rows, map_batches, text_or_empty
+from tidemark.llm.common import checkpointed, keep_rows, map_batches, text_or_empty, to_arrow
 from tidemark.llm.components import components
 
 #: References within bands (a distance takes 4 bits) and over all 64 bits (a distance takes 8 bits).
@@ -34,6 +40,10 @@ BAND_REFERENCES, WHOLE_REFERENCES = 16, 8
 #: Prints with more than this part of all documents are joined by broadcast; so there are fewer than this.
 HOT_PRINTS = 200
 
+#: A key's part has about so many fingerprints at most. Keys are counted in slots, which have so many rows on average
+#: at most, or so many slots in all if that is more.
+PART_PRINTS, SLOT_ROWS, SLOTS = 2048, 256, 1 << 16
+
 #: Shingles whose bits are summed at once.
 BLOCK = 1 << 16
 
@@ -94,26 +104,35 @@ def bands_for(prints: int, threshold: int = 4) -> int:
 
 
 def distances(prints: DataFrame, bands: int) -> DataFrame:
-    """``print, whole, band0, band1, ...``: the packed distance table of distinct fingerprints."""
+    """``print, class, whole, band0, band1, ...``: the packed distance table of distinct fingerprints.
+
+    The class is that of ``prints``, or the fingerprint itself where it has none.
+    """
 
-    def run(prints, bands):
+    def run(prints, classes, bands):
         packed, whole = distance_table(np.array(prints, np.int64).view(np.uint64), bands)
-        return {"print": prints, "whole": whole} | {f"band{k}": p for k, p in enumerate(packed)}
+        return {"print": prints, "class": classes, "whole": whole} | {f"band{k}": p for k, p in enumerate(packed)}
 
-    return map_batches(prints.select("print"), run, "print long,whole long," + ",".join(f"band{k} long" for k in range(bands)), bands)
+    own = "class" if "class" in prints.columns else "print"
+    return map_batches(prints.select("print", F.col(own).alias("class")), run, "print long,class long,whole long," + ",".join(f"band{k} long" for k in range(bands)), bands)
 
 
-def links(prints: DataFrame, threshold: int = 4, bands: int | None = None) -> DataFrame:
-    """``a, b`` pairs of fingerprints at most ``threshold`` bits apart, from distinct ones (column ``print``).
-
-    ``bands`` must exceed ``threshold``; left out, it follows from the number of fingerprints.
-    """
-    bands = bands or bands_for(prints.count(), threshold)
+def _keyed(prints: DataFrame, threshold: int, bands: int) -> tuple[DataFrame, list[str]]:
+    """``print, class, whole`` and the columns of a key, which are named: a row for each ``bands - threshold`` bands."""
     if bands <= threshold or -(-64 // bands) > 15:
         raise ValueError("bands must exceed the threshold, and be 5 at least")
     keys = [F.struct(F.lit(k).alias("of"), *(F.col(f"band{b}").alias(f"k{i}") for i, b in enumerate(some))) for k, some in enumerate(combinations(range(bands), bands - threshold))]
     names = ["of", *(f"k{i}" for i in range(bands - threshold))]
-    spread = distances(prints, bands).select("print", "whole", F.explode(F.array(*keys)).alias("key")).select("print", "whole", "key.*")
+    return distances(prints, bands).select("print", "class", "whole", F.explode(F.array(*keys)).alias("key")).select("print", "class", "whole", "key.*"), names
+
+
+def links(prints: DataFrame, threshold: int = 4, bands: int | None = None) -> DataFrame:
+    """``a, b`` pairs of fingerprints at most ``threshold`` bits apart, from distinct ones (column ``print``).
+
+    ``bands`` must exceed ``threshold``; left out, it follows from the number of fingerprints. There are as many
+    rows as pairs; ``groups`` has what connects them.
+    """
+    spread, names = _keyed(prints, threshold, bands or bands_for(prints.count(), threshold))
     left = spread.select(*names, F.col("print").alias("a"), F.col("whole").alias("wa"))
     right = spread.select(*names, F.col("print").alias("b"), F.col("whole").alias("wb"))
     differ = [F.abs(F.shiftright("wa", 8 * k).bitwiseAND(F.lit(255)) - F.shiftright("wb", 8 * k).bitwiseAND(F.lit(255))) for k in range(WHOLE_REFERENCES)]
@@ -121,6 +140,74 @@ def links(prints: DataFrame, threshold: int = 4, bands: int | None = None) -> Da
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold).select("a", "b").distinct()
 
 
+def _connect(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the groups of each ``a`` and ``b``; a group is named by its smallest place."""
+    while len(a):
+        x, y = group[a], group[b]
+        apart = x != y
+        a, b = a[apart], b[apart]
+        np.minimum.at(group, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while ((up := group[group]) != group).any():
+            group[:] = up
+
+
+def grouped(keys: np.ndarray, prints: np.ndarray, classes: np.ndarray, whole: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
+    """``key, a, b`` of rows in order of ``keys, whole``: each fingerprint ``b`` that links of fingerprints of one key
+    and two classes connect with others, and the smallest of them, ``a``.
+
+    Each row is compared with the next, then the second next and so on, as long as a row with the same key has a
+    distance to the last reference that is near enough. Those that are connected by then aren't compared.
+    """
+    bits, first, pivots = prints.view(np.uint64), whole >> 56, np.ascontiguousarray(whole).view(np.uint8).reshape(-1, 8).astype(np.int16)
+    group, at, step = np.arange(len(keys)), np.arange(len(keys)), 1
+    while len(at := at[: np.searchsorted(at, len(keys) - step)]):
+        at = at[(keys[at] == keys[at + step]) & (first[at + step] - first[at] <= threshold)]
+        near = at[(group[at] != group[at + step]) & (classes[at] != classes[at + step])]
+        near = near[np.abs(pivots[near] - pivots[near + step]).max(1, initial=0) <= threshold]
+        near = near[np.bitwise_count(bits[near] ^ bits[near + step]) <= threshold]
+        _connect(group, near, near + step)
+        step += 1
+    linked = np.flatnonzero(np.bincount(group, minlength=len(group))[group] > 1)
+    low = prints.copy()
+    np.minimum.at(low, group[linked], prints[linked])
+    return keys[linked], low[group[linked]], prints[linked]
+
+
+def groups(prints: DataFrame, threshold: int = 4, bands: int | None = None) -> DataFrame:
+    """``key, a, b``: as links ``a, b`` these connect what all ``links`` would, with no more than a row (and one for
+    each part) for each key of a fingerprint.
+
+    The rows of one ``key`` and ``a`` are the fingerprints that links within the key connect, ``a`` being the
+    smallest. Where ``prints`` has a ``class``, only links of different classes count. A link is between two rows
+    of at least one group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in grouped(*rows, threshold)], schema=to_arrow("key long,a long,b long"))
+
+        held = [np.empty(0, np.int64)] * 4
+        for batch in batches:
+            rows = [np.concatenate([old, c.to_numpy(zero_copy_only=False)]) for old, c in zip(held, batch.columns)]
+            open_at = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0  # the last key may go on in the next batch
+            yield done([c[:open_at] for c in rows])
+            held = [c[open_at:] for c in rows]
+        yield done(held)
+
+    count = prints.count()
+    bands = bands or bands_for(count, threshold)
+    spread, names = _keyed(prints, threshold, bands)
+    # Keys are cut by what their slot has: no less than they have, so no key is left whole that has too many.
+    slots = max(SLOTS, comb(bands, threshold) * count // SLOT_ROWS)
+    rows = spread.select(F.xxhash64(*names).alias("key"), "print", "class", "whole").withColumn("slot", F.pmod("key", F.lit(slots)))
+    full = rows.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > PART_PRINTS).select("slot", F.ceil(F.col("n") / PART_PRINTS).alias("parts"))
+    rows = rows.join(F.broadcast(full), "slot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("print", "key"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+    dealt = rows.select(met.alias("key"), "print", "class", "whole").repartition("key").sortWithinPartitions("key", "whole")
+    return dealt.mapInArrow(run, "key long,a long,b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, bands: int | None = None) -> DataFrame:
     """``doc_id, fingerprint, component_id``: one row per document, the component being the smallest
     doc_id that links lead to.
@@ -132,7 +219,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, bands
     """
     prints = checkpointed(fingerprints(docs, shingle))
     table = checkpointed(prints.groupBy("print").agg(F.count("*").alias("n"), F.min("doc_id").alias("smallest")))
-    linked = components(links(table, threshold, bands)).withColumnRenamed("node", "print")
+    linked = components(groups(table, threshold, bands).select("a", "b")).withColumnRenamed("node", "print")
     named = table.select("print", "smallest").join(linked, "print")
     low = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
     of_print = named.join(low, "component").select("print", "component_id")
