@@ -144,3 +144,46 @@ def test_spanning_links_of_near_fingerprints_alone():
     sets, prints = [np.arange(20)] * 4, [0, 0b1111, 0b11111, -1]
     assert len(near_copies.spanning_links([1, 2, 3, 4], sets)) == 3
     assert near_copies.spanning_links([1, 2, 3, 4], sets, prints) == [(1, 2), (2, 3)]
+
+
+def linked_prints(rows):
+    """doc_id: smallest doc_id that SimHash links between texts of Jaccard 0.8 or more lead to, by brute force."""
+    of, low = {d: sets(t) for d, t in rows}, {d: d for d, _ in rows}
+    prints = {d: near_copies.simhash.fingerprint(t or "") for d, t in rows}
+    near = [(a, b) for a in of for b in of if a < b and (prints[a] ^ prints[b]).bit_count() <= 4 and 5 * len(of[a] & of[b]) >= 4 * len(of[a] | of[b])]
+    while any(low[a] != low[b] for a, b in near):
+        for a, b in near:
+            low[a] = low[b] = min(low[a], low[b])
+    return low
+
+
+@pytest.mark.parametrize("parts", [256, 8])
+def test_all_texts_of_a_fingerprint_are_candidates(spark, monkeypatch, parts):
+    """Without bands: texts of few fingerprints, most of which aren't like the first of theirs."""
+    monkeypatch.setattr(near_copies, "PART_TEXTS", parts)
+    monkeypatch.setattr(near_copies, "bands", lambda hashes: np.array([hashes.sum()]).view(np.int64))
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(5000)]
+    refrain, rows = rng.choices(words, k=13) * 40, []
+    for k in range(40):
+        own = rng.choices(words, k=14)
+        rows += [(4 * k + d, " ".join([*refrain, *own, *(f"x{d}" for _ in range(d))])) for d in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = [near_copies.simhash.fingerprint(t) for _, t in rows]
+    want = linked_prints(rows)
+    assert len(set(prints)) < len(set(want.values())) < len(rows) / 2, (len(set(prints)), len(set(want.values())))
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == want
+
+
+def test_rows_without_a_doc_id_are_compared(spark):
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(500)}" for _ in range(90)] for _ in range(4)]
+    like = lambda k, x: " ".join([*base[k][:-1], x])
+    rows = [(5, like(0, "a")), (None, like(0, "b")), (7, like(0, "c")), (None, like(1, "a")), (None, like(1, "b")), (None, like(1, "b")), (9, like(2, "a")), (None, like(3, "a")), (None, None), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS node")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in near_copies.near_copies(docs).collect())
+    assert got == [(0, 0)] * 6 + [(0, 5), (5, 5), (7, 5), (9, 9)]
+    kept = near_copies.keep_one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    left = [(r.doc_id, (r.text or "").split()[:1]) for r in kept.collect()]
+    assert sorted(left, key=str) == sorted([(5, base[0][:1]), (9, base[2][:1]), (None, base[1][:1]), (None, base[3][:1]), (None, [])], key=str)
