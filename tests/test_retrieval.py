@@ -218,3 +218,25 @@ def test_batched_terms_shuffle_no_results(spark, monkeypatch):
     # What follows the match of queries and frames is narrow.
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Exchange")
+
+
+def test_batched_terms_of_any_number_are_matched_in_passes(spark, monkeypatch):
+    """61,500 searches, as a 50th of the rows of 6 GB are, have more tokens than a batch took."""
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choices([f"w{x}" for x in range(40)], k=12))) for k in range(30)]
+    index = rt.build_index(spark.createDataFrame(rows, "frame_id long, content_text string"), "content_text")
+    terms = [(q, n, 0, t) for q in range(61_500) for n, t in enumerate((f"w{q % 40}", f"w{q % 37}", "w0")[: 2 + q % 2])]
+    found = rt.bm25_batch(index, terms, spark)
+    own = {i: set(t.split()) for i, t in rows}
+    want = {q: sum({f"w{q % 40}", f"w{q % 37}", *["w0"] * (q % 2)} <= s for s in own.values()) for q in range(61_500)}
+    got = {r.query: r["count"] for r in found.groupBy("query").count().collect()}
+    assert got == {q: n for q, n in want.items() if n}
+    # Passes, of which a query may exceed one, find the same.
+    asked = {q: [f"w{q % 40}", f"w{q % 7}", f"w{q % 3}"][: 1 + q % 3] for q in range(50)}
+    few = [(q, n, 0, t) for q, words in asked.items() for n, t in enumerate(words)]
+    whole = {(r.query, r.frame_id): r.score for r in rt.bm25_batch(index, few, spark).collect()}
+    for most in (1, 7, 40):
+        monkeypatch.setattr(rt, "PASS_TOKENS", most)
+        assert [t for p in rt.passes(few) for t in p] == few and all(len(p) <= max(most, 3) for p in rt.passes(few))
+    assert {(r.query, r.frame_id): r.score for r in rt.bm25_batch(index, few, spark).collect()} == whole and whole
+    assert rt.bm25_batch(index, [], spark).count() == 0
